@@ -5,9 +5,39 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import common
+from .chat_prefix import digests, expand
 from .jaccard_join import jaccard_components
+from .media_mpeg import audio_features, store_audio
+from .packing import pack
+from .quality_gam import fit_quality, fold, score_quality
+from .simhash import simhash
+from .substring_dedup import substring_dedup
+from .toxicity import fit_toxicity, score_toxicity
+
+
+def tokenizer_path() -> str:
+    """The vocabulary file that the packing query uses; pack() takes any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
+    classifier, _, _ = fit_toxicity(docs, labels, use=fold(F.col("doc_id"), 5) != 0)
+    held = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False))
+    return score_toxicity(docs, classifier).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op2_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio_features(store_audio(common.table(spark, sf_dir, "documents"))).drop("seek_offsets")
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash(common.table(spark, sf_dir, "documents"))
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,7 +45,36 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(docs, words=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 
+def op5_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
+    model = fit_quality(docs, labels, use=fold(F.col("doc_id"), 4) != 2)
+    held = F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False))
+    return score_quality(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op6_chat_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    probe = spark.sql(f"SELECT -1L AS conv_id, posexplode(array('user', 'assistant')) AS (turn, role), '{said}' AS text").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    return digests(expand(turns.unionByName(probe)))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(common.table(spark, sf_dir, "documents"), width=20).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(common.table(spark, sf_dir, "documents"), tokenizer_path(), window=2048, end_id=1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op2_mpeg_audio": op2_mpeg_audio,
+    "op3_simhash": op3_simhash,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op5_quality_gam": op5_quality_gam,
+    "op6_chat_prefix": op6_chat_prefix,
+    "op7_substring_dedup": op7_substring_dedup,
+    "op10_packing": op10_packing,
 }
 ORACLES: dict[str, str] = {}
