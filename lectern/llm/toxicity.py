@@ -4,7 +4,8 @@ Voters are lexicons and patterns over a document's words: three small seed lexic
 labelled rows, and patterns on where and how often their words stand. A generative label model (two latent classes)
 estimates from the votes of all documents how often each voter fires in each class, and which voters fire together
 within a class; the evidence of correlated voters is discounted. The posterior labels (with the known label as one
-more, strong voter) of a bounded sample train a logistic classifier on word presence, which scores every document.
+more, strong voter) of a bounded sample train a logistic classifier on how often words and word beginnings stand, which
+scores every document.
 
 Statistics of votes are exact over the corpus: a vote pattern is one of 2**VOTERS numbers, and only counts by pattern
 reach the driver. The sample has at most ``sample`` labelled rows, least hash of doc_id first.
@@ -28,8 +29,13 @@ from pyspark.sql import functions as F
 from . import common
 from .quality_gam import labelled_sample
 
-SAMPLE = 20_000
+SAMPLE = 6_000
 LEARNED, PER_LEXICON, TERMS = 4, 40, 4096
+#: Lengths of word beginnings that are terms as well, and the counts from which a term's further levels hold.
+PREFIXES, COUNTS = (4, 6), (1, 2, 4)
+L2 = 1.0
+#: Standard errors that a word's share in the posterior classes must differ by to become a term.
+LEAST_Z = 5.0
 #: The weight of a known label in a posterior, as log odds.
 KNOWN = 4.0
 SEEDS = [
@@ -46,15 +52,24 @@ def hash_list(text: str) -> list[int]:
     return [xxhash.xxh3_64_intdigest(w) for w in text.split()]
 
 
-def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets and hashes of the lower-cased words without punctuation at either end."""
+def words_of(texts: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Offsets, and for each lower-cased word without punctuation at either end the hashes of itself and of its PREFIXES."""
     offs, words = common.split_words(texts, lower=True)
     if not len(words):
-        return offs, np.zeros(0, np.uint64)
+        return offs, [np.zeros(0, np.uint64)] * (1 + len(PREFIXES))
     enc = words.dictionary_encode()
     plain = pc.utf8_lower(pc.ascii_trim(enc.dictionary, EDGE))
-    own = np.fromiter(map(xxhash.xxh3_64_intdigest, plain.to_pylist()), np.uint64, len(plain))
-    return offs, own[np.asarray(enc.indices)]
+    at = np.asarray(enc.indices)
+    out = [common.hash_words(plain)[at]]
+    for n in PREFIXES:
+        out.append(common.mix(common.hash_words(pc.utf8_slice_codeunits(plain, 0, n)) + np.uint64(n))[at])
+    return offs, out
+
+
+def levels_of(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each row its distinct hashes (words and prefixes) and their counts."""
+    offs, kinds = words_of(texts)
+    return [np.unique(np.concatenate([h[s:e] for h in kinds]), return_counts=True) for s, e in zip(offs[:-1], offs[1:], strict=True)]
 
 
 @dataclass
@@ -83,7 +98,8 @@ def find(table: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 def votes(texts: pa.Array, lex: Lexicons) -> np.ndarray:
     """(rows, VOTERS) of 0 and 1."""
-    offs, h = words_of(texts)
+    offs, kinds = words_of(texts)
+    h = kinds[0]
     n = len(offs) - 1
     lens = np.diff(offs)
     row = np.repeat(np.arange(n), lens)
@@ -91,23 +107,24 @@ def votes(texts: pa.Array, lex: Lexicons) -> np.ndarray:
     lists = LEARNED + len(SEEDS)
     table, first = np.unique(lex.word, return_index=True)
     ends = np.r_[first[1:], len(lex.word)]
-    at = find(table, h)
-    hit = np.flatnonzero(at >= 0)
+    found = [find(table, x) for x in kinds]
+    hit = np.concatenate([np.flatnonzero(x >= 0) for x in found])
+    at = np.concatenate([x[x >= 0] for x in found])
     for k in range(int((ends - first).max(initial=0))):  # a word may be in several lexicons
-        x = hit[first[at[hit]] + k < ends[at[hit]]]
-        out[row[x], lex.voter[first[at[x]] + k]] = 1
+        x = first[at] + k < ends[at]
+        out[row[hit[x]], lex.voter[first[at[x]] + k]] = 1
+    pair = np.unique(row[hit] * (len(table) + 1) + at)
+    several = np.bincount(pair // (len(table) + 1), minlength=n)
+    hit = np.unique(hit)
     hits = np.bincount(row[hit], minlength=n)
-    pair = np.unique(np.stack([row[hit], at[hit]], 1), axis=0) if len(hit) else np.zeros((0, 2), np.int64)
-    kinds = np.bincount(pair[:, 0], minlength=n)
     you = np.zeros(len(h) + 3, bool)
     you[3:][find(np.unique(np.array(hash_list(YOU), np.uint64)), h) >= 0] = True
     near = hit[you[hit + 2] | you[hit + 1] | you[hit]]
-    out[row[near[(near - offs[row[near]]) > 0]], lists] = 1
-    out[:, lists + 1] = kinds >= 2
+    out[row[near[near > offs[row[near]]]], lists] = 1
+    out[:, lists + 1] = several >= 3
     out[:, lists + 2] = hits * 100 >= np.maximum(lens, 1)
-    out[:, lists + 3] = hits > kinds
-    text = pc.fill_null(texts, "")
-    out[:, lists + 4] = np.asarray(pc.count_substring(text, pattern="!"), np.int64) * 10 >= np.maximum(lens, 10)
+    out[:, lists + 3] = hits >= 3
+    out[:, lists + 4] = np.asarray(pc.count_substring(pc.fill_null(texts, ""), pattern="!"), np.int64) * 10 >= np.maximum(lens, 10)
     return out
 
 
@@ -134,7 +151,7 @@ def fit_label_model(v: np.ndarray, count: np.ndarray, prior: float) -> LabelMode
     model = LabelModel(prior, np.stack([start * 0.3, np.clip(start * 4 + 0.2, 0, 0.9)]), np.ones((2, VOTERS)), np.zeros((2, VOTERS, VOTERS)))
     for _ in range(4):
         for _ in range(30):
-            q = 1 / (1 + np.exp(-np.clip(model.log_odds(v), -30, 30)))
+            q = sigmoid(model.log_odds(v))
             fire = []
             for w in ((1 - q) * count, q * count):
                 fire.append((w @ v + 0.5 * start) / (w.sum() + 0.5))
@@ -152,68 +169,82 @@ def fit_label_model(v: np.ndarray, count: np.ndarray, prior: float) -> LabelMode
 
 @dataclass
 class Linear:
-    """A logistic classifier on the presence of words (sorted hashes)."""
+    """A logistic classifier on words and prefixes (sorted hashes) that stand at least 1, 2 and 4 times in a text."""
 
     word: np.ndarray
-    weight: np.ndarray
+    weight: np.ndarray  # (words, levels): what a level adds
     intercept: float
 
     def score(self, texts: pa.Array) -> np.ndarray:
-        offs, h = words_of(texts)
-        at = find(self.word, h)
-        row = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
-        hit = at >= 0
-        pair = np.unique(row[hit] * (len(self.word) + 1) + at[hit])
-        total = np.bincount(pair // (len(self.word) + 1), self.weight[pair % (len(self.word) + 1)], len(offs) - 1) if len(pair) else np.zeros(len(offs) - 1)
-        return 1 / (1 + np.exp(-np.clip(total + self.intercept, -30, 30)))
+        offs, kinds = words_of(texts)
+        n, width = len(offs) - 1, len(self.word) + 1
+        row = np.repeat(np.arange(n), np.diff(offs))
+        found = [find(self.word, h) for h in kinds]
+        pair, count = np.unique(np.concatenate([row[x >= 0] * width + x[x >= 0] for x in found]), return_counts=True)
+        level = np.searchsorted(COUNTS, count, "right") - 1
+        added = np.cumsum(self.weight, axis=1)[pair % width, level] if len(pair) else np.zeros(0)
+        return sigmoid(np.bincount(pair // width, added, n) + self.intercept)
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def word_table(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words, and for each (document, word) pair the document and the word's place."""
-    word, place = np.unique(np.concatenate(docs) if docs else np.zeros(0, np.uint64), return_inverse=True)
-    return word, np.repeat(np.arange(len(docs)), [len(d) for d in docs]), place
+def word_table(docs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes, and for each (document, hash) pair the document, the hash's place and the count."""
+    if not docs:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    word, place = np.unique(np.concatenate([h for h, _ in docs]), return_inverse=True)
+    return word, np.repeat(np.arange(len(docs)), [len(h) for h, _ in docs]), place, np.concatenate([c for _, c in docs])
 
 
-def learn_lexicons(docs: list[np.ndarray], y: np.ndarray) -> list[list[int]]:
-    """The words that most raise the odds of a toxic label, dealt to LEARNED lexicons."""
+def learn_lexicons(docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> list[list[int]]:
+    """The words and prefixes that most raise the odds of a toxic label, dealt to LEARNED lexicons."""
     if len(np.unique(y)) < 2:
         return []
-    word, doc, place = word_table(docs)
+    word, doc, place, _ = word_table(docs)
     bad, all_ = np.bincount(place, y[doc], len(word)), np.bincount(place, minlength=len(word))
     n1, n = y.sum(), len(y)
     odds = np.log((bad + 0.5) / (n1 + 1)) - np.log((all_ - bad + 0.5) / (n - n1 + 1))
     z = odds / np.sqrt(1 / (bad + 0.5) + 1 / (all_ - bad + 0.5))
     order = np.lexsort((word, -z))
-    order = order[(z[order] > 4) & (bad[order] >= 5)][: LEARNED * PER_LEXICON]
+    order = order[(z[order] > 4) & (odds[order] > 2.5) & (bad[order] >= 5)][: LEARNED * PER_LEXICON]
     return [[int(w) for w in word[order[k::LEARNED]]] for k in range(LEARNED)]
 
 
-def fit_linear(docs: list[np.ndarray], q: np.ndarray) -> Linear:
-    """Logistic regression by Adam steps on the TERMS words that differ most between the posterior classes."""
+def fit_linear(docs: list[tuple[np.ndarray, np.ndarray]], q: np.ndarray) -> Linear:
+    """Logistic regression by Adam steps on the terms, TERMS at most, whose levels differ most between the posterior classes."""
     share = float(np.clip(q.mean() if len(q) else 0.05, 1e-3, 1 - 1e-3))
     base = float(np.log(share / (1 - share)))
-    word, doc, place = word_table(docs)
+    word, doc, place, count = word_table(docs)
     if not len(word):
-        return Linear(word, np.zeros(0), base)
+        return Linear(word, np.zeros((0, len(COUNTS))), base)
     n = len(q)
-    bad, all_ = np.bincount(place, q[doc], len(word)), np.bincount(place, minlength=len(word))
-    z = (bad - all_ * share) / np.sqrt(all_ * share * (1 - share) + 1)
-    use = np.sort(np.lexsort((word, -np.abs(z)))[:TERMS])
-    use = use[all_[use] >= 3]
+    z = []
+    for least in COUNTS:
+        some = count >= least
+        bad, all_ = np.bincount(place[some], q[doc[some]], len(word)), np.bincount(place[some], minlength=len(word))
+        z.append(np.where(all_ >= 5, (bad - all_ * share) / np.sqrt(all_ * share * (1 - share) + 1), 0))
+    strength = np.abs(np.stack(z))
+    best = strength.max(axis=0)
+    use = np.sort(np.lexsort((word, -best))[:TERMS])
+    use = use[best[use] >= LEAST_Z]
     index = np.full(len(word), -1)
     index[use] = np.arange(len(use))
     some = index[place] >= 0
-    doc, place = doc[some], index[place[some]]
-    w = np.zeros(len(use) + 1)
+    doc, place, count = doc[some], index[place[some]], count[some]
+    rows = [(doc[count >= c], place[count >= c] * len(COUNTS) + k) for k, c in enumerate(COUNTS)]
+    doc, term = np.concatenate([d for d, _ in rows]), np.concatenate([t for _, t in rows])
+    size = len(use) * len(COUNTS)
+    w = np.zeros(size + 1)
     w[-1] = base
-    l2 = 1.0
     m, v = np.zeros_like(w), np.zeros_like(w)
-    for t in range(1, 301):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(doc, w[place], n) + w[-1], -30, 30)))
-        g = np.r_[np.bincount(place, (p - q)[doc], len(use)) + l2 * w[:-1], (p - q).sum()] / n
+    for t in range(1, 401):
+        p = sigmoid(np.bincount(doc, w[term], n) + w[-1])
+        g = np.r_[np.bincount(term, (p - q)[doc], size) + L2 * w[:-1], (p - q).sum()] / n
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w = w - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-    return Linear(word[use], w[:-1], float(w[-1]))
+    return Linear(word[use], w[:-1].reshape(-1, len(COUNTS)), float(w[-1]))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, use: Column, target: str = "toxic", sample: int = SAMPLE) -> tuple[Linear, LabelModel, Lexicons]:
@@ -221,18 +252,18 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, use: Column, target: str =
     common.configure(docs.sparkSession)
     own = labelled_sample(docs, labels, target, use, sample)
 
-    def gathered(lex: Lexicons) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        """Distinct words, label and votes of the sample's rows."""
+    def gathered(lex: Lexicons) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
+        """Distinct words with counts, label and votes of the sample's rows."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in common.slices(batches, "text"):
-                offs, h = words_of(b.column("text"))
-                packed = [np.unique(h[s:e]).tobytes() for s, e in zip(offs[:-1], offs[1:], strict=True)]
+                packed = [h.tobytes() + np.minimum(c, 255).astype(np.uint8).tobytes() for h, c in levels_of(b.column("text"))]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("label"), pa.array(packed, pa.binary()), pa.array(pattern(votes(b.column("text"), lex)), pa.int64())], names=["doc_id", "label", "words", "votes"])
 
         # repeated rows of an id may be many: the bound holds for what reaches the driver as well
         rows = own.mapInArrow(run, "doc_id long, label double, words binary, votes long").orderBy(F.xxhash64("doc_id"), "doc_id", "words").limit(sample).collect()
-        return [np.frombuffer(r.words, np.uint64) for r in rows], np.array([r.label for r in rows]), unpack(np.array([r.votes for r in rows], np.int64))
+        size = [len(r.words) // 9 for r in rows]
+        return [(np.frombuffer(r.words, np.uint64, n), np.frombuffer(r.words, np.uint8, n, 8 * n)) for r, n in zip(rows, size, strict=True)], np.array([r.label for r in rows]), unpack(np.array([r.votes for r in rows], np.int64))
 
     def count_votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.slices(batches, "text"):
@@ -246,7 +277,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, use: Column, target: str =
     prior = float(np.clip(y.mean() if len(y) else 0.05, 0.001, 0.5))
     model = fit_label_model(unpack(np.array([r.pattern for r in seen], np.int64)), np.array([r.n for r in seen], float), prior)
     odds = model.log_odds(own_votes) + KNOWN * (2 * y - 1) if len(y) else np.zeros(0)
-    return fit_linear(words, 1 / (1 + np.exp(-np.clip(odds, -30, 30)))), model, lex
+    return fit_linear(words, sigmoid(odds)), model, lex
 
 
 def unpack(codes: np.ndarray) -> np.ndarray:
