@@ -11,8 +11,8 @@ The global n-gram order is the order of the n-grams' 64-bit hashes. It is cut in
   order; overlaps are counted in each range separately and summed per pair.
 
 Hot groups. Equal sets collapse to one node before anything else. Of a fragment's group, first only the links to its
-smallest node are verified; after that, only pairs whose ends are still in different components are. Pairs of one
-large group of near copies are never listed.
+smallest node are verified, then those to random nodes of it; after that, only pairs whose ends are still in different
+components are. So the pairs within one large group of near copies are not listed.
 
 Defined cases: a null text counts as empty; an empty set links with nothing; a null doc_id is ignored when the
 smallest id of a component is taken (all null: null); repeated rows are equal sets, hence one component.
@@ -33,7 +33,9 @@ from . import common
 
 RATIO = 1.4
 SLACK = 3
-FRAGMENTS = 8
+FRAGMENTS = 4
+#: Further rounds in which a group's nodes are compared with one random node of it before all pairs still apart are.
+ROUNDS = 2
 BITMAP = 256
 
 SKETCH = "doc_id long, row_text long, n_shingles long, set_id binary, bitmap array<long>, segments array<long>"
@@ -119,7 +121,7 @@ def fragment_sets(docs: DataFrame, words: int) -> DataFrame:
             for x in shingle_sets(b.column("text"), words):
                 if len(x):
                     own = xxhash.xxh3_128_digest(x.tobytes())
-                    ends = np.searchsorted(x >> np.uint64(61), np.arange(FRAGMENTS + 1))
+                    ends = np.searchsorted(x >> np.uint64(62), np.arange(FRAGMENTS + 1))
                     set_ids += [own] * FRAGMENTS
                     parts += range(FRAGMENTS)
                     grams += [x[s:e].view(np.int64) for s, e in zip(ends[:-1], ends[1:], strict=True)]
@@ -192,29 +194,38 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
         x, y = facts.select(F.col("set_id").alias("a"), "n", "bitmap").alias("x"), facts.select(F.col("set_id").alias("b"), "n", "bitmap").alias("y")
         return pairs.join(x, "a").join(y, "b").where(may_link("x", "y", percent)).select("a", "b")
 
-    first = common.cut(close(members.where("set_id != hub").select(F.col("hub").alias("a"), F.col("set_id").alias("b")).distinct()), "pairs")
-    links = common.cut(verified(first, nodes, docs, words, percent), "links")
+    tried = common.cut(close(members.where("set_id != hub").select(F.col("hub").alias("a"), F.col("set_id").alias("b")).distinct()), "pairs")
+    links = common.cut(verified(tried, nodes, docs, words, percent), "links")
     found = common.cut(components(links), "components")
 
-    placed = (
-        members.join(found, members.set_id == found.node, "left")
-        .select("segment", "set_id", F.coalesce("component", "set_id").alias("component"))
-    )
-    mixed = placed.groupBy("segment").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("segment")
+    def still_apart(found: DataFrame) -> DataFrame:
+        """Members of the segments whose nodes are in several components by now."""
+        placed = members.select("segment", "set_id").join(found, F.col("set_id") == F.col("node"), "left").select("segment", "set_id", F.coalesce("component", "set_id").alias("component"))
+        mixed = placed.groupBy("segment").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("segment")
+        return placed.join(mixed, "segment")
+
+    for salt in range(ROUNDS):
+        apart = still_apart(found)
+        order = F.xxhash64("set_id", "segment", F.lit(salt))
+        chosen = apart.groupBy("segment").agg(F.min_by(F.struct("set_id", "component"), order).alias("hub"))
+        pairs = apart.join(chosen, "segment").where("component != hub.component").select(F.least("set_id", "hub.set_id").alias("a"), F.greatest("set_id", "hub.set_id").alias("b")).distinct()
+        fresh = common.cut(close(pairs.join(tried, ["a", "b"], "left_anti")), "pairs")
+        if fresh.isEmpty():
+            continue
+        tried = tried.union(fresh)
+        links = common.cut(links.union(verified(fresh, nodes, docs, words, percent)), "links")
+        found = common.cut(components(links), "components")
+
     band = F.floor(F.log(F.col("n")) / float(-np.log(threshold))).cast("int")
-    rest = common.cut(placed.join(mixed, "segment").join(facts, "set_id").withColumn("band", band), "rest")
+    rest = common.cut(still_apart(found).join(facts, "set_id").withColumn("band", band), "rest")
     x, y = rest.alias("x"), rest.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1))).alias("y")
-    # y's band is x's or the next above, so each unordered pair of different bands meets once
+    # a partner's band is x's own, or y's is the next below: each unordered pair meets at least once
     across = x.join(
         y,
         (F.col("x.segment") == F.col("y.segment")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.component") != F.col("y.component")) & may_link("x", "y", percent),
     ).select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b")).distinct()
-    second = common.cut(across.join(first, ["a", "b"], "left_anti"), "pairs")
-    if second.isEmpty():
-        final = found
-    else:
-        more = verified(second, nodes, docs, words, percent)
-        final = common.cut(components(links.union(more)), "components")
+    last = common.cut(across.join(tried, ["a", "b"], "left_anti"), "pairs")
+    final = found if last.isEmpty() else common.cut(components(links.union(verified(last, nodes, docs, words, percent))), "components")
     label = nodes.join(final, nodes.set_id == final.node, "left").select("set_id", "least_id", F.coalesce("component", "set_id").alias("component"))
     smallest = label.groupBy("component").agg(F.min("least_id").alias("component_id"))
     named = label.join(smallest, "component").select("set_id", "component_id")
