@@ -232,3 +232,16 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     return raw.select("doc_id", "row_text", "n_shingles", "set_id").join(named, "set_id", "left").select(
         "doc_id", "row_text", "n_shingles", "set_id", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )
+
+
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` (all columns) but one of each component: the least doc_id, of equal ids the least text hash, of repeated rows one.
+
+    Empty documents all stay, as they link with nothing; repeated empty rows of one doc_id count as one.
+    """
+    found = jaccard_components(docs, words, percent)
+    group = F.coalesce("component_id", F.lit(common.NULL_ID))
+    best = found.groupBy(F.col("set_id").isNull().alias("bare"), group.alias("group")).agg(F.min(F.struct("doc_id", "row_text")).alias("x")).select(F.col("x.doc_id").alias("__id"), F.col("x.row_text").alias("__row"))
+    own = docs.withColumn("__text", F.xxhash64("text"))
+    kept = own.join(best, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__row")))
+    return kept.dropDuplicates(["__id", "__row"]).select(*(F.col(f"`{c}`") for c in docs.columns))

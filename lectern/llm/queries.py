@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from . import common
 from .chat_prefix import digests, expand
 from .jaccard_join import jaccard_components
+from .line_dedup import line_dedup
 from .media_mpeg import audio_features, store_audio
+from .mixing import mixing_rates
 from .packing import pack
 from .quality_gam import fit_quality, fold, score_quality
 from .simhash import simhash
@@ -63,6 +65,15 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(common.table(spark, sf_dir, "documents"), width=20).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_rates(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(common.table(spark, sf_dir, "documents"), tokenizer_path(), window=2048, end_id=1)
 
@@ -75,6 +86,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_gam": op5_quality_gam,
     "op6_chat_prefix": op6_chat_prefix,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_line_dedup": op8_line_dedup,
+    "op9_mixing": op9_mixing,
     "op10_packing": op10_packing,
 }
 ORACLES: dict[str, str] = {}
