@@ -11,9 +11,9 @@ Plan:
    distinct line has are out of the search; those that several have are set in a bitmap of fixed size, the only thing
    sent to every task. A full bitmap lets more lines through, never fewer.
 2. Distinct lines that may have a partner emit their deletion neighbourhood as hashed keys: themselves (``base``), and
-   themselves without each word. Equal keys meet in one group, which is only aggregated: earliest place, earliest base.
-   A variant's key with the place of the word left out joins changed words; without it, added words. So a group of any
-   size costs its rows, not its pairs.
+   themselves without each word outside a shared half. A variant's key with the place of the word left out joins changed
+   words; without it, added words. Keys of one line only are dropped first; equal keys meet in groups that are only
+   aggregated (earliest place, earliest base), so a group of any size costs its rows, not its pairs.
 3. Of each surviving key the words are compared, not only their hash, before a line goes: the kept text is right even
    if 64-bit hashes collide.
 4. Lines that go are joined back by line hash and place, and texts are put together without them.
@@ -41,8 +41,9 @@ def bitmap_of(hashes: DataFrame, column: str) -> DataFrame:
     return hashes.select(F.floor(slot / _PAGE).cast("int").alias("page"), F.pmod(slot, F.lit(_PAGE)).alias("bit")).groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits"))
 
 
-def with_bitmap(df: DataFrame, hashes: DataFrame, column: str, tested: list[str]) -> DataFrame:
-    """Rows of ``df`` of which one of the ``tested`` hash columns may be in ``hashes.column``; the pages are broadcast, 2 MiB at most."""
+def with_bitmap(df: DataFrame, hashes: DataFrame, column: str, tested: list[str], flags: bool = False) -> DataFrame:
+    """Rows of ``df`` of which one of the ``tested`` hash columns may be in ``hashes.column``; the pages are broadcast, 2 MiB
+    at most. With ``flags`` a boolean stands in each tested column's place."""
     pages = bitmap_of(hashes, column)
     hit, out = F.lit(False), df
     for c in tested:
@@ -51,8 +52,10 @@ def with_bitmap(df: DataFrame, hashes: DataFrame, column: str, tested: list[str]
         out = out.join(own, F.floor(slot / _PAGE).cast("int") == F.col(f"__page_{c}"), "left")
         bit = F.pmod(slot, F.lit(_PAGE)).cast("int")
         byte = F.conv(F.hex(F.substring(f"__bits_{c}", F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("long")
-        hit = hit | (F.coalesce(F.getbit(byte, F.pmod(bit, F.lit(8))), F.lit(0)) == 1)
-    return out.where(hit).select(*df.columns)
+        own_hit = F.coalesce(F.getbit(byte, F.pmod(bit, F.lit(8))), F.lit(0)) == 1
+        hit = hit | own_hit
+        out = out.withColumn(f"__hit_{c}", own_hit)
+    return out.where(hit).select(*((F.col(f"__hit_{c}").alias(c) if flags and c in tested else c) for c in df.columns))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -72,31 +75,48 @@ def with_halves(lines: DataFrame) -> DataFrame:
     return lines.withColumns({f"{side}{k}": F.xxhash64(F.lit(side), F.expr(m), half(m, sign)) for side, sign in (("p", 1), ("s", -1)) for k, m in enumerate(("words", "words - 1"))})
 
 
+def variants_of(lines: DataFrame) -> DataFrame:
+    """h, changed, added: the deletion neighbourhood of lines (h, place of the first, line, words, and which halves are shared).
+
+    Only words outside a shared half are left out. A word's hash holds its place. Of a line without word i, later words
+    stand one place earlier; running xors give the hash of each variant without building it, so a very long line costs its
+    words, not their square. Lines are dealt by h before they are cut into words, so the windows need no further shuffle.
+    """
+    n = F.col("words")
+    m0, m1 = F.floor(n / 2), F.floor((n - 1) / 2)
+    i = F.col("i")
+    use = (F.col("p0") & (i >= m0)) | (F.col("p1") & (i >= m1)) | (F.col("s0") & (i < n - m0)) | (F.col("s1") & (i < n - m1))
+    each = lines.repartition("h").select("h", "words", *HALVES, F.posexplode(F.split("line", " ", -1)).alias("i", "word"))
+    each = each.select("h", "words", "i", use.alias("use"), F.xxhash64("word", "i").alias("here"), F.xxhash64("word", F.col("i") - 1).alias("moved"))
+    line = Window.partitionBy("h")
+    upto = line.orderBy("i")
+    before = F.coalesce(F.bit_xor("here").over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    after = F.bit_xor("moved").over(line).bitwiseXOR(F.bit_xor("moved").over(upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    rest = each.withColumn("rest", before.bitwiseXOR(after)).where("use")
+    return rest.select("h", F.xxhash64("words", "i", "rest").alias("changed"), F.xxhash64(F.col("words") - 1, "rest").alias("added"))
+
+
 def near_repeats(docs: DataFrame) -> DataFrame:
     """line, h of the distinct lines that an earlier line is one word edit away from (not equal to)."""
     halves = with_halves(lines_of(docs)).select("h", F.explode(F.array(*HALVES)).alias("half"))
     shared = common.cut(halves.groupBy("half").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("half"), "halves")
-    some = with_bitmap(with_halves(lines_of(docs)), shared, "half", HALVES)
-    lines = common.cut(some.groupBy("line", "h", "words").agg(F.min(F.struct("doc_id", "place")).alias("first")), "lines")
+    some = with_bitmap(with_halves(lines_of(docs)), shared, "half", HALVES, flags=True)
+    lines = common.cut(some.groupBy("h").agg(F.first("line").alias("line"), F.first("words").alias("words"), *(F.max(c).alias(c) for c in HALVES), F.min(F.struct("doc_id", "place")).alias("first")), "lines")
+    first = lines.select("h", "first")
+    variants = variants_of(lines)
 
-    # A word's hash holds its place. Of a line without word i, later words stand one place earlier; running xors give
-    # the hash of each variant without building it, so a very long line costs its words, not their square.
-    each = lines.select("h", "first", "words", F.posexplode(F.split("line", " ", -1)).alias("i", "word")).withColumns({"here": F.xxhash64("word", "i"), "moved": F.xxhash64("word", F.col("i") - 1)})
-    line = Window.partitionBy("h", "first")
-    upto = line.orderBy("i")
-    before = F.coalesce(F.bit_xor("here").over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    after = F.bit_xor("moved").over(line).bitwiseXOR(F.bit_xor("moved").over(upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    rest = before.bitwiseXOR(after)
-    variants = each.select("h", "first", "words", "i", rest.alias("rest")).select("h", "first", F.xxhash64("words", "i", "rest").alias("changed"), F.xxhash64(F.col("words") - 1, "rest").alias("added"))
     # one word changed: the same rest, the same place left out; all of a group are one edit apart
-    changed = variants.select("changed", "h", "first")
-    groups = changed.groupBy("changed").agg(F.min("first").alias("least"), F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi")
-    by_change = groups.join(changed, "changed").where("least < first").select("h", "least")
+    groups = common.cut(variants.groupBy("changed").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("changed"), "changed")
+    members = common.cut(with_bitmap(variants.select("h", "changed"), groups, "changed", ["changed"]).join(groups, "changed", "left_semi").join(first, "h"), "changed")
+    least = members.groupBy("changed").agg(F.min("first").alias("least"))
+    by_change = members.join(least, "changed").where("least < first").select("h", "least")
     # one word added: a base equals a variant of a longer line; a base is one edit from each, they are from it alone
-    bases = each.groupBy("h", "first", "words").agg(F.bit_xor("here").alias("all")).select(F.xxhash64("words", "all").alias("added"), F.col("h").alias("base"), F.col("first").alias("base_first"))
-    longer = variants.groupBy("added").agg(F.min("first").alias("least"))
-    by_loss = bases.join(longer, "added").where("least < base_first").select(F.col("base").alias("h"), "least")
-    by_gain = variants.join(bases, "added").where("base_first < first").select("h", F.col("base_first").alias("least"))
+    words = F.transform(F.split("line", " ", -1), lambda w, i: F.xxhash64(w, i))
+    whole = F.aggregate(words, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
+    bases = common.cut(lines.select(F.xxhash64("words", whole).alias("added"), F.col("h").alias("base"), F.col("first").alias("base_first")), "bases")
+    longer = common.cut(with_bitmap(variants.select("h", "added"), bases, "added", ["added"]).join(bases.select("added"), "added", "left_semi").join(first, "h").distinct(), "longer")
+    by_loss = longer.groupBy("added").agg(F.min("first").alias("least")).join(bases, "added").where("least < base_first").select(F.col("base").alias("h"), "least")
+    by_gain = longer.join(bases, "added").where("base_first < first").select("h", F.col("base_first").alias("least"))
     found = by_change.union(by_loss).union(by_gain).groupBy("h").agg(F.collect_set("least").alias("near"))
     # verify on the words: some partner among the places found is really within one edit
     rows = lines.join(found, "h").select("h", "line", F.explode("near").alias("other"))
