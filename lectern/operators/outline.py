@@ -240,21 +240,22 @@ def heading_levels(candidates: DataFrame, most: int = 4) -> DataFrame:
 
 def normalize(entries: Column, page_count: Column | None = None, most: int | None = None) -> Column:
     """An outline (array of struct(level, title, page)): titles squeezed and empty ones dropped, pages clamped, a level at
-    most one deeper than the last, the first at 1, repeats in a row dropped."""
-    kind = "array<struct<level:int,title:string,page:int>>"
+    most one deeper than the last, the first at 1, repeats in a row (as given) dropped."""
+    kind = "array<struct<level:int,title:string,page:int,asked:int>>"
 
     def step(acc: Column, e: Column) -> Column:
         title, page = T.squeeze(F.coalesce(e["title"], F.lit(""))), F.greatest(F.coalesce(e["page"], F.lit(1)), F.lit(1))
         page = F.least(page, page_count) if page_count is not None else page
         level = F.greatest(F.coalesce(e["level"], F.lit(1)), F.lit(1))
-        level = F.least(level, F.lit(most)) if most else level
+        level = asked = F.least(level, F.lit(most)) if most else level
         last = F.get(acc, F.size(acc) - 1)
         level = F.least(level, F.coalesce(last["level"], F.lit(0)) + 1)
-        same = F.coalesce((last["level"] == level) & (last["title"] == title) & (last["page"] == page), F.lit(False))
-        new = F.struct(level.cast("int").alias("level"), title.alias("title"), page.cast("int").alias("page"))
+        same = F.coalesce((last["asked"] == asked) & (last["title"] == title) & (last["page"] == page), F.lit(False))
+        new = F.struct(level.cast("int").alias("level"), title.alias("title"), page.cast("int").alias("page"), asked.cast("int").alias("asked"))
         return F.when((title == "") | same, acc).otherwise(F.concat(acc, F.array(new)))
 
-    return F.aggregate(entries, F.array().cast(kind), step)
+    folded = F.aggregate(entries, F.array().cast(kind), step)
+    return F.transform(folded, lambda e: F.struct(e["level"].alias("level"), e["title"].alias("title"), e["page"].alias("page")))
 
 
 def backwards(entries: Column) -> Column:
