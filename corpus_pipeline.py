@@ -56,9 +56,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    docs, cut = common.table(spark, sf_dir, "documents"), common.Cuts(spark)
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = common.cut(docs, f"stage-{k}-{name.replace(' ', '-')}")
+            docs = cut.last(docs, f"stage-{k}-{name.replace(' ', '-')}")
     return docs

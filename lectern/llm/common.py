@@ -34,15 +34,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back: lineage ends there and survives lost executors.
+class Cuts:
+    """Tables written to the shared checkpoint folder and read back: lineage ends there and survives lost executors.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests) a folder is made.
+    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests) a folder is made. An operator
+    cuts what it returns last, then calls ``drop()``: all of its other tables are deleted.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def last(self, df: DataFrame, name: str) -> DataFrame:
+        """Cut ``df`` and delete every table cut before."""
+        before, self.paths = self.paths, []
+        out = self(df, name)
+        self.paths, mine = before, self.paths
+        self.drop()
+        self.paths = mine
+        return out
+
+    def drop(self) -> None:
+        for path in self.paths:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        self.paths = []
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -139,10 +139,11 @@ def may_link(a: str, b: str, percent: int) -> F.Column:
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Of distinct pairs (a, b), those that link. Partial overlaps are counted per fragment and summed per pair."""
+    cut = common.Cuts(pairs.sparkSession)
     needed = pairs.select(F.col("a").alias("set_id")).union(pairs.select(F.col("b"))).distinct()
-    ids = common.cut(nodes.join(needed, "set_id", "left_semi").select("rep", "row_text"), "needed")
+    ids = cut(nodes.join(needed, "set_id", "left_semi").select("rep", "row_text"), "needed")
     wanted = docs.select("doc_id", "text", F.xxhash64("text").alias("row_text")).join(ids.withColumnRenamed("rep", "doc_id"), ["doc_id", "row_text"], "left_semi")
-    sets = common.cut(fragment_sets(wanted, words).dropDuplicates(["set_id", "fragment"]), "fragments")
+    sets = cut(fragment_sets(wanted, words).dropDuplicates(["set_id", "fragment"]), "fragments")
     left = sets.select(F.col("set_id").alias("a"), "fragment", F.col("grams").alias("grams_a"))
     right = sets.select(F.col("set_id").alias("b"), "fragment", F.col("grams").alias("grams_b"))
     overlap = (
@@ -151,12 +152,13 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, pe
     )
     size = nodes.select("set_id", "n")
     both = overlap.join(size.select(F.col("set_id").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("set_id").alias("b"), F.col("n").alias("nb")), "b")
-    return both.where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
+    return cut.last(both.where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b"), "links")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for each end of (a, b): alternating large-star and small-star until nothing changes."""
-    e = common.cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
+    cut = common.Cuts(edges.sparkSession)
+    e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
     before = None
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -164,39 +166,40 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
-        e = common.cut(small.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        e = cut.last(small.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == before:
             break
         before = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v"), F.col("v")).distinct())
+    return cut.last(e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v"), F.col("v")).distinct()), "components")
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, set_id, component_id of every row of ``docs`` (doc_id, text; other columns are ignored)."""
     common.configure(docs.sparkSession)
+    cut = common.Cuts(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     threshold = percent / 100
     withtext = docs.withColumn("row_text", F.xxhash64("text"))
-    raw = common.cut(sketch(withtext, words, threshold), "sketch")
+    raw = cut(sketch(withtext, words, threshold), "sketch")
     own = F.struct("doc_id", "row_text", "n_shingles", "bitmap", "segments")
-    nodes = common.cut(
+    nodes = cut(
         raw.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min(own).alias("x"), F.min("doc_id").alias("least_id"))
         .select("set_id", F.col("x.doc_id").alias("rep"), F.col("x.row_text").alias("row_text"), "least_id", F.col("x.n_shingles").alias("n"), F.col("x.bitmap").alias("bitmap"), F.col("x.segments").alias("segments")),
         "nodes",
     )
     rows = nodes.select("set_id", F.explode("segments").alias("segment")).repartition("segment")
     groups = rows.groupBy("segment").agg(F.min("set_id").alias("hub"), F.max("set_id").alias("last")).where("hub < last").drop("last")
-    members = common.cut(rows.join(groups, "segment"), "members")
+    members = cut(rows.join(groups, "segment"), "members")
     facts = nodes.select("set_id", "n", "bitmap")
 
     def close(pairs: DataFrame) -> DataFrame:
         x, y = facts.select(F.col("set_id").alias("a"), "n", "bitmap").alias("x"), facts.select(F.col("set_id").alias("b"), "n", "bitmap").alias("y")
         return pairs.join(x, "a").join(y, "b").where(may_link("x", "y", percent)).select("a", "b")
 
-    tried = common.cut(close(members.where("set_id != hub").select(F.col("hub").alias("a"), F.col("set_id").alias("b")).distinct()), "pairs")
-    links = common.cut(verified(tried, nodes, docs, words, percent), "links")
-    found = common.cut(components(links), "components")
+    tried = cut(close(members.where("set_id != hub").select(F.col("hub").alias("a"), F.col("set_id").alias("b")).distinct()), "pairs")
+    links = verified(tried, nodes, docs, words, percent)
+    found = components(links)
 
     def still_apart(found: DataFrame) -> DataFrame:
         """Members of the segments whose nodes are in several components by now."""
@@ -209,39 +212,40 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
         order = F.xxhash64("set_id", "segment", F.lit(salt))
         chosen = apart.groupBy("segment").agg(F.min_by(F.struct("set_id", "component"), order).alias("hub"))
         pairs = apart.join(chosen, "segment").where("component != hub.component").select(F.least("set_id", "hub.set_id").alias("a"), F.greatest("set_id", "hub.set_id").alias("b")).distinct()
-        fresh = common.cut(close(pairs.join(tried, ["a", "b"], "left_anti")), "pairs")
+        fresh = cut(close(pairs.join(tried, ["a", "b"], "left_anti")), "pairs")
         if fresh.isEmpty():
             continue
         tried = tried.union(fresh)
-        links = common.cut(links.union(verified(fresh, nodes, docs, words, percent)), "links")
-        found = common.cut(components(links), "components")
+        links = cut(links.union(verified(fresh, nodes, docs, words, percent)), "links")
+        found = components(links)
 
     band = F.floor(F.log(F.col("n")) / float(-np.log(threshold))).cast("int")
-    rest = common.cut(still_apart(found).join(facts, "set_id").withColumn("band", band), "rest")
+    rest = cut(still_apart(found).join(facts, "set_id").withColumn("band", band), "rest")
     x, y = rest.alias("x"), rest.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1))).alias("y")
     # a partner's band is x's own, or y's is the next below: each unordered pair meets at least once
     across = x.join(
         y,
         (F.col("x.segment") == F.col("y.segment")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.component") != F.col("y.component")) & may_link("x", "y", percent),
     ).select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b")).distinct()
-    last = common.cut(across.join(tried, ["a", "b"], "left_anti"), "pairs")
-    final = found if last.isEmpty() else common.cut(components(links.union(verified(last, nodes, docs, words, percent))), "components")
+    last = cut(across.join(tried, ["a", "b"], "left_anti"), "pairs")
+    final = found if last.isEmpty() else components(links.union(verified(last, nodes, docs, words, percent)))
     label = nodes.join(final, nodes.set_id == final.node, "left").select("set_id", "least_id", F.coalesce("component", "set_id").alias("component"))
     smallest = label.groupBy("component").agg(F.min("least_id").alias("component_id"))
     named = label.join(smallest, "component").select("set_id", "component_id")
-    return raw.select("doc_id", "row_text", "n_shingles", "set_id").join(named, "set_id", "left").select(
+    out = raw.select("doc_id", "row_text", "n_shingles", "set_id").join(named, "set_id", "left").select(
         "doc_id", "row_text", "n_shingles", "set_id", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )
+    return cut.last(out, "components")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` (all columns) but one of each component: the least doc_id, of equal ids the least text hash, of repeated rows one.
+    """The rows of ``docs`` (all columns) but one of each component: the least doc_id (null last), of equal ids the least text hash, of repeated rows one.
 
     Empty documents all stay, as they link with nothing; repeated empty rows of one doc_id count as one.
     """
     found = jaccard_components(docs, words, percent)
     group = F.coalesce("component_id", F.lit(common.NULL_ID))
-    best = found.groupBy(F.col("set_id").isNull().alias("bare"), group.alias("group")).agg(F.min(F.struct("doc_id", "row_text")).alias("x")).select(F.col("x.doc_id").alias("__id"), F.col("x.row_text").alias("__row"))
+    best = found.groupBy(F.col("set_id").isNull().alias("bare"), group.alias("group")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_text")).alias("x")).select(F.col("x.doc_id").alias("__id"), F.col("x.row_text").alias("__row"))
     own = docs.withColumn("__text", F.xxhash64("text"))
     kept = own.join(best, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__row")))
     return kept.dropDuplicates(["__id", "__row"]).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -98,30 +98,32 @@ def variants_of(lines: DataFrame) -> DataFrame:
 
 def near_repeats(docs: DataFrame) -> DataFrame:
     """line, h of the distinct lines that an earlier line is one word edit away from (not equal to)."""
+    cut = common.Cuts(docs.sparkSession)
     halves = with_halves(lines_of(docs)).select("h", F.explode(F.array(*HALVES)).alias("half"))
-    shared = common.cut(halves.groupBy("half").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("half"), "halves")
+    shared = cut(halves.groupBy("half").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("half"), "halves")
     some = with_bitmap(with_halves(lines_of(docs)), shared, "half", HALVES, flags=True)
-    lines = common.cut(some.groupBy("h").agg(F.first("line").alias("line"), F.first("words").alias("words"), *(F.max(c).alias(c) for c in HALVES), F.min(F.struct("doc_id", "place")).alias("first")), "lines")
+    lines = cut(some.groupBy("h").agg(F.first("line").alias("line"), F.first("words").alias("words"), *(F.max(c).alias(c) for c in HALVES), F.min(F.struct("doc_id", "place")).alias("first")), "lines")
     first = lines.select("h", "first")
     variants = variants_of(lines)
 
     # one word changed: the same rest, the same place left out; all of a group are one edit apart
-    groups = common.cut(variants.groupBy("changed").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("changed"), "changed")
-    members = common.cut(with_bitmap(variants.select("h", "changed"), groups, "changed", ["changed"]).join(groups, "changed", "left_semi").join(first, "h"), "changed")
+    groups = cut(variants.groupBy("changed").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("changed"), "changed")
+    members = cut(with_bitmap(variants.select("h", "changed"), groups, "changed", ["changed"]).join(groups, "changed", "left_semi").join(first, "h"), "changed")
     least = members.groupBy("changed").agg(F.min("first").alias("least"))
     by_change = members.join(least, "changed").where("least < first").select("h", "least")
     # one word added: a base equals a variant of a longer line; a base is one edit from each, they are from it alone
     words = F.transform(F.split("line", " ", -1), lambda w, i: F.xxhash64(w, i))
     whole = F.aggregate(words, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
-    bases = common.cut(lines.select(F.xxhash64("words", whole).alias("added"), F.col("h").alias("base"), F.col("first").alias("base_first")), "bases")
-    longer = common.cut(with_bitmap(variants.select("h", "added"), bases, "added", ["added"]).join(bases.select("added"), "added", "left_semi").join(first, "h").distinct(), "longer")
+    bases = cut(lines.select(F.xxhash64("words", whole).alias("added"), F.col("h").alias("base"), F.col("first").alias("base_first")), "bases")
+    longer = cut(with_bitmap(variants.select("h", "added"), bases, "added", ["added"]).join(bases.select("added"), "added", "left_semi").join(first, "h").distinct(), "longer")
     by_loss = longer.groupBy("added").agg(F.min("first").alias("least")).join(bases, "added").where("least < base_first").select(F.col("base").alias("h"), "least")
     by_gain = longer.join(bases, "added").where("base_first < first").select("h", F.col("base_first").alias("least"))
     found = by_change.union(by_loss).union(by_gain).groupBy("h").agg(F.collect_set("least").alias("near"))
     # verify on the words: some partner among the places found is really within one edit
     rows = lines.join(found, "h").select("h", "line", F.explode("near").alias("other"))
     partner = lines.select(F.col("first").alias("other"), F.col("line").alias("earlier"))
-    return rows.join(partner, "other").where(one_edit(F.split("line", " ", -1), F.split("earlier", " ", -1))).select("h", "line").distinct()
+    near = rows.join(partner, "other").where(one_edit(F.split("line", " ", -1), F.split("earlier", " ", -1))).select("h", "line").distinct()
+    return cut.last(near, "near")
 
 
 def one_edit(a: Column, b: Column) -> Column:
@@ -134,15 +136,16 @@ def one_edit(a: Column, b: Column) -> Column:
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """doc_id, row, places: the places of the lines that go, for each row of ``docs`` that loses some."""
-    near = common.cut(near_repeats(docs), "near")
+    cut = common.Cuts(docs.sparkSession)
+    near = near_repeats(docs)
     lines = lines_of(docs).withColumn("salt", F.hash("line"))
     at = F.struct("doc_id", "place")
     first = lines.groupBy("h", "salt").agg(F.min(at).alias("first"), F.max(at).alias("last"))
     gone = near.select("h", F.hash("line").alias("salt"), F.lit(True).alias("near"))
-    judged = common.cut(first.join(gone, ["h", "salt"], "left").where("first < last OR near").select("h", "salt", "first", F.coalesce("near", F.lit(False)).alias("near")), "judged")
+    judged = cut(first.join(gone, ["h", "salt"], "left").where("first < last OR near").select("h", "salt", "first", F.coalesce("near", F.lit(False)).alias("near")), "judged")
     some = with_bitmap(lines.drop("line"), judged, "h", ["h"])
     out = some.join(judged, ["h", "salt"]).where(F.col("near") | (F.col("first") < at)).select("doc_id", "row", "place")
-    return out.groupBy("doc_id", "row").agg(F.collect_set("place").alias("places"))
+    return cut.last(out.groupBy("doc_id", "row").agg(F.collect_set("place").alias("places")), "removed")
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:

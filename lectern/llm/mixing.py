@@ -173,7 +173,9 @@ def rates_of(docs: DataFrame, model: DomainModel, rates: Rates) -> DataFrame:
 def mix(docs: DataFrame, labels: DataFrame, domain: str = "lang", shares: dict[str, float] | None = None, least: float = 0.0, grow: bool = False) -> DataFrame:
     """Rows of ``docs``, each as often as its rate says (all columns, copies are equal)."""
     model = fit_domains(docs, labels, domain)
-    rates = fit_rates(common.cut(members(docs, model), "members"), model, shares, least, grow)
+    cut = common.Cuts(docs.sparkSession)
+    rates = fit_rates(cut(members(docs, model), "members"), model, shares, least, grow)
+    cut.drop()
     rated = rates_of(docs, model, rates).withColumn("__n", copies(F.col("__rate"), F.col("doc_id")))
     return rated.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__n"))).where("__n > 0").select(*(F.col(f"`{c}`") for c in docs.columns))
 
@@ -181,7 +183,7 @@ def mix(docs: DataFrame, labels: DataFrame, domain: str = "lang", shares: dict[s
 def mixing_rates(docs: DataFrame, labels: DataFrame, domain: str = "lang", shares: dict[str, float] | None = None, least: float = 0.0) -> DataFrame:
     """doc_id, n_tokens, domain (most probable), probability, rate, copies of every row of ``docs``."""
     model = fit_domains(docs, labels, domain)
-    rows = common.cut(members(docs, model), "members")
+    rows = common.Cuts(docs.sparkSession)(members(docs, model), "members")
     rates = fit_rates(rows, model, shares, least)
     names = F.array(*(F.lit(n) for n in model.domains))
 

@@ -75,7 +75,8 @@ def unpack_places(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     total = np.cumsum(np.frombuffer(raw, "<u4", n, 8 + 16 * d).astype(np.int64))
     ends = np.cumsum(runs)
     before = np.r_[0, total[ends[:-1] - 1]] if d else np.zeros(0, np.int64)
-    return np.repeat(doc, runs), np.repeat(crc, runs), total - np.repeat(before, runs)
+    # repeated rows of a document are one run, in which starts begin again: differences count modulo 2**32
+    return np.repeat(doc, runs), np.repeat(crc, runs), (total - np.repeat(before, runs)) & 0xFFFFFFFF
 
 
 def window_places(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
