@@ -16,6 +16,7 @@ from .mixing import mixing_rates
 from .packing import pack
 from .quality_gam import fit_quality, fold, score_quality
 from .simhash import simhash
+from .sql import ORACLES
 from .substring_dedup import substring_dedup
 from .toxicity import fit_toxicity, score_toxicity
 
@@ -78,6 +79,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(common.table(spark, sf_dir, "documents"), tokenizer_path(), window=2048, end_id=1)
 
 
+__all__ = ["ORACLES", "QUERIES"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_mpeg_audio": op2_mpeg_audio,
@@ -90,4 +93,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_packing": op10_packing,
 }
-ORACLES: dict[str, str] = {}
