@@ -207,8 +207,10 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
         mixed = placed.groupBy("segment").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("segment")
         return placed.join(mixed, "segment")
 
+    apart = cut(still_apart(found), "apart")
     for salt in range(ROUNDS):
-        apart = still_apart(found)
+        if apart.isEmpty():
+            break
         order = F.xxhash64("set_id", "segment", F.lit(salt))
         chosen = apart.groupBy("segment").agg(F.min_by(F.struct("set_id", "component"), order).alias("hub"))
         pairs = apart.join(chosen, "segment").where("component != hub.component").select(F.least("set_id", "hub.set_id").alias("a"), F.greatest("set_id", "hub.set_id").alias("b")).distinct()
@@ -218,18 +220,21 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
         tried = tried.union(fresh)
         links = cut(links.union(verified(fresh, nodes, docs, words, percent)), "links")
         found = components(links)
-
-    band = F.floor(F.log(F.col("n")) / float(-np.log(threshold))).cast("int")
-    rest = cut(still_apart(found).join(facts, "set_id").withColumn("band", band), "rest")
-    x, y = rest.alias("x"), rest.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1))).alias("y")
-    # a partner's band is x's own, or y's is the next below: each unordered pair meets at least once
-    across = x.join(
-        y,
-        (F.col("x.segment") == F.col("y.segment")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.component") != F.col("y.component")) & may_link("x", "y", percent),
-    ).select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b")).distinct()
-    last = cut(across.join(tried, ["a", "b"], "left_anti"), "pairs")
-    final = found if last.isEmpty() else components(links.union(verified(last, nodes, docs, words, percent)))
-    label = nodes.join(final, nodes.set_id == final.node, "left").select("set_id", "least_id", F.coalesce("component", "set_id").alias("component"))
+        apart = cut(still_apart(found), "apart")
+
+    if not apart.isEmpty():
+        band = F.floor(F.log(F.col("n")) / float(-np.log(threshold))).cast("int")
+        rest = cut(apart.join(facts, "set_id").withColumn("band", band), "rest")
+        x, y = rest.alias("x"), rest.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1))).alias("y")
+        # a partner's band is x's own, or y's is the next below: each unordered pair meets at least once
+        across = x.join(
+            y,
+            (F.col("x.segment") == F.col("y.segment")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.component") != F.col("y.component")) & may_link("x", "y", percent),
+        ).select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b")).distinct()
+        last = cut(across.join(tried, ["a", "b"], "left_anti"), "pairs")
+        if not last.isEmpty():
+            found = components(links.union(verified(last, nodes, docs, words, percent)))
+    label = nodes.join(found, nodes.set_id == found.node, "left").select("set_id", "least_id", F.coalesce("component", "set_id").alias("component"))
     smallest = label.groupBy("component").agg(F.min("least_id").alias("component_id"))
     named = label.join(smallest, "component").select("set_id", "component_id")
     out = raw.select("doc_id", "row_text", "n_shingles", "set_id").join(named, "set_id", "left").select(
