@@ -15,7 +15,7 @@ from .media_mpeg import audio_features, store_audio
 from .mixing import mixing_rates
 from .packing import pack
 from .quality_gam import fit_quality, fold, score_quality
-from .simhash import simhash
+from .simhash import RADIUS, simhash, with_neighbours
 from .sql import ORACLES
 from .substring_dedup import substring_dedup
 from .toxicity import fit_toxicity, score_toxicity
@@ -40,7 +40,8 @@ def op2_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash(common.table(spark, sf_dir, "documents"))
+    # searches take the rows whose id is divisible by 20 as queries, against all rows
+    return with_neighbours(simhash(common.table(spark, sf_dir, "documents")), F.col("doc_id") % 20 == 0, RADIUS)
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

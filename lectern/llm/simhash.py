@@ -14,13 +14,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -28,6 +27,7 @@ from . import common
 BITS = 128
 LONGEST = 12
 EXTRA = 2
+RADIUS = 3
 RANGE_BYTES = 8 << 20
 
 
@@ -113,30 +113,44 @@ def simhash(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def blocks(radius: int) -> list[tuple[int, int]]:
-    """(first bit, bits) of each of radius + EXTRA blocks."""
+def tables(radius: int) -> list[tuple[int, int]]:
+    """Masks (high and low 64 bits, as signed numbers) of each choice of EXTRA of the radius + EXTRA blocks of bits."""
     n = radius + EXTRA
     edge = [BITS * i // n for i in range(n + 1)]
-    return [(a, b - a) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+    out = []
+    for chosen in combinations(range(n), EXTRA):
+        mask = sum(((1 << (edge[b + 1] - edge[b])) - 1) << (BITS - edge[b + 1]) for b in chosen)
+        high, low = mask >> 64, mask & common.MASK
+        out.append(tuple(x - (1 << 64) if x >> 63 else x for x in (high, low)))
+    return out
 
 
 def within_radius(queries: DataFrame, prints: DataFrame, radius: int) -> DataFrame:
     """query, found, distance: for each distinct ``fingerprint`` (hex) of ``queries``, all distinct ones of ``prints`` within the radius.
 
-    Equal fingerprints count once on either side. A pair is reported by the first table that holds it only.
+    Equal fingerprints count once on either side; a pair comes from the first table that holds it only.
     """
-    tables = list(combinations(blocks(radius), EXTRA))
-
-    def bits(c: F.Column) -> F.Column:  # the fingerprint as 0s and 1s
-        return F.concat(*(F.lpad(F.conv(F.substring(c, i + 1, 8), 16, 2), 32, "0") for i in range(0, BITS // 4, 8)))
+    masks = tables(radius)
 
     def keyed(df: DataFrame, name: str) -> DataFrame:
-        own = df.select(F.col("fingerprint").alias(name)).where(F.col(name).isNotNull()).distinct().withColumn(f"{name}_bits", bits(F.col(name)))
-        keys = [F.struct(F.lit(k).alias("table"), F.concat_ws("|", *(F.substring(f"{name}_bits", a + 1, n) for a, n in t)).alias("key")) for k, t in enumerate(tables)]
-        return own.withColumn("slot", F.explode(F.array(*keys))).select("slot", name, f"{name}_bits")
-
-    q, p = keyed(queries, "query"), keyed(prints, "found")
-    distance = reduce(lambda x, y: x + y, [F.bit_count(F.conv(F.substring("query", i + 1, 8), 16, 10).cast("long").bitwiseXOR(F.conv(F.substring("found", i + 1, 8), 16, 10).cast("long"))) for i in range(0, BITS // 4, 8)])
-    same = [reduce(lambda x, y: x & y, [F.substring("query_bits", a + 1, n) == F.substring("found_bits", a + 1, n) for a, n in t]) for t in tables]
-    first = F.array_position(F.array(*same), True).cast("int") - 1
-    return q.join(p, "slot").where((distance <= radius) & (first == F.col("slot.table"))).select("query", "found", distance.cast("int").alias("distance"))
+        own = df.select(F.col("fingerprint").alias(name)).where(F.col(name).isNotNull()).distinct()
+        own = own.withColumns({f"{name}_{part}": F.conv(F.substring(name, at, 16), 16, -10).cast("long") for part, at in (("high", 1), ("low", 17))})
+        keys = F.array(*(F.xxhash64(F.lit(k), F.col(f"{name}_high").bitwiseAND(F.lit(h)), F.col(f"{name}_low").bitwiseAND(F.lit(low))) for k, (h, low) in enumerate(masks)))
+        return own.select("*", F.posexplode(keys).alias(f"{name}_table", "key"))
+
+    high, low = F.col("query_high").bitwiseXOR(F.col("found_high")), F.col("query_low").bitwiseXOR(F.col("found_low"))
+    distance = F.bit_count(high) + F.bit_count(low)
+    first = F.array_position(F.array(*((high.bitwiseAND(F.lit(h)) == 0) & (low.bitwiseAND(F.lit(x)) == 0) for h, x in masks)), True) - 1
+    both = keyed(queries, "query").join(keyed(prints, "found"), "key")
+    return both.where((F.col("query_table") == F.col("found_table")) & (distance <= radius) & (first == F.col("query_table"))).select("query", "found", distance.cast("int").alias("distance"))
+
+
+def with_neighbours(prints: DataFrame, is_query: Column, radius: int) -> DataFrame:
+    """All columns of ``prints`` and n_within: how many other rows' fingerprints lie within the radius of a query row's; null for others."""
+    cut = common.Cuts(prints.sparkSession)
+    rows = cut(prints, "prints")
+    size = rows.groupBy("fingerprint").agg(F.count("*").alias("n"))
+    found = within_radius(rows.where(is_query), rows, radius)
+    near = found.join(size.withColumnRenamed("fingerprint", "found"), "found").groupBy("query").agg((F.sum("n") - 1).alias("n_within"))
+    out = rows.join(near, rows.fingerprint == near["query"], "left")
+    return out.select(*rows.columns, F.when(is_query, F.col("n_within")).alias("n_within"))

@@ -220,7 +220,11 @@ def test_simhash(spark):
         assert got[i].near_next == simhash.likeness(prints[:1], prints[2:])[0]
     assert simhash.simhash(empty(spark)).count() == 0
     assert simhash.simhash(table(spark, [(1, "a b c d e f")])).first().near_next == 1.0
-    assert simhash.simhash(table(spark, hard_rows())).count() == len(hard_rows())
+    every = simhash.with_neighbours(simhash.simhash(table(spark, hard_rows())), F.col("doc_id") % 2 == 0, 3).collect()
+    assert len(every) == len(hard_rows())
+    for r in every:
+        near = [x for x in every if (int(x.fingerprint, 16) ^ int(r.fingerprint, 16)).bit_count() <= 3]
+        assert r.n_within == (len(near) - 1 if r.doc_id is not None and r.doc_id % 2 == 0 else None)
 
 
 def test_within_radius(spark):
