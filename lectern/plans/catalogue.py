@@ -211,9 +211,9 @@ def annotations_html(v: Views) -> DataFrame:
     return analyze.annotations_html(v.notes)
 
 
-@query("items", "select a.key as item_key, b.key as related_key, b.title from items a join items b on b.key = concat('D', lpad(cast(a.scan_order * 2 as varchar), 7, '0')) where a.scan_order % 3 = 0")
+@query("items", "select a.key as item_key, b.key as related_key, b.title from items a join items b on b.key = concat('D', lpad(cast(a.scan_order * 2 as varchar), 7, '0'))")
 def related_items(v: Views) -> DataFrame:
-    rel = v.items.where("scan_order % 3 = 0").select(F.col("key").alias("item_key"), F.concat(F.lit("D"), F.lpad((F.col("scan_order") * 2).cast("string"), 7, "0")).alias("related_key"))
+    rel = v.items.select(F.col("key").alias("item_key"), F.concat(F.lit("D"), F.lpad((F.col("scan_order") * 2).cast("string"), 7, "0")).alias("related_key"))
     return analyze.related(v.items, rel)
 
 
@@ -276,9 +276,9 @@ def shrink_targets(v: Views) -> DataFrame:
     return storage.shrink_targets(v.attachments, below=4 * MB25).select("key", "size")
 
 
-@query("attachments", "select distinct key from attachments where content_type = 'application/pdf' and has_file and not deleted and not linked and (parent_key in (select concat('O', lpad(cast(o_orderkey as varchar), 8, '0')) from orders where o_orderkey % 10 = 0))")
+@query("attachments", "select distinct key from attachments where content_type = 'application/pdf' and has_file and not deleted and not linked and (parent_key in (select concat('O', lpad(cast(o_orderkey as varchar), 8, '0')) from orders where o_orderpriority = '1-URGENT'))")
 def shrink_targets_by_key(v: Views) -> DataFrame:
-    keys = v.table("orders").where("o_orderkey % 10 = 0").select(F.concat(F.lit("O"), F.lpad(F.col("o_orderkey").cast("string"), 8, "0")).alias("key"))
+    keys = v.table("orders").where("o_orderpriority = '1-URGENT'").select(F.concat(F.lit("O"), F.lpad(F.col("o_orderkey").cast("string"), 8, "0")).alias("key"))
     return storage.shrink_targets(v.attachments, keys=keys).select("key")
 
 
@@ -366,11 +366,11 @@ def merge_remap_tags(v: Views) -> DataFrame:
     return dedupe.remap_children(v.item_tags, dedupe.merge_plan(v.items).where("confident"))
 
 
-@query("items", f""", p as (select scan_order as probe_id, {NORM.format('title')} as p, lower(last_name) as nm, list_slice(list_filter(string_split({NORM.format('title')}, ' '), lambda w: length(w) > 2), 1, 4) as words from items where scan_order % 20 = 0),
+@query("items", f""", p as (select scan_order as probe_id, {NORM.format('title')} as p, lower(last_name) as nm, list_slice(list_filter(string_split({NORM.format('title')}, ' '), lambda w: length(w) > 2), 1, 4) as words from items),
   i as (select key, {NORM.format('title')} as t, lower(last_name) as nm from items)
   select probe_id, key, round({SIM.format('p', 't')}, 6) as similarity from p join i on list_contains(string_split(t, ' '), words[1]) where len(list_filter(words, lambda w: not contains(t, w))) = 0 and {SIM.format('p', 't')} >= 0.9 and (p.nm = '' or p.nm = i.nm)""")
 def duplicate_probe(v: Views) -> DataFrame:
-    return dedupe.duplicate_probe(v.items, v.items.where("scan_order % 20 = 0").select(F.col("scan_order").alias("probe_id"), "title", "last_name"))
+    return dedupe.duplicate_probe(v.items, v.items.select(F.col("scan_order").alias("probe_id"), "title", "last_name"))
 
 
 # ---- tags
@@ -410,10 +410,10 @@ def tag_rename(v: Views) -> DataFrame:
     return tags.rename_tag(v.item_tags, "en", "English")
 
 
-@query("items item_tags", "select distinct item_key, tag from item_tags where not (tag = 'en' and cast(substr(item_key, 2) as int) < 50) union select key, 'read' from items where scan_order < 30")
+@query("items item_tags", "select distinct item_key, tag from item_tags where not (tag = 'en' and item_key in (select key from items where type = 'book')) union select key, 'read' from items where type = 'thesis'")
 def tag_add_remove(v: Views) -> DataFrame:
-    keys = v.items.where("scan_order < 50").select("key")
-    added = tags.add_tag(v.item_tags, v.items, v.items.where("scan_order < 30").select("key").union(v.spark.sql("select 'NOSUCH' as key")), "read")
+    keys = v.items.where("type = 'book'").select("key")
+    added = tags.add_tag(v.item_tags, v.items, v.items.where("type = 'thesis'").select("key").union(v.spark.sql("select 'NOSUCH' as key")), "read")
     return tags.remove_tag(added, keys, "en")
 
 
@@ -454,9 +454,9 @@ def undo_roundtrip(v: Views) -> DataFrame:
     return edits.undo(after, log, "op1").select("key", "title", "date", "doi")
 
 
-@query("items item_collections", "select distinct item_key, collection_key from item_collections union select key, 'REG00002' from items where scan_order % 9 = 0")
+@query("items item_collections", "select distinct item_key, collection_key from item_collections union select key, 'REG00002' from items where language = 'de'")
 def move_items(v: Views) -> DataFrame:
-    return edits.move(v.item_collections, v.items, v.collections, v.items.where("scan_order % 9 = 0").select("key"), "REG00002")
+    return edits.move(v.item_collections, v.items, v.collections, v.items.where("language = 'de'").select("key"), "REG00002")
 
 
 @query("parents attachments", "select distinct concat('O', lpad(cast(o_orderkey * 2 as varchar), 8, '0')) as key, case when concat('O', lpad(cast(o_orderkey * 2 as varchar), 8, '0')) not in (select key from parents) then 'not-found' when concat('O', lpad(cast(o_orderkey * 2 as varchar), 8, '0')) in (select parent_key from attachments where content_type = 'application/pdf' and not deleted and parent_key is not null) then 'has-pdf' when o_orderkey % 3 = 0 then 'attached' when o_orderkey % 3 = 1 then 'error' else 'none' end as status from orders")
@@ -502,8 +502,8 @@ def roman_values(v: Views) -> DataFrame:
     return n.withColumn("back", T.roman_value("roman").cast("long"))
 
 
-# contents entries of documents: every third line, printed page = page - doc_id % 5 where known
-_ENTRIES = "select doc_id, ord, cast(page - doc_id % 5 as int) as printed, (ord % 6 = 3) as roman, page, text as title from {pdf_lines} where ord % 3 = 0 and page - doc_id % 5 > 0"
+# contents entries of documents: their lines, printed page = page - doc_id % 5 where known
+_ENTRIES = "select doc_id, ord, cast(page - doc_id % 5 as int) as printed, (ord % 6 = 3) as roman, page, text as title from {pdf_lines} where page - doc_id % 5 > 0"
 
 
 def _entries(v: Views) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -514,7 +514,7 @@ def _entries(v: Views) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     return e.select("doc_id", "ord", "printed", "roman"), labels, folio, count
 
 
-_EV = """e as (select doc_id, ord, cast(page - doc_id % 5 as int) as printed, (ord % 6 = 3) as roman, page from pdf_lines where ord % 3 = 0 and page - doc_id % 5 > 0),
+_EV = """e as (select doc_id, ord, cast(page - doc_id % 5 as int) as printed, (ord % 6 = 3) as roman, page from pdf_lines where page - doc_id % 5 > 0),
   lab as (select doc_id, printed, min(page) as page from e where ord % 4 = 0 and not roman group by all), fol as (select doc_id, printed, min(page) as page from e where ord % 12 = 3 group by all), cnt as (select doc_id, max(page) as page_count from pdf_lines group by doc_id),
   f as (select e.doc_id, e.ord, e.printed, e.roman, case when not e.roman then lab.page end as by_label, case when e.roman then fol.page end as by_folio from e left join lab on e.doc_id = lab.doc_id and e.printed = lab.printed left join fol on e.doc_id = fol.doc_id and e.printed = fol.printed),
   vote as (select doc_id, delta from (select doc_id, delta, row_number() over (partition by doc_id order by n desc, first) as k from (select doc_id, by_label - printed as delta, count(*) as n, min(ord) as first from f where by_label is not null and not roman group by all)) where k = 1)"""
