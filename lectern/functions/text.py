@@ -165,3 +165,28 @@ def numbering_depth(c: Column | str) -> Column:
     """Depth of a leading section number: ``3.1.2. T`` is 3, no number 0."""
     number = F.regexp_extract(col(c), r"^\s*(\d{1,3}(?:\.\d{1,3})*)\.?\s", 1)
     return F.when(number == "", 0).otherwise(F.size(F.split(number, r"\.")))
+
+
+#: Verbs of scripts that change a library. Fixed values.
+WRITE_VERBS = ["saveTx", "eraseTx", "save", "erase", "addTag", "removeTag", "setField", "setTags", "setNote", "addToCollection", "removeFromCollection", "trash"]
+
+
+def writes(c: Column | str) -> Column:
+    """Whether a script's text calls something that changes the library."""
+    return F.coalesce(col(c), F.lit("")).rlike(r"\.(?:" + "|".join(WRITE_VERBS) + r")\s*\(")
+
+
+def is_loopback(c: Column | str) -> Column:
+    """Whether a base URL's host is this machine."""
+    host = F.try_parse_url(col(c), F.lit("HOST"))
+    return F.coalesce(F.lower(host).isin("localhost", "127.0.0.1", "[::1]", "::1"), F.lit(False))
+
+
+def is_page_number(c: Column | str) -> Column:
+    """A line that is nothing but an arabic or roman page number."""
+    return F.trim(col(c)).rlike(r"^(?:\d{1,4}|(?i:[ivxlcdm]{1,15}))$")
+
+
+def join_wrapped(head: Column, tail: Column) -> Column:
+    """Two lines of one title: a hyphen after a letter goes, else a space joins them."""
+    return F.when(head.rlike(r"\p{L}-$"), F.concat(F.regexp_replace(head, "-$", ""), tail)).otherwise(F.concat_ws(" ", F.nullif(head, F.lit("")), tail))

@@ -124,7 +124,7 @@ def glued_numbers(rows: DataFrame) -> DataFrame:
 
 def pair_columns(lines: DataFrame, band: float = 3.0) -> DataFrame:
     """doc_id, page, title, printed: a line that is a bare number with the right-most text line that ends left of it on the same baseline; each title once."""
-    number = F.trim("text").rlike(r"^(\d{1,4}|(?i:[ivxlcdm]{1,15}))$")
+    number = T.is_page_number("text")
     slot = F.floor(F.col("y") / band)
     n = lines.where(number).select("doc_id", "page", F.col("ord").alias("n_ord"), F.trim("text").alias("printed"), F.col("x0").alias("nx"), F.col("y").alias("ny"), F.explode(F.array(slot - 1, slot, slot + 1)).alias("slot"))
     t = lines.where(~number).select("doc_id", "page", "ord", "text", "x1", "y", slot.alias("slot"))
@@ -204,7 +204,7 @@ def merge_wrapped(scored: DataFrame) -> DataFrame:
         high = F.greatest(x["y1"] - x["y"], F.lit(1.0))
         dy = x["y"] - last["last"]
         joins = F.coalesce((last["page"] == x["page"]) & (last["size"] == x["size"]) & (last["bold"] == x["bold"]) & (dy > 0) & (dy <= LINE_GAP * last["high"]) & (last["n"] < WRAPPED), F.lit(False))
-        text = F.when(last["text"].rlike(r"\p{L}-$"), F.concat(F.regexp_replace(last["text"], "-$", ""), x["text"])).otherwise(F.concat(last["text"], F.lit(" "), x["text"]))
+        text = T.join_wrapped(last["text"], x["text"])
         grown = F.struct(last["page"].alias("page"), last["y"].alias("y"), last["ord"].alias("ord"), x["y"].alias("last"), last["high"].alias("high"), text.alias("text"), last["size"].alias("size"), last["bold"].alias("bold"), F.greatest(last["score"], x["score"]).alias("score"), (last["n"] + 1).alias("n"))
         fresh = F.struct(x["page"].alias("page"), x["y"].alias("y"), x["ord"].cast("bigint").alias("ord"), x["y"].alias("last"), high.alias("high"), x["text"].alias("text"), x["size"].alias("size"), x["bold"].alias("bold"), x["score"].cast("int").alias("score"), F.lit(1).alias("n"))
         return F.when(joins, F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(acc, F.array(fresh)))
@@ -313,3 +313,39 @@ def route(evidence: DataFrame) -> DataFrame:
     """doc_id, route from counts (links, printed, headings) and has_text."""
     r = F.when(~F.col("has_text"), "ocr-needed").when(F.col("links") > 0, "contents-links").when(F.col("printed") > 0, "contents-printed-numbers").when(F.col("headings") > 0, "typography").otherwise("nothing-found")
     return evidence.select("doc_id", r.alias("route"))
+
+
+def follows(y: Column, page: Column, first_y: Column, first_page: Column, first_height: Column) -> Column:
+    """Whether a line stands directly below another: same page, at most 1.8 of the first's heights down."""
+    dy = y - first_y
+    return (page == first_page) & (dy > 0) & (dy <= LINE_GAP * F.greatest(first_height, F.lit(1.0)))
+
+
+def linked_contents(links: DataFrame, lines: DataFrame) -> DataFrame:
+    """doc_id, ord, title, page: contents entries from linked lines; the link's target is the physical page. A line with the
+    same target directly below, not starting with a capital or digit, goes on the entry above."""
+    rows = link_titles(links, lines).join(lines.select("doc_id", "page", "ord", "y", "y1"), ["doc_id", "page", "ord"])
+    w = Window.partitionBy("doc_id").orderBy("page", "y", "ord")
+    before = lambda c: F.lag(c).over(w)
+    goes_on = (F.col("target") == before("target")) & follows(F.col("y"), F.col("page"), before("y"), before("page"), before(F.col("y1") - F.col("y"))) & ~F.col("text").rlike(r"^\s*[\p{Lu}\d]")
+    entry = rows.withColumn("starts", (~F.coalesce(goes_on, F.lit(False))).cast("int")).withColumn("entry", F.sum("starts").over(w))
+    parts = entry.groupBy("doc_id", "entry").agg(F.min("ord").alias("ord"), F.first("target").alias("page"), F.sort_array(F.collect_list(F.struct("page", "y", "ord", "text"))).alias("t"))
+    title = F.aggregate("t", F.lit(""), lambda a, x: T.join_wrapped(a, F.trim(x["text"])))
+    edge = rf"[\s{LEADERS}]+$".replace("-–", r"\-–")
+    return parts.select("doc_id", "ord", F.regexp_replace(title, edge, "").alias("title"), F.col("page").cast("int").alias("page"))
+
+
+def printed_contents(runs: DataFrame, lines: DataFrame, enough: int = 4) -> DataFrame:
+    """doc_id, first, title, printed, roman of each run of contents pages: lines that are entries by themselves, or, where a
+    run has fewer than four of them, titles paired with a column of numbers."""
+    r = runs.select("doc_id", "first", "last")
+    own = lines.join(r, "doc_id").where((F.col("page") >= F.col("first")) & (F.col("page") <= F.col("last")))
+    by_line = own.withColumn("e", contents_line("text")).where("e is not null").select("doc_id", "first", "page", "ord", "e.title", "e.printed", "e.roman")
+    count = by_line.groupBy("doc_id", "first").agg(F.count("*").alias("n"))
+    good = by_line.join(count.where(F.col("n") >= enough).select("doc_id", "first"), ["doc_id", "first"], "left_semi")
+    poor = r.select("doc_id", "first", "last").join(count.where(F.col("n") >= enough), ["doc_id", "first"], "left_anti")
+    pairs = pair_columns(lines).join(poor, "doc_id").where((F.col("page") >= F.col("first")) & (F.col("page") <= F.col("last")))
+    arabic = F.col("printed").rlike(r"^\d+$")
+    n = F.when(arabic, F.try_to_number(F.when(arabic, F.col("printed")), F.lit("9999")).cast("int")).otherwise(T.roman_value("printed"))
+    columns = pairs.select("doc_id", "first", "page", "ord", "title", n.alias("printed"), (~arabic).alias("roman")).where((F.col("printed") > 0) & (~F.col("roman") | (F.col("printed") <= ROMAN_CEILING)))
+    return good.unionByName(columns).select("doc_id", "first", "page", "ord", "title", "printed", "roman")

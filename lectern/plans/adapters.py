@@ -65,6 +65,14 @@ select doc_id, ord, cast(1 + floor(ord / 8) as int) as page, text,
   cast(case when length(text) < 40 then 16 when length(text) < 80 then 12 else 10 end as double) as size, (length(text) % 3 = 0) as bold,
   cast(72 + 18 * (ord % 3) as double) as x0, cast(72 + 18 * (ord % 3) + least(length(text), 60) * 5 as double) as x1,
   cast(40 + 70 * (ord % 8) as double) as y, cast(52 + 70 * (ord % 8) as double) as y1, cast(420 as double) as page_width, cast(640 as double) as page_height, cast(1 + ord % 3 as int) as lines_in_block
+from {lines}""",
+    # the same lines, of which every third document's first ones read like a contents page
+    "toc_lines": """
+select doc_id, ord, cast(1 + floor(ord / 8) as int) as page, case when doc_id % 3 = 0 and ord = 0 then 'Contents' when doc_id % 3 = 0 and ord < 12 then concat(substr(text, 1, 30), ' ..... ', cast(ord + 5 as varchar(20))) else text end as text,
+  cast(72 as double) as x0, cast(300 as double) as x1, cast(40 + 14 * (ord % 8) as double) as y, cast(52 + 14 * (ord % 8) as double) as y1
+from {lines}""",
+    "links": """
+select doc_id, ord as link_ord, cast(1 + floor(ord / 8) as int) as page, cast(3 + floor(ord / 2) as int) as target, cast(70 as double) as x0, cast(310 as double) as x1, cast(39 + 14 * (ord % 8) as double) as y, cast(53 + 14 * (ord % 8) as double) as y1
 from {lines}""",
     "edits": f"""
 select doc_id as seq, {KEY.format("doc_id % 300")} as key,

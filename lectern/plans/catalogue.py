@@ -596,6 +596,51 @@ def verify_toc_pages(v: Views) -> DataFrame:
     return outline.repair_pages(outline.verify_pages(placed, pages)).select("doc_id", "ord", "page", "confidence")
 
 
+@query()
+def contents_pages(v: Views) -> DataFrame:
+    return outline.contents_pages(v.toc_lines)
+
+
+@query()
+def contents_runs(v: Views) -> DataFrame:
+    return outline.contents_runs(outline.contents_pages(v.toc_lines))
+
+
+@query()
+def printed_contents(v: Views) -> DataFrame:
+    return outline.printed_contents(outline.contents_runs(outline.contents_pages(v.toc_lines)), v.toc_lines)
+
+
+@query()
+def linked_contents(v: Views) -> DataFrame:
+    return outline.linked_contents(v.links, v.toc_lines)
+
+
+@query("toc_lines", """, t as (select doc_id, ord, text, case when regexp_matches(text, '[0-9]{1,4}$') then cast(regexp_extract(text, '([0-9]{1,4})$', 1) as int) end as tail, ord + 7 as link_page from toc_lines),
+  agreed as (select doc_id, delta from (select doc_id, link_page - tail as delta, row_number() over (partition by doc_id order by count(*) desc, min(ord)) as k, count(*) as n from t where tail is not null group by doc_id, link_page - tail having count(*) >= 3) where k = 1)
+  select t.doc_id, ord, case when tail + delta = link_page then regexp_replace(text, '[\\s.·•․‥…‧_\\-–—]*[0-9]{1,4}$', '') else text end as title from t left join agreed on agreed.doc_id = t.doc_id""")
+def glued_numbers(v: Views) -> DataFrame:
+    return outline.glued_numbers(v.toc_lines.select("doc_id", "ord", F.col("text").alias("title"), (F.col("ord") + 7).alias("link_page")))
+
+
+@query()
+def paired_columns(v: Views) -> DataFrame:
+    numbers = v.toc_lines.select("doc_id", (F.col("ord") + 100000).alias("ord"), "page", (F.col("ord") + 1).cast("string").alias("text"), F.lit(350.0).alias("x0"), F.lit(360.0).alias("x1"), "y", "y1")
+    return outline.pair_columns(v.toc_lines.unionByName(numbers))
+
+
+@query()
+def folio_map(v: Views) -> DataFrame:
+    edge = v.pdf_lines.withColumn("text", F.when(F.col("y") < 57, F.concat(F.lit("page "), F.col("page").cast("string"))).otherwise(F.col("text")))
+    return outline.folios(edge)
+
+
+@query(sql="select doc_id, case when n_chars < 100 then 'ocr-needed' when doc_id % 5 = 0 then 'contents-links' when doc_id % 7 = 0 then 'contents-printed-numbers' when doc_id % 2 = 0 then 'typography' else 'nothing-found' end as route from documents")
+def outline_route(v: Views) -> DataFrame:
+    zero = lambda n: F.when(F.col("doc_id") % n == 0, 3).otherwise(0)
+    return outline.route(v.table("documents").select("doc_id", (F.col("n_chars") >= 100).alias("has_text"), zero(5).alias("links"), zero(7).alias("printed"), zero(2).alias("headings")))
+
+
 # ---- scanned books
 _SMOOTH = "sm as (select doc_id, i, case when count(*) over (partition by doc_id) < 5 then ink else avg(ink) over (partition by doc_id order by i rows between 2 preceding and 2 following) end as ink from ink)"
 
@@ -649,6 +694,55 @@ def split_plan(v: Views) -> DataFrame:
     return plan.groupBy("doc_id", "page").agg(F.count("*").cast("int").alias("halves"))
 
 
+@query("pdf_lines", """, p as (select doc_id, page, sum(length(text)) as chars, case when page % 4 = 0 then 840.0 else 420.0 end as width, 640.0 as height from pdf_lines group by doc_id, page),
+  c as (select doc_id, width, height, row_number() over (partition by doc_id order by count(*) desc, min(page)) as k from p where page <= 12 group by doc_id, width, height)
+  select c.doc_id, c.width::double as width, c.height::double as height, avg(chars) >= 80 as has_text from c join p on p.doc_id = c.doc_id where k = 1 group by all""")
+def page_sizes(v: Views) -> DataFrame:
+    pages = v.pdf_lines.groupBy("doc_id", "page").agg(F.sum(F.length("text")).alias("chars"))
+    return scan_prep.page_sizes(pages.withColumns({"width": F.when(F.col("page") % 4 == 0, 840.0).otherwise(420.0), "height": F.lit(640.0)}))
+
+
+@query("gutters", "select doc_id, min_by(cast(round((1000 + page % 700) / 420.0 * 72) as int), page) as dpi from (select doc_id, page % 50 as page from gutters) where page <= 4 and page % 2 = 1 group by doc_id")
+def image_dpi(v: Views) -> DataFrame:
+    pages = v.gutters.select("doc_id", (F.col("page") % 50).alias("page"))
+    return scan_prep.image_dpi(pages.withColumns({"image_px": F.when(F.col("page") % 2 == 1, 1000 + F.col("page") % 700).otherwise(0), "width": F.lit(420.0)}))
+
+
+@query(sql="select doc_id, len(list_distinct([cast(case when n_chars <= 24 then i else floor(n_chars * 0.1) + floor(i * (floor(n_chars * 0.9) - floor(n_chars * 0.1)) / 24) end as int) for i in range(0, case when n_chars <= 24 then n_chars else 24 end)])) as n from documents")
+def sampled_pages(v: Views) -> DataFrame:
+    return v.table("documents").select("doc_id", F.size(scan_prep.sample_pages(F.col("n_chars").cast("int"), 24)).cast("long").alias("n"))
+
+
+@query("attachments notes", "select distinct a.key, case when deleted then 'already-deleted' when annotations > 0 then 'kept-annotated' else 'prune' end as status from attachments a")
+def prune_plan(v: Views) -> DataFrame:
+    notes = v.attachments.select(F.concat(F.lit('<p>made by prep {"replaces": "'), F.col("key"), F.lit('"}</p>')).alias("text"))
+    return storage.prune_plan(v.attachments, notes).distinct()
+
+
+# ---- calls of the library
+@query("audit", "select label, count(*) filter (regexp_matches(concat('item.', label, '(1)'), '\\.(save|erase|trash)\\(')) as n from audit group by label")
+def write_calls(v: Views) -> DataFrame:
+    return v.audit.withColumn("w", T.writes(F.concat(F.lit("item."), "label", F.lit("(1)")))).groupBy("label").agg(F.count_if("w").alias("n"))
+
+
+@query(sql="select page_id, regexp_matches(url, '^[a-z]+://(localhost|127\\.0\\.0\\.1)([:/]|$)') as loopback from pages")
+def loopback_urls(v: Views) -> DataFrame:
+    return v.table("pages").select("page_id", T.is_loopback("url").alias("loopback"))
+
+
+@query(sql="select o_custkey as identifier, min_by(o_orderpriority, o_orderkey) filter (o_orderstatus = 'O') as translator, min_by(o_orderkey, o_orderkey) filter (o_orderstatus = 'O') as result, count(*) as attempts from orders group by o_custkey")
+def first_success(v: Views) -> DataFrame:
+    o = v.table("orders")
+    return edits.first_success(o.select(F.col("o_custkey").alias("identifier"), F.col("o_orderkey").alias("ord"), F.col("o_orderpriority").alias("translator"), F.when(F.col("o_orderstatus") == "O", F.col("o_orderkey")).alias("result")))
+
+
+@query("items", f"select scan_order as id, doi, title, cast({YEAR.format('date')} as int) as year, last_name as author from items")
+def decode_records(v: Views) -> DataFrame:
+    record = F.to_json(F.struct(F.upper("doi").alias("DOI"), F.array("title").alias("title"), F.struct(F.array(F.array(T.year_of("date"))).alias("date-parts")).alias("issued"), F.array(F.struct(F.col("last_name").alias("family"))).alias("author"), F.col("abstract")))
+    got = enrich.decode_a(v.items.select(F.col("scan_order").alias("id"), record.alias("json")))
+    return got.select("id", "doi", "title", "year", F.array_join("authors", "; ").alias("author"))
+
+
 # ---- audit log
 @query("audit", "select label, count(*) as n, count(*) filter (not ok) as errors, round(sum(code_bytes), 2) as bytes from audit group by label")
 def audit_counts(v: Views) -> DataFrame:
