@@ -21,12 +21,11 @@ smallest id of a component is taken (all null: null); repeated rows are equal se
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -36,7 +35,7 @@ SLACK = 3
 FRAGMENTS = 4
 #: Further rounds in which a group's nodes are compared with one random node of it before all pairs still apart are.
 ROUNDS = 2
-BITMAP = 256
+LEAST_BITS = 256
 
 SKETCH = "doc_id long, row_text long, n_shingles long, set_id binary, bitmap array<long>, segments array<long>"
 
@@ -85,8 +84,10 @@ def segment_hashes(grams: np.ndarray, threshold: float) -> np.ndarray:
 
 
 def parity_bitmap(grams: np.ndarray) -> np.ndarray:
-    """BITMAP parity bits: two sets' bitmaps differ in at most as many bits as the sets in elements."""
-    bits = np.bincount((grams % np.uint64(BITMAP)).astype(np.int64), minlength=BITMAP).astype(np.uint8) & 1
+    """Parity bits, two to four for each element, LEAST_BITS at least: the bitmaps of two sets, the wider one folded to the
+    other's width, differ in at most as many bits as the sets in elements."""
+    width = max(LEAST_BITS, 1 << (2 * len(grams) - 1).bit_length())
+    bits = np.bincount((grams % np.uint64(width)).astype(np.int64), minlength=width).astype(np.uint8) & 1
     return np.packbits(bits).view(np.int64)
 
 
@@ -130,10 +131,14 @@ def fragment_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "set_id binary, fragment int, grams array<long>")
 
 
-def may_link(a: str, b: str, percent: int) -> F.Column:
+def may_link(a: str, b: str, percent: int) -> Column:
     """Exact bounds on two nodes with n and bitmap: sizes, and differing bits against allowed differences."""
-    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    bits = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}.bitmap")[i].bitwiseXOR(F.col(f"{b}.bitmap")[i])) for i in range(BITMAP // 64)])
+    na, nb, ba, bb = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.bitmap"), F.col(f"{b}.bitmap")
+    half = lambda x: F.floor(F.size(x) / 2).cast("int")
+    fold = lambda x: F.zip_with(F.slice(x, F.lit(1), half(x)), F.slice(x, half(x) + 1, half(x)), lambda p, q: p.bitwiseXOR(q))
+    own, other = F.when(F.size(ba) > F.size(bb), fold(ba)).otherwise(ba), F.when(F.size(bb) > F.size(ba), fold(bb)).otherwise(bb)
+    bits = F.aggregate(F.zip_with(own, other, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, n: t + n)
+    # sizes come first: partners' bitmaps differ by one fold at most
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (bits * (100 + percent) <= (na + nb) * (100 - percent))
 
 
