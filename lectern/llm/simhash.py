@@ -28,7 +28,8 @@ BITS = 128
 LONGEST = 12
 EXTRA = 2
 RADIUS = 3
-RANGE_BYTES = 8 << 20
+#: Bytes of text in a part, and how many parts there are at most; parts are sorted and streamed, so they may grow.
+RANGE_BYTES, MOST_PARTS = 8 << 20, 4096
 
 
 def fingerprints(texts: pa.Array) -> np.ndarray:
@@ -61,7 +62,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     Parts are ranges of doc_id of about RANGE_BYTES of text; the driver sees one number for each part.
     """
     keyed = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(common.NULL_ID)).alias("key"))
-    n = common.buckets_for(docs, "text", RANGE_BYTES, least=4)
+    n = common.buckets_for(docs, "text", RANGE_BYTES, least=4, most=MOST_PARTS)
     bounds = sorted(set(keyed.select("key").approxQuantile("key", [i / n for i in range(1, n)], 0.25 / n)))
     cuts = F.array(*(F.lit(int(x)).cast("long") for x in bounds)) if bounds else F.array().cast("array<long>")
     part = F.size(F.filter(cuts, lambda x: F.col("key") <= x))  # descending: the greatest ids are part 0
