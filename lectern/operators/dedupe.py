@@ -131,9 +131,9 @@ def remap_children(children: DataFrame, plan: DataFrame, column: str = "item_key
 
 def duplicate_probe(items: DataFrame, probes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """probe_id, key, similarity: items that a new record (probe_id, title, last_name) may repeat. An item's title holds the
-    probe's first four words longer than two characters; the first of them is the join key."""
+    probe's first four words longer than two characters; the longest of them, the likeliest to be rare, is the join key."""
     words = F.slice(F.filter(F.split(T.norm_title("title"), " "), lambda w: F.length(w) > 2), 1, 4)
-    p = probes.select("probe_id", T.norm_title("title").alias("p"), F.lower("last_name").alias("p_name"), words.alias("words")).withColumn("word", F.get("words", F.lit(0))).where("word is not null")
+    p = probes.select("probe_id", T.norm_title("title").alias("p"), F.lower("last_name").alias("p_name"), words.alias("words")).withColumn("word", F.array_max(F.transform("words", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]).where("word is not null")
     i = items.select("key", T.norm_title("title").alias("t"), F.lower("last_name").alias("t_name"))
     i = i.withColumn("word", F.explode(F.array_distinct(F.split("t", " "))))
     near = F.forall("words", lambda w: F.contains(F.col("t"), w)) & T.similar(F.col("p"), F.col("t"), threshold) & ((F.col("p_name") == "") | (F.col("p_name") == F.col("t_name")))

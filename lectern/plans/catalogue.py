@@ -368,7 +368,7 @@ def merge_remap_tags(v: Views) -> DataFrame:
 
 @query("items", f""", p as (select scan_order as probe_id, {NORM.format('title')} as p, lower(last_name) as nm, list_slice(list_filter(string_split({NORM.format('title')}, ' '), lambda w: length(w) > 2), 1, 4) as words from items),
   i as (select key, {NORM.format('title')} as t, lower(last_name) as nm from items)
-  select probe_id, key, round({SIM.format('p', 't')}, 6) as similarity from p join i on list_contains(string_split(t, ' '), words[1]) where len(list_filter(words, lambda w: not contains(t, w))) = 0 and {SIM.format('p', 't')} >= 0.9 and (p.nm = '' or p.nm = i.nm)""")
+  select probe_id, key, round({SIM.format('p', 't')}, 6) as similarity from p join i on list_contains(string_split(t, ' '), list_max(list_transform(words, lambda w: struct_pack(n := length(w), w := w))).w) where len(list_filter(words, lambda w: not contains(t, w))) = 0 and {SIM.format('p', 't')} >= 0.9 and (p.nm = '' or p.nm = i.nm)""")
 def duplicate_probe(v: Views) -> DataFrame:
     return dedupe.duplicate_probe(v.items, v.items.select(F.col("scan_order").alias("probe_id"), "title", "last_name"))
 
