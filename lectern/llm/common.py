@@ -6,6 +6,7 @@ every machine, and never depend on Python's own string hash.
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 from collections.abc import Iterator
@@ -22,6 +23,9 @@ BASE = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 #: A null doc_id takes part in orders and ties as this value.
 NULL_ID = -(1 << 63)
+#: log2 of the bits of a bitmap: 2 MiB, whatever the corpus.
+BITMAP_BITS = 24
+_PAGE = 32768
 
 
 def configure(spark: SparkSession) -> None:
@@ -64,6 +68,8 @@ class Cuts:
             at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
         self.paths = []
+        gc.collect()
+        self.spark._jvm.System.gc()  # shuffle files of finished steps go once the driver's garbage is collected
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -148,3 +154,26 @@ def rolling(h: np.ndarray, width: int) -> np.ndarray:
 def ids(column: pa.Array) -> np.ndarray:
     """doc_id as int64; null is NULL_ID."""
     return np.asarray(pc.fill_null(pc.cast(column, pa.int64()), NULL_ID), dtype=np.int64)
+
+
+def bitmap_of(hashes: DataFrame, column: str) -> DataFrame:
+    """Pages (at most 2**BITMAP_BITS / 32768 rows of 4 KiB) of a bitmap in which each hash of the column sets a bit."""
+    slot = F.pmod(F.col(column), F.lit(1 << BITMAP_BITS))
+    return hashes.select(F.floor(slot / _PAGE).cast("int").alias("page"), F.pmod(slot, F.lit(_PAGE)).alias("bit")).groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits"))
+
+
+def with_bitmap(df: DataFrame, hashes: DataFrame, column: str, tested: list[str], flags: bool = False) -> DataFrame:
+    """Rows of ``df`` of which one of the ``tested`` hash columns may be in ``hashes.column``; the pages are broadcast, 2 MiB
+    at most. With ``flags`` a boolean stands in each tested column's place."""
+    pages = bitmap_of(hashes, column)
+    hit, out = F.lit(False), df
+    for c in tested:
+        slot = F.pmod(F.col(c), F.lit(1 << BITMAP_BITS))
+        own = F.broadcast(pages.select(F.col("page").alias(f"__page_{c}"), F.col("bits").alias(f"__bits_{c}")))
+        out = out.join(own, F.floor(slot / _PAGE).cast("int") == F.col(f"__page_{c}"), "left")
+        bit = F.pmod(slot, F.lit(_PAGE)).cast("int")
+        byte = F.conv(F.hex(F.substring(f"__bits_{c}", F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("long")
+        own_hit = F.coalesce(F.getbit(byte, F.pmod(bit, F.lit(8))), F.lit(0)) == 1
+        hit = hit | own_hit
+        out = out.withColumn(f"__hit_{c}", own_hit)
+    return out.where(hit).select(*((F.col(f"__hit_{c}").alias(c) if flags and c in tested else c) for c in df.columns))

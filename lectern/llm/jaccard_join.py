@@ -34,7 +34,7 @@ RATIO = 1.4
 SLACK = 3
 FRAGMENTS = 4
 #: Further rounds in which a group's nodes are compared with one random node of it before all pairs still apart are.
-ROUNDS = 2
+ROUNDS = 1
 LEAST_BITS = 256
 
 SKETCH = "doc_id long, row_text long, n_shingles long, set_id binary, bitmap array<long>, segments array<long>"
@@ -146,8 +146,9 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, pe
     """Of distinct pairs (a, b), those that link. Partial overlaps are counted per fragment and summed per pair."""
     cut = common.Cuts(pairs.sparkSession)
     needed = pairs.select(F.col("a").alias("set_id")).union(pairs.select(F.col("b"))).distinct()
-    ids = cut(nodes.join(needed, "set_id", "left_semi").select("rep", "row_text"), "needed")
-    wanted = docs.select("doc_id", "text", F.xxhash64("text").alias("row_text")).join(ids.withColumnRenamed("rep", "doc_id"), ["doc_id", "row_text"], "left_semi")
+    ids = cut(nodes.join(needed, "set_id", "left_semi").select(F.col("rep").alias("doc_id"), "row_text"), "needed")
+    some = common.with_bitmap(docs.select("doc_id", "text", F.xxhash64("text").alias("row_text")), ids, "row_text", ["row_text"])  # other texts are not moved
+    wanted = some.join(ids, some.doc_id.eqNullSafe(ids.doc_id) & (some.row_text == ids.row_text), "left_semi")
     sets = cut(fragment_sets(wanted, words).dropDuplicates(["set_id", "fragment"]), "fragments")
     left = sets.select(F.col("set_id").alias("a"), "fragment", F.col("grams").alias("grams_a"))
     right = sets.select(F.col("set_id").alias("b"), "fragment", F.col("grams").alias("grams_b"))
@@ -228,14 +229,12 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
         apart = cut(still_apart(found), "apart")
 
     if not apart.isEmpty():
-        band = F.floor(F.log(F.col("n")) / float(-np.log(threshold))).cast("int")
-        rest = cut(apart.join(facts, "set_id").withColumn("band", band), "rest")
-        x, y = rest.alias("x"), rest.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1))).alias("y")
-        # a partner's band is x's own, or y's is the next below: each unordered pair meets at least once
+        rest = cut(apart.join(facts, "set_id"), "rest").repartition("segment")
+        x, y = rest.alias("x"), rest.alias("y")
         across = x.join(
             y,
-            (F.col("x.segment") == F.col("y.segment")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.component") != F.col("y.component")) & may_link("x", "y", percent),
-        ).select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b")).distinct()
+            (F.col("x.segment") == F.col("y.segment")) & (F.col("x.set_id") < F.col("y.set_id")) & (F.col("x.component") != F.col("y.component")) & may_link("x", "y", percent),
+        ).select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")).distinct()
         last = cut(across.join(tried, ["a", "b"], "left_anti"), "pairs")
         if not last.isEmpty():
             found = components(links.union(verified(last, nodes, docs, words, percent)))

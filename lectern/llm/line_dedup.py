@@ -30,32 +30,6 @@ from pyspark.sql import functions as F
 from . import common
 
 LEAST_WORDS = 5
-#: log2 of the bits of a bitmap: 2 MiB, whatever the corpus.
-BITMAP_BITS = 24
-_PAGE = 32768
-
-
-def bitmap_of(hashes: DataFrame, column: str) -> DataFrame:
-    """Pages (at most 2**BITMAP_BITS / 32768 rows of 4 KiB) of a bitmap in which each hash of the column sets a bit."""
-    slot = F.pmod(F.col(column), F.lit(1 << BITMAP_BITS))
-    return hashes.select(F.floor(slot / _PAGE).cast("int").alias("page"), F.pmod(slot, F.lit(_PAGE)).alias("bit")).groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits"))
-
-
-def with_bitmap(df: DataFrame, hashes: DataFrame, column: str, tested: list[str], flags: bool = False) -> DataFrame:
-    """Rows of ``df`` of which one of the ``tested`` hash columns may be in ``hashes.column``; the pages are broadcast, 2 MiB
-    at most. With ``flags`` a boolean stands in each tested column's place."""
-    pages = bitmap_of(hashes, column)
-    hit, out = F.lit(False), df
-    for c in tested:
-        slot = F.pmod(F.col(c), F.lit(1 << BITMAP_BITS))
-        own = F.broadcast(pages.select(F.col("page").alias(f"__page_{c}"), F.col("bits").alias(f"__bits_{c}")))
-        out = out.join(own, F.floor(slot / _PAGE).cast("int") == F.col(f"__page_{c}"), "left")
-        bit = F.pmod(slot, F.lit(_PAGE)).cast("int")
-        byte = F.conv(F.hex(F.substring(f"__bits_{c}", F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("long")
-        own_hit = F.coalesce(F.getbit(byte, F.pmod(bit, F.lit(8))), F.lit(0)) == 1
-        hit = hit | own_hit
-        out = out.withColumn(f"__hit_{c}", own_hit)
-    return out.where(hit).select(*((F.col(f"__hit_{c}").alias(c) if flags and c in tested else c) for c in df.columns))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -101,21 +75,21 @@ def near_repeats(docs: DataFrame) -> DataFrame:
     cut = common.Cuts(docs.sparkSession)
     halves = with_halves(lines_of(docs)).select("h", F.explode(F.array(*HALVES)).alias("half"))
     shared = cut(halves.groupBy("half").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("half"), "halves")
-    some = with_bitmap(with_halves(lines_of(docs)), shared, "half", HALVES, flags=True)
+    some = common.with_bitmap(with_halves(lines_of(docs)), shared, "half", HALVES, flags=True)
     lines = cut(some.groupBy("h").agg(F.first("line").alias("line"), F.first("words").alias("words"), *(F.max(c).alias(c) for c in HALVES), F.min(F.struct("doc_id", "place")).alias("first")), "lines")
     first = lines.select("h", "first")
     variants = variants_of(lines)
 
     # one word changed: the same rest, the same place left out; all of a group are one edit apart
     groups = cut(variants.groupBy("changed").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("changed"), "changed")
-    members = cut(with_bitmap(variants.select("h", "changed"), groups, "changed", ["changed"]).join(groups, "changed", "left_semi").join(first, "h"), "changed")
+    members = cut(common.with_bitmap(variants.select("h", "changed"), groups, "changed", ["changed"]).join(groups, "changed", "left_semi").join(first, "h"), "changed")
     least = members.groupBy("changed").agg(F.min("first").alias("least"))
     by_change = members.join(least, "changed").where("least < first").select("h", "least")
     # one word added: a base equals a variant of a longer line; a base is one edit from each, they are from it alone
     words = F.transform(F.split("line", " ", -1), lambda w, i: F.xxhash64(w, i))
     whole = F.aggregate(words, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
     bases = cut(lines.select(F.xxhash64("words", whole).alias("added"), F.col("h").alias("base"), F.col("first").alias("base_first")), "bases")
-    longer = cut(with_bitmap(variants.select("h", "added"), bases, "added", ["added"]).join(bases.select("added"), "added", "left_semi").join(first, "h").distinct(), "longer")
+    longer = cut(common.with_bitmap(variants.select("h", "added"), bases, "added", ["added"]).join(bases.select("added"), "added", "left_semi").join(first, "h").distinct(), "longer")
     by_loss = longer.groupBy("added").agg(F.min("first").alias("least")).join(bases, "added").where("least < base_first").select(F.col("base").alias("h"), "least")
     by_gain = longer.join(bases, "added").where("base_first < first").select("h", F.col("base_first").alias("least"))
     found = by_change.union(by_loss).union(by_gain).groupBy("h").agg(F.collect_set("least").alias("near"))
@@ -143,7 +117,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     first = lines.groupBy("h", "salt").agg(F.min(at).alias("first"), F.max(at).alias("last"))
     gone = near.select("h", F.hash("line").alias("salt"), F.lit(True).alias("near"))
     judged = cut(first.join(gone, ["h", "salt"], "left").where("first < last OR near").select("h", "salt", "first", F.coalesce("near", F.lit(False)).alias("near")), "judged")
-    some = with_bitmap(lines.drop("line"), judged, "h", ["h"])
+    some = common.with_bitmap(lines.drop("line"), judged, "h", ["h"])
     out = some.join(judged, ["h", "salt"]).where(F.col("near") | (F.col("first") < at)).select("doc_id", "row", "place")
     return cut.last(out.groupBy("doc_id", "row").agg(F.collect_set("place").alias("places")), "removed")
 
