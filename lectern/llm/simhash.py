@@ -134,16 +134,19 @@ def within_radius(queries: DataFrame, prints: DataFrame, radius: int) -> DataFra
     masks = tables(radius)
 
     def keyed(df: DataFrame, name: str) -> DataFrame:
-        own = df.select(F.col("fingerprint").alias(name)).where(F.col(name).isNotNull()).distinct()
-        own = own.withColumns({f"{name}_{part}": F.conv(F.substring(name, at, 16), 16, -10).cast("long") for part, at in (("high", 1), ("low", 17))})
+        own = df.select("fingerprint").where(F.col("fingerprint").isNotNull()).distinct()
+        own = own.select(*(F.conv(F.substring("fingerprint", at, 16), 16, -10).cast("long").alias(f"{name}_{part}") for part, at in (("high", 1), ("low", 17))))
         keys = F.array(*(F.xxhash64(F.lit(k), F.col(f"{name}_high").bitwiseAND(F.lit(h)), F.col(f"{name}_low").bitwiseAND(F.lit(low))) for k, (h, low) in enumerate(masks)))
         return own.select("*", F.posexplode(keys).alias(f"{name}_table", "key"))
 
     high, low = F.col("query_high").bitwiseXOR(F.col("found_high")), F.col("query_low").bitwiseXOR(F.col("found_low"))
     distance = F.bit_count(high) + F.bit_count(low)
     first = F.array_position(F.array(*((high.bitwiseAND(F.lit(h)) == 0) & (low.bitwiseAND(F.lit(x)) == 0) for h, x in masks)), True) - 1
-    both = keyed(queries, "query").join(keyed(prints, "found"), "key")
-    return both.where((F.col("query_table") == F.col("found_table")) & (distance <= radius) & (first == F.col("query_table"))).select("query", "found", distance.cast("int").alias("distance"))
+    asked = keyed(queries, "query")
+    near = common.with_bitmap(keyed(prints, "found"), asked, "key", ["key"])  # keys that no query has are not moved
+    both = asked.join(near, "key").where((F.col("query_table") == F.col("found_table")) & (distance <= radius) & (first == F.col("query_table")))
+    text = lambda name: F.concat(*(F.lower(F.lpad(F.hex(f"{name}_{part}"), 16, "0")) for part in ("high", "low")))
+    return both.select(text("query").alias("query"), text("found").alias("found"), distance.cast("int").alias("distance"))
 
 
 def with_neighbours(prints: DataFrame, is_query: Column, radius: int) -> DataFrame:
