@@ -181,7 +181,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, set_id, component_id of every row of ``docs`` (doc_id, text; other columns are ignored)."""
+    """doc_id, row_text, n_shingles, set_id, component, component_id of every row of ``docs`` (doc_id, text; other columns are
+    ignored). ``component`` (its smallest set_id) tells components apart; ``component_id`` (its least doc_id) need not."""
     common.configure(docs.sparkSession)
     cut = common.Cuts(docs.sparkSession)
     docs = docs.select("doc_id", "text")
@@ -240,9 +241,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
             found = components(links.union(verified(last, nodes, docs, words, percent)))
     label = nodes.join(found, nodes.set_id == found.node, "left").select("set_id", "least_id", F.coalesce("component", "set_id").alias("component"))
     smallest = label.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = label.join(smallest, "component").select("set_id", "component_id")
+    named = label.join(smallest, "component").select("set_id", "component", "component_id")
     out = raw.select("doc_id", "row_text", "n_shingles", "set_id").join(named, "set_id", "left").select(
-        "doc_id", "row_text", "n_shingles", "set_id", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+        "doc_id", "row_text", "n_shingles", "set_id", "component", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )
     return cut.last(out, "components")
 
@@ -250,11 +251,11 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` (all columns) but one of each component: the least doc_id (null last), of equal ids the least text hash, of repeated rows one.
 
-    Empty documents all stay, as they link with nothing; repeated empty rows of one doc_id count as one.
+    Empty documents all stay, as they link with nothing; of repeated empty rows (one doc_id and text) one.
     """
     found = jaccard_components(docs, words, percent)
-    group = F.coalesce("component_id", F.lit(common.NULL_ID))
-    best = found.groupBy(F.col("set_id").isNull().alias("bare"), group.alias("group")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_text")).alias("x")).select(F.col("x.doc_id").alias("__id"), F.col("x.row_text").alias("__row"))
+    bare = F.col("set_id").isNull()
+    best = found.groupBy("component", F.when(bare, F.col("doc_id")).alias("bare_id"), F.when(bare, F.col("row_text")).alias("bare_text")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_text")).alias("x")).select(F.col("x.doc_id").alias("__id"), F.col("x.row_text").alias("__row"))
     own = docs.withColumn("__text", F.xxhash64("text"))
     kept = own.join(best, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__row")))
     return kept.dropDuplicates(["__id", "__row"]).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -99,6 +99,15 @@ def test_one_of_each(spark, docs):
     assert jaccard_join.one_of_each(empty(spark)).count() == 0
 
 
+def test_one_of_each_tells_components_apart(spark):
+    rng = random.Random(11)
+    texts = [" ".join(f"c{k}w{rng.randrange(1000)}" for _ in range(30)) for k in range(6)]
+    rows = [(None, t) for t in texts[:4]] + [(None, texts[0]), (8, texts[4]), (8, texts[5]), (9, texts[5]), (None, ""), (None, "  "), (4, ""), (4, ""), (4, None)]
+    kept = jaccard_join.one_of_each(table(spark, rows)).collect()
+    expected = [(None, t) for t in texts[:4]] + [(8, texts[4]), (8, texts[5]), (None, ""), (None, "  "), (4, ""), (4, None)]
+    assert sorted(str((r.doc_id, r.text)) for r in kept) == sorted(map(str, expected))
+
+
 def brute_substrings(rows, width):
     order = sorted(range(len(rows)), key=lambda k: common.NULL_ID if rows[k][0] is None else rows[k][0])
     first = {}
