@@ -3,8 +3,12 @@
 A document's terms are its distinct lower-cased words; a term's weight is (1 + ln count) * min(bytes, 12): long words
 are rarer, so the weight needs no pass over the corpus. Each of BITS hash bits of a term votes with that weight.
 
-``within_radius`` keeps permuted block tables: the bits are cut into radius + EXTRA blocks; two fingerprints within the
-radius agree on EXTRA blocks at least, so each choice of EXTRA blocks is a table keyed by them (Manku et al. 2007).
+``within_radius`` indexes blocks: the bits are cut into BLOCKS blocks; two fingerprints within the radius differ in at most
+radius // BLOCKS bits of some block. Every row is a key for each block, a query also looks under each change of so many bits
+(Norouzi et al. 2012). The search is exact at any radius.
+
+RADIUS is measured: of the pairs of differing texts with a Jaccard of 0.8 or more on five-word shingles (sf0.1, 48 pairs)
+0.94 lie within it; within 3 bits 0.08.
 
 Defined cases: a null or empty text has the fingerprint of all zeros; equal texts have equal fingerprints; a null
 doc_id sorts last; rows with one doc_id are ordered by text.
@@ -26,8 +30,9 @@ from . import common
 
 BITS = 128
 LONGEST = 12
-EXTRA = 2
-RADIUS = 3
+#: Blocks of 25 or 26 bits; a radius of 14 allows two changed bits in one.
+BLOCKS = 5
+RADIUS = 14
 #: Bytes of text in a part, and how many parts there are at most; parts are sorted and streamed, so they may grow.
 RANGE_BYTES, MOST_PARTS = 8 << 20, 4096
 
@@ -114,36 +119,47 @@ def simhash(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def tables(radius: int) -> list[tuple[int, int]]:
-    """Masks (high and low 64 bits, as signed numbers) of each choice of EXTRA of the radius + EXTRA blocks of bits."""
-    n = radius + EXTRA
-    edge = [BITS * i // n for i in range(n + 1)]
-    out = []
-    for chosen in combinations(range(n), EXTRA):
-        mask = sum(((1 << (edge[b + 1] - edge[b])) - 1) << (BITS - edge[b + 1]) for b in chosen)
-        high, low = mask >> 64, mask & common.MASK
-        out.append(tuple(x - (1 << 64) if x >> 63 else x for x in (high, low)))
-    return out
+def block(high: Column, low: Column, start: int, end: int) -> Column:
+    """Bits [start, end) of a fingerprint, as a number."""
+    if end <= 64:
+        value = F.shiftrightunsigned(high, 64 - end)
+    elif start >= 64:
+        value = F.shiftrightunsigned(low, BITS - end)
+    else:
+        value = F.shiftleft(high, end - 64).bitwiseOR(F.shiftrightunsigned(low, BITS - end))
+    return value.bitwiseAND(F.lit((1 << (end - start)) - 1))
 
 
 def within_radius(queries: DataFrame, prints: DataFrame, radius: int) -> DataFrame:
     """query, found, distance: for each distinct ``fingerprint`` (hex) of ``queries``, all distinct ones of ``prints`` within the radius.
 
-    Equal fingerprints count once on either side; a pair comes from the first table that holds it only.
+    Equal fingerprints count once on either side; a pair comes from the first block that holds it only.
     """
-    masks = tables(radius)
+    edge = [BITS * i // BLOCKS for i in range(BLOCKS + 1)]
+    spans, most = list(zip(edge[:-1], edge[1:], strict=True)), radius // BLOCKS
 
-    def keyed(df: DataFrame, name: str) -> DataFrame:
+    def halves(df: DataFrame, name: str) -> DataFrame:
         own = df.select("fingerprint").where(F.col("fingerprint").isNotNull()).distinct()
-        own = own.select(*(F.conv(F.substring("fingerprint", at, 16), 16, -10).cast("long").alias(f"{name}_{part}") for part, at in (("high", 1), ("low", 17))))
-        keys = F.array(*(F.xxhash64(F.lit(k), F.col(f"{name}_high").bitwiseAND(F.lit(h)), F.col(f"{name}_low").bitwiseAND(F.lit(low))) for k, (h, low) in enumerate(masks)))
-        return own.select("*", F.posexplode(keys).alias(f"{name}_table", "key"))
+        return own.select(*(F.conv(F.substring("fingerprint", at, 16), 16, -10).cast("long").alias(f"{name}_{part}") for part, at in (("high", 1), ("low", 17))))
+
+    def keyed(df: DataFrame, name: str, flips: int) -> DataFrame:
+        """A row for each block and each way to change at most ``flips`` of its bits."""
+        keys = []
+        for k, (s, e) in enumerate(spans):
+            changes = [sum(1 << b for b in bits) for n in range(flips + 1) for bits in combinations(range(e - s), n)]
+            listed = F.split(F.lit(",".join(map(str, changes))), ",").cast("array<long>")
+            own = block(F.col(f"{name}_high"), F.col(f"{name}_low"), s, e)
+            looked_up = F.transform(listed, lambda x: F.xxhash64(F.lit(k), own.bitwiseXOR(x)))  # noqa: B023
+            keys.append(F.struct(F.lit(k).alias("table"), looked_up.alias("keys")))
+        each = df.select("*", F.explode(F.array(*keys)).alias("x"))
+        return each.select(*df.columns, F.col("x.table").alias(f"{name}_table"), F.explode("x.keys").alias("key"))
 
     high, low = F.col("query_high").bitwiseXOR(F.col("found_high")), F.col("query_low").bitwiseXOR(F.col("found_low"))
     distance = F.bit_count(high) + F.bit_count(low)
-    first = F.array_position(F.array(*((high.bitwiseAND(F.lit(h)) == 0) & (low.bitwiseAND(F.lit(x)) == 0) for h, x in masks)), True) - 1
-    asked = keyed(queries, "query")
-    near = common.with_bitmap(keyed(prints, "found"), asked, "key", ["key"])  # keys that no query has are not moved
+    first = F.array_position(F.array(*(F.bit_count(block(high, low, s, e)) <= most for s, e in spans)), True) - 1
+    near = keyed(halves(prints, "found"), "found", 0)
+    spread = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: a few small rows become very many
+    asked = common.with_bitmap(keyed(halves(queries, "query").repartition(spread, "query_high", "query_low"), "query", most), near, "key", ["key"])  # keys that no row has are not moved
     both = asked.join(near, "key").where((F.col("query_table") == F.col("found_table")) & (distance <= radius) & (first == F.col("query_table")))
     text = lambda name: F.concat(*(F.lower(F.lpad(F.hex(f"{name}_{part}"), 16, "0")) for part in ("high", "low")))
     return both.select(text("query").alias("query"), text("found").alias("found"), distance.cast("int").alias("distance"))
