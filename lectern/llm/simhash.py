@@ -166,11 +166,15 @@ def within_radius(queries: DataFrame, prints: DataFrame, radius: int) -> DataFra
 
 
 def with_neighbours(prints: DataFrame, is_query: Column, radius: int) -> DataFrame:
-    """All columns of ``prints`` and n_within: how many other rows' fingerprints lie within the radius of a query row's; null for others."""
+    """All columns of ``prints`` and, for query rows (null for others), n_within: how many other rows' fingerprints lie within
+    the radius; and near: these fingerprints with their distances, least first, on the rows of the least doc_id among the
+    queries of one fingerprint. Rows of equal fingerprints are one class: ``fingerprint`` says which rows a found one stands for."""
     cut = common.Cuts(prints.sparkSession)
     rows = cut(prints, "prints")
-    size = rows.groupBy("fingerprint").agg(F.count("*").alias("n"))
+    size = rows.groupBy("fingerprint").agg(F.count("*").alias("n"), F.min(F.when(is_query, F.col("doc_id"))).alias("least"))
     found = within_radius(rows.where(is_query), rows, radius)
-    near = found.join(size.withColumnRenamed("fingerprint", "found"), "found").groupBy("query").agg((F.sum("n") - 1).alias("n_within"))
+    pairs = found.join(size.select(F.col("fingerprint").alias("found"), "n"), "found")
+    near = pairs.groupBy("query").agg((F.sum("n") - 1).alias("n_within"), F.sort_array(F.collect_list(F.struct("distance", F.col("found").alias("fingerprint")))).alias("near"))
+    near = near.join(size.select(F.col("fingerprint").alias("query"), "least"), "query")
     out = rows.join(near, rows.fingerprint == near["query"], "left")
-    return out.select(*rows.columns, F.when(is_query, F.col("n_within")).alias("n_within"))
+    return out.select(*rows.columns, F.when(is_query, F.col("n_within")).alias("n_within"), F.when(is_query & F.col("doc_id").eqNullSafe(F.col("least")), F.col("near")).alias("near"))

@@ -236,6 +236,13 @@ def test_simhash(spark):
         assert r.n_within == (len(near) - 1 if r.doc_id is not None and r.doc_id % 2 == 0 else None)
 
 
+def test_neighbours_name_the_found(spark):
+    a, b, c = "0" * 32, "0" * 31 + "7", "f" * 32
+    prints = spark.createDataFrame([(2, a), (4, a), (1, b), (3, b), (6, c), (None, a)], "doc_id long, fingerprint string")
+    got = {r.doc_id: (r.n_within, r.near and [tuple(x) for x in r.near]) for r in simhash.with_neighbours(prints, F.col("doc_id") % 2 == 0, 14).collect()}
+    assert got == {2: (4, [(0, a), (3, b)]), 4: (4, None), 6: (0, [(0, c)]), 1: (None, None), 3: (None, None), None: (None, None)}
+
+
 def test_within_radius(spark):
     rng = random.Random(2)
     base = [rng.getrandbits(128) for _ in range(60)]
