@@ -29,7 +29,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that stand earlier in the corpus; a document that loses all its text goes."""
-    kept = line_dedup(docs)
+    kept = line_dedup(docs, least_exact=1)
     left = kept.where(~((F.col("n_removed") > 0) & (F.trim("text") == "")))
     return left.select(*(F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
 

@@ -1,8 +1,9 @@
 """Line dedup by a deletion-neighbourhood join, in DataFrame functions only.
 
-Lines are cut at ``\\n``; words of a line are what single spaces part in the trimmed line. A line of at least LEAST_WORDS
-words goes when an earlier line (smaller doc_id, then smaller place) is at most one word edit away: equal, or one word
-changed, added or left out. Lines are judged on the input; shorter lines always stay.
+Lines are cut at ``\\n``; words of a line are what single spaces part in the trimmed line. A line goes when an earlier line
+(smaller doc_id, then smaller place) is equal, or when both have at least LEAST_WORDS words and are one word edit apart:
+one word changed, added or left out. (One edit makes any two lines of one word equal.) Lines are judged on the input.
+Blank lines always stay; ``least_exact`` keeps equal lines of fewer words as well.
 
 Plan:
 
@@ -30,14 +31,16 @@ from pyspark.sql import functions as F
 from . import common
 
 LEAST_WORDS = 5
+SOME_WORD = r"[^\x20\x09-\x0D]"
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, row (hash of the text, tells rows of one doc_id apart), place, line (trimmed), words, h (hash of the line)."""
+def lines_of(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
+    """doc_id, row (hash of the text, tells rows of one doc_id apart), place, line (trimmed), words, h (hash of the line) of
+    the lines of at least so many words that are not blank."""
     cut = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("row"), F.posexplode(F.split("text", "\n", -1)).alias("place", "raw"))
     line = F.trim("raw")
     words = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
-    return cut.select("doc_id", "row", "place", line.alias("line"), words.alias("words")).where(F.col("words") >= LEAST_WORDS).withColumn("h", F.xxhash64("line"))
+    return cut.select("doc_id", "row", "place", line.alias("line"), words.alias("words")).where((F.col("words") >= least) & F.col("line").rlike(SOME_WORD)).withColumn("h", F.xxhash64("line"))
 
 
 HALVES = ["p0", "s0", "p1", "s1"]
@@ -108,11 +111,11 @@ def one_edit(a: Column, b: Column) -> Column:
     return (long - short <= 1) & (F.least(same(a, b), short) + F.least(same(F.reverse(a), F.reverse(b)), short) >= long - 1)
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
+def removed_lines(docs: DataFrame, least_exact: int = LEAST_WORDS) -> DataFrame:
     """doc_id, row, places: the places of the lines that go, for each row of ``docs`` that loses some."""
     cut = common.Cuts(docs.sparkSession)
     near = near_repeats(docs)
-    lines = lines_of(docs).withColumn("salt", F.hash("line"))
+    lines = lines_of(docs, least_exact).withColumn("salt", F.hash("line"))
     at = F.struct("doc_id", "place")
     first = lines.groupBy("h", "salt").agg(F.min(at).alias("first"), F.max(at).alias("last"))
     gone = near.select("h", F.hash("line").alias("salt"), F.lit(True).alias("near"))
@@ -122,10 +125,10 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     return cut.last(out.groupBy("doc_id", "row").agg(F.collect_set("place").alias("places")), "removed")
 
 
-def line_dedup(docs: DataFrame) -> DataFrame:
+def line_dedup(docs: DataFrame, least_exact: int = LEAST_WORDS) -> DataFrame:
     """All columns of ``docs`` (with doc_id and text), the text without its repeated lines, and n_lines, n_removed."""
     names = docs.columns
-    gone = removed_lines(docs.select("doc_id", "text")).select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), F.col("places").alias("__places"))
+    gone = removed_lines(docs.select("doc_id", "text"), least_exact).select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), F.col("places").alias("__places"))
     own = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__row")), "left")
     lines = F.split("text", "\n", -1)
     kept = F.when(F.col("__places").isNull(), lines).otherwise(F.filter(lines, lambda _, i: ~F.array_contains("__places", i)))

@@ -68,7 +68,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = line_dedup(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = line_dedup(common.table(spark, sf_dir, "documents").select("doc_id", "text"), least_exact=1)
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 

@@ -191,6 +191,12 @@ def test_line_dedup(spark):
     assert line_dedup.line_dedup(empty(spark)).count() == 0
 
 
+def test_line_dedup_of_short_lines(spark):
+    rows = [(1, "All rights reserved.\nLes.\n\n \r\na\tb\tc\td\te\tf"), (2, "  Les.\nLas.\n\n \r\na\tb\tc\td\te\tf"), (3, "All rights reserved.\nAll rights observed.\nLes."), (None, "Las.")]
+    got = {r.doc_id: (r.n_removed, r.text) for r in line_dedup.line_dedup(table(spark, rows), least_exact=1).collect()}
+    assert got == {1: (0, rows[0][1]), 2: (3, "\n \r"), 3: (2, "All rights observed."), None: (0, "Las.")}
+
+
 def test_audio_round_trip(spark, docs):
     got = media_mpeg.audio_features(media_mpeg.store_audio(docs), with_payload=True).collect()
     expected = sorted((-1 if i is None else i, media_mpeg.padded(t)) for i, t in hard_rows())
