@@ -16,7 +16,7 @@ domain; a null domain of a labelled row is a domain of its own name, ``(none)``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -53,12 +53,15 @@ class DomainModel:
         return lens, e / e.sum(axis=1, keepdims=True)
 
 
-def fit_domains(docs: DataFrame, labels: DataFrame, domain: str = "lang", sample: int = SAMPLE) -> DomainModel:
-    """From at most ``sample`` labelled documents, least hash of doc_id first; domains beyond MOST_DOMAINS count as ``(other)``."""
+def fit_domains(docs: DataFrame, labels: DataFrame, domain: str = "lang", sample: int = SAMPLE, wanted: Sequence[str] = ()) -> DomainModel:
+    """From at most ``sample`` labelled documents, least hash of doc_id first; ``wanted`` domains (those with a target), then the
+    most frequent ones; domains beyond MOST_DOMAINS count as ``(other)``."""
+    if len(wanted) > MOST_DOMAINS:
+        raise ValueError(f"targets for {len(wanted)} domains; at most {MOST_DOMAINS} are kept apart")
     common.configure(docs.sparkSession)
     listed = F.broadcast(labels.where(F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
     rows = docs.select("doc_id", "text", F.coalesce(F.col(domain).cast("string"), F.lit("(none)")).alias("domain")).join(listed, "doc_id")
-    names = [r.domain for r in rows.groupBy("domain").count().orderBy(F.desc("count"), "domain").limit(MOST_DOMAINS).collect()]
+    names = [r.domain for r in rows.groupBy("domain").count().orderBy(F.col("domain").isin(list(wanted)).desc(), F.desc("count"), "domain").limit(MOST_DOMAINS).collect()]
     place = {n: k for k, n in enumerate(names)}
     other = len(names)
 
@@ -172,7 +175,7 @@ def rates_of(docs: DataFrame, model: DomainModel, rates: Rates) -> DataFrame:
 
 def mix(docs: DataFrame, labels: DataFrame, domain: str = "lang", shares: dict[str, float] | None = None, least: float = 0.0, grow: bool = False) -> DataFrame:
     """Rows of ``docs``, each as often as its rate says (all columns, copies are equal)."""
-    model = fit_domains(docs, labels, domain)
+    model = fit_domains(docs, labels, domain, wanted=list(shares or {}))
     cut = common.Cuts(docs.sparkSession)
     rates = fit_rates(cut(members(docs, model), "members"), model, shares, least, grow)
     cut.drop()
@@ -182,7 +185,7 @@ def mix(docs: DataFrame, labels: DataFrame, domain: str = "lang", shares: dict[s
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, domain: str = "lang", shares: dict[str, float] | None = None, least: float = 0.0) -> DataFrame:
     """doc_id, n_tokens, domain (most probable), probability, rate, copies of every row of ``docs``."""
-    model = fit_domains(docs, labels, domain)
+    model = fit_domains(docs, labels, domain, wanted=list(shares or {}))
     rows = common.Cuts(docs.sparkSession)(members(docs, model), "members")
     rates = fit_rates(rows, model, shares, least)
     names = F.array(*(F.lit(n) for n in model.domains))

@@ -456,6 +456,16 @@ def test_mixing(spark):
     assert mixing.mixing_rates(empty(spark), labels).count() == 0
 
 
+def test_mixing_keeps_domains_with_targets(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_DOMAINS", 2)
+    rows = [(i, f"{d} {d}{i % 3}", d) for i, d in enumerate(["aa"] * 9 + ["bb"] * 6 + ["cc"] * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = mixing.mixing_rates(docs, docs.select("doc_id"), shares={"aa": 0.5, "cc": 0.5}).collect()
+    assert {r.domain for r in got if r.doc_id >= 15} == {"cc"} and min(r.rate for r in got if r.doc_id >= 15) > 1
+    with pytest.raises(ValueError, match="at most 2"):
+        mixing.mixing_rates(docs, docs.select("doc_id"), shares={"aa": 0.4, "bb": 0.3, "cc": 0.3})
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
