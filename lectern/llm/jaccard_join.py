@@ -2,11 +2,13 @@
 
 The global n-gram order is the order of the n-grams' 64-bit hashes. It is cut into fragments twice:
 
-* Candidates. Two sets that link differ in at most ``d = floor((a + b) * (1 - t) / (1 + t))`` n-grams, so when the
-  order is dealt into ``d + SLACK`` fragments, at least SLACK fragments agree entirely. A document emits one hash
-  for each fragment that it has n-grams in; documents that share none of them cannot link. How many fragments there
-  are depends on the size class, and a document takes part in each class that a partner may come from (1.3 on
-  average). A document with SLACK or more empty fragments emits these also, so the search stays exact.
+* Candidates. Two sets that link differ in at most ``d = floor((a + b) * (1 - t) / (1 + t))`` n-grams, hence in at most d
+  fragments. A set with n-grams in more than d fragments so agrees with any partner in one of them entirely: it emits
+  one hash for each fragment that it has n-grams in, never for an empty one. A set that meets fewer fragments emits the
+  hashes of a finer cut as well, and so on until it meets more than d; both ends of a pair that a cut cannot promise to
+  find go on to the next, so the search is exact. How many fragments there are depends on the size class, and a set
+  takes part in each class that a partner may come from (1.7 on average). The order is that of hashes, not of
+  frequencies, as it need not be counted first; a fragment is shared only when all its n-grams are.
 * Overlaps. Of the candidates that pass the exact bitmap bound, the n-grams are cut into ``FRAGMENTS`` ranges of the
   order; overlaps are counted in each range separately and summed per pair.
 
@@ -21,23 +23,25 @@ smallest id of a component is taken (all null: null); repeated rows are equal se
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 RATIO = 1.4
-SLACK = 3
 FRAGMENTS = 4
 #: Further rounds in which a group's nodes are compared with one random node of it before all pairs still apart are.
 ROUNDS = 1
 LEAST_BITS = 256
+#: A finer cut has so many times the fragments.
+FINER = 1.25
 
-SKETCH = "doc_id long, row_text long, n_shingles long, set_id binary, bitmap array<long>, segments array<long>"
+SKETCH = "doc_id long, row_text long, n_shingles long, set_id binary, bitmap array<long>"
 
 
 def size_classes(n: int, threshold: float) -> list[int]:
@@ -46,10 +50,17 @@ def size_classes(n: int, threshold: float) -> list[int]:
     return [k for k in range(top, -1, -1) if RATIO**k <= n * (1 + 1e-9) and n < RATIO ** (k + 1) / threshold + 1e-6]
 
 
-def class_fragments(k: int, threshold: float) -> int:
-    """Differences that the smaller set's class k allows, and SLACK more."""
-    smaller = RATIO ** (k + 1)
-    return int(np.floor(smaller * (1 + 1 / threshold) * (1 - threshold) / (1 + threshold) + 1e-6)) + SLACK
+@lru_cache(None)
+def class_fragments(k: int, threshold: float) -> tuple[int, int]:
+    """The differences d that the smaller set's class allows, and the first cut's fragments: so many that the class's least
+    sets (RATIO**k n-grams) are expected to meet more than d of them, one standard error included."""
+    least = RATIO**k
+    d = int(np.floor(least * RATIO * (1 + 1 / threshold) * (1 - threshold) / (1 + threshold) + 1e-6))
+    for n in range(d + 1, 3 * d + 11):
+        empty = n * np.exp(-least / n)
+        if n - empty - np.sqrt(empty) >= d + 1:
+            return d, n
+    return d, 3 * d + 11
 
 
 def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
@@ -69,17 +80,22 @@ def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
 
 
 def segment_hashes(grams: np.ndarray, threshold: float) -> np.ndarray:
-    """One hash for each non-empty fragment of each size class of the set."""
+    """One hash for each non-empty fragment of each cut that the set takes part in."""
     out, mixed = [], common.mix(grams * np.uint64(common.BASE))
     for k in size_classes(len(grams), threshold):
-        n = class_fragments(k, threshold)
-        fragment = ((grams >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)  # ranges of the order
-        ends = np.searchsorted(fragment, np.arange(n + 1))
-        sums = np.r_[np.uint64(0), np.cumsum(mixed, dtype=np.uint64)]
-        have = sums[ends[1:]] - sums[ends[:-1]]
-        own = common.mix(have + np.arange(n, dtype=np.uint64) * np.uint64(common.BASE) + np.uint64(k << 48))
-        empty = ends[1:] == ends[:-1]
-        out.append(own if empty.sum() >= SLACK else own[~empty])
+        d, n = class_fragments(k, threshold)
+        if d >= RATIO**k:  # so low a threshold that no cut is sure to do: each n-gram is a fragment
+            out.append(common.mix(mixed + np.uint64(k << 48)))
+            continue
+        cut = 0
+        while True:
+            fragment = (grams >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)  # ranges of the order
+            starts = np.flatnonzero(np.r_[True, fragment[1:] != fragment[:-1]])
+            have = np.add.reduceat(mixed, starts)
+            out.append(common.mix(have + fragment[starts] * np.uint64(common.BASE) + np.uint64((k << 48) + (cut << 40))))
+            if len(starts) > d or n >= 1 << 31:
+                break
+            cut, n = cut + 1, int(n * FINER) + 1
     return np.concatenate(out)
 
 
@@ -91,28 +107,48 @@ def parity_bitmap(grams: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
-def sketch(docs: DataFrame, words: int, threshold: float) -> DataFrame:
+def sketch(docs: DataFrame, words: int) -> DataFrame:
     """One row for each of docs (doc_id, text, row_text); row_text tells rows of one doc_id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.slices(batches, "text"):
             sets = shingle_sets(b.column("text"), words)
-            lists = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("doc_id").cast(pa.int64()),
                     b.column("row_text"),
                     pa.array([len(x) for x in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets], pa.binary()),
-                    pa.array([parity_bitmap(x) if len(x) else None for x in sets], lists),
-                    pa.array([segment_hashes(x, threshold).view(np.int64) if len(x) else None for x in sets], lists),
+                    pa.array([parity_bitmap(x) if len(x) else None for x in sets], pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "row_text", "n_shingles", "set_id", "bitmap", "segments"],
+                names=["doc_id", "row_text", "n_shingles", "set_id", "bitmap"],
             )
 
     return docs.mapInArrow(run, SKETCH)
 
 
+def node_of(set_id: bytes) -> int:
+    return int.from_bytes(set_id[:8], "big", signed=True)
+
+
+def segments(docs: DataFrame, words: int, threshold: float) -> DataFrame:
+    """node (64 bits of the set_id) and segment of every fragment of each set; of equal sets a task gives one, so that a
+    group of copies leaves at most one a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
+        for b in common.slices(batches, "text"):
+            nodes, found = [], []
+            for x in shingle_sets(b.column("text"), words):
+                if len(x) and (node := node_of(xxhash.xxh3_128_digest(x.tobytes()))) not in met:
+                    met.add(node)
+                    nodes.append(node)
+                    found.append(segment_hashes(x, threshold).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["node", "segments"])
+
+    return docs.select("text").mapInArrow(run, "node long, segments array<long>").select("node", F.explode("segments").alias("segment"))
+
+
 def fragment_sets(docs: DataFrame, words: int) -> DataFrame:
     """set_id, fragment, grams: the n-grams of each distinct set, cut into ranges of the global order."""
 
@@ -131,6 +167,11 @@ def fragment_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "set_id binary, fragment int, grams array<long>")
 
 
+def node(set_id: str) -> Column:
+    """``node_of`` as a column."""
+    return F.conv(F.hex(F.substring(set_id, 1, 8)), 16, -10).cast("long")
+
+
 def may_link(a: str, b: str, percent: int) -> Column:
     """Exact bounds on two nodes with n and bitmap: sizes, and differing bits against allowed differences."""
     na, nb, ba, bb = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.bitmap"), F.col(f"{b}.bitmap")
@@ -186,18 +227,19 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     common.configure(docs.sparkSession)
     cut = common.Cuts(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    threshold = percent / 100
     withtext = docs.withColumn("row_text", F.xxhash64("text"))
-    raw = cut(sketch(withtext, words, threshold), "sketch")
-    own = F.struct("doc_id", "row_text", "n_shingles", "bitmap", "segments")
+    raw = cut(sketch(withtext, words), "sketch")
+    own = F.struct("doc_id", "row_text", "n_shingles", "bitmap")
     nodes = cut(
         raw.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min(own).alias("x"), F.min("doc_id").alias("least_id"))
-        .select("set_id", F.col("x.doc_id").alias("rep"), F.col("x.row_text").alias("row_text"), "least_id", F.col("x.n_shingles").alias("n"), F.col("x.bitmap").alias("bitmap"), F.col("x.segments").alias("segments")),
+        .select("set_id", node("set_id").alias("node"), F.col("x.doc_id").alias("rep"), F.col("x.row_text").alias("row_text"), "least_id", F.col("x.n_shingles").alias("n"), F.col("x.bitmap").alias("bitmap")),
         "nodes",
     )
-    rows = nodes.select("set_id", F.explode("segments").alias("segment")).repartition("segment")
-    groups = rows.groupBy("segment").agg(F.min("set_id").alias("hub"), F.max("set_id").alias("last")).where("hub < last").drop("last")
-    members = cut(rows.join(groups, "segment"), "members")
+    group = Window.partitionBy("segment")
+    rows = segments(docs, words, percent / 100).repartition("segment").withColumns({"lo": F.min("node").over(group), "hi": F.max("node").over(group)})
+    shared = cut(rows.where("lo < hi").select("node", "segment", F.col("lo").alias("hub_node")).distinct(), "shared")
+    hubs = nodes.select(F.col("node").alias("hub_node"), F.col("set_id").alias("hub"))
+    members = cut(shared.join(nodes.select("node", "set_id"), "node").join(hubs, "hub_node").select("segment", "set_id", "hub"), "members")
     facts = nodes.select("set_id", "n", "bitmap")
 
     def close(pairs: DataFrame) -> DataFrame:
@@ -230,7 +272,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
         apart = cut(still_apart(found), "apart")
 
     if not apart.isEmpty():
-        rest = cut(apart.join(facts, "set_id"), "rest").repartition("segment")
+        rest = cut(apart.join(facts, "set_id"), "rest")
         x, y = rest.alias("x"), rest.alias("y")
         across = x.join(
             y,

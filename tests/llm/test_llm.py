@@ -81,6 +81,27 @@ def test_jaccard_components(spark, docs, n, percent):
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(hard_rows(), n, percent)
 
 
+@pytest.mark.parametrize(("threshold", "finer"), [(0.8, False), (0.8, True), (0.9, True), (0.3, False)])
+def test_linked_sets_share_a_segment(monkeypatch, threshold, finer):
+    """Also where every first cut is too coarse to be sure; and no segment stands for an empty fragment."""
+    if finer:
+        real = jaccard_join.class_fragments
+        monkeypatch.setattr(jaccard_join, "class_fragments", lambda k, t: (real(k, t)[0], real(k, t)[0] + 1))
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 1 << 64, int(rng.integers(1, 120)), np.uint64))
+        most = int(len(a) * (1 - threshold) / (1 + threshold))  # gone and added alike
+        change = int(rng.integers(0, most + 1))
+        b = np.unique(np.r_[rng.permutation(a)[change:], rng.integers(0, 1 << 64, change, np.uint64)])
+        common_ = len(np.intersect1d(a, b))
+        if common_ < threshold * (len(a) + len(b) - common_):
+            continue
+        x, y = jaccard_join.segment_hashes(a, threshold), jaccard_join.segment_hashes(b, threshold)
+        assert len(np.intersect1d(x, y))
+    x = [jaccard_join.segment_hashes(np.unique(rng.integers(0, 1 << 64, 40, np.uint64)), threshold) for _ in range(50)]
+    assert len(np.unique(np.concatenate(x))) == sum(map(len, x))
+
+
 def test_jaccard_chain_of_near_copies(spark):
     rng = random.Random(3)
     parts, rows = [f"u{k}" for k in range(120)], []
