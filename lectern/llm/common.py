@@ -6,8 +6,10 @@ every machine, and never depend on Python's own string hash.
 
 from __future__ import annotations
 
+import atexit
 import gc
 import os
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -25,13 +27,16 @@ MASK = (1 << 64) - 1
 NULL_ID = -(1 << 63)
 #: log2 of the bits of a bitmap: 2 MiB, whatever the corpus.
 BITMAP_BITS = 24
-_PAGE = 32768
 
 
 def configure(spark: SparkSession) -> None:
-    """Bound what one Arrow batch holds: rows first, bytes for long texts. Python workers keep a few such batches."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    """Bound what one Arrow batch holds: rows first, bytes for long texts. Python workers keep a few such batches. A session's
+    own smaller bounds stay."""
+    for name, most in (("maxRecordsPerBatch", 1000), ("maxBytesPerBatch", 8 << 20)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,8 +46,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 class Cuts:
     """Tables written to the shared checkpoint folder and read back: lineage ends there and survives lost executors.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests) a folder is made. An operator
-    cuts what it returns last, then calls ``drop()``: all of its other tables are deleted.
+    The folder is the session's ``spark.checkpoint.dir``; where that is unset, a local master gets a folder of its own and
+    a cluster an error. An operator cuts what it returns last: all of its other tables are deleted then. What a returned
+    DataFrame reads from is deleted when the driver ends.
     """
 
     def __init__(self, spark: SparkSession) -> None:
@@ -52,6 +58,7 @@ class Cuts:
         path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
         df.write.parquet(path)
         self.paths.append(path)
+        atexit.register(delete, self.spark, path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def last(self, df: DataFrame, name: str) -> DataFrame:
@@ -65,16 +72,23 @@ class Cuts:
 
     def drop(self) -> None:
         for path in self.paths:
-            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+            delete(self.spark, path)
         self.paths = []
         gc.collect()
         self.spark._jvm.System.gc()  # shuffle files of finished steps go once the driver's garbage is collected
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file:///tmp/lectern-checkpoints-{os.getpid()}"
     return found.rstrip("/")
 
@@ -157,9 +171,11 @@ def ids(column: pa.Array) -> np.ndarray:
 
 
 def bitmap_of(hashes: DataFrame, column: str) -> DataFrame:
-    """Pages (at most 2**BITMAP_BITS / 32768 rows of 4 KiB) of a bitmap in which each hash of the column sets a bit."""
-    slot = F.pmod(F.col(column), F.lit(1 << BITMAP_BITS))
-    return hashes.select(F.floor(slot / _PAGE).cast("int").alias("page"), F.pmod(slot, F.lit(_PAGE)).alias("bit")).groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    """Pages (at most 2**BITMAP_BITS / 32768 rows of 512 longs) of a bitmap in which each hash of the column sets a bit."""
+    slot = F.col(column).bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
+    page, bit = F.shiftright(slot, 15).cast("int"), slot.bitwiseAND(F.lit(32767))
+    filled = hashes.select(page.alias("page"), bit.alias("bit")).groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    return filled.select("page", F.transform(F.sequence(F.lit(0), F.lit(511)), lambda i: F.conv(F.hex(F.substring("bits", i * 8 + 1, F.lit(8))), 16, -10).cast("long")).alias("bits"))
 
 
 def with_bitmap(df: DataFrame, hashes: DataFrame, column: str, tested: list[str], flags: bool = False) -> DataFrame:
@@ -168,12 +184,12 @@ def with_bitmap(df: DataFrame, hashes: DataFrame, column: str, tested: list[str]
     pages = bitmap_of(hashes, column)
     hit, out = F.lit(False), df
     for c in tested:
-        slot = F.pmod(F.col(c), F.lit(1 << BITMAP_BITS))
+        slot = F.col(c).bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
         own = F.broadcast(pages.select(F.col("page").alias(f"__page_{c}"), F.col("bits").alias(f"__bits_{c}")))
-        out = out.join(own, F.floor(slot / _PAGE).cast("int") == F.col(f"__page_{c}"), "left")
-        bit = F.pmod(slot, F.lit(_PAGE)).cast("int")
-        byte = F.conv(F.hex(F.substring(f"__bits_{c}", F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("long")
-        own_hit = F.coalesce(F.getbit(byte, F.pmod(bit, F.lit(8))), F.lit(0)) == 1
+        out = out.join(own, F.shiftright(slot, 15).cast("int") == F.col(f"__page_{c}"), "left")
+        word = F.get(f"__bits_{c}", F.shiftright(slot, 6).bitwiseAND(F.lit(511)).cast("int"))
+        # a page's bytes are read as big-endian longs: the byte's place in its long is mirrored
+        own_hit = F.coalesce(F.getbit(word, slot.bitwiseAND(F.lit(63)).bitwiseXOR(F.lit(56)).cast("int")), F.lit(0)) == 1
         hit = hit | own_hit
         out = out.withColumn(f"__hit_{c}", own_hit)
     return out.where(hit).select(*((F.col(f"__hit_{c}").alias(c) if flags and c in tested else c) for c in df.columns))
