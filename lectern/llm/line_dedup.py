@@ -7,6 +7,7 @@ Blank lines always stay; ``least_exact`` keeps equal lines of fewer words as wel
 
 Plan:
 
+0. Texts are cut into lines once: a narrow table of places, line hashes and hashes of halves. All steps read its columns.
 1. Two lines of m and m or m + 1 words within one edit have their first or their last floor(m / 2) words in common. So
    each line gives hashes of those halves (as the shorter and as the longer line of a pair). Halves that only one
    distinct line has are out of the search; those that several have are set in a bitmap of fixed size, the only thing
@@ -20,7 +21,9 @@ Plan:
 4. Lines that go are joined back by line hash and place, and texts are put together without them.
 
 Defined cases: a null text stays null and has no lines; an empty text has one empty line; a null doc_id sorts first;
-rows with one doc_id are one document (equal places are equally early); other columns stay as they are.
+rows with one doc_id are one document (equal places are equally early); other columns stay as they are, but that
+``line_dedup`` puts its own n_lines and n_removed in the place of such columns. A very long text costs its lines, not
+their square.
 """
 
 from __future__ import annotations
@@ -31,25 +34,22 @@ from pyspark.sql import functions as F
 from . import common
 
 LEAST_WORDS = 5
-SOME_WORD = r"[^\x20\x09-\x0D]"
-
-
-def lines_of(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """doc_id, row (hash of the text, tells rows of one doc_id apart), place, line (trimmed), words, h (hash of the line) of
-    the lines of at least so many words that are not blank."""
-    cut = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("row"), F.posexplode(F.split("text", "\n", -1)).alias("place", "raw"))
-    line = F.trim("raw")
-    words = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
-    return cut.select("doc_id", "row", "place", line.alias("line"), words.alias("words")).where((F.col("words") >= least) & F.col("line").rlike(SOME_WORD)).withColumn("h", F.xxhash64("line"))
-
-
+BLANKS = " \t\n\x0b\f\r"
 HALVES = ["p0", "s0", "p1", "s1"]
 
 
-def with_halves(lines: DataFrame) -> DataFrame:
-    """Hashes of the first and last floor(m / 2) words, for m the line's words (p0, s0) and one less (p1, s1)."""
+def lines_of(docs: DataFrame) -> DataFrame:
+    """doc_id, row (hash of the text, tells rows of one doc_id apart), place, line (trimmed), words, h and salt (hashes of the
+    line), and HALVES of the lines that are not blank: of lines of at least LEAST_WORDS words the hashes of the first and last
+    floor(m / 2) words, for m the line's words (p0, s0) and one less (p1, s1)."""
+    whole = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("row"), F.split("text", "\n", -1).alias("lines"))
+    cut = whole.select("doc_id", "row", F.posexplode("lines").alias("place", "raw")).select("doc_id", "row", "place", F.trim("raw").alias("line"))
+    some = cut.where(F.trim("line", F.lit(BLANKS)) != "")
+    words = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1
+    counted = some.select("*", words.alias("words"), F.xxhash64("line").alias("h"), F.hash("line").alias("salt"))
     half = lambda m, sign: F.expr(f"substring_index(line, ' ', cast({sign} * floor(({m}) / 2) as int))")
-    return lines.withColumns({f"{side}{k}": F.xxhash64(F.lit(side), F.expr(m), half(m, sign)) for side, sign in (("p", 1), ("s", -1)) for k, m in enumerate(("words", "words - 1"))})
+    halves = {f"{side}{k}": F.xxhash64(F.lit(side), F.expr(m), half(m, sign)) for side, sign in (("p", 1), ("s", -1)) for k, m in enumerate(("words", "words - 1"))}
+    return counted.select("*", *(F.when(F.col("words") >= LEAST_WORDS, x).alias(c) for c, x in halves.items()))
 
 
 def variants_of(lines: DataFrame) -> DataFrame:
@@ -73,13 +73,13 @@ def variants_of(lines: DataFrame) -> DataFrame:
     return rest.select("h", F.xxhash64("words", "i", "rest").alias("changed"), F.xxhash64(F.col("words") - 1, "rest").alias("added"))
 
 
-def near_repeats(docs: DataFrame) -> DataFrame:
-    """line, h of the distinct lines that an earlier line is one word edit away from (not equal to)."""
-    cut = common.Cuts(docs.sparkSession)
-    halves = with_halves(lines_of(docs)).select("h", F.explode(F.array(*HALVES)).alias("half"))
+def near_repeats(every: DataFrame, cut: common.Cuts) -> DataFrame:
+    """line, h of the distinct lines (of ``lines_of``) that an earlier line is one word edit away from (not equal to)."""
+    every = every.where(F.col("words") >= LEAST_WORDS)
+    halves = every.select("h", F.explode(F.array(*HALVES)).alias("half"))
     shared = cut(halves.groupBy("half").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("half"), "halves")
-    some = common.with_bitmap(with_halves(lines_of(docs)), shared, "half", HALVES, flags=True)
-    lines = cut(some.groupBy("h").agg(F.first("line").alias("line"), F.first("words").alias("words"), *(F.max(c).alias(c) for c in HALVES), F.min(F.struct("doc_id", "place")).alias("first")), "lines")
+    some = common.with_bitmap(every.select("h", "line", "words", *HALVES, "doc_id", "place"), shared, "half", HALVES, flags=True)
+    lines = cut(some.groupBy("h").agg(F.first("line").alias("line"), F.first("words").alias("words"), *(F.max(c).alias(c) for c in HALVES), F.min(F.struct("doc_id", "place")).alias("first")), "candidates")
     first = lines.select("h", "first")
     variants = variants_of(lines)
 
@@ -100,7 +100,7 @@ def near_repeats(docs: DataFrame) -> DataFrame:
     rows = lines.join(found, "h").select("h", "line", F.explode("near").alias("other"))
     partner = lines.select(F.col("first").alias("other"), F.col("line").alias("earlier"))
     near = rows.join(partner, "other").where(one_edit(F.split("line", " ", -1), F.split("earlier", " ", -1))).select("h", "line").distinct()
-    return cut.last(near, "near")
+    return cut(near, "near")
 
 
 def one_edit(a: Column, b: Column) -> Column:
@@ -114,29 +114,33 @@ def one_edit(a: Column, b: Column) -> Column:
 def removed_lines(docs: DataFrame, least_exact: int = LEAST_WORDS) -> DataFrame:
     """doc_id, row, places: the places of the lines that go, for each row of ``docs`` that loses some."""
     cut = common.Cuts(docs.sparkSession)
-    near = near_repeats(docs)
-    lines = lines_of(docs, least_exact).withColumn("salt", F.hash("line"))
+    every = cut(lines_of(docs), "lines")
+    near = near_repeats(every, cut)
+    lines = every.where(F.col("words") >= least_exact).select("doc_id", "row", "place", "h", "salt")
     at = F.struct("doc_id", "place")
     first = lines.groupBy("h", "salt").agg(F.min(at).alias("first"), F.max(at).alias("last"))
     gone = near.select("h", F.hash("line").alias("salt"), F.lit(True).alias("near"))
     judged = cut(first.join(gone, ["h", "salt"], "left").where("first < last OR near").select("h", "salt", "first", F.coalesce("near", F.lit(False)).alias("near")), "judged")
-    some = common.with_bitmap(lines.drop("line"), judged, "h", ["h"])
+    some = common.with_bitmap(lines, judged, "h", ["h"])
     out = some.join(judged, ["h", "salt"]).where(F.col("near") | (F.col("first") < at)).select("doc_id", "row", "place")
     return cut.last(out.groupBy("doc_id", "row").agg(F.collect_set("place").alias("places")), "removed")
 
 
+def kept_texts(docs: DataFrame, least_exact: int = LEAST_WORDS) -> DataFrame:
+    """own (a struct of all columns of ``docs``), text without its repeated lines, n_lines, n_removed."""
+    gone = removed_lines(docs.select("doc_id", "text"), least_exact)
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("row_text"), "text")
+    both = own.join(gone, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("row_text") == F.col("row")), "left").select("own", "text", "places")
+    cut = both.select("own", "text", "places", F.split("text", "\n", -1).alias("lines"))
+    n = F.coalesce(F.when(F.col("text").isNotNull(), F.size("lines")), F.lit(0))
+    # the places that stay by a hash set, so that a long text costs its lines
+    stay = F.when(F.size("places") > 0, F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "places"))
+    counted = cut.select("own", "text", "lines", n.alias("n"), stay.alias("stay"))
+    text = F.when(F.col("stay").isNull(), F.col("text")).otherwise(F.array_join(F.transform("stay", lambda i: F.get("lines", i)), "\n"))
+    return counted.select("own", text.alias("text"), F.col("n").cast("long").alias("n_lines"), F.when(F.col("stay").isNull(), 0).otherwise(F.col("n") - F.size("stay")).cast("long").alias("n_removed"))
+
+
 def line_dedup(docs: DataFrame, least_exact: int = LEAST_WORDS) -> DataFrame:
     """All columns of ``docs`` (with doc_id and text), the text without its repeated lines, and n_lines, n_removed."""
-    names = docs.columns
-    gone = removed_lines(docs.select("doc_id", "text"), least_exact).select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), F.col("places").alias("__places"))
-    own = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__row")), "left")
-    lines = F.split("text", "\n", -1)
-    kept = F.when(F.col("__places").isNull(), lines).otherwise(F.filter(lines, lambda _, i: ~F.array_contains("__places", i)))
-    found = own.withColumns({"__n": F.coalesce(F.size(lines), F.lit(0)), "__kept": kept})
-    n_kept = F.when(F.col("__kept").isNull(), 0).otherwise(F.size("__kept"))
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.col("__n"))
-    return found.select(
-        *(F.array_join("__kept", "\n").alias("text") if c == "text" else F.col(f"`{c}`") for c in names),
-        n.cast("long").alias("n_lines"),
-        (n - n_kept).cast("long").alias("n_removed"),
-    )
+    found = kept_texts(docs, least_exact)
+    return found.select(*("text" if c == "text" else F.col(f"own.`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")), "n_lines", "n_removed")
