@@ -344,6 +344,20 @@ def vocabulary():
     return path
 
 
+@pytest.mark.parametrize("text", [" " * 2_000_000 + "a", "\n" * 1_000_000, "x" * 1_000_000, (" " * 60_000 + "<|endoftext|>\t") * 3, "a b " * 30_000], ids=["spaces", "newlines", "word", "runs", "words"])
+def test_ids_of_long_texts(vocabulary, text):
+    from tokenizers import Tokenizer
+
+    assert packing.encoder(vocabulary)(text).tolist() == Tokenizer.from_file(vocabulary).encode(text, add_special_tokens=False).ids
+
+
+def test_packing_deals_repeated_rows_apart(spark, vocabulary, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD", 50)
+    got = packing.pack(spark.range(400).selectExpr("cast(null as long) AS doc_id", "'one two' AS text"), vocabulary, 256, 1).collect()
+    assert len(got) == 400 and len({r.sequence_id >> 40 for r in got}) == 8
+    assert packing.pack(empty(spark), vocabulary).count() == 0
+
+
 def test_packing(spark, docs, vocabulary):
     from tokenizers import Tokenizer
 
