@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm import common
 from lectern.llm.jaccard_join import one_of_each
-from lectern.llm.line_dedup import line_dedup
+from lectern.llm.line_dedup import kept_texts
 from lectern.llm.mixing import mix
 from lectern.llm.packing import pack
 from lectern.llm.quality_gam import fit_quality, keep_good
@@ -29,9 +29,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that stand earlier in the corpus; a document that loses all its text goes."""
-    kept = line_dedup(docs, least_exact=1)
-    left = kept.where(~((F.col("n_removed") > 0) & (F.trim("text") == "")))
-    return left.select(*(F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
+    left = kept_texts(docs, least_exact=1).where(~((F.col("n_removed") > 0) & (F.trim("text") == "")))
+    changed = {"text": F.col("text"), "n_chars": F.length("text")}
+    return left.select(*(changed[c].cast(docs.schema[c].dataType).alias(c) if c in changed else F.col(f"own.`{c}`") for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
