@@ -3,12 +3,14 @@
 Plan, in four moves:
 
 1. Each task cuts its rows into blocks of about BLOCK words, hashes every window (Rabin-Karp modulo 2**64 over 64-bit
-   word hashes) and keeps, for each hash, the block's earliest place; later places in the block are repeats already.
-   So a window that a third of the corpus holds leaves one entry a block: that is the pre-aggregation.
+   word hashes) and keeps, for each hash, the block's earliest place: that is the pre-aggregation. A window that a third
+   of the corpus holds leaves one entry a block. Later places in the block are repeats already; they go, packed, to the
+   buckets of their documents, so a common passage gathers nowhere.
 2. Entries go, packed, to buckets by the top bits of the hash. A bucket counts its hashes; of each that has several
-   places, all but the earliest (doc_id, start) are repeats.
-3. Repeats, and the texts, packed, go to buckets by document. There the repeats of a document merge into maximal
-   removal intervals.
+   places, all but the earliest (doc_id, start) are repeats. (Counting is a group of Spark's, its arithmetic numpy's:
+   windows as rows of their own would double what is shuffled.)
+3. Repeats, and the texts, packed, go to buckets by document and text; equal rows of a block go as one with a count.
+   There the repeats of a document merge into maximal removal intervals.
 4. How many buckets there are follows from the corpus' bytes, so one holds about the same at any size.
 
 Windows are judged on the input. Two windows count as equal when their 64-bit hashes are (see README for the odds).
@@ -22,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -116,14 +119,15 @@ def by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(b[s]), order[s:e]
 
 
-def doc_bucket(doc: np.ndarray, n: int) -> np.ndarray:
-    return (common.mix(doc.view(np.uint64)) & np.uint64(n - 1)).astype(np.int32)
+def doc_bucket(doc: np.ndarray, crc: np.ndarray, n: int) -> np.ndarray:
+    """By document and text: rows that share a doc_id spread."""
+    return (common.mix(doc.view(np.uint64) ^ common.mix(crc.astype(np.uint64) + np.uint64(1))) & np.uint64(n - 1)).astype(np.int32)
 
 
 def repeat_rows(doc: np.ndarray, crc: np.ndarray, start: np.ndarray, n: int) -> Iterator[tuple[int, int, bytes]]:
     order = np.lexsort((start, crc, doc))
     doc, crc, start = doc[order], crc[order], start[order]
-    for b, x in by_bucket(doc_bucket(doc, n)):
+    for b, x in by_bucket(doc_bucket(doc, crc, n)):
         yield b, REPEATS, pack_places(doc[x], crc[x], start[x])
 
 
@@ -159,32 +163,35 @@ def substring_dedup(docs: DataFrame, width: int = 20, with_text: bool = False) -
     bits = max(4, (n_text * TEXT_BUCKET // WINDOW_BUCKET).bit_length() - 1)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Hashes and places for buckets of hashes; negative buckets are those of documents and hold packed repeats."""
         for block in blocks(batches, BLOCK):
             h, doc, crc, start = window_places(block, width)
             later = later_places(h, doc, start)
-            rows = []
-            bucket = (h >> np.uint64(64 - bits)).astype(np.int32)
-            for b, x in by_bucket(bucket):
-                own, again = x[~later[x]], x[later[x]]
-                rows.append((b, h[own].tobytes(), pack_places(doc[own], crc[own], start[own]), pack_places(doc[again], crc[again], start[again])))
-            yield as_batch(rows, ["bucket", "hashes", "places", "repeats"], [pa.int32(), pa.binary(), pa.binary(), pa.binary()])
+            rows = [(-1 - b, b"", data) for b, _, data in repeat_rows(doc[later], crc[later], start[later], n_text)]
+            h, doc, crc, start = h[~later], doc[~later], crc[~later], start[~later]
+            for b, x in by_bucket((h >> np.uint64(64 - bits)).astype(np.int32)):
+                rows.append((b, h[x].tobytes(), pack_places(doc[x], crc[x], start[x])))
+            yield as_batch(rows, ["bucket", "hashes", "places"], [pa.int32(), pa.binary(), pa.binary()])
 
     def judge(group: pa.Table) -> pa.Table:
+        bucket = group.column("bucket")[0].as_py()
+        if bucket < 0:
+            return pa.Table.from_batches([row_batch([(-1 - bucket, REPEATS, x) for x in group.column("places").to_pylist()])])
         h = np.concatenate([np.frombuffer(x, "<u8") for x in group.column("hashes").to_pylist()])
         doc, crc, start = (np.concatenate(x) for x in zip(*map(unpack_places, group.column("places").to_pylist()), strict=True))
         later = later_places(h, doc, start)
-        again = [unpack_places(x) for x in group.column("repeats").to_pylist()]
-        doc, crc, start = (np.concatenate([a[later], *b]) for a, b in zip((doc, crc, start), zip(*again, strict=True), strict=True))
-        return pa.Table.from_batches([row_batch(list(repeat_rows(doc, crc, start, n_text)))])
+        return pa.Table.from_batches([row_batch(list(repeat_rows(doc[later], crc[later], start[later], n_text)))])
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, BLOCK):
+            count = Counter(zip(block.column("doc_id").to_pylist(), block.column("text").to_pylist(), strict=True))
+            part = pa.table({"doc_id": pa.array([k[0] for k in count], pa.int64()), "text": pa.array([k[1] for k in count], pa.large_string()), "copies": pa.array(count.values(), pa.int64())})
             rows = []
-            for b, x in by_bucket(doc_bucket(common.ids(block.column("doc_id")), n_text)):
+            for b, x in by_bucket(doc_bucket(common.ids(part.column("doc_id")), crc_of([k[1] for k in count]), n_text)):
                 sink = pa.BufferOutputStream()
-                part = block.take(pa.array(x)).combine_chunks()
-                with pa.ipc.new_stream(sink, part.schema) as w:
-                    w.write_table(part)
+                own = part.take(pa.array(x))
+                with pa.ipc.new_stream(sink, own.schema) as w:
+                    w.write_table(own)
                 rows.append((b, TEXTS, zstandard.compress(sink.getvalue(), 1)))
             yield row_batch(rows)
 
@@ -205,7 +212,7 @@ def substring_dedup(docs: DataFrame, width: int = 20, with_text: bool = False) -
             if k != TEXTS:
                 continue
             part = pa.ipc.open_stream(zstandard.decompress(data)).read_all()
-            for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+            for doc_id, text, copies in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "copies")), strict=True):
                 raw = (text or "").encode()
                 words = raw.split()
                 starts = repeats.get((common.NULL_ID if doc_id is None else doc_id, zlib.crc32(raw)))
@@ -218,10 +225,10 @@ def substring_dedup(docs: DataFrame, width: int = 20, with_text: bool = False) -
                     for s, e in zip(reversed(begin), reversed(end), strict=True):
                         del words[s:e]
                 kept = b" ".join(words)
-                out.append((doc_id, n, n - len(words), hashlib.sha256(kept).hexdigest(), spans, *([kept.decode()] if with_text else [])))
+                out += [(doc_id, n, n - len(words), hashlib.sha256(kept).hexdigest(), spans, *([kept.decode()] if with_text else []))] * copies
         return pa.Table.from_batches([as_batch(out, list(kinds), list(kinds.values()))])
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<start: long, end: long>>" + ", text string" * with_text
-    entries = docs.mapInArrow(windows, "bucket int, hashes binary, places binary, repeats binary")
+    entries = docs.mapInArrow(windows, "bucket int, hashes binary, places binary")
     judged = entries.groupBy("bucket").applyInArrow(judge, ROWS)
     return judged.union(docs.mapInArrow(texts, ROWS)).groupBy("bucket").applyInArrow(finish, schema)
