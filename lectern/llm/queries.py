@@ -36,7 +36,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio_features(store_audio(common.table(spark, sf_dir, "documents"))).drop("seek_offsets")
+    return audio_features(store_audio(common.table(spark, sf_dir, "documents")))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
