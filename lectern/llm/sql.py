@@ -43,16 +43,17 @@ select conv_id, count(*) as n_turns, sha256(string_agg(concat(role, chr(10), tex
   sum(case when role = 'assistant' or k = n then upto else 0 end)::bigint as formatted_chars, count(*) filter (role = 'assistant' or k = n) as n_examples
 from r group by conv_id"""
 
-LINES = f"""
+LINES = rf"""
 with a as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 as place, unnest(string_split(text, chr(10))) as raw from documents where text is not null),
 l as (select doc_id, place, raw, trim(raw, ' ') as line, string_split(trim(raw, ' '), ' ') as w from a),
-f as (select line, any_value(w) as w, min((doc_id, place)) as first from l where len(w) >= {LEAST_WORDS} group by line),
+every as (select line, any_value(w) as w, min((doc_id, place)) as first from l where regexp_matches(line, '[^\x20\x09-\x0D]') group by line),
+f as (select * from every where len(w) >= {LEAST_WORDS}),
 v as (select line, first, len(w) as n, unnest(range(1, len(w) + 1)) as i, w from f),
 d as (select line, first, n, i, array_to_string(list_concat(w[:i - 1], w[i + 1:]), ' ') as rest from v),
 near as (select x.line from d x join (select n, i, rest, min(first) as least from d group by all) g on g.n = x.n and g.i = x.i and g.rest = x.rest where g.least < x.first
   union select f.line from f join d on d.rest = f.line where d.first < f.first
   union select d.line from d join f on d.rest = f.line where f.first < d.first),
-j as (select l.doc_id, l.place, l.raw, len(l.w) >= {LEAST_WORDS} and (l.line in (select line from near) or f.first < (l.doc_id, l.place)) as gone from l left join f on f.line = l.line and len(l.w) >= {LEAST_WORDS}),
+j as (select l.doc_id, l.place, l.raw, f.first is not null and (l.line in (select line from near) or f.first < (l.doc_id, l.place)) as gone from l left join every f on f.line = l.line),
 k as (select doc_id, count(*) as n_lines, count(*) filter (gone) as n_removed, coalesce(string_agg(raw, chr(10) order by place) filter (not coalesce(gone, false)), '') as kept from j group by doc_id)
 select d.doc_id, coalesce(k.n_lines, 0) as n_lines, coalesce(k.n_removed, 0) as n_removed, case when d.text is null then null else sha256(k.kept) end as kept_sha256 from documents d left join k on k.doc_id = d.doc_id"""
 
