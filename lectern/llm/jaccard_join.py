@@ -297,7 +297,8 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     """
     found = jaccard_components(docs, words, percent)
     bare = F.col("set_id").isNull()
-    best = found.groupBy("component", F.when(bare, F.col("doc_id")).alias("bare_id"), F.when(bare, F.col("row_text")).alias("bare_text")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_text")).alias("x")).select(F.col("x.doc_id").alias("__id"), F.col("x.row_text").alias("__row"))
-    own = docs.withColumn("__text", F.xxhash64("text"))
-    kept = own.join(best, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__row")))
-    return kept.dropDuplicates(["__id", "__row"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    own = found.groupBy("component", F.when(bare, F.col("doc_id")).alias("bare_id"), F.when(bare, F.col("row_text")).alias("bare_text"))
+    best = own.agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_text")).alias("x")).select("x.doc_id", "x.row_text")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("row"))
+    kept = rows.join(best, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("row") == F.col("row_text")))
+    return kept.dropDuplicates(["id", "row"]).select(*(F.col(f"own.`{c}`") for c in docs.columns))
