@@ -441,30 +441,131 @@ def test_held_out_quality(spark):
     assert held_out_accuracy(spark, sf, quality_gam.score_quality(docs, model), "quality", quality_gam.fold(F.col("doc_id"), 4) == 2, 0.7) > 0.95
 
 
-def test_label_model_finds_accuracies_and_correlation():
-    rng = np.random.default_rng(1)
-    y = rng.random(20000) < 0.1
-    v = np.zeros((20000, toxicity.VOTERS))
-    for k in range(toxicity.VOTERS):
-        v[:, k] = rng.random(20000) < np.where(y, 0.7, 0.02)
-    v[:, 1] = v[:, 0]  # a voter that repeats another
-    codes, count = np.unique(toxicity.pattern(v), return_counts=True)
-    model = toxicity.fit_label_model(toxicity.unpack(codes), count.astype(float), 0.1)
-    assert abs(model.prior - 0.1) < 0.02 and np.abs(model.fire[1] - 0.7).max() < 0.05 and model.fire[0].max() < 0.04
-    assert model.correlation[1][0, 1] > 0.95 and model.discount[1][0] < 0.6
+def votes_of_dependent_voters(n, seed=1):
+    """Rows of a known class with VOTERS votes; the second voter mostly repeats the first."""
+    rng = np.random.default_rng(seed)
+    y = rng.random(n) < 0.1
+    v = (rng.random((n, toxicity.VOTERS)) < np.where(y, 0.7, 0.02)[:, None]).astype(float)
+    v[:, 1] = np.where(rng.random(n) < 0.95, v[:, 0], v[:, 1])
+    return y, v
 
 
-def test_toxicity_hard_rows(spark, docs):
+def test_label_model_finds_accuracies_and_dependence():
+    y, v = votes_of_dependent_voters(20000)
+    codes, count = np.unique(toxicity.pattern(v), return_counts=True)
+    v = toxicity.unpack(codes)
+    model = toxicity.fit_label_model(v, count.astype(float), np.where(v.sum(axis=1) > 3, 0.9, 0.05))
+    assert abs(model.prior - 0.1) < 0.02
+    child = 1 if model.parent[1] == 0 else 0
+    assert model.parent[child] == 1 - child
+    assert model.fire[1, child, 1] > 0.95 and model.fire[1, child, 0] < 0.1  # given the other's vote
+    others = [k for k in range(2, toxicity.VOTERS) if model.parent[k] < 0]
+    assert len(others) >= toxicity.VOTERS - 4 and np.abs(model.fire[1, others, 0] - 0.7).max() < 0.05 and model.fire[0, others, 0].max() < 0.04
+
+
+def slow_posterior(model, votes):
+    """Bayes' rule over the two classes, voter by voter."""
+    both = []
+    for c, share in ((0, 1 - model.prior), (1, model.prior)):
+        for k, vote in enumerate(votes):
+            rate = model.fire[c][k][int(votes[model.parent[k]]) if model.parent[k] >= 0 else 0]
+            rate = min(max(rate, 1e-5), 1 - 1e-5)
+            share *= rate if vote else 1 - rate
+        both.append(share)
+    return both[1] / sum(both)
+
+
+def test_label_model_against_brute_force():
+    _, v = votes_of_dependent_voters(300, 2)
+    tree = toxicity.dependence_tree(toxicity.dependence(v, np.stack([np.full(300, 0.9), np.full(300, 0.1)])))
+    # one step of estimation, row by row
+    q = np.where(v.sum(axis=1) > 3, 0.9, 0.05)
+    model = toxicity.maximised(v.astype(int), np.stack([1 - q, q]), tree)
+    assert abs(model.prior - (q.sum() + 1) / 302) < 1e-12
+    for c in (0, 1):
+        for k in range(toxicity.VOTERS):
+            w = [(q[i] if c else 1 - q[i]) for i in range(300)]
+            rate = (sum(w[i] * v[i, k] for i in range(300)) + 0.1) / (sum(w) + 1)
+            for u in (0, 1):
+                under = [i for i in range(300) if (v[i, tree[k]] if tree[k] >= 0 else 0) == u]
+                assert abs(model.fire[c, k, u] - (sum(w[i] * v[i, k] for i in under) + rate) / (sum(w[i] for i in under) + 1)) < 1e-9
+    assert np.allclose(toxicity.sigmoid(model.log_odds(v)), [slow_posterior(model, r) for r in v], atol=1e-9)
+    # patterns with counts say what rows say
+    codes, at, count = np.unique(toxicity.pattern(v), return_inverse=True, return_counts=True)
+    own = toxicity.unpack(codes)
+    x, y = toxicity.fit_label_model(v, np.ones(300), q), toxicity.fit_label_model(own, count.astype(float), np.where(own.sum(axis=1) > 3, 0.9, 0.05))
+    assert np.allclose(x.fire, y.fire) and (x.parent == y.parent).all()
+
+
+def slow_tree(information):
+    """The edges of a tree of most information, by Kruskal's rule."""
+    n = len(information)
+    group = list(range(n))
+    edges = set()
+    for _, i, j in sorted(((-information[i, j], i, j) for i in range(n) for j in range(i)), key=lambda x: x[0]):
+        if group[i] != group[j]:
+            edges.add((min(i, j), max(i, j)))
+            group = [group[j] if g == group[i] else g for g in group]
+    return edges
+
+
+def test_dependence_tree_against_brute_force():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        x = rng.random((7, 7))
+        x = x + x.T
+        parent = toxicity.dependence_tree(x)
+        assert {(min(k, p), max(k, p)) for k, p in enumerate(parent) if p >= 0} == slow_tree(x)
+
+
+def slow_words(text):
+    """A text's words and their beginnings, as hashes, with counts."""
+    from collections import Counter
+
+    import xxhash
+
+    count = Counter()
+    for word in (text or "").encode().split():
+        word = "".join(c.lower() if "A" <= c <= "Z" else c for c in word.decode())
+        plain = word.strip(toxicity.EDGE).lower()
+        count[xxhash.xxh3_64_intdigest(plain)] += 1
+        for n in toxicity.PREFIXES:
+            h = np.array([xxhash.xxh3_64_intdigest(plain[:n])], np.uint64) + np.uint64(n)
+            count[int(common.mix(h)[0])] += 1
+    return count
+
+
+def test_toxicity_against_brute_force(spark, docs):
     rng = random.Random(8)
-    rows = [(i, words(rng, 30) + (" grumble" if i % 5 == 0 else "")) for i in range(200)]
-    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(150)], "doc_id long, quality int, toxic int")
+    rows = [(i, words(rng, 30) + (" grumble" if i % 5 == 0 else "")) for i in range(600)]
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(450)], "doc_id long, quality int, toxic int")
     own = table(spark, rows)
     classifier, model, lexicons = toxicity.fit_toxicity(own, labels, F.lit(True))
     got = {r.doc_id: r.score for r in toxicity.score_toxicity(own, classifier).collect()}
-    assert all((got[i] >= 0.5) == (i % 5 == 0) for i in range(150, 200))
+    assert all((got[i] >= 0.5) == (i % 5 == 0) for i in range(450, 600))
+    weight = {int(w): x for w, x in zip(classifier.word, classifier.weight, strict=True)}
+    for text in [*(t for _, t in rows[:20]), *(t for _, t in hard_rows())]:
+        total = classifier.intercept
+        for h, n in slow_words(text).items():
+            total += sum(x for x, least in zip(weight.get(h, ()), toxicity.COUNTS, strict=False) if n >= least)
+        assert abs(classifier.score(pa.array([text], pa.string()))[0] - 1 / (1 + np.exp(-total))) < 1e-9
+        vote = toxicity.votes(pa.array([text], pa.string()), lexicons)[0]
+        held = slow_words(text)
+        fires = {int(k) for w, n, k in zip(lexicons.word, lexicons.least, lexicons.voter, strict=True) if held[int(w)] >= n}
+        assert {k for k in range(toxicity.VOTERS - 5) if vote[k]} == fires
     assert toxicity.score_toxicity(docs, classifier).count() == len(hard_rows())
-    toxicity.fit_toxicity(docs, labels.limit(0), F.lit(True))
-    assert toxicity.score_toxicity(empty(spark), classifier).count() == 0
+    none, _, _ = toxicity.fit_toxicity(docs, labels.limit(0), F.lit(True))
+    assert toxicity.score_toxicity(empty(spark), none).count() == 0
+    toxicity.fit_toxicity(empty(spark), labels, F.lit(True))
+
+
+def test_held_out_toxicity(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    classifier, _, _ = toxicity.fit_toxicity(docs, labels, quality_gam.fold(F.col("doc_id"), 5) != 0)
+    held = toxicity.score_toxicity(docs, classifier).where(quality_gam.fold(F.col("doc_id"), 5) == 0).join(labels, "doc_id")
+    right, told, toxic = held.agg(F.count_if((F.col("score") >= 0.5) & (F.col("toxic") == 1)), F.count_if(F.col("score") >= 0.5), F.count_if(F.col("toxic") == 1)).first()
+    assert right / told >= 0.95 and right / toxic >= 0.75
 
 
 def test_mixing(spark):
