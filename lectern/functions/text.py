@@ -5,8 +5,10 @@ Where a definition needs whitespace, Python's and JavaScript's sense is meant (`
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from functools import cache, reduce
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -80,14 +82,53 @@ def strip_tags(c: Column | str) -> Column:
     return F.regexp_replace(col(c), "<[^>]+>", " ")
 
 
-#: Named references that texts of library records hold; numeric ones are left as they are.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
+#: Whitespace in Unicode's sense, which character references bring in.
+WHITE = r"[\s\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
+#: A character reference, as browsers read one: decimal, hexadecimal, or a name.
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+
+
+def _code_point(n: Column) -> Column:
+    return F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+
+
+def unescape(c: Column | str) -> Column:
+    """HTML character references, named and numeric, decoded as browsers do. Names come from the standard library's table;
+    of an unknown name the longest beginning counts that is known without its semicolon."""
+    text = col(c)
+    names = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+    open_ends = F.from_json(F.lit(json.dumps(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))), "array<string>")
+    low = F.from_json(F.lit(json.dumps({n: bytes([n]).decode("cp1252", "replace").replace("\ufffd", chr(n)) for n in range(0x80, 0xA0)} | {0: "\ufffd", 13: "\r"})), "map<string,string>")
+
+    def numeric(s: Column) -> Column:
+        digits = F.ltrim(F.regexp_extract(s, "^#([0-9]+)", 1), F.lit("0"))
+        hexa = F.ltrim(F.regexp_extract(s, "^#[xX]([0-9a-fA-F]+)", 1), F.lit("0"))
+        is_hex = s.rlike("^#[xX]")
+        beyond = F.lit(1 << 30).cast("long")
+        n = F.when(is_hex, F.when(F.length(hexa) > 7, beyond).otherwise(F.conv(F.concat(F.lit("0"), F.substring(hexa, 1, 7)), 16, 10).cast("long"))).otherwise(F.when(F.length(digits) > 9, beyond).otherwise(F.concat(F.lit("0"), F.substring(digits, 1, 9)).cast("long")))
+        nothing = n.between(1, 8) | n.between(14, 31) | (n == 11) | n.between(0x7F, 0x9F) | n.between(0xFDD0, 0xFDEF) | (n % 0x10000 >= 0xFFFE)
+        return F.coalesce(F.try_element_at(low, n.cast("string")), F.when(n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), "\ufffd").when(nothing, "").otherwise(_code_point(n)))
+
+    def named(s: Column) -> Column:
+        known = F.get(F.filter(open_ends, lambda e: F.startswith(s, e)), F.lit(0))
+        return F.coalesce(F.try_element_at(names, s), F.concat(F.try_element_at(names, known), F.substring(s, F.length(known) + 1, F.length(s))), F.concat(F.lit("&"), s))
+
+    def decoded(reference: Column) -> Column:
+        s = F.substring(reference, F.lit(2), F.length(reference))
+        return F.when(F.startswith(s, F.lit("#")), numeric(s)).otherwise(named(s))
+
+    found = F.transform(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0)), decoded)
+    pieces = F.zip_with(F.split(text, REFERENCE, -1), found, lambda part, ref: F.concat(part, F.coalesce(ref, F.lit(""))))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(pieces, "")).otherwise(text)
 
 
 def clean_abstract(c: Column | str) -> Column:
-    """Tags to spaces, common entities decoded, whitespace squeezed, and a leading label (Abstract, Resumen) dropped."""
-    plain = reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), ENTITIES.items(), strip_tags(c))
-    return F.regexp_replace(squeeze(plain), r"^(?i:abstract|resumen)\b[\s:.\-–—]*", "")
+    """Tags to spaces, character references decoded, whitespace squeezed, and a leading label dropped with its separator."""
+    plain = F.trim(F.regexp_replace(unescape(strip_tags(c)), WHITE, " "))
+    # The labels and separators.
+    return F.regexp_replace(plain, r"^(Abstract|Resumen|ABSTRACT|RESUMEN)[\s:.\-‐-―]*", "")
 
 
 def note_preview(c: Column | str, length: int = 100) -> Column:
@@ -106,17 +147,22 @@ def display_name(first: Column, last: Column, single: Column | None = None) -> C
     return strip(F.concat(F.coalesce(first, F.lit("")), F.lit(" "), family))
 
 
+def one_decimal(x: Column, unit: str) -> Column:
+    """Rounded to one decimal; what stands exactly between two goes to the even one."""
+    return F.format_string(f"%.1f {unit}", F.when(x * 4 == F.floor(x * 4), F.bround(x, 1)).otherwise(x))
+
+
 def human_size_binary(c: Column | str) -> Column:
     """1024-based, one decimal from KB on."""
     n = col(c).cast("double")
     out = F.format_string("%.0f B", n)
     for k, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
-        out = F.when(n >= 1024.0**k, F.format_string(f"%.1f {unit}", n / 1024.0**k)).otherwise(out)
+        out = F.when(n >= 1024.0**k, one_decimal(n / 1024.0**k, unit)).otherwise(out)
     return out
 
 
 def human_size_decimal(c: Column | str) -> Column:
-    return F.format_string("%.1f MB", col(c).cast("double") / 1e6)
+    return one_decimal(col(c).cast("double") / 1e6, "MB")
 
 
 def version_tuple(c: Column | str) -> Column:
@@ -161,9 +207,13 @@ def roman_text(c: Column | str) -> Column:
     return F.when(n > 0, F.concat(*parts)).otherwise("")
 
 
+# Fixed value: a section number, up to four levels of one or two digits each, before a word.
+SECTION_NUMBER = r"^\s*(\d{1,2}(?:\.\d{1,2}){0,3})\.?\s+\S"
+
+
 def numbering_depth(c: Column | str) -> Column:
     """Depth of a leading section number: ``3.1.2. T`` is 3, no number 0."""
-    number = F.regexp_extract(col(c), r"^\s*(\d{1,3}(?:\.\d{1,3})*)\.?\s", 1)
+    number = F.regexp_extract(col(c), SECTION_NUMBER, 1)
     return F.when(number == "", 0).otherwise(F.size(F.split(number, r"\.")))
 
 
@@ -188,5 +238,6 @@ def is_page_number(c: Column | str) -> Column:
 
 
 def join_wrapped(head: Column, tail: Column) -> Column:
-    """Two lines of one title: a hyphen after a letter goes, else a space joins them."""
-    return F.when(head.rlike(r"\p{L}-$"), F.concat(F.regexp_replace(head, "-$", ""), tail)).otherwise(F.concat_ws(" ", F.nullif(head, F.lit("")), tail))
+    """Two lines of one title: a single hyphen at the end of the first goes, else a space joins them."""
+    first, second = F.regexp_replace(head, r"\s+$", ""), F.regexp_replace(tail, r"^\s+", "")
+    return F.when(first == "", second).when(first.rlike(r"(?<!-)-$"), F.concat(F.regexp_replace(first, "-$", ""), second)).otherwise(F.concat(first, F.lit(" "), second))

@@ -5,7 +5,7 @@ A null and an empty text are told apart in records and alike in checks for missi
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -130,16 +130,20 @@ def lint_combined_creators(creators: DataFrame) -> DataFrame:
 
 
 def lint_duplicate_titles(items: DataFrame) -> DataFrame:
-    """key, title, first: items whose normalised title an earlier item has."""
-    w = Window.partitionBy("norm").orderBy("scan_order")
-    own = items.select("key", "title", "scan_order", T.norm_title("title").alias("norm")).where("norm <> ''")
-    return own.withColumns({"first": F.first("key").over(w), "n": F.row_number().over(w)}).where("n > 1").select("key", "title", "first")
+    """key, title, first: items whose title (lower case, stripped; nothing else is folded) an earlier item has."""
+    at = F.struct("scan_order", "key")
+    own = items.select("key", "title", at.alias("at"), T.strip(F.lower("title")).alias("norm")).where("norm <> ''")
+    first = own.groupBy("norm").agg(F.count("*").alias("n"), F.min("at").alias("least")).where("n > 1")
+    return own.join(first, "norm").where("at <> least").select("key", "title", F.col("least.key").alias("first"))
 
 
-def lint_report(items: DataFrame) -> DataFrame:
-    """rule, n for the checks of single items, in one pass."""
+def lint_report(items: DataFrame, creators: DataFrame | None = None) -> DataFrame:
+    """rule, n of all four checks; ``creators`` (item_key, ord, name) are those written in a single field."""
     one = items.agg(F.count_if(T.is_blank("date")).alias("no_date"), F.count_if(T.is_blank("last_name") & T.is_blank("first_name")).alias("no_creators"))
-    return one.select(F.explode(F.array(*(F.struct(F.lit(n).alias("rule"), F.col(n).alias("n")) for n in ("no_date", "no_creators")))).alias("x")).select("x.*")
+    one = one.select(F.explode(F.array(*(F.struct(F.lit(n).alias("rule"), F.col(n).alias("n")) for n in ("no_date", "no_creators")))).alias("x")).select("x.*")
+    combined = lint_combined_creators(creators) if creators is not None else items.select("key").limit(0)
+    counted = lambda df, rule: df.agg(F.count("*").alias("n")).select(F.lit(rule).alias("rule"), "n")
+    return one.unionByName(counted(combined, "combined_creators")).unionByName(counted(lint_duplicate_titles(items), "duplicate_titles"))
 
 
 def notes_preview(notes: DataFrame, items: DataFrame) -> DataFrame:

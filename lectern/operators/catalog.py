@@ -30,12 +30,13 @@ def in_collection(items: DataFrame, membership: DataFrame, collection: str) -> D
 
 
 def descendants(collections: DataFrame, root: str) -> DataFrame:
-    """key, depth of the collection and all below it."""
+    """key, depth of the collection and all below it, however deep; a path ends where it would meet a key again. (The
+    session's limit on recursion, spark.sql.cteRecursionLevelLimit, raises an error; nothing is lost silently.)"""
     return collections.sparkSession.sql(
-        f"""with recursive tree(key, depth) as (
-              select key, 0 from {{c}} where key = {{root}}
+        """with recursive tree(key, depth, path) as (
+              select key, 0, concat('/', key, '/') from {c} where key = {root}
               union all
-              select c.key, t.depth + 1 from tree t join {{c}} c on c.parent_key = t.key where t.depth < {MOST_PARENTS})
+              select c.key, t.depth + 1, concat(t.path, c.key, '/') from tree t join {c} c on c.parent_key = t.key where not contains(t.path, concat('/', c.key, '/')))
             select key, min(depth) as depth from tree group by key""",
         c=collections,
         root=root,
@@ -70,7 +71,7 @@ def by_keys(items: DataFrame, keys: list[str], citekeys: DataFrame | None = None
     if citekeys is not None:
         named = asked.where(~(F.col("plain") & F.col("asked").rlike(ITEM_KEY)))
         direct = direct.union(named.join(citekeys, named.asked == citekeys.citekey).select("key"))
-    return items.join(F.broadcast(direct), "key", "left_semi")
+    return items.join(direct, "key", "left_semi")
 
 
 def unresolved(items: DataFrame, keys: list[str]) -> DataFrame:
@@ -106,6 +107,11 @@ def tags_with_counts(item_tags: DataFrame) -> DataFrame:
     return item_tags.groupBy("tag").agg(F.countDistinct("item_key").alias("n_items"))
 
 
+def keys_of(items: DataFrame) -> DataFrame:
+    """Keys alone: only that column is read."""
+    return items.select("key")
+
+
 def page_of(df: DataFrame, order: list[Column], limit: int = 25) -> tuple[DataFrame, int]:
     """The first rows in an order, and how many there are in all."""
     return df.orderBy(*order).limit(limit), df.count()

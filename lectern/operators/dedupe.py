@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
 BLOCK = 6
 THRESHOLD = 0.9
+#: Rows from which a block's titles must also share rare groups of GRAM letters.
+CROWDED, GRAM = 1000, 3
 # Item types that are cited in their own right.
 FORMAL = ["book", "bookSection", "journalArticle", "conferencePaper", "thesis", "report", "dataset", "preprint", "manuscript", "encyclopediaArticle"]
 
@@ -36,17 +38,38 @@ def singletons(items: DataFrame) -> DataFrame:
     return own.select("k", "key", "scan_order", F.substring("k", 1, BLOCK).alias("block"))
 
 
-def fuzzy_pairs(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def fuzzy_pairs(items: DataFrame, threshold: float = THRESHOLD, crowded: int = CROWDED) -> DataFrame:
     """key_a, key_b, similarity: singletons of a block whose title keys are alike. Lengths join the block as bands, so a
-    block is compared with neighbours in length only."""
+    block is compared with neighbours in length only. In a block of more than ``crowded`` rows, titles also share one of
+    their rarest letter groups, which any two that are alike must (``rare_grams``)."""
     own = singletons(items).withColumn("n", F.length("k"))
+    crowd = own.groupBy("block").agg(F.count("*").alias("rows")).select("block", (F.col("rows") > crowded).alias("crowd"))
+    placed = own.join(crowd, "block")
+    meet = placed.where("not crowd").withColumn("meet", F.lit("")).drop("crowd").unionByName(rare_grams(placed.where("crowd").drop("crowd"), threshold))
     step = 8
-    a = own.withColumn("band", F.floor(F.col("n") / step)).alias("a")
+    a = meet.withColumn("band", F.floor(F.col("n") / step)).alias("a")
     most = F.ceil(F.col("n") * (1 / threshold - 1) / step) + 1  # bands that a longer partner may be ahead
-    b = own.withColumn("band", F.explode(F.sequence(F.greatest(F.floor(F.col("n") / step) - F.ceil(F.col("n") * (1 - threshold) / step) - 1, F.lit(0)), F.floor(F.col("n") / step) + most))).alias("b")
+    b = meet.withColumn("band", F.explode(F.sequence(F.greatest(F.floor(F.col("n") / step) - F.ceil(F.col("n") * (1 - threshold) / step) - 1, F.lit(0)), F.floor(F.col("n") / step) + most))).alias("b")
     near = T.similar(F.col("a.k"), F.col("b.k"), threshold)
-    joined = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.scan_order") < F.col("b.scan_order")) & near)
-    return joined.select(F.col("a.key").alias("key_a"), F.col("b.key").alias("key_b"), F.round(T.levenshtein_similarity(F.col("a.k"), F.col("b.k")), 6).alias("similarity"))
+    joined = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.meet") == F.col("b.meet")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.scan_order") < F.col("b.scan_order")) & near)
+    return joined.select(F.col("a.key").alias("key_a"), F.col("b.key").alias("key_b"), F.round(T.levenshtein_similarity(F.col("a.k"), F.col("b.k")), 6).alias("similarity")).distinct()
+
+
+def rare_grams(rows: DataFrame, threshold: float) -> DataFrame:
+    """``rows`` (with block, k, n), each once for each of its rarest letter groups (``meet``).
+
+    An edit changes at most GRAM groups. A key of n letters is alike to others within d = n * (1 / threshold - 1) edits, so of
+    its GRAM * d + 1 rarest groups of the block one is among the other's (prefix filtering). Keys with too few groups meet
+    each other under the empty one as well.
+    """
+    listed = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.col("n") - GRAM + 1, F.lit(1))), lambda i: F.substring("k", i, F.lit(GRAM))))
+    d = F.floor(F.col("n") * (1 / threshold - 1) + 1e-9)
+    each = rows.select("*", (GRAM * d + 1).alias("need"), F.size(listed).alias("have"), F.explode(listed).alias("meet"))
+    often = each.groupBy("block", "meet").agg(F.count("*").alias("often"))
+    rank = F.row_number().over(Window.partitionBy("block", "k").orderBy("often", "meet"))
+    rare = each.join(often, ["block", "meet"]).withColumn("rank", rank).where("rank <= need")
+    poor = rare.where("have < need AND rank = 1").withColumn("meet", F.lit(""))
+    return rare.unionByName(poor).select(*rows.columns, "meet")
 
 
 def fuzzy_clusters(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -89,21 +112,29 @@ def merge_confidence(group: Column) -> Column:
 
 
 def group_verdicts(items: DataFrame, by: str = "title") -> DataFrame:
-    """k, confident, reason for each exact group, from distinct values only: a group of any size keeps a few short sets."""
+    """k, n, confident, reason for each exact group; an ``edition`` column is judged if there is one.
+
+    Names are alike when each contains the other or is contained. Containment is transitive, so a group's distinct names
+    need only be compared with the next longer one, in order: nothing of a group is gathered.
+    """
     own = with_key(items, by)
-    author, formal = T.norm_title(F.coalesce("last_name", F.lit(""))), F.when(F.col("type").isin(FORMAL), F.col("type"))
+    edition = T.norm_title(F.coalesce(F.col("edition").cast("string"), F.lit(""))) if "edition" in items.columns else F.lit("")
     year = T.year_of(F.coalesce("date", F.lit("")))
     sums = own.groupBy("k").agg(
-        F.count("*").alias("n"), F.collect_set(F.when(author != "", author)).alias("authors"), F.min(year).alias("low"), F.max(year).alias("high"), F.sort_array(F.collect_set(formal)).alias("types")
+        F.count("*").alias("n"), F.min(year).alias("low"), F.max(year).alias("high"), F.min(F.nullif(edition, F.lit(""))).alias("one"), F.max(F.nullif(edition, F.lit(""))).alias("other"),
+        F.sort_array(F.collect_set(F.when(F.col("type").isin(FORMAL), F.col("type")))).alias("types"),  # of ten at most
     ).where("n > 1")
-    alike = F.forall("authors", lambda a: F.forall(F.col("authors"), lambda b: F.contains(a, b) | F.contains(b, a)))
+    names = own.select("k", T.norm_title(F.coalesce("last_name", F.lit(""))).alias("name")).where("name <> ''").distinct()
+    longer = F.lead("name").over(Window.partitionBy("k").orderBy(F.length("name"), "name"))
+    apart = names.select("k", (~F.contains(longer, F.col("name"))).alias("apart")).where("apart").select("k").distinct().withColumn("apart", F.lit(True))
     reason = (
-        F.when(~alike, "different authors")
+        F.when(F.col("apart"), "different authors")
+        .when(F.col("one") != F.col("other"), "different editions")
         .when(F.coalesce(F.col("high") - F.col("low"), F.lit(0)) > 1, F.concat(F.lit("years "), F.col("low").cast("string"), F.lit("-"), F.col("high").cast("string")))
         .when(F.size("types") > 1, F.concat(F.lit("different item types ("), F.array_join("types", ", "), F.lit(")")))
         .otherwise("")
     )
-    return sums.select("k", "n", (reason == "").alias("confident"), reason.alias("reason"))
+    return sums.join(apart, "k", "left").select("k", "n", (reason == "").alias("confident"), reason.alias("reason"))
 
 
 def merge_plan(items: DataFrame, by: str = "title") -> DataFrame:
@@ -130,11 +161,34 @@ def remap_children(children: DataFrame, plan: DataFrame, column: str = "item_key
 
 
 def duplicate_probe(items: DataFrame, probes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """probe_id, key, similarity: items that a new record (probe_id, title, last_name) may repeat. An item's title holds the
-    probe's first four words longer than two characters; the longest of them, the likeliest to be rare, is the join key."""
-    words = F.slice(F.filter(F.split(T.norm_title("title"), " "), lambda w: F.length(w) > 2), 1, 4)
-    p = probes.select("probe_id", T.norm_title("title").alias("p"), F.lower("last_name").alias("p_name"), words.alias("words")).withColumn("word", F.array_max(F.transform("words", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]).where("word is not null")
-    i = items.select("key", T.norm_title("title").alias("t"), F.lower("last_name").alias("t_name"))
-    i = i.withColumn("word", F.explode(F.array_distinct(F.split("t", " "))))
-    near = F.forall("words", lambda w: F.contains(F.col("t"), w)) & T.similar(F.col("p"), F.col("t"), threshold) & ((F.col("p_name") == "") | (F.col("p_name") == F.col("t_name")))
-    return p.join(i, "word").where(near).select("probe_id", "key", F.round(T.levenshtein_similarity(F.col("p"), F.col("t")), 6).alias("similarity"))
+    """probe_id, key, similarity: for a new record (probe_id, title, last_name) the first item that it may repeat. The item's
+    title, in any case, holds the phrase of the probe's first four words longer than two characters, the whole titles are
+    alike, and so is the name (if the probe has one). Accents are not folded.
+
+    Equal items and equal probes meet once. Rows meet on two words and a length band, not on one frequent word: the second
+    and third word of a phrase of four stand whole and side by side in any title that holds it. Shorter phrases meet on
+    three letters that a hash picks; only items whose length is near such a probe's give their letters.
+    """
+    step = 8
+    words = F.slice(F.filter(F.split(T.dedupe_key("title"), " "), lambda w: F.length(w) > 2), 1, 4)
+    named = T.dedupe_key(F.coalesce("last_name", F.lit("")))
+    asked = probes.select("probe_id", T.dedupe_key("title").alias("p"), named.alias("p_name"), words.alias("words")).where(F.size("words") > 0)
+    p = asked.select("p", "p_name", "words", F.array_join("words", " ").alias("phrase")).distinct()
+    low, high = F.floor(F.ceil(F.length("p") * threshold) / step), F.floor(F.floor(F.length("p") / threshold) / step)
+    grams = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3)))
+    picked = F.array_min(F.transform(grams(F.col("phrase")), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))["g"]
+    four = F.size("words") == 4
+    p = p.select("p", "p_name", "phrase", F.when(four, F.concat_ws(" ", F.get("words", F.lit(1)), F.get("words", F.lit(2)))).otherwise(picked).alias("meet"), four.alias("pair"), F.explode(F.sequence(low, high)).alias("band"))
+    i = items.groupBy(F.lower("title").alias("raw"), T.dedupe_key("title").alias("t"), named.alias("t_name")).agg(F.min(F.struct("scan_order", "key")).alias("first"))
+    i = i.withColumn("band", F.floor(F.length("t") / step))
+    tokens = F.split("raw", " ")
+    rest = F.greatest(F.size(tokens) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(tokens, F.lit(1), rest), F.slice(tokens, F.lit(2), rest), lambda a, b: F.concat_ws(" ", a, b))
+    by_pair = i.select("*", F.explode(F.array_distinct(pairs)).alias("meet"), F.lit(True).alias("pair"))
+    short = i.join(p.where("not pair").select("band").distinct(), "band", "left_semi").where("length(raw) > 2")
+    by_gram = short.select(*i.columns, F.explode(F.array_distinct(grams(F.col("raw")))).alias("meet"), F.lit(False).alias("pair"))
+    near = F.contains(F.col("raw"), F.col("phrase")) & T.similar(F.col("p"), F.col("t"), threshold) & ((F.col("p_name") == "") | (F.col("p_name") == F.col("t_name")))
+    met = p.join(by_pair.unionByName(by_gram), ["meet", "pair", "band"]).where(near)
+    best = met.groupBy("p", "p_name", "phrase").agg(F.min_by(F.struct("first.key", "t"), "first.scan_order").alias("x"))
+    found = asked.withColumn("phrase", F.array_join("words", " ")).join(best, ["p", "p_name", "phrase"])
+    return found.select("probe_id", "x.key", F.round(T.levenshtein_similarity(F.col("p"), F.col("x.t")), 6).alias("similarity"))

@@ -96,6 +96,21 @@ def add_notes(notes: DataFrame, new: DataFrame, if_not_exists: bool = False) ->
     return notes.select("item_key", "html").unionByName(made)
 
 
+def attach(attachments: DataFrame, items: DataFrame, new: DataFrame) -> DataFrame:
+    """``attachments`` with rows for new ones (key, parent_key, file, url, link): exactly one of file and url, under a regular
+    item, else an error. A file is kept (``file``), a url as ``link`` or, without it, as a ``snapshot``; bytes are the host's."""
+    parent = items.select(F.col("key").alias("parent_key"), F.lit(True).alias("known"), F.col("type").isin("attachment", "note").alias("child"))
+    file, url = F.coalesce("file", F.lit("")) != "", F.coalesce("url", F.lit("")) != ""
+    rows = new.join(parent, "parent_key", "left")
+    wrong = F.when(file == url, F.concat(F.col("key"), F.lit(": exactly one of file and url"))).when(F.col("known").isNull(), F.concat(F.lit("no item "), F.col("parent_key"))).when(F.col("child"), F.concat(F.col("parent_key"), F.lit(" is not a regular item")))
+    mode = F.when(wrong.isNotNull(), F.raise_error(wrong).cast("string")).when(file, "file").when(F.coalesce("link", F.lit(False)), "link").otherwise("snapshot")
+    own = rows.select("key", "parent_key", mode.alias("mode"), F.when(file, F.col("file")).otherwise(F.col("url")).alias("source"))
+    missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in attachments.schema if f.name not in own.columns]
+    base = [c if c in attachments.columns else F.lit(None).cast("string").alias(c) for c in own.columns]
+    names = [*attachments.columns, *(c for c in own.columns if c not in attachments.columns)]
+    return attachments.select("*", *(c for c in base if not isinstance(c, str))).select(*names).unionByName(own.select("*", *missing).select(*names))
+
+
 def fetch_status(items: DataFrame, attachments: DataFrame, fetched: DataFrame, wanted: DataFrame, retry: bool = False) -> DataFrame:
     """key, status of open-access fetches: not-found, has-pdf, attached, error, none (fetched: key, ok)."""
     has = attachments.where((F.col("content_type") == "application/pdf") & ~F.col("deleted")).select(F.col("parent_key").alias("key"), F.lit(True).alias("has")).distinct()

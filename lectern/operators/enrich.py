@@ -72,16 +72,17 @@ def item_facts(items: DataFrame) -> DataFrame:
 
 def verify(items: DataFrame, candidates: DataFrame, floor: float = FLOOR, exact: bool = True) -> DataFrame:
     """item_key, rank, doi, similarity, reason of every candidate among the first ROWS. ``exact`` uses the gestalt ratio, on
-    the pairs that its upper bound lets through; else the Levenshtein similarity, in the JVM."""
+    the pairs that its upper bound lets through (the others, rejected for their titles, have a null similarity); else the
+    Levenshtein similarity, in the JVM."""
     both = item_facts(items).select("key", F.col("title").alias("item_title"), "item_year", "surname").join(candidates.where(F.col("rank") <= ROWS), F.col("key") == F.col("item_key"))
     both = both.withColumns({"a": T.norm_title("item_title"), "b": T.norm_title("title")})
     if exact:
         may = S.ratio_bound(F.col("a"), F.col("b")) >= floor
-        likeness = S.title_ratio(F.when(may, F.col("a")), F.when(may, F.col("b")))
+        likeness = F.when(may, S.title_ratio(F.when(may, F.col("a")), F.when(may, F.col("b"))))
     else:
         likeness = T.levenshtein_similarity(F.col("a"), F.col("b"))
     scored = both.withColumn("similarity", likeness)
-    reason = verdict(F.col("similarity"), F.col("item_year"), F.col("surname"), F.col("year"), F.array("author"), floor)
+    reason = verdict(F.coalesce("similarity", F.lit(0.0)), F.col("item_year"), F.col("surname"), F.col("year"), F.array("author"), floor)
     return scored.select("item_key", "rank", "doi", F.round("similarity", 6).alias("similarity"), reason.alias("reason"))
 
 

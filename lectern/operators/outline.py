@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import written
 
 # Words that open a chapter or label an exhibit; such a line with a number is no contents entry.
 STRUCTURAL = [
@@ -21,6 +22,25 @@ STRUCTURAL = [
 ]
 # Characters that lead from a title to its page number.
 LEADERS = ".·•․‥…‧_-–—"
+# Patterns of a caption, a numbered heading, a sentence bound, the heading of a contents page, the heading of
+# a list of exhibits, and a row of such a list.
+CAPTION = r"(?iu)^(figura|figure|fig\.?|tabla|table|cuadro|gr[aá]fico|graph|chart|ilustraci[oó]n|plate|map|mapa|ecuaci[oó]n|equation)\s*\d"
+NUMBERED = (
+    r"(?iu)^\s*(?:(?:cap[ií]tulo|chapter|parte|part|secci[oó]n|section|anexo|ap[eé]ndice|appendix|tomo|libro|book|unidad|unit|tema)\s+(?:\d{1,3}|[ivxlcdm]{1,7})\b"
+    r"|\d{1,2}(?:\.\d{1,2}){0,3}\.?\s+\S|[IVXLCDM]{1,7}\.\s+\S)"
+)
+PROSE = r"""[.;:!?]\s+[a-záéíóúüñ¿¡“"'(\[]"""
+CONTENTS = (
+    r"(?iu)\b(contents?|table\s+of\s+contents|[ií]ndice(?:\s+general)?|contenidos?|tabla\s+de\s+contenidos?|sumario|inhalt(?:sverzeichnis)?|sommaire|"
+    r"table\s+des\s+mati[eè]res|conte[uú]do|indice)\b"
+)
+EXHIBIT_LIST = (
+    r"(?iu)\b(?:[ií]ndice|lista|listado|tabla|table|list|relaci[oó]n)\s+(?:de\s+|of\s+|des\s+)?(?:las\s+|los\s+|the\s+)?"
+    r"(tablas?|cuadros?|mapas?|gr[aá]ficos?|figuras?|ilustraciones|im[aá]genes|fotograf[ií]as?|recuadros?|anexos?|siglas|abreviaturas|acr[oó]nimos|"
+    r"tables?|figures?|maps?|charts?|illustrations?|plates?|boxes|abbreviations|acronyms)\b"
+)
+EXHIBIT_ROW = r"(?iu)^(?:tablas?|cuadros?|mapas?|gr[aá]ficos?|figuras?|fig\.?|ilustraci[oó]n|recuadros?|fotos?|im[aá]genes?|tables?|charts?|maps?|plates?|boxes?)\s*\d"
+EXHIBIT_SHARE, EXHIBIT_ROWS, HEAD, LEAST_ROWS, DENSE, FRONT = 0.3, 4, 400, 4, 0.4, 0.2
 ROMAN_CEILING, MAX_LEVEL, TOLERANCE = 200, 6, 4.0
 NEEDLE, LEAST_NEEDLE, RADIUS = 40, 8, 2
 CAP, THRESHOLD, REPEATED = 400, 5, 3
@@ -102,13 +122,18 @@ def verify_pages(entries: DataFrame, page_text: DataFrame) -> DataFrame:
     return out.select("doc_id", "ord", "title", "printed", "roman", F.coalesce("x.__page", "page").alias("page"), confidence.alias("confidence"))
 
 
-def repair_pages(verified: DataFrame) -> DataFrame:
-    """Unverified entries moved by the median (toward zero) of their series' verified differences, if three or more are."""
-    ok = F.col("confidence").isin("verified", "verified-shifted")
+def repair_pages(verified: DataFrame, page_text: DataFrame) -> DataFrame:
+    """Unverified entries moved by the median (toward zero) of their series' verified differences, if three or more are and
+    the document has such a page; what is moved (``consensus``) is looked for again around its new page."""
+    ok = F.col("confidence").startswith("verified")
     median = verified.where(ok).groupBy("doc_id", "roman").agg(F.count("*").alias("n"), F.median(F.col("page") - F.col("printed")).cast("int").alias("delta")).where("n >= 3").drop("n")
-    moved = verified.join(median, ["doc_id", "roman"], "left")
-    move = ~ok & F.col("delta").isNotNull()
-    return moved.select("doc_id", "ord", "title", "printed", "roman", F.when(move, F.col("printed") + F.col("delta")).otherwise(F.col("page")).alias("page"), F.when(move, "consensus").otherwise(F.col("confidence")).alias("confidence"))
+    ends = page_text.groupBy("doc_id").agg(F.max("page").alias("last"))
+    own = verified.join(median, ["doc_id", "roman"], "left").join(ends, "doc_id", "left").withColumn("to", (F.col("printed") + F.col("delta")).cast("int"))
+    move = ~ok & F.col("to").between(1, F.col("last")) & (F.col("to") != F.col("page"))
+    own = own.withColumn("move", F.coalesce(move, F.lit(False)))
+    names = ["doc_id", "ord", "title", "printed", "roman"]
+    moved = verify_pages(own.where("move").select(*names, F.col("to").alias("page"), F.lit("consensus").alias("confidence")), page_text)
+    return own.where("not move").select(*names, "page", "confidence").unionByName(moved)
 
 
 def glued_numbers(rows: DataFrame) -> DataFrame:
@@ -156,9 +181,6 @@ def text_measure(lines: DataFrame, body: DataFrame) -> DataFrame:
     return rank.where(F.col("k") == F.least(F.floor(F.col("n") * 0.9), F.col("n") - 1)).select("doc_id", F.col("w").alias("measure"))
 
 
-CAPTION = r"(?i)^(?:tabla|table|cuadro|mapa|map|gr[aá]fico|chart|figura|figure|fig\.|foto|fuente|source)\s*[\d.:]"
-
-
 def heading_score() -> Column:
     """Points of a line beside its document's body and measure; 0 when a gate keeps it out."""
     text, size, body = F.trim("text"), F.col("size"), F.col("body")
@@ -166,14 +188,14 @@ def heading_score() -> Column:
     width = F.col("x1") - F.col("x0")
     out = (
         (F.col("y") < 0.06 * F.col("page_height")) | (F.col("y") > 0.93 * F.col("page_height")) | (F.length(text) < 3) | (F.length(text) > 110) | (words > 20) | text.rlike(CAPTION)
-        | ((body > 0) & (size < body - 0.4)) | text.rlike(r"[.!?]\s+[\p{Ll}(«“]") | ((body > 0) & (size < 1.35 * body) & (F.col("measure") > 0) & (width > 0.85 * F.col("measure")))
+        | ((body > 0) & (size < body - 0.4)) | text.rlike(PROSE) | ((body > 0) & (size < 1.35 * body) & (F.col("measure") > 0) & (width > 0.85 * F.col("measure")))
     )
     centred = F.abs((F.col("x0") + F.col("x1")) / 2 - F.col("page_width") / 2) < 0.04 * F.col("page_width")
     points = [
         F.when((body > 0) & (size > 1.12 * body), 3),
         F.when((body > 0) & (size > 1.35 * body), 2),
-        F.when(F.col("bold") & (size >= body), 2),
-        F.when(T.numbering_depth(text) > 0, 3),
+        F.when(F.col("bold") & ((body <= 0) | (size >= body)), 2),
+        F.when(text.rlike(NUMBERED), 3),
         F.when((text == F.upper(text)) & (text != F.lower(text)) & (F.length(text) > 4), 1),
         F.when(F.col("lines_in_block") <= 2, 1),
         F.when(~text.rlike("[.,;:]$"), 1),
@@ -194,29 +216,32 @@ def running_heads(lines: DataFrame) -> DataFrame:
 
 
 def merge_wrapped(scored: DataFrame) -> DataFrame:
-    """Headings that wrap over up to three lines (same page, size, weight; close below) as one; the first line's place, the best score."""
+    """Headings that wrap over up to three lines (same page, size, weight; below the first line's top by 1.8 of the heading's
+    height so far at most) as one; the first line's place, the best score."""
     row = F.struct("page", "y", "ord", "y1", F.trim("text").alias("text"), "size", "bold", "score")
     docs = scored.groupBy("doc_id").agg(F.sort_array(F.collect_list(row)).alias("rows"))
-    state = "array<struct<page:int,y:double,ord:bigint,last:double,high:double,text:string,size:double,bold:boolean,score:int,n:int>>"
+    state = "array<struct<page:int,y:double,ord:bigint,y1:double,text:string,size:double,bold:boolean,score:int,n:int>>"
 
     def step(acc: Column, x: Column) -> Column:
         last = F.get(acc, F.size(acc) - 1)
-        high = F.greatest(x["y1"] - x["y"], F.lit(1.0))
-        dy = x["y"] - last["last"]
-        joins = F.coalesce((last["page"] == x["page"]) & (last["size"] == x["size"]) & (last["bold"] == x["bold"]) & (dy > 0) & (dy <= LINE_GAP * last["high"]) & (last["n"] < WRAPPED), F.lit(False))
-        text = T.join_wrapped(last["text"], x["text"])
-        grown = F.struct(last["page"].alias("page"), last["y"].alias("y"), last["ord"].alias("ord"), x["y"].alias("last"), last["high"].alias("high"), text.alias("text"), last["size"].alias("size"), last["bold"].alias("bold"), F.greatest(last["score"], x["score"]).alias("score"), (last["n"] + 1).alias("n"))
-        fresh = F.struct(x["page"].alias("page"), x["y"].alias("y"), x["ord"].cast("bigint").alias("ord"), x["y"].alias("last"), high.alias("high"), x["text"].alias("text"), x["size"].alias("size"), x["bold"].alias("bold"), x["score"].cast("int").alias("score"), F.lit(1).alias("n"))
-        return F.when(joins, F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(acc, F.array(fresh)))
+        dy = x["y"] - last["y"]
+        joins = F.coalesce((last["page"] == x["page"]) & (last["size"] == x["size"]) & (last["bold"] == x["bold"]) & (dy > 0) & (dy <= LINE_GAP * F.greatest(last["y1"] - last["y"], F.lit(1.0))) & (last["n"] < WRAPPED), F.lit(False))
+        first = lambda a, b: F.when(joins, a).otherwise(b)
+        new = F.struct(
+            x["page"].alias("page"), first(last["y"], x["y"]).alias("y"), first(last["ord"], x["ord"].cast("bigint")).alias("ord"), x["y1"].alias("y1"), first(T.join_wrapped(last["text"], x["text"]), x["text"]).alias("text"),
+            x["size"].alias("size"), x["bold"].alias("bold"), first(F.greatest(last["score"], x["score"]), x["score"]).cast("int").alias("score"), first(last["n"] + 1, F.lit(1)).alias("n"),
+        )
+        return F.concat(F.when(joins, F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(acc), F.array(new))
 
     merged = F.aggregate("rows", F.array().cast(state), step)
     return docs.select("doc_id", F.explode(merged).alias("x")).select("doc_id", "x.page", "x.y", "x.ord", "x.text", "x.size", "x.bold", "x.score")
 
 
 def heading_candidates(lines: DataFrame, threshold: int = THRESHOLD, cap: int = CAP) -> DataFrame:
-    """The best ``cap`` headings of each document (ties: reading order), with ``truncated``; running heads are left out."""
+    """The best ``cap`` headings of each document (ties: reading order), with ``truncated``; headings that stand on three or
+    more pages are running heads and left out."""
     good = merge_wrapped(scored_lines(lines).where(F.col("score") >= threshold))
-    heads = running_heads(lines)
+    heads = running_heads(good)
     own = good.withColumn("head", F.lower(F.trim("text"))).join(heads, ["doc_id", "head"], "left_anti").drop("head")
     w = Window.partitionBy("doc_id")
     rank = own.withColumns({"place": F.row_number().over(w.orderBy(F.desc("score"), "page", "y", "ord")), "n": F.count("*").over(w)})
@@ -224,8 +249,8 @@ def heading_candidates(lines: DataFrame, threshold: int = THRESHOLD, cap: int =
 
 
 def heading_levels(candidates: DataFrame, most: int = 4) -> DataFrame:
-    """doc_id, ord, level: by section numbers when three and two fifths of a document's headings have one, else by the rank
-    of sizes that stand on three or more pages, another size taking the nearest one's."""
+    """doc_id, ord, level: by its section number when three and two fifths of a document's headings have one, else (and for a
+    heading without one) by the rank of sizes that stand on three or more pages, another size taking the nearest one's."""
     own = candidates.withColumn("depth", T.numbering_depth("text"))
     doc = own.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("depth") > 0).alias("numbered")).withColumn("by_number", F.col("numbered") >= F.greatest(F.lit(3.0), 0.4 * F.col("n")))
     pages = own.groupBy("doc_id", "size").agg(F.countDistinct("page").alias("p"))
@@ -234,7 +259,7 @@ def heading_levels(candidates: DataFrame, most: int = 4) -> DataFrame:
     ranked = usable.withColumn("rank", F.dense_rank().over(Window.partitionBy("doc_id").orderBy(F.desc("size")))).select("doc_id", F.col("size").alias("known"), "rank")
     nearest = pages.select("doc_id", "size").join(ranked, "doc_id").groupBy("doc_id", "size").agg(F.min_by("rank", F.struct(F.abs(F.col("size") - F.col("known")), "rank")).alias("rank"))
     out = own.join(doc, "doc_id").join(nearest, ["doc_id", "size"], "left")
-    level = F.when(F.col("by_number"), F.greatest(F.col("depth"), F.lit(1))).otherwise(F.col("rank"))
+    level = F.when(F.col("by_number") & (F.col("depth") > 0), F.col("depth")).otherwise(F.col("rank"))
     return out.select("doc_id", "ord", F.least(level, F.lit(most)).alias("level"))
 
 
@@ -291,13 +316,28 @@ def load(raw: Column) -> Column:
     return F.when(raw.rlike(r"^\s*[\[{]"), own).otherwise(parse(F.when(~raw.rlike(r"^\s*[\[{]"), raw).otherwise(F.lit(""))))
 
 
-def contents_pages(lines: DataFrame, titled: str = r"(?i)^\s*(contents|table of contents|índice|indice|contenido|sumario)\s*$") -> DataFrame:
-    """doc_id, page, rows, titled of pages that read as contents: not mainly exhibit rows, four or more entries, and a
-    title or entries on two fifths of the lines."""
-    entry, exhibit = contents_line("text").isNotNull(), F.col("text").rlike(CAPTION)
-    p = lines.groupBy("doc_id", "page").agg(F.count("*").alias("n"), F.count_if(entry).alias("rows"), F.count_if(exhibit).alias("exhibits"), F.max(F.col("text").rlike(titled)).alias("titled"))
-    listed = (F.col("exhibits") >= 4) | ((F.col("exhibits") >= 2) & (F.col("exhibits") > 0.3 * F.col("n")))
-    return p.where(~listed & (F.col("rows") >= 4) & (F.col("titled") | (F.col("rows") > 0.4 * F.col("n")))).select("doc_id", "page", "rows", "titled")
+def contents_pages(lines: DataFrame, links: DataFrame | None = None, page_count: DataFrame | None = None, front: float = FRONT) -> DataFrame:
+    """doc_id, page, rows, titled of pages that read as contents, within the document's first part (four pages at least).
+
+    Evidence is printed entries or internal links (doc_id, page), the more of both; on a page whose first HEAD characters
+    name it contents and that has few of either, titles paired with a column of numbers. Four are needed, and either such a
+    name or as many as two fifths of the lines. Lists of exhibits, by their name or by their rows, are left out. Without
+    ``page_count`` a document ends at its last page with lines.
+    """
+    own = lines.withColumn("text", T.strip("text")).where("text <> ''")
+    ends = page_count if page_count is not None else lines.groupBy("doc_id").agg(F.max("page").alias("page_count"))
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), "\n")
+    p = own.groupBy("doc_id", "page").agg(F.count("*").alias("n"), F.count_if(contents_line("text").isNotNull()).alias("printed"), F.count_if(F.col("text").rlike(EXHIBIT_ROW)).alias("exhibits"), F.substring(whole, 1, HEAD).alias("head"))
+    p = p.join(ends, "doc_id").where(F.col("page") <= F.greatest(F.lit(4), F.floor(F.col("page_count") * front)))
+    listed = F.col("head").rlike(EXHIBIT_LIST) | (F.col("exhibits") >= EXHIBIT_ROWS) | ((F.col("exhibits") >= 2) & (F.col("exhibits") / F.col("n") > EXHIBIT_SHARE))
+    p = p.where(~listed).withColumn("titled", F.col("head").rlike(CONTENTS))
+    linked = links.groupBy("doc_id", "page").agg(F.count("*").alias("linked")) if links is not None else None
+    p = p.join(linked, ["doc_id", "page"], "left").fillna(0, ["linked"]) if linked is not None else p.withColumn("linked", F.lit(0))
+    poor = F.col("titled") & (F.col("printed") < LEAST_ROWS) & (F.col("linked") < LEAST_ROWS)
+    pairs = pair_columns(lines.join(p.where(poor).select("doc_id", "page"), ["doc_id", "page"], "left_semi")).groupBy("doc_id", "page").agg(F.count("*").alias("paired"))
+    rows = F.greatest(F.when(poor, F.coalesce("paired", F.lit(0))).otherwise(F.col("printed")), F.col("linked"))
+    found = p.join(pairs, ["doc_id", "page"], "left").withColumn("rows", rows)
+    return found.where((F.col("rows") >= LEAST_ROWS) & (F.col("titled") | (F.col("rows") / F.col("n") > DENSE))).select("doc_id", "page", "rows", "titled")
 
 
 def contents_runs(pages: DataFrame) -> DataFrame:
@@ -322,17 +362,20 @@ def follows(y: Column, page: Column, first_y: Column, first_page: Column, first_
 
 
 def linked_contents(links: DataFrame, lines: DataFrame) -> DataFrame:
-    """doc_id, ord, title, page: contents entries from linked lines; the link's target is the physical page. A line with the
-    same target directly below, not starting with a capital or digit, goes on the entry above."""
+    """doc_id, ord, title, page: contents entries from linked lines; the link's target is the physical page. A line that reads
+    as an entry gives its title, another is freed of leaders; lines without letters and the page's own heading are left out.
+    A line with the same target directly below, not starting with a capital or digit, goes on the entry above."""
     rows = link_titles(links, lines).join(lines.select("doc_id", "page", "ord", "y", "y1"), ["doc_id", "page", "ord"])
+    edge = rf"^[\s{LEADERS}]+|[\s{LEADERS}]+$".replace("-–", r"\-–")
+    rows = rows.withColumn("part", F.coalesce(contents_line("text")["title"], F.regexp_replace("text", edge, "")))
+    rows = rows.where((F.length("part") >= 2) & F.col("part").rlike(r"\p{L}") & ~F.col("part").rlike(CONTENTS.replace(r"\b(", r"^(", 1)))
     w = Window.partitionBy("doc_id").orderBy("page", "y", "ord")
     before = lambda c: F.lag(c).over(w)
-    goes_on = (F.col("target") == before("target")) & follows(F.col("y"), F.col("page"), before("y"), before("page"), before(F.col("y1") - F.col("y"))) & ~F.col("text").rlike(r"^\s*[\p{Lu}\d]")
+    goes_on = (F.col("target") == before("target")) & follows(F.col("y"), F.col("page"), before("y"), before("page"), before(F.col("y1") - F.col("y"))) & ~F.col("part").rlike(r"^[\p{Lu}\d]")
     entry = rows.withColumn("starts", (~F.coalesce(goes_on, F.lit(False))).cast("int")).withColumn("entry", F.sum("starts").over(w))
-    parts = entry.groupBy("doc_id", "entry").agg(F.min("ord").alias("ord"), F.first("target").alias("page"), F.sort_array(F.collect_list(F.struct("page", "y", "ord", "text"))).alias("t"))
-    title = F.aggregate("t", F.lit(""), lambda a, x: T.join_wrapped(a, F.trim(x["text"])))
-    edge = rf"[\s{LEADERS}]+$".replace("-–", r"\-–")
-    return parts.select("doc_id", "ord", F.regexp_replace(title, edge, "").alias("title"), F.col("page").cast("int").alias("page"))
+    parts = entry.groupBy("doc_id", "entry").agg(F.min("ord").alias("ord"), F.first("target").alias("page"), F.sort_array(F.collect_list(F.struct("page", "y", "ord", "part"))).alias("t"))
+    title = F.aggregate("t", F.lit(""), lambda a, x: T.join_wrapped(a, x["part"]))
+    return parts.select("doc_id", "ord", title.alias("title"), F.col("page").cast("int").alias("page"))
 
 
 def printed_contents(runs: DataFrame, lines: DataFrame, enough: int = 4) -> DataFrame:
@@ -349,3 +392,55 @@ def printed_contents(runs: DataFrame, lines: DataFrame, enough: int = 4) -> Data
     n = F.when(arabic, F.try_to_number(F.when(arabic, F.col("printed")), F.lit("9999")).cast("int")).otherwise(T.roman_value("printed"))
     columns = pairs.select("doc_id", "first", "page", "ord", "title", n.alias("printed"), (~arabic).alias("roman")).where((F.col("printed") > 0) & (~F.col("roman") | (F.col("printed") <= ROMAN_CEILING)))
     return good.unionByName(columns).select("doc_id", "first", "page", "ord", "title", "printed", "roman")
+
+
+def indented(entries: DataFrame, lines: DataFrame, group: list[str]) -> DataFrame:
+    """``entries`` with a level from the indents of their lines, compared within a group."""
+    placed = entries.join(lines.select("doc_id", "ord", "x0"), ["doc_id", "ord"])
+    rows = placed.groupBy(*group).agg(F.collect_list(F.struct("ord", "x0")).alias("r"))
+    leveled = rows.select(*group, "r", indent_levels(F.transform("r", lambda x: x["x0"])).alias("levels")).select(*group, F.explode(F.arrays_zip("r", "levels")).alias("x"))
+    return entries.join(leveled.select(*group, F.col("x.r.ord").alias("ord"), F.col("x.levels").alias("level")), [*group, "ord"])
+
+
+def auto_outline(lines: DataFrame, links: DataFrame | None = None, labels: DataFrame | None = None, page_count: DataFrame | None = None, most: int = 4) -> DataFrame:
+    """doc_id, source, ord, level, title, page: a document's outline from the best evidence it has: contents pages whose rows
+    are links (``contents-links``), contents pages with printed numbers (``contents-printed-numbers``: by page labels, folios
+    and votes, searched for in the text), else headings by their typography (``typography``)."""
+    spark = lines.sparkSession
+    ends = page_count if page_count is not None else lines.groupBy("doc_id").agg(F.max("page").alias("page_count"))
+    listed = written(contents_runs(contents_pages(lines, links, ends)), "runs")  # the steps that follow read it, and each other, many times
+    inside = (F.col("page") >= F.col("first")) & (F.col("page") <= F.col("last"))
+    own = lines.join(listed.select("doc_id", "first", "last"), "doc_id").where(inside).select(*lines.columns)
+    out = []
+    rest = listed
+    if links is not None:
+        linked = written(linked_contents(links, own), "linked")
+        out.append(indented(linked, own, ["doc_id"]).select("doc_id", F.lit("contents-links").alias("source"), "ord", "level", "title", "page"))
+        rest = listed.join(linked.select("doc_id").distinct(), "doc_id", "left_anti")
+    printed = written(printed_contents(rest, lines), "printed")
+    labels = labels if labels is not None else spark.createDataFrame([], "doc_id long, label string, page int")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), " ")
+    pages = lines.groupBy("doc_id", "page").agg(text.alias("text"))
+    placed = resolve_pages(printed.select("doc_id", "ord", "printed", "roman"), labels, folios(lines), ends).where("page is not null")
+    placed = written(placed.join(printed.select("doc_id", "ord", "title", "printed", "roman"), ["doc_id", "ord"]), "placed")
+    found = repair_pages(written(verify_pages(placed, pages), "verified"), pages)
+    leveled = indented(printed.select("doc_id", "first", "ord"), lines, ["doc_id", "first"]).select("doc_id", "ord", "level")
+    out.append(found.join(leveled, ["doc_id", "ord"]).select("doc_id", F.lit("contents-printed-numbers").alias("source"), "ord", "level", "title", "page"))
+    done = written(reduce(DataFrame.unionByName, out), "contents")
+    candidates = written(heading_candidates(lines), "headings").join(done.select("doc_id").distinct(), "doc_id", "left_anti")
+    by_size = heading_levels(candidates, most).join(candidates.select("doc_id", "ord", F.col("text").alias("title"), "page"), ["doc_id", "ord"])
+    return done.unionByName(by_size.select("doc_id", F.lit("typography").alias("source"), "ord", "level", "title", "page")).withColumn("level", F.least("level", F.lit(most)))
+
+
+def set_outlines(outlines: DataFrame, new: DataFrame) -> DataFrame:
+    """Outlines (doc_id, entries) with those of ``new`` in place of older ones; one that is set to nothing is an error."""
+    empty = F.coalesce(F.size("entries"), F.lit(0)) <= 0
+    entries = F.when(empty, F.raise_error(F.concat(F.lit("no outline entries for "), F.col("doc_id").cast("string"))).cast(new.schema["entries"].dataType)).otherwise(F.col("entries"))
+    return outlines.join(new, "doc_id", "left_anti").select("doc_id", "entries").unionByName(new.select("doc_id", entries.alias("entries")))
+
+
+def clear_outlines(outlines: DataFrame, docs: DataFrame) -> DataFrame:
+    """Outlines with empty ones for ``docs`` (doc_id)."""
+    mark = docs.select("doc_id", F.lit(True).alias("clear")).distinct()
+    none = F.array().cast(outlines.schema["entries"].dataType)
+    return outlines.join(mark, "doc_id", "left").select("doc_id", F.when(F.col("clear"), none).otherwise(F.col("entries")).alias("entries"))

@@ -101,10 +101,25 @@ def sample_pages(count: Column, wanted: int) -> Column:
     return F.when(count <= 0, F.array().cast("array<int>")).when(count <= wanted, F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0)))).otherwise(F.array_distinct(spread))
 
 
-def pick_language(requests: DataFrame, packs: DataFrame, default: str = "eng") -> DataFrame:
-    """id, pack: the pack asked for, else the one with the longest prefix of the item's language, else the default."""
-    some = requests.join(F.broadcast(packs), F.startswith(F.lower(F.col("language")), F.col("prefix")), "left")
-    best = some.groupBy("id", "requested").agg(F.max_by("pack", F.length("prefix")).alias("pack"))
+# Beginnings of how a language is written in an item, and the recognition pack that each stands for.
+LANGUAGES = {
+    "spanish": "spa", "español": "spa", "espanol": "spa", "castellano": "spa", "english": "eng", "inglés": "eng", "ingles": "eng", "portuguese": "por", "português": "por", "portugues": "por",
+    "french": "fra", "français": "fra", "francés": "fra", "frances": "fra", "german": "deu", "deutsch": "deu", "alemán": "deu", "aleman": "deu", "italian": "ita", "italiano": "ita", "catalan": "cat", "català": "cat",
+    "latin": "lat", "latín": "lat", "quechua": "que", "aymara": "aym", "spa": "spa", "eng": "eng", "por": "por", "fra": "fra", "deu": "deu", "ita": "ita", "cat": "cat", "lat": "lat", "que": "que", "aym": "aym",
+    "es": "spa", "en": "eng", "pt": "por", "fr": "fra", "de": "deu", "it": "ita", "ca": "cat", "la": "lat", "qu": "que", "ay": "aym",
+}
+
+
+def pick_language(requests: DataFrame, packs: DataFrame | None = None, default: str = "eng") -> DataFrame:
+    """id, pack: the pack asked for, else the one with the longest prefix of the item's language, else the default. Without
+    ``packs`` (prefix, pack) LANGUAGES hold. Beginnings of the language meet prefixes as equal keys."""
+    if packs is None:
+        packs = requests.sparkSession.createDataFrame(list(LANGUAGES.items()), "prefix string, pack string")
+    language = F.lower(F.coalesce("language", F.lit("")))
+    longest = packs.agg(F.coalesce(F.max(F.length("prefix")), F.lit(0))).first()[0]
+    starts = F.transform(F.sequence(F.lit(0), F.least(F.length(language), F.lit(longest))), lambda n: F.substring(language, F.lit(1), n))
+    each = requests.select("id", "requested", F.explode(starts).alias("prefix"))
+    best = each.join(packs, "prefix", "left").groupBy("id", "requested").agg(F.max_by("pack", F.when(F.col("pack").isNotNull(), F.length("prefix"))).alias("pack"))
     return best.select("id", F.coalesce(F.nullif("requested", F.lit("")), "pack", F.lit(default)).alias("pack"))
 
 

@@ -1,6 +1,7 @@
 """The registered queries on library views, and the same rows as DuckDB text.
 
-A query without text here cannot be said in SQL (the gestalt ratio, folds over ordered rows) and is tested in Python.
+A query without text here cannot be said in SQL (the gestalt ratio, folds over ordered rows) and is tested against a plain
+Python version in tests/test_plain.py.
 """
 
 from __future__ import annotations
@@ -191,14 +192,60 @@ def lint_combined_creators(v: Views) -> DataFrame:
     return analyze.lint_combined_creators(own.union(own.select("item_key", F.lit(1).alias("ord"), F.lit("a and b").alias("name")).where("name = ''")))
 
 
-@query("items", f"select key, title, first from (select key, title, first_value(key) over w as first, row_number() over w as n from (select *, {NORM.format('title')} as t from items) where t <> '' window w as (partition by t order by scan_order)) where n > 1")
+@query("items", f"select key, title, first from (select key, title, first_value(key) over w as first, row_number() over w as n from (select *, regexp_replace(lower(title), '^\\s+|\\s+$', '', 'g') as t from items) where t <> '' window w as (partition by t order by scan_order)) where n > 1")
 def lint_duplicate_titles(v: Views) -> DataFrame:
     return analyze.lint_duplicate_titles(v.items)
 
 
-@query("items", f"select 'no_date' as rule, count(*) filter ({BLANK.format('date')}) as n from items union all select 'no_creators', count(*) filter ({BLANK.format('first_name')} and {BLANK.format('last_name')}) from items")
+def _single_field(v: Views) -> DataFrame:
+    return v.items.select(F.col("key").alias("item_key"), F.lit(0).alias("ord"), F.concat_ws(" and ", "last_name", F.when(F.col("scan_order") % 6 == 0, F.col("first_name"))).alias("name"))
+
+
+@query("items", f"""select 'no_date' as rule, count(*) filter ({BLANK.format('date')}) as n from items union all select 'no_creators', count(*) filter ({BLANK.format('first_name')} and {BLANK.format('last_name')}) from items
+  union all select 'combined_creators', count(*) filter (regexp_matches(concat_ws(' and ', last_name, case when scan_order % 6 = 0 then first_name end), '(?i),| y | & |;| and ')) from items
+  union all select 'duplicate_titles', coalesce(sum(n - 1), 0)::bigint from (select count(*) as n from items where not {BLANK.format('title')} group by regexp_replace(lower(title), '^\\s+|\\s+$', '', 'g'))""")
 def lint_report(v: Views) -> DataFrame:
-    return analyze.lint_report(v.items)
+    return analyze.lint_report(v.items, _single_field(v))
+
+
+@query("items", "select key from items")
+def item_keys(v: Views) -> DataFrame:
+    return catalog.keys_of(v.items)
+
+
+@query("items", "select key, title, (select count(*) from items) as total from items order by title, key limit 25")
+def items_page(v: Views) -> DataFrame:
+    rows, total = catalog.page_of(v.items, [F.col("title"), F.col("key")])
+    return rows.select("key", "title", F.lit(total).cast("long").alias("total"))
+
+
+@query("items attachments", "select 'new' || key as key, key as parent_key, case when scan_order % 3 = 0 then 'file' when scan_order % 3 = 1 then 'link' else 'snapshot' end as mode from items where type = 'book' union all select key, parent_key, null from attachments")
+def attach_rows(v: Views) -> DataFrame:
+    kind = F.col("scan_order") % 3
+    new = v.items.where("type = 'book'").select(F.concat(F.lit("new"), "key").alias("key"), F.col("key").alias("parent_key"), F.when(kind == 0, "/f.pdf").alias("file"), F.when(kind > 0, "http://x").alias("url"), (kind == 1).alias("link"))
+    return edits.attach(v.attachments, v.items, new).select("key", "parent_key", "mode")
+
+
+@query("items", "select key, case when contains(title, '<') then title else concat('<p>', regexp_replace(title, '^\\s+|\\s+$', '', 'g'), '</p>') end as html from items where not regexp_full_match(title, '\\s*')")
+def text_html(v: Views) -> DataFrame:
+    return v.items.where(~T.is_blank("title")).select("key", T.text_to_html("title").alias("html"))
+
+
+@query("attachments", "select key, case when size < 1024 then printf('%.0f B', size::double) when size < 1048576 then printf('%.1f KB', size / 1024.0) when size < 1073741824 then printf('%.1f MB', size / 1048576.0) when size < 1099511627776 then printf('%.1f GB', size / 1073741824.0) else printf('%.1f TB', size / 1099511627776.0) end as binary_size, printf('%.1f MB', size / 1e6) as decimal_size from attachments")
+def human_sizes(v: Views) -> DataFrame:
+    return v.attachments.select("key", T.human_size_binary("size").alias("binary_size"), T.human_size_decimal("size").alias("decimal_size"))
+
+
+@query("items", "select scan_order, [cast(scan_order % 7 as int), cast(scan_order % 11 as int), 0]::varchar as parts from items")
+def version_parts(v: Views) -> DataFrame:
+    version = F.concat_ws(".", (F.col("scan_order") % 7).cast("string"), F.concat((F.col("scan_order") % 11).cast("string"), F.lit("b2")), F.lit("x"))
+    return v.items.select("scan_order", F.concat(F.lit("["), F.array_join(T.version_tuple(version).cast("array<string>"), ", "), F.lit("]")).alias("parts"))
+
+
+@query("attachments parents", "select p.key from (select key from parents union all select concat('N', key) from parents) p where p.key not in (select key from attachments) and p.key not in (select parent_key from attachments where parent_key is not null)")
+def unmatched_keys(v: Views) -> DataFrame:
+    asked = v.parents.select("key").union(v.parents.select(F.concat(F.lit("N"), "key")))
+    return storage.unmatched_keys(v.attachments, asked)
 
 
 @query("items notes", f"select n.item_key, conv_id, turn, substr({SQUEEZE.format(chr(34) + 'x' + chr(34))}, 1, 100) as preview from (select *, regexp_replace(text, '<[^>]+>', ' ', 'g') as x from notes) n where item_key in (select key from items)")
@@ -337,15 +384,20 @@ def dedupe_fuzzy_clusters(v: Views) -> DataFrame:
 
 
 _FORMAL = ", ".join(f"'{t}'" for t in dedupe.FORMAL)
-_VERDICT = f"""{_groups('title')}, m as (select k, count(*) as n, list_distinct(list({NORM.format('last_name')}) filter ({NORM.format('last_name')} <> '')) as authors,
-    min(cast({YEAR.format('date')} as int)) as low, max(cast({YEAR.format('date')} as int)) as high, list_sort(list_distinct(list(type) filter (type in ({_FORMAL})))) as types from g group by k having count(*) > 1),
+_EDITION = "case cast(scan_order % 9 as int) when 0 then '2nd ed.' when 4 then '3rd' else '' end"
+_VERDICT = f"""g as (select *, {KEY.format('title')} as k, {_EDITION} as edition from items where {KEY.format('title')} <> ''), m as (select k, count(*) as n, list_distinct(list({NORM.format('last_name')}) filter ({NORM.format('last_name')} <> '')) as authors,
+    list_distinct(list({NORM.format('edition')}) filter ({NORM.format('edition')} <> '')) as editions, min(cast({YEAR.format('date')} as int)) as low, max(cast({YEAR.format('date')} as int)) as high, list_sort(list_distinct(list(type) filter (type in ({_FORMAL})))) as types from g group by k having count(*) > 1),
   apart as (select distinct x.k from (select k, unnest(authors) as a from m) x join (select k, unnest(authors) as b from m) y on x.k = y.k where not contains(a, b) and not contains(b, a)),
-  verdict as (select k, n, case when k in (select k from apart) then 'different authors' when coalesce(high - low, 0) > 1 then concat('years ', low, '-', high) when len(types) > 1 then concat('different item types (', array_to_string(types, ', '), ')') else '' end as reason from m)"""
+  verdict as (select k, n, case when k in (select k from apart) then 'different authors' when len(editions) > 1 then 'different editions' when coalesce(high - low, 0) > 1 then concat('years ', low, '-', high) when len(types) > 1 then concat('different item types (', array_to_string(types, ', '), ')') else '' end as reason from m)"""
+
+
+def _editions(v: Views) -> DataFrame:
+    return v.items.withColumn("edition", F.expr(_EDITION))
 
 
 @query("items", f", {_VERDICT} select k, n, reason = '' as confident, reason from verdict")
 def merge_confidence(v: Views) -> DataFrame:
-    return dedupe.group_verdicts(v.items)
+    return dedupe.group_verdicts(_editions(v))
 
 
 _PLAN = f"""{_VERDICT}, plan as (select f as master, key as other, reason = '' as confident, reason from (select k, key, first_value(key) over (partition by k order by date, scan_order) as f from g) join verdict using (k) where key <> f)"""
@@ -353,22 +405,24 @@ _PLAN = f"""{_VERDICT}, plan as (select f as master, key as other, reason = '' a
 
 @query("items", f", {_PLAN} select * from plan")
 def merge_plan(v: Views) -> DataFrame:
-    return dedupe.merge_plan(v.items)
+    return dedupe.merge_plan(_editions(v))
 
 
 @query("items", f", {_PLAN} select master, other, case when m.type <> o.type then 'merged, type changed' else 'merged' end as status from plan join items m on m.key = master join items o on o.key = other where confident")
 def merge_log(v: Views) -> DataFrame:
-    return dedupe.merge_log(v.items, dedupe.merge_plan(v.items).where("confident"))
+    return dedupe.merge_log(v.items, dedupe.merge_plan(_editions(v)).where("confident"))
 
 
 @query("items item_tags", f", {_PLAN} select distinct coalesce(p.master, t.item_key) as item_key, tag from item_tags t left join plan p on p.other = t.item_key and p.confident")
 def merge_remap_tags(v: Views) -> DataFrame:
-    return dedupe.remap_children(v.item_tags, dedupe.merge_plan(v.items).where("confident"))
+    return dedupe.remap_children(v.item_tags, dedupe.merge_plan(_editions(v)).where("confident"))
 
 
-@query("items", f""", p as (select scan_order as probe_id, {NORM.format('title')} as p, lower(last_name) as nm, list_slice(list_filter(string_split({NORM.format('title')}, ' '), lambda w: length(w) > 2), 1, 4) as words from items),
-  i as (select key, {NORM.format('title')} as t, lower(last_name) as nm from items)
-  select probe_id, key, round({SIM.format('p', 't')}, 6) as similarity from p join i on list_contains(string_split(t, ' '), list_max(list_transform(words, lambda w: struct_pack(n := length(w), w := w))).w) where len(list_filter(words, lambda w: not contains(t, w))) = 0 and {SIM.format('p', 't')} >= 0.9 and (p.nm = '' or p.nm = i.nm)""")
+@query("items", f""", p as (select scan_order as probe_id, {KEY.format('title')} as p, {KEY.format("coalesce(last_name, '')")} as nm, array_to_string(list_slice(list_filter(string_split({KEY.format('title')}, ' '), lambda w: length(w) > 2), 1, 4), ' ') as phrase from items),
+  i as (select key, scan_order, lower(title) as raw, {KEY.format('title')} as t, {KEY.format("coalesce(last_name, '')")} as nm from items),
+  held as materialized (select probe_id, p, key, scan_order, t from p join i on contains(raw, phrase) where phrase <> '' and (p.nm = '' or p.nm = i.nm)),
+  near as (select *, {SIM.format('p', 't')} as s from held)
+  select probe_id, key, round(s, 6) as similarity from (select *, row_number() over (partition by probe_id order by scan_order) as k from near where s >= 0.9) where k = 1""")
 def duplicate_probe(v: Views) -> DataFrame:
     return dedupe.duplicate_probe(v.items, v.items.select(F.col("scan_order").alias("probe_id"), "title", "last_name"))
 
@@ -490,15 +544,61 @@ def enrich_rejections(v: Views) -> DataFrame:
 
 
 # ---- document structure
-@query()
+def _re(pattern: str) -> str:
+    """A pattern of the engine in DuckDB's spelling: its case folding is Unicode's already."""
+    return pattern.replace("(?iu)", "(?i)").replace("'", "''")
+
+
+_EDGE = r"[\s.·•․‥…‧_\-–—]"
+_LED, _BARE = rf"^(.+?[^\s.·•․‥…‧_\-–—]){_EDGE}{{2,}}(\d{{1,4}}|(?i:[ivxlcdm]{{1,15}}))$", r"^(.+?\S)\s+(\d{1,4})$"
+_ROMAN = "list_transform(string_split(lower({0}), ''), lambda c: case c when 'm' then 1000 when 'd' then 500 when 'c' then 100 when 'l' then 50 when 'x' then 10 when 'v' then 5 when 'i' then 1 else 0 end)"
+_ROMAN_SUM = "list_sum(list_transform(range(1, len({0}) + 1), lambda i: case when {0}[i] < coalesce({0}[i + 1], 0) then -{0}[i] else {0}[i] end))"
+
+
+def _entries_of(source: str) -> str:
+    """Tables that end in ``entry``: the contents entries (title, printed, roman) among the lines of ``source``."""
+    words = ", ".join(f"'{w}'" for w in outline.STRUCTURAL)
+    return f"""e1 as (select *, trim(regexp_replace(replace(text, chr(160), ' '), '\\s+', ' ', 'g')) as ln from {source}),
+  e2 as (select *, regexp_matches(ln, '{_LED}') as led, regexp_matches(ln, '{_BARE}') as bare from e1),
+  e3 as (select *, case when led then regexp_extract(ln, '{_LED}', 1) else regexp_extract(ln, '{_BARE}', 1) end as raw_title, case when led then regexp_extract(ln, '{_LED}', 2) else regexp_extract(ln, '{_BARE}', 2) end as pg from e2 where led or bare),
+  e4 as (select *, regexp_replace(raw_title, '^{_EDGE}+|{_EDGE}+$', '', 'g') as title, not regexp_matches(pg, '^[0-9]+$') as roman, {_ROMAN.format('pg')} as dg from e3),
+  e5 as (select *, cast(case when roman then {_ROMAN_SUM.format('dg')} else try_cast(pg as int) end as int) as printed from e4),
+  entry as (select * from e5 where length(title) >= 2 and regexp_matches(title, '\\pL') and lower(title) not in ({words}) and printed > 0 and (not roman or printed <= {outline.ROMAN_CEILING}))"""
+
+
+def _paired_of(source: str) -> str:
+    """Tables that end in ``paired``: bare numbers beside the text left of them, each title once."""
+    bare = r"regexp_matches(trim(text), '^(?:[0-9]{1,4}|(?i:[ivxlcdm]{1,15}))$')"
+    return f"""p1 as (select n.doc_id, n.page, n.ord as n_ord, trim(n.text) as printed, t.ord, t.text as title, row_number() over (partition by n.doc_id, n.page, n.ord order by t.x1 desc, t.ord) as k
+    from (select * from {source} where {bare}) n join (select * from {source} where not {bare}) t on n.doc_id = t.doc_id and n.page = t.page and abs(n.y - t.y) <= 3 and t.x1 <= n.x0),
+  p2 as (select *, row_number() over (partition by doc_id, page, ord order by n_ord) as kk from p1 where k = 1), paired as (select doc_id, page, ord, title, printed from p2 where kk = 1)"""
+
+
+_LISTED = f"""{_entries_of('toc_lines')}, {_paired_of('toc_lines')},
+  n1 as (select *, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as t from toc_lines),
+  n2 as (select doc_id, page, count(*) as n, count(*) filter (regexp_matches(t, '{_re(outline.EXHIBIT_ROW)}')) as exhibits, substr(string_agg(t, chr(10) order by ord), 1, {outline.HEAD}) as head from n1 where t <> '' group by all),
+  n3 as (select n2.*, coalesce(c.printed, 0) as printed, coalesce(q.pairs, 0) as pairs, regexp_matches(head, '{_re(outline.CONTENTS)}') as titled, z.page_count from n2 join (select doc_id, max(page) as page_count from toc_lines group by doc_id) z on z.doc_id = n2.doc_id
+    left join (select doc_id, page, count(*) as printed from entry group by all) c on c.doc_id = n2.doc_id and c.page = n2.page left join (select doc_id, page, count(*) as pairs from paired group by all) q on q.doc_id = n2.doc_id and q.page = n2.page
+    where not regexp_matches(head, '{_re(outline.EXHIBIT_LIST)}') and not (exhibits >= {outline.EXHIBIT_ROWS} or (exhibits >= 2 and exhibits / n > {outline.EXHIBIT_SHARE}))),
+  n4 as (select *, case when titled and printed < {outline.LEAST_ROWS} then pairs else printed end as rows from n3 where page <= greatest(4, floor(page_count * {outline.FRONT}))),
+  listed as (select doc_id, page, rows, titled from n4 where rows >= {outline.LEAST_ROWS} and (titled or rows / n > {outline.DENSE})),
+  r1 as (select *, page - row_number() over (partition by doc_id order by page) as island from listed),
+  r2 as (select doc_id, min(page) as first, max(page) as last, bool_or(titled) as titled from r1 group by doc_id, island),
+  runs as (select doc_id, first, last, titled from (select *, bool_or(titled) over (partition by doc_id) as anyt, row_number() over (partition by doc_id order by first) as k from r2) where titled or (not anyt and k = 1))"""
+
+
+@query("pdf_lines", f""", numbered as (select doc_id, ord, concat(text, case when ord % 3 = 0 then ' ..... ' else ' ' end, case when ord % 5 = 0 then concat(repeat('x', (ord + 1) // 10), ['', 'i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix'][(ord + 1) % 10 + 1]) else cast(ord + 1 as varchar) end) as text from pdf_lines),
+  {_entries_of('numbered')} select doc_id, ord, title, printed, roman from entry""")
 def toc_parse_lines(v: Views) -> DataFrame:
-    numbered = v.pdf_lines.withColumn("line", F.concat(F.substring("text", 1, 40), F.when(F.col("ord") % 3 == 0, " ..... ").otherwise(" "), F.when(F.col("ord") % 5 == 0, T.roman_text(F.col("ord") + 1)).otherwise((F.col("ord") + 1).cast("string"))))
+    # numbers in tens and units; of 40 and more the tens are not what a reader writes, but they are read as well
+    roman = F.concat(F.repeat(F.lit("x"), F.floor((F.col("ord") + 1) / 10).cast("int")), F.get(F.array(*(F.lit(x) for x in ("", "i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix"))), ((F.col("ord") + 1) % 10).cast("int")))
+    numbered = v.pdf_lines.withColumn("line", F.concat("text", F.when(F.col("ord") % 3 == 0, " ..... ").otherwise(" "), F.when(F.col("ord") % 5 == 0, roman).otherwise((F.col("ord") + 1).cast("string"))))
     return numbered.withColumn("e", outline.contents_line("line")).where("e is not null").select("doc_id", "ord", "e.title", "e.printed", "e.roman")
 
 
-@query(sql="select i as n, concat(repeat('m', i // 1000), ['', 'c', 'cc', 'ccc', 'cd', 'd', 'dc', 'dcc', 'dccc', 'cm'][i // 100 % 10 + 1], ['', 'x', 'xx', 'xxx', 'xl', 'l', 'lx', 'lxx', 'lxxx', 'xc'][i // 10 % 10 + 1], ['', 'i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix'][i % 10 + 1]) as roman, i as back from range(1, 400) t(i)")
+@query(sql="select i as n, concat(repeat('m', i // 1000), ['', 'c', 'cc', 'ccc', 'cd', 'd', 'dc', 'dcc', 'dccc', 'cm'][i // 100 % 10 + 1], ['', 'x', 'xx', 'xxx', 'xl', 'l', 'lx', 'lxx', 'lxxx', 'xc'][i // 10 % 10 + 1], ['', 'i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix'][i % 10 + 1]) as roman, i as back from range(1, 4000) t(i)")
 def roman_values(v: Views) -> DataFrame:
-    n = v.spark.range(1, 400).select(F.col("id").alias("n"), T.roman_text("id").alias("roman"))
+    n = v.spark.range(1, 4000).select(F.col("id").alias("n"), T.roman_text("id").alias("roman"))
     return n.withColumn("back", T.roman_value("roman").cast("long"))
 
 
@@ -541,16 +641,16 @@ def toc_levels_from_indents(v: Views) -> DataFrame:
 
 @query()
 def outline_normalize(v: Views) -> DataFrame:
-    row = F.struct("ord", (1 + F.col("ord") % 4 * 2).cast("int").alias("level"), F.substring("text", 1, 30).alias("title"), (F.col("page") * 2 - F.col("ord") % 3).cast("int").alias("page"))
+    row = F.struct("ord", (1 + F.col("ord") % 4 * 2).cast("int").alias("level"), F.col("text").alias("title"), (F.col("page") * 2 - F.col("ord") % 3).cast("int").alias("page"))
     doc = v.pdf_lines.groupBy("doc_id").agg(F.sort_array(F.collect_list(row)).alias("r"))
     entries = F.transform("r", lambda x: F.struct(x["level"].alias("level"), x["title"].alias("title"), x["page"].alias("page")))
-    out = doc.withColumn("e", outline.normalize(entries, F.lit(40), 4))
+    out = doc.withColumn("e", outline.normalize(entries, None, 4))
     return out.select("doc_id", F.posexplode("e").alias("i", "x"), F.size(outline.backwards(F.col("e"))).alias("n_backwards")).select("doc_id", "i", "x.level", "x.title", "x.page", "n_backwards")
 
 
 @query()
 def outline_text_roundtrip(v: Views) -> DataFrame:
-    row = F.struct("ord", (1 + F.col("ord") % 3).cast("int").alias("level"), T.squeeze(F.regexp_replace(F.substring("text", 1, 30), "[#\\t]", "")).alias("title"), "page")
+    row = F.struct("ord", (1 + F.col("ord") % 3).cast("int").alias("level"), T.squeeze(F.regexp_replace("text", "[#\\t]", "")).alias("title"), "page")
     doc = v.pdf_lines.where("length(trim(text)) > 1").groupBy("doc_id").agg(F.sort_array(F.collect_list(row)).alias("r"))
     entries = F.transform(F.filter("r", lambda x: x["title"] != ""), lambda x: F.struct(x["level"].alias("level"), x["title"].alias("title"), x["page"].alias("page")))
     back = outline.parse(outline.render(F.col("e")))
@@ -573,7 +673,15 @@ def running_heads(v: Views) -> DataFrame:
     return outline.running_heads(v.pdf_lines)
 
 
-@query()
+_SCORE = f"""case when y < 0.06 * page_height or y > 0.93 * page_height or length(t) < 3 or length(t) > 110 or len(regexp_split_to_array(t, '\\s+')) > 20 or regexp_matches(t, '{_re(outline.CAPTION)}') or size < body - 0.4 or regexp_matches(t, '{_re(outline.PROSE)}')
+    or (size < body * 1.35 and measure > 0 and x1 - x0 > 0.85 * measure) then 0 else (case when size > 1.12 * body then 3 else 0 end) + (case when size > 1.35 * body then 2 else 0 end) + (case when bold and size >= body then 2 else 0 end) + (case when regexp_matches(t, '{_re(outline.NUMBERED)}') then 3 else 0 end)
+    + (case when t = upper(t) and t <> lower(t) and length(t) > 4 then 1 else 0 end) + (case when lines_in_block <= 2 then 1 else 0 end) + (case when not regexp_matches(t, '[.,;:]$') then 1 else 0 end) + (case when abs((x0 + x1) / 2 - page_width / 2) < 0.04 * page_width then 1 else 0 end) end"""
+
+
+@query("pdf_lines", f""", b as (select doc_id, size as body from (select doc_id, size, row_number() over (partition by doc_id order by sum(length(text)) desc, size) as k from pdf_lines group by doc_id, size) where k = 1),
+  w as (select l.doc_id, x1 - x0 as w, row_number() over (partition by l.doc_id order by x1 - x0, ord) - 1 as k, count(*) over (partition by l.doc_id) as n from pdf_lines l join b on b.doc_id = l.doc_id where abs(size - body) <= 0.5),
+  x as (select l.*, trim(text) as t, body, coalesce(m.w, 0) as measure from pdf_lines l join b on b.doc_id = l.doc_id left join (select * from w where k = least(floor(n * 0.9), n - 1)) m on m.doc_id = l.doc_id)
+  select doc_id, ord, cast({_SCORE} as int) as score from x""")
 def heading_scores(v: Views) -> DataFrame:
     return outline.scored_lines(v.pdf_lines).select("doc_id", "ord", "score")
 
@@ -593,20 +701,23 @@ def verify_toc_pages(v: Views) -> DataFrame:
     e, labels, folio, count = _entries(v)
     placed = outline.resolve_pages(e, labels, folio, count).where("page is not null").join(v.sql(_ENTRIES, pdf_lines=v.pdf_lines).select("doc_id", "ord", "title", "printed", "roman"), ["doc_id", "ord"])
     pages = v.pdf_lines.groupBy("doc_id", "page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), " ").alias("text"))
-    return outline.repair_pages(outline.verify_pages(placed, pages)).select("doc_id", "ord", "page", "confidence")
+    return outline.repair_pages(outline.verify_pages(placed, pages), pages).select("doc_id", "ord", "page", "confidence")
 
 
-@query()
+@query("toc_lines", f", {_LISTED} select * from listed")
 def contents_pages(v: Views) -> DataFrame:
     return outline.contents_pages(v.toc_lines)
 
 
-@query()
+@query("toc_lines", f", {_LISTED} select * from runs")
 def contents_runs(v: Views) -> DataFrame:
     return outline.contents_runs(outline.contents_pages(v.toc_lines))
 
 
-@query()
+@query("toc_lines", f""", {_LISTED}, o1 as (select e.doc_id, r.first, e.page, e.ord, title, printed, roman, count(*) over (partition by e.doc_id, r.first) as n from entry e join runs r on r.doc_id = e.doc_id and e.page between r.first and r.last),
+  o2 as (select doc_id, first, page, ord, title, cast(case when roman then {_ROMAN_SUM.format('dg')} else try_cast(pg as int) end as int) as printed, roman from (select p.doc_id, r.first, p.page, p.ord, p.title, p.printed as pg, not regexp_matches(p.printed, '^[0-9]+$') as roman, {_ROMAN.format('p.printed')} as dg
+    from paired p join runs r on r.doc_id = p.doc_id and p.page between r.first and r.last where not exists (select 1 from o1 where o1.doc_id = r.doc_id and o1.first = r.first and o1.n >= 4)))
+  select doc_id, first, page, ord, title, printed, roman from o1 where n >= 4 union all select * from o2 where printed > 0 and (not roman or printed <= {outline.ROMAN_CEILING})""")
 def printed_contents(v: Views) -> DataFrame:
     return outline.printed_contents(outline.contents_runs(outline.contents_pages(v.toc_lines)), v.toc_lines)
 
@@ -623,18 +734,36 @@ def glued_numbers(v: Views) -> DataFrame:
     return outline.glued_numbers(v.toc_lines.select("doc_id", "ord", F.col("text").alias("title"), (F.col("ord") + 7).alias("link_page")))
 
 
-@query()
+@query("toc_lines", f", both_lines as (select doc_id, ord, page, text, x0, x1, y, y1 from toc_lines union all select doc_id, ord + 100000, page, cast(ord + 1 as varchar), 350, 360, y, y1 from toc_lines), {_paired_of('both_lines')} select * from paired")
 def paired_columns(v: Views) -> DataFrame:
     numbers = v.toc_lines.select("doc_id", (F.col("ord") + 100000).alias("ord"), "page", (F.col("ord") + 1).cast("string").alias("text"), F.lit(350.0).alias("x0"), F.lit(360.0).alias("x1"), "y", "y1")
     return outline.pair_columns(v.toc_lines.unionByName(numbers))
 
 
-@query()
+@query("pdf_lines", f""", f1 as (select doc_id, page, unnest(regexp_split_to_array(trim(case when y < 57 then concat('page ', cast(page as varchar)) else text end), '\\s+')) as t from pdf_lines where y < 0.09 * page_height or y1 > 0.91 * page_height),
+  f2 as (select *, regexp_matches(t, '^[0-9]{{1,4}}$') as arabic, regexp_matches(t, '^(?i:[ivxlcdm]{{1,15}})$') as rom, {_ROMAN.format('t')} as dg from f1 where length(t) between 1 and 5),
+  f3 as (select doc_id, page, case when arabic then 'd' else 'r' end as series, cast(case when arabic then try_cast(t as int) when rom and {_ROMAN_SUM.format('dg')} between 1 and {outline.ROMAN_CEILING} then {_ROMAN_SUM.format('dg')} end as int) as n from f2)
+  select doc_id, series, n, min(page) as page from f3 where n > 0 group by all""")
 def folio_map(v: Views) -> DataFrame:
     edge = v.pdf_lines.withColumn("text", F.when(F.col("y") < 57, F.concat(F.lit("page "), F.col("page").cast("string"))).otherwise(F.col("text")))
     return outline.folios(edge)
 
 
+@query("pdf_lines", """, d as (select doc_id, count(*) as n, max(page) as last from pdf_lines group by doc_id) select doc_id, case when doc_id % 4 = 1 then 0 when doc_id % 4 = 2 then 1 else n end as n, case when doc_id % 4 = 1 then null when doc_id % 4 = 2 then 7 else last end as last_page from d""")
+def outlines_set_and_cleared(v: Views) -> DataFrame:
+    entry = F.struct(F.lit(1).alias("level"), F.col("text").alias("title"), F.col("page").alias("page"))
+    old = v.pdf_lines.groupBy("doc_id").agg(F.collect_list(entry).alias("entries"))
+    new = old.where("doc_id % 4 = 2").select("doc_id", F.array(F.struct(F.lit(1).alias("level"), F.lit("All").alias("title"), F.lit(7).alias("page"))).alias("entries"))
+    done = outline.clear_outlines(outline.set_outlines(old, new), old.where("doc_id % 4 = 1").select("doc_id"))
+    return done.select("doc_id", F.size("entries").cast("long").alias("n"), F.array_max(F.transform("entries", lambda e: e["page"])).alias("last_page"))
+
+
+@query()
+def outline_auto(v: Views) -> DataFrame:
+    lines = v.pdf_lines.drop("text").join(v.toc_lines.select("doc_id", "ord", "text"), ["doc_id", "ord"])
+    return outline.auto_outline(lines, v.links.where("doc_id % 6 = 0"))
+
+
 @query(sql="select doc_id, case when n_chars < 100 then 'ocr-needed' when doc_id % 5 = 0 then 'contents-links' when doc_id % 7 = 0 then 'contents-printed-numbers' when doc_id % 2 = 0 then 'typography' else 'nothing-found' end as route from documents")
 def outline_route(v: Views) -> DataFrame:
     zero = lambda n: F.when(F.col("doc_id") % n == 0, 3).otherwise(0)

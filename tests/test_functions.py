@@ -43,7 +43,10 @@ def test_no_numeral(spark, text):
 
 def test_clean_abstract(spark):
     assert one(spark, T.clean_abstract, "<jats:p>Abstract: A &amp; B</jats:p>\n c") == "A & B c"
-    assert one(spark, T.clean_abstract, "Abstraction is no label") == "Abstraction is no label"
+    # the label needs no boundary, and only four spellings are labels
+    assert one(spark, T.clean_abstract, "AbstractThis is") == "This is"
+    assert one(spark, T.clean_abstract, "aBSTRACT this") == "aBSTRACT this"
+    assert one(spark, T.clean_abstract, "RESUMEN—&eacute;&#233;&#xe9;&nbsp; x &notanentity; &amplt") == "ééé x ¬anentity; &lt"
 
 
 def test_html(spark):
@@ -68,6 +71,6 @@ def test_sizes_and_versions(spark):
     assert one(spark, T.version_tuple, "1.10.3b") == [1, 10, 3]
 
 
-@pytest.mark.parametrize(("text", "depth"), [("3.1.2. T", 3), ("1 Intro", 1), ("Intro", 0), ("2.4 X", 2)])
+@pytest.mark.parametrize(("text", "depth"), [("3.1.2. T", 3), ("1 Intro", 1), ("Intro", 0), ("2.4 X", 2), ("123 Apples", 0), ("1.2.3.4.5.6 x", 0), ("12.10.1.4 x", 4), ("3. ", 0)])
 def test_numbering_depth(spark, text, depth):
     assert one(spark, T.numbering_depth, text) == depth
