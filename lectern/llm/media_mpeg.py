@@ -2,7 +2,8 @@
 
 ``read_stream`` is the operator: it skips an ID3v2 tag (and reads its TXXX frames) and an ID3v1 trailer, finds frame
 headers again after damage (a header counts when the next one, or the end, follows where it says), checks the CRC-16
-of protected frames, parses a Xing/Info table, and stores exact durations (samples over rate) and frame offsets.
+of protected frames (Layers I and III; what it covers in Layer II follows from allocation tables and is not checked),
+parses a Xing/Info or VBRI table, and stores exact durations (samples over rate) and frame offsets.
 
 ``write_stream`` stores any bytes losslessly in such a stream: they are the frames' main data, a Xing table comes
 first, the tag says how many bytes there are. Frames have 320 kbit/s; the last has the least rate that holds the rest.
@@ -69,9 +70,12 @@ def parse_header(data: bytes, at: int) -> tuple[int, int, int, int, int, int] |
     kbit = BITRATES[1 if first else 2, layer][(b2 >> 4) - 1]
     samples = 384 if layer == 1 else 1152 if layer == 2 or first else 576
     size = (12000 * kbit // rate + (b2 >> 1 & 1)) * 4 if layer == 1 else samples * 125 * kbit // rate + (b2 >> 1 & 1)
-    mono = data[at + 3] >> 6 == 3
-    side = (17 if mono else 32) if first else (9 if mono else 17)
-    return size, samples, rate, kbit, side if layer == 3 else 0, int(not data[at + 1] & 1)
+    mode, extension = data[at + 3] >> 6, data[at + 3] >> 4 & 3
+    if layer == 3:
+        side = (17 if mode == 3 else 32) if first else (9 if mode == 3 else 17)
+    else:  # allocation of 32 bands, four bits each: of one channel, of two, or of two up to a bound
+        side = 0 if layer == 2 else 16 if mode == 3 else 18 + 2 * extension if mode == 1 else 32
+    return size, samples, rate, kbit, side, int(not data[at + 1] & 1)
 
 
 def syncsafe(n: int) -> bytes:
@@ -161,6 +165,10 @@ def read_stream(data: bytes | None) -> dict[str, Any]:
                     info[name] = int.from_bytes(data[x : x + 4], "big") if n == 4 else zlib.crc32(data[x : x + n])
                     x += n
             o, f = o[1:], f[1:]
+        elif data[(x := offs[0] + 36) : x + 4] == b"VBRI":
+            entries, width = int.from_bytes(data[x + 18 : x + 20], "big"), int.from_bytes(data[x + 22 : x + 24], "big")
+            info |= {"bytes": int.from_bytes(data[x + 10 : x + 14], "big"), "frames": int.from_bytes(data[x + 14 : x + 18], "big"), "toc": zlib.crc32(data[x + 26 : x + 26 + entries * width])}
+            o, f = o[1:], f[1:]
     payload = b"".join(data[a + 4 + 2 * p + s : a + n] for a, n, s, p in zip(o.tolist(), f[:, 0].tolist(), f[:, 4].tolist(), f[:, 5].tolist(), strict=True))
     samples, rate = int(f[:, 1].sum()), int(f[0, 2]) if len(f) else 0
     stated = texts.get("payload_bytes", "")

@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import struct
 import zlib
 
 import numpy as np
@@ -242,6 +243,33 @@ def test_audio_damage():
     assert media_mpeg.read_stream(b"")["n_frames"] == 0 and media_mpeg.read_stream(None)["payload"] == b""
 
 
+def test_audio_vbri_table():
+    frames = [bytes(media_mpeg.frame(9)) for _ in range(4)]
+    table = bytearray(frames[0])
+    toc = struct.pack(">HHH", 7, 8, 9)
+    table[36 : 36 + 26 + len(toc)] = b"VBRI" + struct.pack(">HHHIIHHHH", 1, 0, 75, 4 * len(table), 3, 3, 1, 2, 1) + toc
+    got = media_mpeg.read_stream(bytes(table) + b"".join(frames[1:]))
+    assert got["table"] == {"bytes": 4 * len(table), "frames": 3, "toc": zlib.crc32(toc)}
+    assert got["n_frames"] == 3 and got["samples"] == 3 * 1152 and got["offsets"].tolist() == [len(table) * k for k in (1, 2, 3)]
+
+
+@pytest.mark.parametrize(("mode", "extension", "side"), [(3, 0, 16), (0, 0, 32), (1, 0, 18), (1, 2, 22)])
+def test_audio_layer_one_checksums(mode, extension, side):
+    size = 12000 * 384 // 32000 * 4
+    one = bytearray(size)
+    one[:4] = bytes([0xFF, 0xFE, 12 << 4 | 2 << 2, mode << 6 | extension << 4])
+    one[6 : 6 + side] = bytes(range(1, side + 1))
+    crc = 0xFFFF
+    for byte in [*one[2:4], *one[6 : 6 + side]]:  # bit by bit
+        for k in range(8):
+            crc = (crc << 1 ^ (0x8005 if (crc >> 15 ^ byte >> (7 - k)) & 1 else 0)) & 0xFFFF
+    one[4:6] = crc.to_bytes(2, "big")
+    got = media_mpeg.read_stream(bytes(one) * 3)
+    assert (got["n_frames"], got["samples"], got["crc_good"], got["crc_bad"]) == (3, 3 * 384, 3, 0)
+    one[7] ^= 1
+    assert media_mpeg.read_stream(bytes(one) * 3)["crc_bad"] == 3
+
+
 def test_simhash(spark):
     rows = [(i, t) for i, t in hard_rows() if i is not None]
     rows = list({i: (i, t) for i, t in rows}.values())
