@@ -1,7 +1,11 @@
 """The corpus pipeline: five stages from raw documents to packed sequences.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-stage's docs. All but the last return the columns of ``documents``.
+stage's docs. All but the last return the columns of ``documents``, whatever further columns there are.
+
+Defined cases, for every stage: a null text counts as empty where it is scored or counted, and stays null where it is
+kept; an empty document goes only if the classifier rejects it (all of its features are zero); equal rows are judged
+alike, and the Jaccard stage leaves one of them; a null doc_id is an id like others; no documents give no rows.
 """
 
 from __future__ import annotations
@@ -51,7 +55,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality classifier", quality), ("line dedup", lines), ("n-gram Jaccard join", near_duplicates), ("mixing", mixing), ("packing", packing)]
 
-#: The classifiers' scores and token ids are beyond SQL; stages are tested against brute force.
+#: The classifiers' scores and token ids are beyond SQL; tests/llm/test_registered.py holds each stage against a plain version.
 ORACLE_SQL = None
 
 
