@@ -148,8 +148,16 @@ def display_name(first: Column, last: Column, single: Column | None = None) -> C
 
 
 def one_decimal(x: Column, unit: str) -> Column:
-    """Rounded to one decimal; what stands exactly between two goes to the even one."""
-    return F.format_string(f"%.1f {unit}", F.when(x * 4 == F.floor(x * 4), F.bround(x, 1)).otherwise(x))
+    """Rounded to one decimal as C does: by the number's exact value, and to the even digit where that stands exactly between
+    two. (Java's formatter rounds the shortest decimal that stands for the number.) Twenty times the number is formed as
+    a sum and its rounding error; an odd sum is a number that looks like a tie."""
+    big, small = x * 16, x * 4
+    total = big + small
+    part = total - big
+    error = (big - (total - part)) + (small - part)
+    below = F.floor((total - 1) / 2)
+    tenths = F.when(error > 0, below + 1).when(error < 0, below).otherwise(below + below % 2)
+    return F.format_string(f"%.1f {unit}", F.when((total == F.floor(total)) & (total % 2 == 1), tenths / 10).otherwise(x))
 
 
 def human_size_binary(c: Column | str) -> Column:

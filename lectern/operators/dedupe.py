@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import written
 
 BLOCK = 6
 THRESHOLD = 0.9
@@ -73,21 +74,26 @@ def rare_grams(rows: DataFrame, threshold: float) -> DataFrame:
 
 
 def fuzzy_clusters(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """seed, key of greedy clusters: in scan order, an item that no earlier seed takes is a seed; it takes those alike.
+    """seed, key of greedy clusters: in scan order, an item that no earlier seed takes is a seed; an item is the earliest
+    seed's that is alike.
 
-    Only items with a similar partner take part, so what a block gathers is its near pairs, not its rows.
+    Worked out on the pairs, in rounds: items without an earlier undecided partner are seeds, their partners are taken, and
+    both leave. A round is a few joins, and there are as many as the longest chain of such decisions; nothing is gathered.
     """
-    pairs = fuzzy_pairs(items, threshold)
     order = items.select("key", "scan_order")
-    involved = pairs.select(F.col("key_a").alias("key")).union(pairs.select("key_b")).distinct().join(singletons(items), "key").select("key", "k", "scan_order", "block")
-    near = lambda x, y: T.similar(x["k"], y["k"], threshold)
-    empty = F.array().cast("array<struct<scan_order:bigint,key:string,k:string>>")
-    block = involved.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("scan_order", "key", "k"))).alias("rows"))
-    seeds = F.aggregate("rows", empty, lambda acc, x: F.when(F.exists(acc, lambda s: near(s, x)), acc).otherwise(F.concat(acc, F.array(x))))
-    rows = block.withColumn("seeds", seeds).select("seeds", F.explode("rows").alias("x"))
-    seed = rows.select(F.col("x.key").alias("key"), F.get(F.filter("seeds", lambda s: near(s, F.col("x"))), F.lit(0))["key"].alias("seed"))
-    size = seed.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1")
-    return seed.join(size, "seed").join(order, "key").select("seed", "key")
+    pairs = written(fuzzy_pairs(items, threshold).select("key_a", "key_b"), "pairs")
+    left, taken = pairs, pairs.select(F.col("key_b").alias("key")).limit(0)
+    while not left.isEmpty():
+        later = left.select(F.col("key_b").alias("key_a")).distinct()
+        seeds = written(left.select("key_a").distinct().join(later, "key_a", "left_anti"), "seeds")
+        gone = written(left.join(seeds, "key_a", "left_semi").select(F.col("key_b").alias("key")).distinct(), "taken")
+        taken = taken.unionByName(gone)
+        decided = seeds.select(F.col("key_a").alias("key")).unionByName(gone)
+        left = written(left.join(decided.withColumnRenamed("key", "key_a"), "key_a", "left_anti").join(decided.withColumnRenamed("key", "key_b"), "key_b", "left_anti"), "left")
+    by = pairs.join(taken.withColumnRenamed("key", "key_a"), "key_a", "left_anti").join(taken.withColumnRenamed("key", "key_b"), "key_b", "left_semi")
+    seed = by.join(order, by.key_a == order.key).groupBy("key_b").agg(F.min_by("key_a", "scan_order").alias("seed"))
+    members = seed.select("seed", F.col("key_b").alias("key"))
+    return members.unionByName(members.select("seed", F.col("seed").alias("key")).distinct())
 
 
 def merge_confidence(group: Column) -> Column:

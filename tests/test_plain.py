@@ -323,9 +323,8 @@ def similar(a, b):
     return 1 - d[-1] / max(len(a), len(b), 1)
 
 
-@pytest.mark.parametrize("crowded", [0, 1000])
-def test_fuzzy_pairs_in_crowded_blocks(spark, crowded):
-    """Blocks whose titles must share a rare group of letters lose no pair, repetitive and short titles included."""
+def alike_titles():
+    """Titles with a common beginning, repetitive and short ones among them, and edits of each."""
     import random
 
     rng = random.Random(3)
@@ -338,15 +337,42 @@ def test_fuzzy_pairs_in_crowded_blocks(spark, crowded):
                 at = rng.randrange(6, len(x) + 1)
                 x[at : at + rng.randrange(2)] = rng.choice("abcxyz ")
             titles.append("".join(x))
-    items = spark.createDataFrame([(f"K{i}", t, i) for i, t in enumerate(titles)], "key string, title string, scan_order long")
-    got = {(r.key_a, r.key_b) for r in dedupe.fuzzy_pairs(items, crowded=crowded).collect()}
+    rng.shuffle(titles)
+    return titles
+
+
+def plain_pairs(titles):
     key = [re.sub("[^a-z0-9]+", " ", t.lower()).strip() for t in titles]
     count = Counter(key)
     alone = [i for i in range(len(key)) if count[key[i]] == 1]
-    expected = {(f"K{i}", f"K{j}") for i in alone for j in alone if i < j and key[i][:6] == key[j][:6] and similar(key[i], key[j]) >= 0.9 - 1e-12}
+    return {(i, j) for i in alone for j in alone if i < j and key[i][:6] == key[j][:6] and similar(key[i], key[j]) >= 0.9 - 1e-12}
+
+
+@pytest.mark.parametrize("crowded", [0, 1000])
+def test_fuzzy_pairs_in_crowded_blocks(spark, crowded):
+    """Blocks whose titles must share a rare group of letters lose no pair."""
+    titles = alike_titles()
+    items = spark.createDataFrame([(f"K{i}", t, i) for i, t in enumerate(titles)], "key string, title string, scan_order long")
+    got = {(r.key_a, r.key_b) for r in dedupe.fuzzy_pairs(items, crowded=crowded).collect()}
+    expected = {(f"K{i}", f"K{j}") for i, j in plain_pairs(titles)}
     assert got == expected and len(expected) > 20
 
 
+def test_fuzzy_clusters(spark):
+    titles = alike_titles()
+    near = plain_pairs(titles)
+    seeds, owner = [], {}
+    for j in sorted({k for p in near for k in p}):
+        mine = [i for i in seeds if (i, j) in near]
+        if mine:
+            owner[j] = mine[0]
+        else:
+            seeds.append(j)
+    items = spark.createDataFrame([(f"K{i}", t, i) for i, t in enumerate(titles)], "key string, title string, scan_order long")
+    got = {(r.seed, r.key) for r in dedupe.fuzzy_clusters(items).collect()}
+    assert got == {(f"K{s}", f"K{k}") for k, s in owner.items()} | {(f"K{s}", f"K{s}") for s in owner.values()} and len(got) > 20
+
+
 def test_merge_verdicts(spark):
     rows_ = [("a", "Banda", "", 1), ("a", "Banda, Juan M.", "", 2), ("b", "Scott", "3rd", 3), ("b", "Scott", "4th ed", 4), ("b", "", "", 5), ("c", "An", "1", 6), ("c", "Ann", "", 7), ("c", "Nan", "1", 8), ("d", "X", "2nd", 9), ("d", "X", "2ND", 10)]
     items = spark.createDataFrame([(t, f"K{o}", o, n, e, "book", "2000") for t, n, e, o in rows_], "title string, key string, scan_order long, last_name string, edition string, type string, date string")
