@@ -3,16 +3,16 @@
 A classifier (multinomial naive Bayes on hashed words), fitted to a bounded sample of the rows that the labels table
 lists, predicts each document's posterior over domains; long documents' posteriors are tempered, so membership is soft.
 Expected tokens of domain d are E_d = sum of rate * tokens * posterior_d. Projected gradient steps on the rates,
-preconditioned by tokens and by the domains' present totals, minimise the weighted squares of E - target:
+preconditioned by tokens and by the domains' present totals, minimise the weighted squares of E - target; each step starts
+a little ahead of the last rates, in the direction that they moved (Nesterov's momentum, begun anew where squares grew):
 
-    rate <- max(least, rate - sum over d of posterior_d * (E_d - T_d) / present_d)
+    rate <- max(least, ahead - sum over d of posterior_d * (E_d(ahead) - T_d) / present_d)
 
 The rates need not be kept between steps: a rate follows from its posterior and the short history of step vectors, so
-each step is one aggregation over a narrow table, and only E reaches the driver.
-
-Steps end when E is within TOLERANCE of the targets, or after STEPS with a warning and ``converged`` false: targets may be
-out of reach (a domain without documents, a least rate). Tokens are words here; they stand for the packer's ids, whose
-number for each word hardly differs between documents of one domain.
+each step is one aggregation over a narrow table, and only the totals reach the driver. Steps end when E is within
+TOLERANCE of the targets, or moves by less than STILL: targets may be out of reach, as rates have a least value. After
+STEPS without either there is a warning, and ``converged`` is false. Tokens are words here; they stand for the packer's
+ids, whose number for each word hardly differs between documents of one domain.
 
 Defined cases: a null or empty text has no tokens (posterior = prior, does not count in E; such rows have rates and copies
 like others); equal rows have equal rates and copies; a null doc_id is a key like others; no labelled rows, or no rows: one
@@ -36,7 +36,8 @@ from . import common
 SAMPLE, SLOTS, MOST_DOMAINS = 10_000, 1 << 15, 32
 #: Words whose evidence a posterior takes at most; more words share that weight.
 EVIDENCE = 8.0
-STEPS, TOLERANCE = 60, 1e-6
+#: Most steps; shares of all tokens that E may miss its targets by, and that it may move by when it has settled.
+STEPS, TOLERANCE, STILL = 60, 1e-6, 2e-6
 #: Default targets: present shares to this power, normalised.
 FLATTEN = 0.7
 
@@ -101,21 +102,28 @@ class Rates:
     """Document rates as a function of the posterior: the steps taken, in order."""
 
     least: float
-    steps: list[np.ndarray]
+    steps: list[tuple[np.ndarray, bool]]
     present: np.ndarray
     target: np.ndarray
     expected: np.ndarray
     converged: bool = True
 
     def of(self, posterior: np.ndarray) -> np.ndarray:
-        return follow(posterior, self.steps, self.least)
+        return follow(posterior, self.steps, self.least)[0]
 
 
-def follow(posterior: np.ndarray, steps: list[np.ndarray], least: float) -> np.ndarray:
-    rate = np.ones(len(posterior))
-    for g in steps:
-        rate = np.maximum(least, rate - posterior @ g)
-    return rate
+def follow(posterior: np.ndarray, steps: list[tuple[np.ndarray, bool]], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The rates after the steps (each a vector, and whether momentum begins anew), and the point ahead of them from which the
+    next step starts."""
+    rate = ahead = np.ones(len(posterior))
+    pace = 1.0
+    for g, anew in steps:
+        if anew:
+            ahead, pace = rate, 1.0
+        new = np.maximum(least, ahead - posterior @ g)
+        following = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
+        ahead, rate, pace = new + (pace - 1) / following * (new - rate), new, following
+    return rate, ahead
 
 
 def members(docs: DataFrame, model: DomainModel) -> DataFrame:
@@ -135,34 +143,41 @@ def fit_rates(rows: DataFrame, model: DomainModel, shares: dict[str, float] | No
     least total at which no domain shrinks. ``rows`` has n_tokens and posterior (members), read once a step."""
     d = len(model.domains)
 
-    def totals(steps: list[np.ndarray]) -> np.ndarray:
+    def totals(steps: list[tuple[np.ndarray, bool]]) -> tuple[np.ndarray, np.ndarray]:
+        """E at the rates, and at the point ahead."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(d)
+            total = np.zeros((2, d))
             for b in batches:
                 if b.num_rows:
-                    p = np.asarray(b.column("posterior").flatten()).reshape(-1, d)
-                    total += (follow(p, steps, least) * np.asarray(b.column("n_tokens"))) @ p
-            yield pa.RecordBatch.from_arrays([pa.array(range(d), pa.int32()), pa.array(total, pa.float64())], names=["domain", "tokens"])
+                    p, n = np.asarray(b.column("posterior").flatten()).reshape(-1, d), np.asarray(b.column("n_tokens"))
+                    total += np.stack([(x * n) @ p for x in follow(p, steps, least)])
+            yield pa.RecordBatch.from_arrays([pa.array(range(2 * d), pa.int32()), pa.array(total.ravel(), pa.float64())], names=["place", "tokens"])
 
-        out = np.zeros(d)
-        for r in rows.select("n_tokens", "posterior").mapInArrow(run, "domain int, tokens double").groupBy("domain").agg(F.sum("tokens").alias("tokens")).collect():
-            out[r.domain] = r.tokens
-        return out
+        out = np.zeros(2 * d)
+        for r in rows.select("n_tokens", "posterior").mapInArrow(run, "place int, tokens double").groupBy("place").agg(F.sum("tokens").alias("tokens")).collect():
+            out[r.place] = r.tokens
+        return out[:d], out[d:]
 
-    present = totals([])
+    present, ahead = totals([])
     held = np.maximum(present, 1e-9)
     share = held**FLATTEN if shares is None else np.array([shares.get(x, 0.0) for x in model.domains])
     share = share / max(share.sum(), 1e-12)
     total = present.sum()
     if grow:
         total = max((c / s for c, s in zip(present, share, strict=True) if s > 0), default=total)
-    target, expected, steps = share * total, present, []
-    while len(steps) < STEPS and np.abs(expected - target).max() > TOLERANCE * max(total, 1.0):
-        steps.append((expected - target) / held)
-        expected = totals(steps)
-    converged = bool(np.abs(expected - target).max() <= TOLERANCE * max(total, 1.0))
+    target, expected, steps, moved, anew = share * total, present, [], np.inf, False
+    squares = lambda e: float(((e - target) ** 2 / held).sum())
+    missed = lambda: np.abs(expected - target).max() > TOLERANCE * max(total, 1.0)
+    while len(steps) < STEPS and missed() and moved > STILL * max(total, 1.0):
+        steps.append((((expected if anew else ahead) - target) / held, anew))
+        before = expected
+        expected, ahead = totals(steps)
+        anew = squares(expected) > squares(before)
+        moved = np.abs(expected - before).max()
+    converged = bool(not missed() or moved <= STILL * max(total, 1.0))
     if not converged:
-        warnings.warn(f"rates miss their targets after {len(steps)} steps: expected {expected.tolist()}, wanted {target.tolist()}", stacklevel=2)
+        warnings.warn(f"rates have not settled after {len(steps)} steps: expected {expected.tolist()}, wanted {target.tolist()}", stacklevel=2)
     return Rates(least, steps, present, target, expected, converged)
 
 

@@ -195,15 +195,37 @@ def test_rates_against_brute_force(spark):
     shares = {"a": 0.5, "b": 0.3, "c": 0.2}
     rates = mixing.fit_rates(rows, model, shares)
     target = np.array([0.5, 0.3, 0.2]) * n.sum()
-    rate = [1.0] * 60
+    rate, ahead, pace = [1.0] * 60, [1.0] * 60, 1.0
     present = [sum(n[i] * p[i][d] for i in range(60)) for d in range(3)]
-    for _ in range(len(rates.steps)):
-        e = [sum(rate[i] * n[i] * p[i][d] for i in range(60)) for d in range(3)]
-        rate = [max(0.0, rate[i] - sum(p[i][d] * (e[d] - target[d]) / present[d] for d in range(3))) for i in range(60)]
+    for _, anew in rates.steps:
+        if anew:
+            ahead, pace = rate, 1.0
+        e = [sum(ahead[i] * n[i] * p[i][d] for i in range(60)) for d in range(3)]
+        new = [max(0.0, ahead[i] - sum(p[i][d] * (e[d] - target[d]) / present[d] for d in range(3))) for i in range(60)]
+        following = (1 + math.sqrt(1 + 4 * pace**2)) / 2
+        ahead = [x + (pace - 1) / following * (x - y) for x, y in zip(new, rate, strict=True)]
+        rate, pace = new, following
     assert np.allclose(rates.of(p), rate, atol=1e-9)
     assert rates.converged and np.allclose((np.array(rate) * n) @ p, target, rtol=1e-4)
 
 
+def test_rates_out_of_reach_settle_at_the_least_squares(spark):
+    """Where a least rate keeps targets out of reach, no other allowed rates come much closer; that they are missed is told."""
+    rng = np.random.default_rng(7)
+    p = rng.dirichlet([0.3, 0.3, 0.3], 40)
+    n = rng.integers(1, 80, 40).astype(float)
+    rows = spark.createDataFrame([(int(k), [float(v) for v in x]) for k, x in zip(n, p, strict=True)], "n_tokens long, posterior array<double>")
+    model = mixing.DomainModel(["a", "b", "c"], np.ones(3) / 3, np.zeros((1, 3)))
+    with pytest.warns(UserWarning, match="not settled"):
+        rates = mixing.fit_rates(rows, model, {"a": 0.8, "b": 0.1, "c": 0.1}, least=0.6)
+    present, target = n @ p, np.array([0.8, 0.1, 0.1]) * n.sum()
+    miss = lambda r: (((r * n) @ p - target) ** 2 / present).sum()
+    best = np.ones(40)
+    for _ in range(20000):  # plain projected gradient, until nothing moves
+        best = np.maximum(0.6, best - p @ (((best * n) @ p - target) / present))
+    assert rates.of(p).min() >= 0.6 and miss(rates.of(p)) - miss(best) <= 0.02 * (miss(np.ones(40)) - miss(best))
+
+
 HARD = "doc_id long, text string, lang string, source string, n_chars long, n_lines string, n_removed string, score string, __id string, __row string, __rate string, __n string, __copy string, __text string, __places string, __kept string, posterior string, `own` string, stay string, page string, h string, line string"
 
 
