@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import analyze, catalog, dedupe, edits, enrich, outline, scan_prep, storage, tags
+from ..session import shared_path
+from ..sources import library
 from ..streaming import audit
 from .adapters import Views, duck
 
@@ -872,6 +874,44 @@ def decode_records(v: Views) -> DataFrame:
     return got.select("id", "doi", "title", "year", F.array_join("authors", "; ").alias("author"))
 
 
+# ---- files that people write, and read back
+@query("items", f", {_PLAN} select master, other from plan")
+def merge_plan_file(v: Views) -> DataFrame:
+    path = shared_path(v.spark, "merge-plan")
+    library.write_jsonl(dedupe.merge_plan(_editions(v)).groupBy("master").agg(F.collect_list("other").alias("others")), path)
+    return library.read_merge_plan(v.spark, path)
+
+
+@query("edits", """select key, field, value, null as tag, false as remove_tag, false as trash from edits union all select key, null, null, tag, remove_tag, false from edits where tag is not null
+  union all select key, null, null, null, false, true from edits where trash""")
+def edits_file(v: Views) -> DataFrame:
+    some = lambda c: F.when(c, F.array("tag"))
+    record = v.edits.select("key", F.create_map("field", "value").alias("set"), some(F.col("tag").isNotNull() & ~F.col("remove_tag")).alias("addTags"), some(F.col("tag").isNotNull() & F.col("remove_tag")).alias("removeTags"), "trash")
+    path = shared_path(v.spark, "edits")
+    library.write_jsonl(record, path)
+    return library.read_edits(v.spark, path).select("key", "field", "value", "tag", "remove_tag", "trash")
+
+
+@query("item_tags", "select distinct trim(tag) as tag, upper(trim(tag)) as target from item_tags")
+def tag_map_file(v: Views) -> DataFrame:
+    path = shared_path(v.spark, "tag-map")
+    v.item_tags.select(F.trim("tag").alias("tag")).distinct().select(F.concat(F.lit(" "), "tag", F.lit(" ")).alias("a"), F.upper("tag").alias("b"), F.lit("ignored").alias("c")).write.csv(path)
+    return library.read_tag_map(v.spark, path)
+
+
+@query("items", "select key, type, title, date, doi from items")
+def export_json_file(v: Views) -> DataFrame:
+    path = shared_path(v.spark, "records")
+    library.write_export_json(v.items.select("key", "type", "title", "date", "doi"), path)
+    return v.spark.read.schema("key string, type string, title string, date string, doi string").json(path)
+
+
+@query("items", "select count(*) as n, count(distinct key) as n_keys, max(size) <= 50 as bounded from (select key, 1 as size from items)")
+def key_batches(v: Views) -> DataFrame:
+    each = library.batches(v.items.select("key"), 50).select("batch", F.size("keys").alias("size"), F.explode("keys").alias("key"))
+    return each.agg(F.count("*").alias("n"), F.countDistinct("key").alias("n_keys"), (F.max("size") <= 50).alias("bounded"))
+
+
 # ---- audit log
 @query("audit", "select label, count(*) as n, count(*) filter (not ok) as errors, round(sum(code_bytes), 2) as bytes from audit group by label")
 def audit_counts(v: Views) -> DataFrame:
@@ -881,3 +921,8 @@ def audit_counts(v: Views) -> DataFrame:
 @query("audit", "select date_trunc('hour', ts) as hour, label, count(*) as n, count(*) filter (not ok) as errors from audit group by 1, 2")
 def audit_hourly(v: Views) -> DataFrame:
     return audit.hourly(v.audit)
+
+
+@query("audit", "select count(*) as n from audit")
+def audit_once(v: Views) -> DataFrame:
+    return audit.once(v.audit.unionAll(v.audit)).agg(F.count("*").alias("n"))

@@ -26,20 +26,24 @@ def session(app: str = "lectern", master: str | None = None, **conf: str) -> Spa
     return builder.getOrCreate()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table written to the shared folder ``spark.checkpoint.dir`` and read back: its lineage ends there, and it
-    survives lost executors. Where that is unset, a local master gets a folder of its own and a cluster an error. The
-    table is deleted when the driver ends."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder ``spark.checkpoint.dir``, which driver and executors share. Where that is unset, a local master
+    gets a folder of its own and a cluster an error. What is written there is deleted when the driver ends."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.gettempdir()}/lectern-written"
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table written to a shared path and read back: its lineage ends there, and it survives lost executors."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:

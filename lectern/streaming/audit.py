@@ -26,5 +26,5 @@ def stream(spark: SparkSession, path: str, late: str = "1 day") -> DataFrame:
 
 
 def once(events: DataFrame) -> DataFrame:
-    """Each event once, within the watermark."""
-    return events.dropDuplicatesWithinWatermark(["event_id"])
+    """Each event once: of a stream within the watermark, of a batch at all."""
+    return events.dropDuplicatesWithinWatermark(["event_id"]) if events.isStreaming else events.dropDuplicates(["event_id"])
