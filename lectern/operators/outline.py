@@ -379,25 +379,43 @@ def linked_contents(links: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def printed_contents(runs: DataFrame, lines: DataFrame, enough: int = 4) -> DataFrame:
-    """doc_id, first, title, printed, roman of each run of contents pages: lines that are entries by themselves, or, where a
-    run has fewer than four of them, titles paired with a column of numbers."""
+    """doc_id, first, page, ord, title, printed, roman, x0 of each run of contents pages: lines that are entries by themselves,
+    or, where a run has fewer than four of them, titles paired with a column of numbers.
+
+    A title that begins in lower case goes on what stands directly above: up to three lines without a number, up to one
+    that does not begin so; x0 is then that line's.
+    """
     r = runs.select("doc_id", "first", "last")
     own = lines.join(r, "doc_id").where((F.col("page") >= F.col("first")) & (F.col("page") <= F.col("last")))
-    by_line = own.withColumn("e", contents_line("text")).where("e is not null").select("doc_id", "first", "page", "ord", "e.title", "e.printed", "e.roman")
+    heading = lambda c: c.rlike(CONTENTS.replace(r"\b(", r"^(", 1))
+    told = own.withColumns({"e": contents_line("text"), "line": F.trim("text")})
+    told = told.withColumn("pending", F.col("e").isNull() & F.length("line").between(2, 120) & ~heading(F.col("line")))
+    w = Window.partitionBy("doc_id", "first").orderBy("page", "ord")
+    told = told.withColumns({f"p{k}": F.lag(F.struct("pending", "line", "page", "y", "y1", "x0"), k).over(w) for k in range(1, WRAPPED + 1)})
+    parts, going, at, title = [], F.lit(True), {"text": F.col("e.title"), "page": F.col("page"), "y": F.col("y")}, F.col("e.title")
+    for k in range(1, WRAPPED + 1):
+        p = F.col(f"p{k}")
+        going = going & F.coalesce(at["text"].rlike(r"^\p{Ll}") & p["pending"] & follows(at["y"], at["page"], p["y"], p["page"], p["y1"] - p["y"]), F.lit(False))
+        title = T.join_wrapped(p["line"], title)
+        parts.append((going, title, p["x0"]))
+        at = {"text": p["line"], "page": p["page"], "y": p["y"]}
+    whole, x0 = F.col("e.title"), F.col("x0")
+    for goes, joined, start in parts:
+        whole, x0 = F.when(goes, joined).otherwise(whole), F.when(goes, start).otherwise(x0)
+    by_line = told.where(F.col("e").isNotNull() & ~heading(F.col("e.title"))).select("doc_id", "first", "page", "ord", whole.alias("title"), "e.printed", "e.roman", x0.alias("x0"))
     count = by_line.groupBy("doc_id", "first").agg(F.count("*").alias("n"))
     good = by_line.join(count.where(F.col("n") >= enough).select("doc_id", "first"), ["doc_id", "first"], "left_semi")
     poor = r.select("doc_id", "first", "last").join(count.where(F.col("n") >= enough), ["doc_id", "first"], "left_anti")
-    pairs = pair_columns(lines).join(poor, "doc_id").where((F.col("page") >= F.col("first")) & (F.col("page") <= F.col("last")))
+    pairs = pair_columns(lines).join(poor, "doc_id").where((F.col("page") >= F.col("first")) & (F.col("page") <= F.col("last"))).join(lines.select("doc_id", "ord", "x0"), ["doc_id", "ord"])
     arabic = F.col("printed").rlike(r"^\d+$")
     n = F.when(arabic, F.try_to_number(F.when(arabic, F.col("printed")), F.lit("9999")).cast("int")).otherwise(T.roman_value("printed"))
-    columns = pairs.select("doc_id", "first", "page", "ord", "title", n.alias("printed"), (~arabic).alias("roman")).where((F.col("printed") > 0) & (~F.col("roman") | (F.col("printed") <= ROMAN_CEILING)))
-    return good.unionByName(columns).select("doc_id", "first", "page", "ord", "title", "printed", "roman")
+    columns = pairs.select("doc_id", "first", "page", "ord", "title", n.alias("printed"), (~arabic).alias("roman"), "x0").where((F.col("printed") > 0) & (~F.col("roman") | (F.col("printed") <= ROMAN_CEILING)))
+    return good.unionByName(columns).select("doc_id", "first", "page", "ord", "title", "printed", "roman", "x0")
 
 
-def indented(entries: DataFrame, lines: DataFrame, group: list[str]) -> DataFrame:
-    """``entries`` with a level from the indents of their lines, compared within a group."""
-    placed = entries.join(lines.select("doc_id", "ord", "x0"), ["doc_id", "ord"])
-    rows = placed.groupBy(*group).agg(F.collect_list(F.struct("ord", "x0")).alias("r"))
+def indented(entries: DataFrame, group: list[str]) -> DataFrame:
+    """``entries`` (with ord and x0) with a level from their indents, compared within a group."""
+    rows = entries.groupBy(*group).agg(F.collect_list(F.struct("ord", "x0")).alias("r"))
     leveled = rows.select(*group, "r", indent_levels(F.transform("r", lambda x: x["x0"])).alias("levels")).select(*group, F.explode(F.arrays_zip("r", "levels")).alias("x"))
     return entries.join(leveled.select(*group, F.col("x.r.ord").alias("ord"), F.col("x.levels").alias("level")), [*group, "ord"])
 
@@ -415,7 +433,7 @@ def auto_outline(lines: DataFrame, links: DataFrame | None = None, labels: DataF
     rest = listed
     if links is not None:
         linked = written(linked_contents(links, own), "linked")
-        out.append(indented(linked, own, ["doc_id"]).select("doc_id", F.lit("contents-links").alias("source"), "ord", "level", "title", "page"))
+        out.append(indented(linked.join(own.select("doc_id", "ord", "x0"), ["doc_id", "ord"]), ["doc_id"]).select("doc_id", F.lit("contents-links").alias("source"), "ord", "level", "title", "page"))
         rest = listed.join(linked.select("doc_id").distinct(), "doc_id", "left_anti")
     printed = written(printed_contents(rest, lines), "printed")
     labels = labels if labels is not None else spark.createDataFrame([], "doc_id long, label string, page int")
@@ -424,7 +442,7 @@ def auto_outline(lines: DataFrame, links: DataFrame | None = None, labels: DataF
     placed = resolve_pages(printed.select("doc_id", "ord", "printed", "roman"), labels, folios(lines), ends).where("page is not null")
     placed = written(placed.join(printed.select("doc_id", "ord", "title", "printed", "roman"), ["doc_id", "ord"]), "placed")
     found = repair_pages(written(verify_pages(placed, pages), "verified"), pages)
-    leveled = indented(printed.select("doc_id", "first", "ord"), lines, ["doc_id", "first"]).select("doc_id", "ord", "level")
+    leveled = indented(printed.select("doc_id", "first", "ord", "x0"), ["doc_id", "first"]).select("doc_id", "ord", "level")
     out.append(found.join(leveled, ["doc_id", "ord"]).select("doc_id", F.lit("contents-printed-numbers").alias("source"), "ord", "level", "title", "page"))
     done = written(reduce(DataFrame.unionByName, out), "contents")
     candidates = written(heading_candidates(lines), "headings").join(done.select("doc_id").distinct(), "doc_id", "left_anti")

@@ -716,10 +716,25 @@ def contents_runs(v: Views) -> DataFrame:
     return outline.contents_runs(outline.contents_pages(v.toc_lines))
 
 
-@query("toc_lines", f""", {_LISTED}, o1 as (select e.doc_id, r.first, e.page, e.ord, title, printed, roman, count(*) over (partition by e.doc_id, r.first) as n from entry e join runs r on r.doc_id = e.doc_id and e.page between r.first and r.last),
-  o2 as (select doc_id, first, page, ord, title, cast(case when roman then {_ROMAN_SUM.format('dg')} else try_cast(pg as int) end as int) as printed, roman from (select p.doc_id, r.first, p.page, p.ord, p.title, p.printed as pg, not regexp_matches(p.printed, '^[0-9]+$') as roman, {_ROMAN.format('p.printed')} as dg
-    from paired p join runs r on r.doc_id = p.doc_id and p.page between r.first and r.last where not exists (select 1 from o1 where o1.doc_id = r.doc_id and o1.first = r.first and o1.n >= 4)))
-  select doc_id, first, page, ord, title, printed, roman from o1 where n >= 4 union all select * from o2 where printed > 0 and (not roman or printed <= {outline.ROMAN_CEILING})""")
+def _joined(head: str, tail: str) -> str:
+    return f"case when regexp_matches({head}, '(^|[^-])-$') then concat(substr({head}, 1, length({head}) - 1), {tail}) else concat({head}, ' ', {tail}) end"
+
+
+_AT_START = _re(outline.CONTENTS).replace(r"\b(", "^(", 1)
+_BELOW = "{0}.page = {1}.page and {0}.y - {1}.y > 0 and {0}.y - {1}.y <= 1.8 * greatest({1}.y1 - {1}.y, 1)"
+
+
+@query("toc_lines", f""", {_LISTED}, o0 as (select l.doc_id, r.first, l.page, l.ord, trim(l.text) as line, l.y, l.y1, l.x0, e.title, e.printed, e.roman, row_number() over (partition by l.doc_id, r.first order by l.page, l.ord) as k,
+    e.title is null and length(trim(l.text)) between 2 and 120 and not regexp_matches(trim(l.text), '{_AT_START}') as pending from toc_lines l join runs r on r.doc_id = l.doc_id and l.page between r.first and r.last left join entry e on e.doc_id = l.doc_id and e.ord = l.ord),
+  o1 as (select a.doc_id, a.first, a.page, a.ord, a.title, a.printed, a.roman, a.x0, count(*) over (partition by a.doc_id, a.first) as n, b.line as l1, c.line as l2, d.line as l3, b.x0 as x1, c.x0 as x2, d.x0 as x3,
+      coalesce(regexp_matches(a.title, '^\\p{{Ll}}') and b.pending and {_BELOW.format('a', 'b')}, false) as g1, coalesce(regexp_matches(b.line, '^\\p{{Ll}}') and c.pending and {_BELOW.format('b', 'c')}, false) as g2, coalesce(regexp_matches(c.line, '^\\p{{Ll}}') and d.pending and {_BELOW.format('c', 'd')}, false) as g3
+    from o0 a left join o0 b on b.doc_id = a.doc_id and b.first = a.first and b.k = a.k - 1 left join o0 c on c.doc_id = a.doc_id and c.first = a.first and c.k = a.k - 2 left join o0 d on d.doc_id = a.doc_id and d.first = a.first and d.k = a.k - 3
+    where a.title is not null and not regexp_matches(a.title, '{_AT_START}')),
+  w1 as (select *, {_joined('l1', 'title')} as t1 from o1), w2 as (select *, {_joined('l2', 't1')} as t2 from w1), w3 as (select *, {_joined('l3', 't2')} as t3 from w2),
+  o2 as (select doc_id, first, page, ord, title, cast(case when roman then {_ROMAN_SUM.format('dg')} else try_cast(pg as int) end as int) as printed, roman, x0 from (select p.doc_id, r.first, p.page, p.ord, p.title, p.printed as pg, not regexp_matches(p.printed, '^[0-9]+$') as roman, {_ROMAN.format('p.printed')} as dg, l.x0
+    from paired p join runs r on r.doc_id = p.doc_id and p.page between r.first and r.last join toc_lines l on l.doc_id = p.doc_id and l.ord = p.ord where not exists (select 1 from o1 where o1.doc_id = r.doc_id and o1.first = r.first and o1.n >= 4)))
+  select doc_id, first, page, ord, case when g1 and g2 and g3 then t3 when g1 and g2 then t2 when g1 then t1 else title end as title, printed, roman, case when g1 and g2 and g3 then x3 when g1 and g2 then x2 when g1 then x1 else x0 end as x0 from w3 where n >= 4
+  union all select * from o2 where printed > 0 and (not roman or printed <= {outline.ROMAN_CEILING})""")
 def printed_contents(v: Views) -> DataFrame:
     return outline.printed_contents(outline.contents_runs(outline.contents_pages(v.toc_lines)), v.toc_lines)
 

@@ -443,3 +443,13 @@ def test_outline_set_to_nothing_is_refused(spark):
     kinds = "doc_id long, entries array<struct<level:int,title:string,page:int>>"
     with pytest.raises(Exception, match="no outline entries"):
         outline.set_outlines(spark.createDataFrame([], kinds), spark.createDataFrame([(1, [])], kinds)).collect()
+
+
+def test_wrapped_printed_entries(spark):
+    """An entry that begins in lower case takes the lines above it, up to where it began; not across a gap or a page."""
+    text = ["Contents", "Of the nation", "and its demo-", "cratization ..... 7", "Second ..... 9", "far above", "alone ..... 11", "Third ..... 12", "lower start", "fourth ..... 14"]
+    y = [10, 30, 44, 58, 72, 86, 200, 214, 228, 242]
+    lines = spark.createDataFrame([(1, 1, k, t, 70.0 + k, 200.0, float(v), v + 10.0) for k, (t, v) in enumerate(zip(text, y, strict=True))], "doc_id long, page int, ord long, text string, x0 double, x1 double, y double, y1 double")
+    runs = spark.createDataFrame([(1, 1, 1, True)], "doc_id long, first int, last int, titled boolean")
+    got = [(r.title, r.printed, r.x0) for r in outline.printed_contents(runs, lines).orderBy("ord").collect()]
+    assert got == [("Of the nation and its democratization", 7, 71.0), ("Second", 9, 74.0), ("alone", 11, 76.0), ("Third", 12, 77.0), ("lower start fourth", 14, 78.0)]
