@@ -7,6 +7,7 @@ every machine, and never depend on Python's own string hash.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import os
 import re
@@ -103,7 +104,8 @@ def buckets_for(df: DataFrame, column: str, per_bucket: int, least: int = 16, mo
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that a piece has about ``limit`` bytes of ``column``, or one row."""
+    """Cut batches so that a piece has about ``limit`` bytes of ``column``, or one row. At the end a worker gives free memory back:
+    it waits idle beside the JVM until the next stage."""
     for b in batches:
         if not b.num_rows:
             continue
@@ -112,6 +114,10 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20)
         starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
         for s, e in zip(starts, np.r_[starts[1:], b.num_rows], strict=True):
             yield b.slice(int(s), int(e - s))
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def split_words(texts: pa.Array, lower: bool) -> tuple[np.ndarray, pa.Array]:

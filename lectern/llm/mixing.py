@@ -49,7 +49,14 @@ class DomainModel:
     weight: np.ndarray = field(repr=False)  # (SLOTS, domains) log probabilities
 
     def posterior(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Words of each text, and (rows, domains) probabilities."""
+        """Words of each text, and (rows, domains) probabilities; a few texts at a time, as a word takes a row of numbers."""
+        whole = pa.RecordBatch.from_arrays([texts], names=["text"])
+        parts = [self._posterior(b.column("text")) for b in common.slices(iter([whole]), "text", 1 << 19)]
+        if not parts:
+            return np.zeros(0, np.int64), np.zeros((0, len(self.domains)))
+        return np.concatenate([n for n, _ in parts]), np.concatenate([p for _, p in parts])
+
+    def _posterior(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         offs, words = common.split_words(texts, lower=True)
         lens = np.diff(offs)
         slot = (common.hash_words(words) % np.uint64(SLOTS)).astype(np.int64)
@@ -200,7 +207,8 @@ def mix(docs: DataFrame, labels: DataFrame, domain: str = "lang", shares: dict[s
 
         return pd.Series(rates.of(model.posterior(pa.array(text, pa.string()))[1]))
 
-    rated = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"), rate(F.col("text")).alias("rate"))
+    # said to be nondeterministic, so that it is evaluated once, not again in the filter on the copies
+    rated = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"), rate.asNondeterministic()(F.col("text")).alias("rate"))
     times = rated.select("own", copies(F.col("rate"), F.col("own.doc_id")).alias("n")).where("n > 0")
     return times.select("own", F.explode(F.sequence(F.lit(1), "n"))).select(*(F.col(f"own.`{c}`") for c in docs.columns))
 
