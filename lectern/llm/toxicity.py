@@ -1,8 +1,8 @@
 """Toxicity by weak supervision.
 
-Voters are lexicons and patterns over a document: lexicons learned from labelled rows (that share out the telling words,
-and word beginnings of two lengths), three seed lexicons, and patterns that read other evidence (second person, exclamation,
-shouting, repeated marks, letters masked by symbols). A generative label model with two latent classes estimates, from
+Voters are lexicons and patterns over a document: lexicons learned from labelled rows (of words, and of word beginnings of
+two lengths; each is chosen to meet toxic rows of every kind by itself), three seed lexicons, and patterns that read other
+evidence (second person, exclamation, shouting, repeated marks, letters masked by symbols). A generative label model with two latent classes estimates, from
 the votes of all documents, how often each voter fires in a class given the voter that it depends on most: the
 dependences are a tree of largest conditional mutual information (Chow and Liu), part of the likelihood. Labels only
 start the estimation; a posterior comes from votes alone. The posteriors of a bounded sample of all rows that may be
@@ -35,14 +35,16 @@ from . import common
 SAMPLE = 12_000
 #: Lengths of word beginnings that are terms as well, and the counts from which a term's further levels hold.
 PREFIXES, COUNTS = (4, 6), (1, 2, 4)
-#: Lexicons learned of words and of each length of beginnings, their sizes, and the classifier's terms.
-LEXICONS, PER_LEXICON, TERMS = (3, 2, 2), 40, 4096
+#: Lexicons learned of words and of each length of beginnings, their sizes, the classifier's terms, and the lexicons' candidates.
+LEXICONS, PER_LEXICON, TERMS, CANDIDATES = (2, 2, 2), 40, 4096, 1024
+#: What a clean row that a lexicon's word meets weighs against a toxic one that no other of its words meets.
+CLEAN = 2.0
 LEARNED = sum(LEXICONS)
 L2 = 1.0
 #: Standard errors that a word's share in the posterior classes must differ by to become a term.
 LEAST_Z = 5.0
 #: A lexicon's words: standard errors, log odds and labelled rows that they need.
-LEXICON_Z, LEXICON_ODDS, LEXICON_ROWS = 4.0, 4.0, 5
+LEXICON_Z, LEXICON_ODDS, LEXICON_ROWS = 4.0, 3.0, 5
 #: Conditional mutual information (nats) from which two voters count as dependent; or so many divided by the rows, if more: twice
 #: this is the chi-square value that independent voters reach once in three thousand pairs.
 LEAST_INFORMATION, CHANCE = 1e-4, 8.0
@@ -270,8 +272,9 @@ def term_counts(rows: DataFrame, weight: str) -> DataFrame:
 
 
 def learn_lexicons(labelled: DataFrame, n: int, toxic: float) -> list[list[tuple[int, int]]]:
-    """The words that most raise the odds of a toxic label, and the beginnings that do, each at the count that tells most and
-    each kind dealt to its LEXICONS."""
+    """Lists of words, then of beginnings, each term at the count that tells most. Candidates are those that most raise the
+    odds of a toxic label; a lexicon takes those that meet most toxic rows which its others do not, so that each lexicon by
+    itself meets toxic rows of every kind."""
     if not 0 < toxic < n:
         return []
     bad, fine = F.col("weight") + 0.5, F.col("n") - F.col("weight") + 0.5
@@ -279,9 +282,55 @@ def learn_lexicons(labelled: DataFrame, n: int, toxic: float) -> list[list[tuple
     told = term_counts(labelled, "label").withColumns({"odds": odds, "z": odds / F.sqrt(1 / bad + 1 / fine)})
     told = told.where((F.col("z") > LEXICON_Z) & (F.col("odds") > LEXICON_ODDS) & (F.col("weight") >= LEXICON_ROWS))
     told = told.groupBy("kind", "term").agg(F.max(F.struct("z", (-F.col("level")).alias("down"))).alias("x")).select("kind", "term", "x.z", (-F.col("x.down")).alias("level"))
-    best = lambda kind, most: [(r.term & common.MASK, COUNTS[r.level]) for r in told.where(F.col("kind") == kind).orderBy(F.desc("z"), "term").limit(most).collect()]
-    found = [best(kind, lists * PER_LEXICON) for kind, lists in enumerate(LEXICONS)]
-    return [own[k::lists] for own, lists in zip(found, LEXICONS, strict=True) for k in range(lists)]
+    out: list[list[tuple[int, int]]] = []
+    for kind, lists in enumerate(LEXICONS):
+        best = [(r.term & common.MASK, COUNTS[r.level]) for r in told.where(F.col("kind") == kind).orderBy(F.desc("z"), "term").limit(CANDIDATES).collect()]
+        out += covering(labelled, best, lists)
+    return out
+
+
+def gathered(rows: DataFrame, word: np.ndarray, facts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+    """(row, place in the sorted hashes ``word``, count up to 255) of what the rows of a sample hold of them, and the rows' facts:
+    three bytes a term reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.slices(batches, "text"):
+            row, term, times = held_terms(b.column("text"), word)
+            ends = np.searchsorted(row, np.arange(b.num_rows + 1))
+            packed = [term[s:e].astype("<u2").tobytes() + np.minimum(times[s:e], 255).astype(np.uint8).tobytes() for s, e in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("row"), *(b.column(c) for c in facts), pa.array(packed, pa.binary())], names=["doc_id", "row", *facts, "terms"])
+
+    own = rows.mapInArrow(run, f"doc_id long, row long, {', '.join(f'{c} double' for c in facts)}, terms binary").orderBy("doc_id", "row").collect()
+    size = [len(r.terms) // 3 for r in own]
+    term = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r.terms, "<u2", k).astype(np.int64) for r, k in zip(own, size, strict=True))])
+    times = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(r.terms, np.uint8, k, 2 * k) for r, k in zip(own, size, strict=True))])
+    return np.repeat(np.arange(len(own)), size), term, times, own
+
+
+def covering(labelled: DataFrame, candidates: list[tuple[int, int]], lists: int) -> list[list[tuple[int, int]]]:
+    """``lists`` lexicons of candidates (hash, least count), no term in two; greedily, ties by hash."""
+    if not candidates:
+        return [[]] * lists
+    candidates = sorted(candidates)
+    row, term, times, own = gathered(labelled, np.array([w for w, _ in candidates], np.uint64), ["label"])
+    fires = times >= np.array([least for _, least in candidates])[term]
+    row, term = row[fires], term[fires]
+    bad = np.array([r.label for r in own]) > 0.5
+    clean = np.bincount(term[~bad[row]], minlength=len(candidates))
+    free, out = np.ones(len(candidates), bool), []
+    for _ in range(lists):
+        left, mine = bad.copy(), []
+        while len(mine) < PER_LEXICON:
+            new = np.bincount(term[left[row]], minlength=len(candidates))
+            gain = np.where(free & (new >= LEXICON_ROWS), new - CLEAN * clean, 0)
+            best = int(gain.argmax())
+            if gain[best] <= 0:
+                break
+            free[best] = False
+            mine.append(candidates[best])
+            left[row[term == best]] = False
+        out.append(mine)
+    return out
 
 
 def choose_terms(rows: DataFrame, n: int, share: float) -> np.ndarray:
@@ -345,18 +394,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, use: Column, target: str =
     n, total = judged.agg(F.count("*"), F.coalesce(F.sum("posterior"), F.lit(0.0))).first()
     word = choose_terms(judged, n, float(np.clip(total / max(n, 1), 1e-3, 1 - 1e-3)))
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.slices(batches, "text"):
-            row, term, times = held_terms(b.column("text"), word)
-            ends = np.searchsorted(row, np.arange(b.num_rows + 1))
-            packed = [term[s:e].astype("<u2").tobytes() + np.minimum(times[s:e], 255).astype(np.uint8).tobytes() for s, e in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), b.column("posterior"), pa.array(packed, pa.binary())], names=["doc_id", "row", "posterior", "terms"])
-
-    rows = judged.mapInArrow(gather, "doc_id long, row long, posterior double, terms binary").orderBy("doc_id", "row").collect()  # three bytes a term, TERMS at most, for each row of the sample
-    size = [len(r.terms) // 3 for r in rows]
-    term = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r.terms, "<u2", k).astype(np.int64) for r, k in zip(rows, size, strict=True))])
-    times = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(r.terms, np.uint8, k, 2 * k) for r, k in zip(rows, size, strict=True))])
-    classifier = fit_linear(word, np.repeat(np.arange(len(rows)), size), term, times, np.array([r.posterior for r in rows], float))
+    row, term, times, rows = gathered(judged, word, ["posterior"])
+    classifier = fit_linear(word, row, term, times, np.array([r.posterior for r in rows], float))
     cut.drop()
     return classifier, model, lex
 

@@ -587,6 +587,30 @@ def test_toxicity_against_brute_force(spark, docs):
     toxicity.fit_toxicity(empty(spark), labels, F.lit(True))
 
 
+def test_covering_lexicons_against_brute_force(spark):
+    import xxhash
+
+    rng = random.Random(12)
+    pool = [f"t{k}" for k in range(12)]
+    rows = [(i, i, " ".join(rng.choices(pool[:9] if i % 2 else pool[7:], k=rng.randrange(1, 5)) + words(rng, 5).split()), float(i % 2)) for i in range(200)]
+    candidates = sorted((xxhash.xxh3_64_intdigest(w), rng.choice([1, 1, 2])) for w in pool)
+    got = toxicity.covering(spark.createDataFrame(rows, "doc_id long, row long, text string, label double"), candidates, 3)
+    meets = [{i for i, _, t, _ in rows if slow_words(t)[h] >= least} for h, least in candidates]
+    bad, free, expected = {i for i, _, _, y in rows if y}, set(range(len(candidates))), []
+    for _ in range(3):
+        left, mine = set(bad), []
+        while True:
+            gain = {k: len(meets[k] & left) - toxicity.CLEAN * len(meets[k] - bad) for k in free if len(meets[k] & left) >= toxicity.LEXICON_ROWS}
+            if not gain or max(gain.values()) <= 0:
+                break
+            best = min(gain, key=lambda k: (-gain[k], k))
+            free.discard(best)
+            mine.append(candidates[best])
+            left -= meets[best]
+        expected.append(mine)
+    assert got == expected and len(got[0]) > 2 and toxicity.covering(spark.createDataFrame(rows, "doc_id long, row long, text string, label double"), [], 2) == [[], []]
+
+
 def test_held_out_toxicity(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
