@@ -8,7 +8,7 @@ Plan, in four moves:
    buckets of their documents, so a common passage gathers nowhere.
 2. Entries go, packed, to buckets by the top bits of the hash. A bucket counts its hashes; of each that has several
    places, all but the earliest (doc_id, start) are repeats. (Counting is a group of Spark's, its arithmetic numpy's:
-   windows as rows of their own would double what is shuffled.)
+   windows as rows of their own would shuffle more.)
 3. Repeats, and the texts, packed, go to buckets by document and text; equal rows of a block go as one with a count.
    There the repeats of a document merge into maximal removal intervals.
 4. How many buckets there are follows from the corpus' bytes, so one holds about the same at any size.
