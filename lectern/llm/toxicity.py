@@ -282,10 +282,13 @@ def learn_lexicons(labelled: DataFrame, n: int, toxic: float) -> list[list[tuple
     told = term_counts(labelled, "label").withColumns({"odds": odds, "z": odds / F.sqrt(1 / bad + 1 / fine)})
     told = told.where((F.col("z") > LEXICON_Z) & (F.col("odds") > LEXICON_ODDS) & (F.col("weight") >= LEXICON_ROWS))
     told = told.groupBy("kind", "term").agg(F.max(F.struct("z", (-F.col("level")).alias("down"))).alias("x")).select("kind", "term", "x.z", (-F.col("x.down")).alias("level"))
+    cut = common.Cuts(labelled.sparkSession)
+    told = cut(told, "told")  # read once for each kind
     out: list[list[tuple[int, int]]] = []
     for kind, lists in enumerate(LEXICONS):
         best = [(r.term & common.MASK, COUNTS[r.level]) for r in told.where(F.col("kind") == kind).orderBy(F.desc("z"), "term").limit(CANDIDATES).collect()]
         out += covering(labelled, best, lists)
+    cut.drop()
     return out
 
 
