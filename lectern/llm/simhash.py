@@ -175,6 +175,7 @@ def with_neighbours(prints: DataFrame, is_query: Column, radius: int) -> DataFra
     found = within_radius(rows.where(is_query), rows, radius)
     pairs = found.join(size.select(F.col("fingerprint").alias("found"), "n"), "found")
     near = pairs.groupBy("query").agg((F.sum("n") - 1).alias("n_within"), F.sort_array(F.collect_list(F.struct("distance", F.col("found").alias("fingerprint")))).alias("near"))
-    near = near.join(size.select(F.col("fingerprint").alias("query"), "least"), "query")
+    # a table of its own, so that the join with the rows can split a fingerprint that very many share
+    near = cut(near.join(size.select(F.col("fingerprint").alias("query"), "least"), "query"), "near")
     out = rows.join(near, rows.fingerprint == near["query"], "left")
     return out.select(*rows.columns, F.when(is_query, F.col("n_within")).alias("n_within"), F.when(is_query & F.col("doc_id").eqNullSafe(F.col("least")), F.col("near")).alias("near"))
