@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .chat_prefix import digests, expand
+from .divergence import divergence
 from .jaccard_join import jaccard_components
 from .line_dedup import line_dedup
 from .media_mpeg import audio_features, store_audio
@@ -80,6 +81,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(common.table(spark, sf_dir, "documents"), tokenizer_path(), window=2048, end_id=1)
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(common.table(spark, sf_dir, "documents"))
+
+
 __all__ = ["ORACLES", "QUERIES"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -93,4 +98,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_mixing": op9_mixing,
     "op10_packing": op10_packing,
+    "op12_source_divergence": op12_source_divergence,
 }

@@ -1,6 +1,7 @@
 """DuckDB text for the queries that SQL can express; meant for small tables."""
 
 from .chat_prefix import END, ESCAPES, TEXT, TURN
+from .divergence import BEST, LEAST_DOCS, PRIOR, SCALE
 from .line_dedup import LEAST_WORDS
 
 _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
@@ -57,4 +58,23 @@ j as (select l.doc_id, l.place, l.raw, f.first is not null and (l.line in (selec
 k as (select doc_id, count(*) as n_lines, count(*) filter (gone) as n_removed, coalesce(string_agg(raw, chr(10) order by place) filter (not coalesce(gone, false)), '') as kept from j group by doc_id)
 select d.doc_id, coalesce(k.n_lines, 0) as n_lines, coalesce(k.n_removed, 0) as n_removed, case when d.text is null then null else sha256(k.kept) end as kept_sha256 from documents d left join k on k.doc_id = d.doc_id"""
 
-ORACLES = {"op4_ngram_jaccard_join": JACCARD, "op6_chat_prefix": CHAT, "op7_substring_dedup": SUBSTRING, "op8_line_dedup": LINES}
+DIVERGENCE = rf"""
+with d as (select row_number() over () as id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') as text, coalesce(lang, '') as lang, coalesce(source, '') as source from documents),
+w as (select id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+k as (select lang, term from w group by all having count(distinct id) >= {LEAST_DOCS}),
+v as (select lang, count(*) as v from k group by lang),
+g as (select distinct lang, source from d),
+n as (select lang, source, term, count(*) as n from w join k using (lang, term) group by all),
+ng as (select g.lang, g.source, coalesce(sum(n.n), 0) as total from g left join n using (lang, source) group by all),
+nl as (select lang, sum(total) as total from ng group by lang),
+p as (select ng.lang, ng.source, k.term, coalesce(n.n, 0) as c, 1 + ({SCALE} * (coalesce(n.n, 0)::hugeint + {PRIOR})) // (ng.total + {PRIOR} * v.v)::hugeint as p
+  from ng join k on k.lang = ng.lang join v on v.lang = ng.lang left join n on n.lang = ng.lang and n.source = ng.source and n.term = k.term),
+q as (select k.lang, k.term, 1 + ({SCALE} * (coalesce(sum(n.n), 0)::hugeint + {PRIOR})) // (any_value(nl.total) + {PRIOR} * any_value(v.v))::hugeint as q
+  from k join nl on nl.lang = k.lang join v on v.lang = k.lang left join n on n.lang = k.lang and n.term = k.term group by k.lang, k.term),
+s as (select a.lang, a.source, 'pair' as part, b.source as item, sum(abs(a.p - b.p)) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+e as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(s.value, 0) as value from g a join g b on a.lang = b.lang and a.source <> b.source left join s on s.lang = a.lang and s.source = a.source and s.item = b.source
+  union all select p.lang, p.source, 'term', p.term, p.p - q.q from p join q using (lang, term) where p.c > 0 and p.p > q.q),
+r as (select *, row_number() over (partition by lang, source, part order by value desc, encode(item)) as rank from e)
+select lang, source, part, item, value::bigint as value, rank::int as rank from r where part = 'pair' or rank <= {BEST}"""
+
+ORACLES = {"op4_ngram_jaccard_join": JACCARD, "op6_chat_prefix": CHAT, "op7_substring_dedup": SUBSTRING, "op8_line_dedup": LINES, "op12_source_divergence": DIVERGENCE}
