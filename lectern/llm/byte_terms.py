@@ -100,8 +100,8 @@ class Terms:
                 bad[part] |= np.add.reduceat(differs, np.cumsum(n) - n) > 0
         return np.flatnonzero(bad)
 
-    def words(self, groups: np.ndarray | None = None) -> pa.Array:
-        at = self.first if groups is None else self.first[groups]
+    def words(self) -> pa.Array:
+        at = self.first
         return pa.array([self.bytes[s:e].tobytes() for s, e in zip(self.start[at].tolist(), self.end[at].tolist(), strict=True)], pa.binary()).cast(pa.string())
 
 

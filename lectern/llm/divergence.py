@@ -56,8 +56,9 @@ def count_terms(docs: DataFrame) -> DataFrame:
             at, d = runs(key[order])
             group, term = np.divmod(key[order][at], width)
             names = list(codes)
+            own = pa.array(group)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([names[g][0] for g in group]), pa.array([names[g][1] for g in group]), terms.words(term), pa.array(np.add.reduceat(n[order], at)), pa.array(d.astype(np.int64))],
+                [pa.array([x[0] for x in names]).take(own), pa.array([x[1] for x in names]).take(own), terms.words().take(pa.array(term)), pa.array(np.add.reduceat(n[order], at)), pa.array(d.astype(np.int64))],
                 ["lang", "source", "term", "n", "d"],
             )
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .chat_prefix import digests, expand
+from .collocations import collocations
 from .divergence import divergence
 from .jaccard_join import jaccard_components
 from .line_dedup import line_dedup
@@ -85,6 +86,10 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(common.table(spark, sf_dir, "documents"))
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(common.table(spark, sf_dir, "documents"))
+
+
 __all__ = ["ORACLES", "QUERIES"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -99,4 +104,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_packing": op10_packing,
     "op12_source_divergence": op12_source_divergence,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }

@@ -1,6 +1,8 @@
 """DuckDB text for the queries that SQL can express; meant for small tables."""
 
 from .chat_prefix import END, ESCAPES, TEXT, TURN
+from .collocations import BEST as BEST_PHRASES
+from .collocations import CONTAINED, LEAST, LONGEST
 from .divergence import BEST, LEAST_DOCS, PRIOR, SCALE
 from .line_dedup import LEAST_WORDS
 
@@ -77,4 +79,21 @@ e as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(s.valu
 r as (select *, row_number() over (partition by lang, source, part order by value desc, encode(item)) as rank from e)
 select lang, source, part, item, value::bigint as value, rank::int as rank from r where part = 'pair' or rank <= {BEST}"""
 
-ORACLES = {"op4_ngram_jaccard_join": JACCARD, "op6_chat_prefix": CHAT, "op7_substring_dedup": SUBSTRING, "op8_line_dedup": LINES, "op12_source_divergence": DIVERGENCE}
+COLLOCATIONS = rf"""
+with d as (select row_number() over () as id, coalesce(lang, 'und') as lang, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') as text from documents),
+p as (select lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) as piece from d),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from p),
+n as (select lang, sum(len(w))::bigint as n from w group by lang),
+g as (select lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) as g from w, (select unnest(range(1, {LONGEST + 1})) as m) where len(w) >= m),
+f as (select lang, m, g, count(*) as a from g group by all having count(*) >= {LEAST}),
+c as (select *, string_split(g, ' ') as w from f where m > 1),
+k as (select c.*, k from c, (select unnest(range(1, {LONGEST})) as k) where k < m),
+s as (select k.lang, k.g, k.m, k.a, k.k, x.a as l, y.a as r, ((2000000 * k.a::hugeint) // (x.a + y.a)::hugeint)::bigint as score
+  from k join f x on x.lang = k.lang and x.g = array_to_string(k.w[:k.k], ' ') join f y on y.lang = k.lang and y.g = array_to_string(k.w[k.k + 1:], ' ')),
+b as (select * from s qualify row_number() over (partition by lang, g order by score, k) = 1),
+i as (select c.lang, c.a, array_to_string(c.w[x:x + z - 1], ' ') as g from c, (select unnest(range(1, {LONGEST + 1})) as x), (select unnest(range(2, {LONGEST})) as z) where z < c.m and x + z - 1 <= c.m),
+o as (select lang, g, max(a) as most from i group by all),
+q as (select b.* from b left join o using (lang, g) where o.most is null or 100 * o.most::hugeint < {CONTAINED} * b.a::hugeint)
+select lang, row_number() over (partition by lang order by score desc, a desc, encode(g)) as rank, g as phrase, a, l, r, n, score from q join n using (lang) qualify rank <= {BEST_PHRASES}"""
+
+ORACLES = {"op4_ngram_jaccard_join": JACCARD, "op6_chat_prefix": CHAT, "op7_substring_dedup": SUBSTRING, "op8_line_dedup": LINES, "op13_phrase_collocations": COLLOCATIONS, "op12_source_divergence": DIVERGENCE}
