@@ -82,9 +82,12 @@ select lang, source, part, item, value::bigint as value, rank::int as rank from
 COLLOCATIONS = rf"""
 with d as (select row_number() over () as id, coalesce(lang, 'und') as lang, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') as text from documents),
 p as (select lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) as piece from d),
-w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from p),
+w as (select lang, row_number() over () as id, regexp_extract_all(piece, '[^\x20\x09]+') as w from p),
 n as (select lang, sum(len(w))::bigint as n from w group by lang),
-g as (select lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) as g from w, (select unnest(range(1, {LONGEST + 1})) as m) where len(w) >= m),
+e as (select lang, id, generate_subscripts(w, 1) as i, unnest(w) as w1 from w),
+h as (select lang, w1, lead(w1, 1) over x as w2, lead(w1, 2) over x as w3, lead(w1, 3) over x as w4 from e window x as (partition by id order by i)),
+g as (select lang, 1 as m, w1 as g from h union all select lang, 2, concat(w1, ' ', w2) from h where w2 is not null
+  union all select lang, 3, concat(w1, ' ', w2, ' ', w3) from h where w3 is not null union all select lang, 4, concat(w1, ' ', w2, ' ', w3, ' ', w4) from h where w4 is not null),
 f as (select lang, m, g, count(*) as a from g group by all having count(*) >= {LEAST}),
 c as (select *, string_split(g, ' ') as w from f where m > 1),
 k as (select c.*, k from c, (select unnest(range(1, {LONGEST})) as k) where k < m),
