@@ -11,6 +11,7 @@ from . import common
 from .chat_prefix import digests, expand
 from .collocations import collocations
 from .divergence import divergence
+from .html_wrappers import extract
 from .jaccard_join import jaccard_components
 from .line_dedup import line_dedup
 from .media_mpeg import audio_features, store_audio
@@ -82,6 +83,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(common.table(spark, sf_dir, "documents"), tokenizer_path(), window=2048, end_id=1)
 
 
+def op11_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(common.table(spark, sf_dir, "pages"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(common.table(spark, sf_dir, "documents"))
 
@@ -103,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_mixing": op9_mixing,
     "op10_packing": op10_packing,
+    "op11_html_wrappers": op11_html_wrappers,
     "op12_source_divergence": op12_source_divergence,
     "op13_phrase_collocations": op13_phrase_collocations,
 }
