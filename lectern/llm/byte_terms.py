@@ -67,10 +67,12 @@ class Terms:
 
     def _groups(self, seeds: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         view, hashed = memoryview(self.bytes.tobytes()), xxhash.xxh3_64_intdigest
-        if seeds is None:
-            h = np.fromiter((hashed(view[s:e]) for s, e in zip(self.start.tolist(), self.end.tolist(), strict=True)), np.uint64, len(self.start))
-        else:
-            h = np.fromiter((hashed(view[s:e], k) for s, e, k in zip(self.start.tolist(), self.end.tolist(), seeds.tolist(), strict=True)), np.uint64, len(self.start))
+        h = np.empty(len(self.start), np.uint64)
+        for at in range(0, len(h), 1 << 16):  # lists of numbers are many times an array's size
+            part = slice(at, at + (1 << 16))
+            edges = zip(self.start[part].tolist(), self.end[part].tolist(), strict=True)
+            found = (hashed(view[s:e]) for s, e in edges) if seeds is None else (hashed(view[s:e], k) for (s, e), k in zip(edges, seeds[part].tolist(), strict=True))
+            h[part] = np.fromiter(found, np.uint64, len(h[part]))
         _, first, group = np.unique(h, return_index=True, return_inverse=True)
         unlike = self._unlike(first[group], seeds)
         if len(unlike):  # terms that share a hash and are not equal get groups of their own

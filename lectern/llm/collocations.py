@@ -40,7 +40,7 @@ from .byte_terms import Terms, gathered, runs, table_of
 
 LONGEST, LEAST, BEST, CONTAINED = 4, 30, 2000, 80
 #: Bytes of text that are cut at once; words that one bucket stands for; occurrences of a pivot that one bucket takes.
-BATCH, BUCKET, PIVOT = 8 << 20, 3 << 19, 1 << 20
+BATCH, BUCKET, PIVOT = 4 << 20, 3 << 19, 1 << 20
 #: Bytes of the sketch (a power of two), and parts in which a language's best are first looked for.
 CELLS, PARTS = 1 << 22, 64
 #: 1: bytes of words; 2: ends of pieces; 0: blanks.
@@ -108,7 +108,7 @@ def fragments(docs: DataFrame, sketch: np.ndarray, buckets: int) -> DataFrame:
             ends = np.cumsum(KIND[terms.bytes] == 2)
             linked = (terms.row[1:] == terms.row[:-1]) & (ends[terms.start[1:]] == ends[terms.end[:-1] - 1]) & (order[1:] > 0) & (order[:-1] > 0)
             size = len(order)
-            columns = np.full((2 * REACH + 1, size), -1, np.int64)
+            columns = np.full((2 * REACH + 1, size), -1, np.int32)
             columns[REACH] = terms.group
             for side in (-1, 1):
                 going = order > 0
