@@ -189,22 +189,29 @@ def levenshtein_similarity(a: Column, b: Column) -> Column:
 
 
 def similar(a: Column, b: Column, least: float) -> Column:
-    """levenshtein_similarity >= least; the bounded distance stops early, and lengths that differ too much are not compared."""
+    """levenshtein_similarity >= least; the distance is bounded by what the longer text allows (-1 beyond it), so only a band
+    of the matrix is filled."""
     longer = F.greatest(F.length(a), F.length(b))
-    allowed = longer * (1.0 - least)
-    near = (F.abs(F.length(a) - F.length(b)) <= allowed + 1e-9) & (1.0 - F.levenshtein(a, b) / longer >= least)
+    distance = F.call_function("levenshtein", a, b, F.floor(longer * (1.0 - least) + 1e-9).cast("int"))
+    near = (distance >= 0) & (1.0 - distance / longer >= least)
     return (a == b) | ((a != "") & (b != "") & near)
 
 
 ROMAN = [("m", 1000), ("d", 500), ("c", 100), ("l", 50), ("x", 10), ("v", 5), ("i", 1)]
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that stands in the plan, and is evaluated, once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def roman_value(c: Column | str) -> Column:
     """Value of a numeral of at most 15 letters, order not checked; 0 when it is none."""
     text = F.lower(F.coalesce(col(c), F.lit("")))
-    digits = F.transform(F.split(text, ""), lambda x: reduce(lambda acc, r: F.when(x == r[0], r[1]).otherwise(acc), ROMAN, F.lit(0)))
-    signed = F.transform(digits, lambda d, i: F.when(d < F.coalesce(F.get(digits, i + 1), F.lit(0)), -d).otherwise(d))
-    return F.when(text.rlike("^[ivxlcdm]{1,15}$"), F.aggregate(signed, F.lit(0), lambda a, x: a + x)).otherwise(0)
+    value = lambda x: reduce(lambda acc, r: F.when(x == r[0], r[1]).otherwise(acc), ROMAN, F.lit(0))
+    signed = lambda digits: F.transform(digits, lambda d, i: F.when(d < F.coalesce(F.get(digits, i + 1), F.lit(0)), -d).otherwise(d))
+    total = lambda t: F.aggregate(let(F.transform(F.split(t, ""), value), signed), F.lit(0), lambda a, x: a + x)
+    return let(text, lambda t: F.when(t.rlike("^[ivxlcdm]{1,15}$"), total(t)).otherwise(0))
 
 
 def roman_text(c: Column | str) -> Column:

@@ -52,18 +52,27 @@ def contents_line(c: Column | str) -> Column:
 
     Either leaders (two or more, spaces count) and an arabic or roman number, or a space and an arabic number.
     """
-    line = F.trim(F.regexp_replace(F.replace(T.col(c), F.lit(" "), F.lit(" ")), r"\s+", " "))
+    line = F.trim(F.regexp_replace(F.replace(T.col(c), F.lit("\u00a0"), F.lit(" ")), r"\s+", " "))
     led = rf"^(.+?[^\s{LEADERS}])[\s{LEADERS}]{{2,}}(\d{{1,4}}|(?i:[ivxlcdm]{{1,15}}))$".replace("-–", r"\-–")
     plain = r"^(.+?\S)\s+(\d{1,4})$"
-    form = F.when(line.rlike(led), F.lit(1)).when(line.rlike(plain), F.lit(2))
-    raw_title = F.when(form == 1, F.regexp_extract(line, led, 1)).otherwise(F.regexp_extract(line, plain, 1))
-    page = F.when(form == 1, F.regexp_extract(line, led, 2)).otherwise(F.regexp_extract(line, plain, 2))
     edge = rf"[\s{LEADERS}]".replace("-–", r"\-–")
-    title = F.regexp_replace(raw_title, f"^{edge}+|{edge}+$", "")
-    arabic = page.rlike(r"^\d+$")
-    number = F.when(arabic, F.try_to_number(F.when(arabic, page), F.lit("9999")).cast("int")).otherwise(T.roman_value(page))
-    good = form.isNotNull() & (F.length(title) >= 2) & title.rlike(r"\p{L}") & ~F.lower(title).isin(STRUCTURAL) & (number > 0) & (arabic | (number <= ROMAN_CEILING))
-    return F.when(good, F.struct(title.alias("title"), number.alias("printed"), (~arabic).alias("roman")))
+
+    def cut(x: Column, form: str) -> Column:
+        title = F.regexp_replace(F.regexp_extract(x, form, 1), f"^{edge}+|{edge}+$", "")
+        return F.struct(title.alias("title"), F.regexp_extract(x, form, 2).alias("page"))
+
+    def number(x: Column) -> Column:
+        arabic = x["page"].rlike(r"^\d+$")
+        n = F.when(arabic, x["page"].try_cast("int")).otherwise(T.roman_value(x["page"]))
+        return F.struct(x["title"].alias("title"), n.alias("printed"), (~arabic).alias("roman"))
+
+    def judged(x: Column) -> Column:
+        title = x["title"]
+        good = (F.length(title) >= 2) & title.rlike(r"\p{L}") & ~F.lower(title).isin(STRUCTURAL) & (x["printed"] > 0) & (~x["roman"] | (x["printed"] <= ROMAN_CEILING))
+        return F.when(good, x)
+
+    parts = T.let(line, lambda x: F.when(x.rlike(led), cut(x, led)).when(x.rlike(plain), cut(x, plain)))
+    return T.let(parts, lambda x: F.when(x.isNotNull(), T.let(number(x), judged)))
 
 
 def indent_levels(indents: Column, tolerance: float = TOLERANCE, most: int = MAX_LEVEL) -> Column:
@@ -136,35 +145,59 @@ def repair_pages(verified: DataFrame, page_text: DataFrame) -> DataFrame:
     return own.where("not move").select(*names, "page", "confidence").unionByName(moved)
 
 
-def glued_numbers(rows: DataFrame) -> DataFrame:
-    """doc_id, ord, title: titles without trailing digits that, moved by the difference three or more rows agree on, give the row's link page."""
-    tail = F.regexp_extract("title", r"(\d{1,4})$", 1)
-    n = F.try_to_number(F.when(tail != "", tail), F.lit("9999")).cast("int")
-    own = rows.withColumn("tail", n)
-    votes = own.where("tail is not null").groupBy("doc_id", (F.col("link_page") - F.col("tail")).alias("delta")).agg(F.count("*").alias("n"), F.min("ord").alias("first"))
-    agreed = votes.where("n >= 3").groupBy("doc_id").agg(F.max_by("delta", F.struct("n", -F.col("first"))).alias("delta"))
-    out = own.join(agreed, "doc_id", "left")
-    return out.select("doc_id", "ord", F.when(F.col("tail") + F.col("delta") == F.col("link_page"), F.regexp_replace("title", rf"[\s{LEADERS}]*\d{{1,4}}$".replace("-–", r"\-–"), "")).otherwise(F.col("title")).alias("title"))
-
+def glued_numbers(rows: DataFrame, least: int = 3) -> DataFrame:
+    """doc_id, ord, title, printed: titles that had swallowed their page number, freed of it.
 
-def pair_columns(lines: DataFrame, band: float = 3.0) -> DataFrame:
-    """doc_id, page, title, printed: a line that is a bare number with the right-most text line that ends left of it on the same baseline; each title once."""
+    ``rows`` (doc_id, ord, title, printed, roman, link_page) are of two kinds. Those with an arabic printed number vote for
+    link_page - printed (the commonest, of equals the first met; ``least`` must agree). Those without one are judged: up to
+    four digits that follow a letter go if they, moved by that difference, give the row's own link page.
+    """
+    delta = (F.col("link_page") - F.col("printed")).alias("delta")
+    votes = rows.where(F.col("printed").isNotNull() & ~F.coalesce(F.col("roman"), F.lit(False))).groupBy("doc_id", delta).agg(F.count("*").alias("n"), F.min("ord").alias("first"))
+    agreed = votes.groupBy("doc_id").agg(F.max(F.struct("n", (-F.col("first")).alias("first"), "delta")).alias("x")).where(F.col("x.n") >= least).select("doc_id", "x.delta")
+    form = r"(?s)^(.*?[\p{L}\p{Nl}\p{No}])\s*(\d{1,4})$"
+    tail = F.regexp_extract("title", form, 2).try_cast("int")
+    glued = F.coalesce(F.col("printed").isNull() & (tail + F.col("delta") == F.col("link_page")), F.lit(False))
+    out = rows.join(agreed, "doc_id", "left")
+    return out.select("doc_id", "ord", F.when(glued, F.trim(F.regexp_extract("title", form, 1))).otherwise(F.col("title")).alias("title"), F.when(glued, tail).otherwise(F.col("printed")).alias("printed"))
+
+
+def pair_columns(lines: DataFrame, slack: float = 2.0, band: float = 16.0) -> DataFrame:
+    """doc_id, page, ord, title, number_ord, printed: titles with the bare number in the column right of them.
+
+    Numbers choose in reading order: of the titles not yet taken that end left of the number (``slack`` over at most) and
+    whose box holds the number's middle (one unit over at most), the one that ends furthest right, of equals the first.
+    Numbers and titles meet on bands of the page; the choice is a fold over one page's numbers.
+    """
     number = T.is_page_number("text")
-    slot = F.floor(F.col("y") / band)
-    n = lines.where(number).select("doc_id", "page", F.col("ord").alias("n_ord"), F.trim("text").alias("printed"), F.col("x0").alias("nx"), F.col("y").alias("ny"), F.explode(F.array(slot - 1, slot, slot + 1)).alias("slot"))
-    t = lines.where(~number).select("doc_id", "page", "ord", "text", "x1", "y", slot.alias("slot"))
-    both = n.join(t, ["doc_id", "page", "slot"]).where((F.abs(F.col("ny") - F.col("y")) <= band) & (F.col("x1") <= F.col("nx")))
-    mine = both.groupBy("doc_id", "page", "n_ord", "printed").agg(F.max_by(F.struct("ord", "text"), F.struct("x1", -F.col("ord"))).alias("t"))
-    return mine.groupBy("doc_id", "page", "t.ord", "t.text").agg(F.min_by("printed", "n_ord").alias("printed")).select("doc_id", "page", "ord", F.col("text").alias("title"), "printed")
-
-
-def link_titles(links: DataFrame, lines: DataFrame, least: float = 0.3) -> DataFrame:
-    """doc_id, page, ord, text, target: text lines of which a link's rectangle covers more than a share; the first link wins."""
-    l = links.alias("l").join(lines.alias("t"), ["doc_id", "page"])  # noqa: E741
+    at = lambda c: F.floor(c / band)
+    middle = (F.col("y") + F.col("y1")) / 2
+    n = lines.where(number).select("doc_id", "page", F.col("ord").alias("number_ord"), F.trim("text").alias("printed"), F.col("x0").alias("nx"), middle.alias("middle"), at(middle).alias("slot"))
+    t = lines.where(~number).select("doc_id", "page", "ord", "text", "x1", "y", "y1", F.explode(F.sequence(at(F.col("y") - 1), F.greatest(at(F.col("y") - 1), at(F.col("y1") + 1)))).alias("slot"))
+    both = n.join(t, ["doc_id", "page", "slot"]).where((F.col("x1") <= F.col("nx") + slack) & F.col("middle").between(F.col("y") - 1, F.col("y1") + 1))
+    mine = both.groupBy("doc_id", "page", "number_ord", "printed").agg(F.sort_array(F.collect_list(F.struct((-F.col("x1")).alias("left"), "ord", "text"))).alias("titles"))
+    page = mine.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(F.struct("number_ord", "printed", "titles"))).alias("numbers"))
+    state = "array<struct<ord:bigint,title:string,number_ord:bigint,printed:string>>"
+
+    def choose(taken: Column, x: Column) -> Column:
+        free = F.get(F.filter(x["titles"], lambda t: ~F.exists(taken, lambda y: y["ord"] == t["ord"])), F.lit(0))
+        own = F.struct(free["ord"].cast("bigint").alias("ord"), free["text"].alias("title"), x["number_ord"].cast("bigint").alias("number_ord"), x["printed"].alias("printed"))
+        return F.when(free.isNull(), taken).otherwise(F.concat(taken, F.array(own)))
+
+    chosen = F.aggregate("numbers", F.array().cast(state), choose)
+    return page.select("doc_id", "page", F.explode(chosen).alias("x")).select("doc_id", "page", "x.ord", "x.title", "x.number_ord", "x.printed")
+
+
+def link_titles(links: DataFrame, lines: DataFrame, least: float = 0.3, band: float = 32.0) -> DataFrame:
+    """doc_id, page, ord, text, target: text lines of which a link's rectangle covers more than a share; the first link wins.
+    Links and lines meet on bands of the page that both reach into."""
+    bands = lambda a, b: F.sequence(F.floor(F.col(a) / band), F.greatest(F.floor(F.col(a) / band), F.floor(F.col(b) / band)))
+    l = links.withColumn("band", F.explode(bands("y", "y1"))).alias("l")  # noqa: E741
+    both = l.join(lines.withColumn("band", F.explode(bands("y", "y1"))).alias("t"), ["doc_id", "page", "band"])
     wide = F.greatest(F.least(F.col("l.x1"), F.col("t.x1")) - F.greatest(F.col("l.x0"), F.col("t.x0")), F.lit(0.0))
     high = F.greatest(F.least(F.col("l.y1"), F.col("t.y1")) - F.greatest(F.col("l.y"), F.col("t.y")), F.lit(0.0))
     area = F.greatest((F.col("t.x1") - F.col("t.x0")) * (F.col("t.y1") - F.col("t.y")), F.lit(1e-9))
-    return l.where(wide * high / area > least).groupBy("doc_id", "page", F.col("t.ord").alias("ord"), F.col("t.text").alias("text")).agg(F.min_by("l.target", "l.link_ord").alias("target"))
+    return both.where(wide * high / area > least).groupBy("doc_id", "page", F.col("t.ord").alias("ord"), F.col("t.text").alias("text")).agg(F.min_by("l.target", "l.link_ord").alias("target"))
 
 
 def body_size(lines: DataFrame) -> DataFrame:
@@ -217,9 +250,13 @@ def running_heads(lines: DataFrame) -> DataFrame:
 
 def merge_wrapped(scored: DataFrame) -> DataFrame:
     """Headings that wrap over up to three lines (same page, size, weight; below the first line's top by 1.8 of the heading's
-    height so far at most) as one; the first line's place, the best score."""
+    height so far at most) as one; the first line's place, the best score. The fold is over lines of one page, size and
+    weight that follow each other, so its state is short whatever the document."""
     row = F.struct("page", "y", "ord", "y1", F.trim("text").alias("text"), "size", "bold", "score")
-    docs = scored.groupBy("doc_id").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    w = Window.partitionBy("doc_id").orderBy("page", "y", "ord")
+    like = F.struct("page", "size", "bold")
+    island = F.sum(F.coalesce(like != F.lag(like).over(w), F.lit(True)).cast("int")).over(w)
+    docs = scored.withColumn("island", island).groupBy("doc_id", "island").agg(F.sort_array(F.collect_list(row)).alias("rows"))
     state = "array<struct<page:int,y:double,ord:bigint,y1:double,text:string,size:double,bold:boolean,score:int,n:int>>"
 
     def step(acc: Column, x: Column) -> Column:
@@ -283,6 +320,23 @@ def normalize(entries: Column, page_count: Column | None = None, most: int | Non
     return F.transform(folded, lambda e: F.struct(e["level"].alias("level"), e["title"].alias("title"), e["page"].alias("page")))
 
 
+def normalize_rows(entries: DataFrame, page_count: Column | None = None, most: int | None = None) -> DataFrame:
+    """doc_id, i (from 0), level, title, page of outline rows (doc_id, ord, level, title, page), by the rules of ``normalize``.
+
+    The level of the i-th entry that stays is at most one deeper than the one before, hence
+    i + min(1, the least of (level asked - i) up to it): a running minimum, in linear time for a document of any length.
+    """
+    w = Window.partitionBy("doc_id").orderBy("ord")
+    level = F.greatest(F.coalesce("level", F.lit(1)), F.lit(1))
+    page = F.greatest(F.coalesce("page", F.lit(1)), F.lit(1))
+    own = entries.withColumns({"title": T.squeeze(F.coalesce("title", F.lit(""))), "level": F.least(level, F.lit(most)) if most else level, "page": F.least(page, page_count) if page_count is not None else page}).where("title <> ''")
+    same = F.struct("level", "title", "page")
+    own = own.withColumn("again", F.coalesce(same == F.lag(same).over(w), F.lit(False))).where("not again")
+    own = own.withColumn("i", F.row_number().over(w) - 1)
+    least = F.min(F.col("level") - F.col("i")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return own.select("doc_id", "i", (F.col("i") + F.least(F.lit(1), least)).cast("int").alias("level"), "title", F.col("page").cast("int").alias("page"))
+
+
 def backwards(entries: Column) -> Column:
     """Places (from 0) of entries whose page is before the one before."""
     return F.filter(F.transform(entries, lambda e, i: F.when(e["page"] < F.get(entries, i - 1)["page"], i)), lambda i: i.isNotNull())
@@ -362,25 +416,62 @@ def follows(y: Column, page: Column, first_y: Column, first_page: Column, first_
 
 
 def linked_contents(links: DataFrame, lines: DataFrame) -> DataFrame:
-    """doc_id, ord, title, page: contents entries from linked lines; the link's target is the physical page. A line that reads
-    as an entry gives its title, another is freed of leaders; lines without letters and the page's own heading are left out.
-    A line with the same target directly below, not starting with a capital or digit, goes on the entry above."""
-    rows = link_titles(links, lines).join(lines.select("doc_id", "page", "ord", "y", "y1"), ["doc_id", "page", "ord"])
+    """doc_id, ord, title, printed, roman, page: contents entries from linked lines; the link's target is the physical page.
+
+    A line that reads as an entry gives its title and printed number, another is freed of leaders; lines without letters and
+    the page's own heading are left out. A line with the same target directly below the line before, not starting with a
+    capital or digit, goes on that entry. Last, titles are freed of page numbers that ran into them (``glued_numbers``).
+    """
+    hit = link_titles(links, lines).select("doc_id", "page", "ord", "target")
+    near = lines.join(links.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_semi")
+    rows = near.select("doc_id", "page", "ord", "text", "y", "y1").join(hit, ["doc_id", "page", "ord"], "left").withColumn("e", contents_line("text"))
     edge = rf"^[\s{LEADERS}]+|[\s{LEADERS}]+$".replace("-–", r"\-–")
-    rows = rows.withColumn("part", F.coalesce(contents_line("text")["title"], F.regexp_replace("text", edge, "")))
-    rows = rows.where((F.length("part") >= 2) & F.col("part").rlike(r"\p{L}") & ~F.col("part").rlike(CONTENTS.replace(r"\b(", r"^(", 1)))
-    w = Window.partitionBy("doc_id").orderBy("page", "y", "ord")
+    rows = rows.withColumn("part", F.coalesce("e.title", F.regexp_replace("text", edge, "")))
+    good = F.col("target").isNotNull() & (F.length("part") >= 2) & F.col("part").rlike(r"\p{L}") & ~F.col("part").rlike(CONTENTS.replace(r"\b(", r"^(", 1))
+    rows = rows.withColumn("good", good)
+    w = Window.partitionBy("doc_id").orderBy("page", "ord")
     before = lambda c: F.lag(c).over(w)
-    goes_on = (F.col("target") == before("target")) & follows(F.col("y"), F.col("page"), before("y"), before("page"), before(F.col("y1") - F.col("y"))) & ~F.col("part").rlike(r"^[\p{Lu}\d]")
-    entry = rows.withColumn("starts", (~F.coalesce(goes_on, F.lit(False))).cast("int")).withColumn("entry", F.sum("starts").over(w))
-    parts = entry.groupBy("doc_id", "entry").agg(F.min("ord").alias("ord"), F.first("target").alias("page"), F.sort_array(F.collect_list(F.struct("page", "y", "ord", "part"))).alias("t"))
+    goes_on = before("good") & (F.col("target") == before("target")) & follows(F.col("y"), F.col("page"), before("y"), before("page"), before(F.col("y1") - F.col("y"))) & ~F.col("part").rlike(r"^[\p{Lu}\d]")
+    entry = rows.withColumn("starts", (~F.coalesce(goes_on, F.lit(False))).cast("int")).where("good").withColumn("entry", F.sum("starts").over(w))
+    row = F.struct("page", "ord", "part", "e.printed", "e.roman", "target")
+    parts = entry.groupBy("doc_id", "entry").agg(F.sort_array(F.collect_list(row)).alias("t"))
+    first = F.get("t", F.lit(0))
     title = F.aggregate("t", F.lit(""), lambda a, x: T.join_wrapped(a, x["part"]))
-    return parts.select("doc_id", "ord", title.alias("title"), F.col("page").cast("int").alias("page"))
+    made = parts.select("doc_id", first["ord"].alias("ord"), title.alias("title"), first["printed"].alias("printed"), F.coalesce(first["roman"], F.lit(False)).alias("roman"), first["target"].cast("int").alias("page"))
+    freed = glued_numbers(made.withColumnRenamed("page", "link_page"))
+    return made.drop("title", "printed").join(freed, ["doc_id", "ord"]).select("doc_id", "ord", "title", "printed", "roman", "page")
+
+
+def column_contents(runs: DataFrame, lines: DataFrame, enough: int = 4) -> DataFrame:
+    """doc_id, first, page, ord, title, printed, roman, x0 of the runs' pages on which ``enough`` titles pair with a column of
+    numbers. Up to three lines directly above a title that no number claimed are its beginning; x0 is then the topmost's."""
+    own = lines.join(runs.select("doc_id", "first", "last"), "doc_id").where((F.col("page") >= F.col("first")) & (F.col("page") <= F.col("last")))
+    pairs = pair_columns(own).select("doc_id", "page", "ord", "printed")
+    told = own.join(pairs, ["doc_id", "page", "ord"], "left").withColumn("line", F.trim("text"))
+    told = told.withColumn("free", F.col("printed").isNull() & ~T.is_page_number("text"))
+    page = Window.partitionBy("doc_id", "first", "page")
+    told = told.withColumn("n", F.count("printed").over(page))
+    w = page.orderBy("ord")
+    told = told.withColumns({f"p{k}": F.lag(F.struct("free", "line", "page", "y", "y1", "x0"), k).over(w) for k in range(1, WRAPPED + 1)})
+    going, at, title, x0 = F.lit(True), {"page": F.col("page"), "y": F.col("y")}, F.col("line"), F.col("x0")
+    whole, start = title, x0
+    for k in range(1, WRAPPED + 1):
+        p = F.col(f"p{k}")
+        going = going & F.coalesce(p["free"] & follows(at["y"], at["page"], p["y"], p["page"], p["y1"] - p["y"]), F.lit(False))
+        title = T.join_wrapped(p["line"], title)
+        whole, start = F.when(going, title).otherwise(whole), F.when(going, p["x0"]).otherwise(start)
+        at = {"page": p["page"], "y": p["y"]}
+    arabic = F.col("printed").rlike(r"^\d+$")
+    value = F.when(arabic, F.when(arabic, F.col("printed")).try_cast("int")).otherwise(T.roman_value("printed"))
+    heading = F.col("line").rlike(CONTENTS.replace(r"\b(", r"^(", 1))
+    rows = told.where(F.col("printed").isNotNull() & (F.col("n") >= enough) & (F.length("line") >= 2) & ~heading)
+    rows = rows.select("doc_id", "first", "page", "ord", whole.alias("title"), value.alias("printed"), (~arabic).alias("roman"), start.alias("x0"))
+    return rows.where((F.col("printed") > 0) & (~F.col("roman") | (F.col("printed") <= ROMAN_CEILING)))
 
 
 def printed_contents(runs: DataFrame, lines: DataFrame, enough: int = 4) -> DataFrame:
-    """doc_id, first, page, ord, title, printed, roman, x0 of each run of contents pages: lines that are entries by themselves,
-    or, where a run has fewer than four of them, titles paired with a column of numbers.
+    """doc_id, first, page, ord, title, printed, roman, x0 of each run of contents pages: lines that are entries by themselves;
+    where a run has fewer than four of them, titles paired with a column of numbers, if there are any.
 
     A title that begins in lower case goes on what stands directly above: up to three lines without a number, up to one
     that does not begin so; x0 is then that line's.
@@ -392,32 +483,27 @@ def printed_contents(runs: DataFrame, lines: DataFrame, enough: int = 4) -> Data
     told = told.withColumn("pending", F.col("e").isNull() & F.length("line").between(2, 120) & ~heading(F.col("line")))
     w = Window.partitionBy("doc_id", "first").orderBy("page", "ord")
     told = told.withColumns({f"p{k}": F.lag(F.struct("pending", "line", "page", "y", "y1", "x0"), k).over(w) for k in range(1, WRAPPED + 1)})
-    parts, going, at, title = [], F.lit(True), {"text": F.col("e.title"), "page": F.col("page"), "y": F.col("y")}, F.col("e.title")
+    going, at, title = F.lit(True), {"text": F.col("e.title"), "page": F.col("page"), "y": F.col("y")}, F.col("e.title")
+    whole, x0 = F.col("e.title"), F.col("x0")
     for k in range(1, WRAPPED + 1):
         p = F.col(f"p{k}")
         going = going & F.coalesce(at["text"].rlike(r"^\p{Ll}") & p["pending"] & follows(at["y"], at["page"], p["y"], p["page"], p["y1"] - p["y"]), F.lit(False))
         title = T.join_wrapped(p["line"], title)
-        parts.append((going, title, p["x0"]))
+        whole, x0 = F.when(going, title).otherwise(whole), F.when(going, p["x0"]).otherwise(x0)
         at = {"text": p["line"], "page": p["page"], "y": p["y"]}
-    whole, x0 = F.col("e.title"), F.col("x0")
-    for goes, joined, start in parts:
-        whole, x0 = F.when(goes, joined).otherwise(whole), F.when(goes, start).otherwise(x0)
     by_line = told.where(F.col("e").isNotNull() & ~heading(F.col("e.title"))).select("doc_id", "first", "page", "ord", whole.alias("title"), "e.printed", "e.roman", x0.alias("x0"))
     count = by_line.groupBy("doc_id", "first").agg(F.count("*").alias("n"))
-    good = by_line.join(count.where(F.col("n") >= enough).select("doc_id", "first"), ["doc_id", "first"], "left_semi")
-    poor = r.select("doc_id", "first", "last").join(count.where(F.col("n") >= enough), ["doc_id", "first"], "left_anti")
-    pairs = pair_columns(lines).join(poor, "doc_id").where((F.col("page") >= F.col("first")) & (F.col("page") <= F.col("last"))).join(lines.select("doc_id", "ord", "x0"), ["doc_id", "ord"])
-    arabic = F.col("printed").rlike(r"^\d+$")
-    n = F.when(arabic, F.try_to_number(F.when(arabic, F.col("printed")), F.lit("9999")).cast("int")).otherwise(T.roman_value("printed"))
-    columns = pairs.select("doc_id", "first", "page", "ord", "title", n.alias("printed"), (~arabic).alias("roman"), "x0").where((F.col("printed") > 0) & (~F.col("roman") | (F.col("printed") <= ROMAN_CEILING)))
-    return good.unionByName(columns).select("doc_id", "first", "page", "ord", "title", "printed", "roman", "x0")
+    poor = r.join(count.where(F.col("n") >= enough), ["doc_id", "first"], "left_anti")
+    columns = column_contents(poor, lines, enough)
+    kept = by_line.join(columns.select("doc_id", "first").distinct(), ["doc_id", "first"], "left_anti")
+    return kept.unionByName(columns)
 
 
 def indented(entries: DataFrame, group: list[str]) -> DataFrame:
-    """``entries`` (with ord and x0) with a level from their indents, compared within a group."""
-    rows = entries.groupBy(*group).agg(F.collect_list(F.struct("ord", "x0")).alias("r"))
-    leveled = rows.select(*group, "r", indent_levels(F.transform("r", lambda x: x["x0"])).alias("levels")).select(*group, F.explode(F.arrays_zip("r", "levels")).alias("x"))
-    return entries.join(leveled.select(*group, F.col("x.r.ord").alias("ord"), F.col("x.levels").alias("level")), [*group, "ord"])
+    """``entries`` (with x0) with a level from their indents, compared within a group: only the distinct ones are gathered."""
+    rows = entries.groupBy(*group).agg(F.array_sort(F.collect_set("x0")).alias("r"))
+    leveled = rows.select(*group, F.explode(F.arrays_zip("r", indent_levels(F.col("r")).alias("levels"))).alias("x"))
+    return entries.join(leveled.select(*group, F.col("x.r").alias("x0"), F.col("x.levels").alias("level")), [*group, "x0"])
 
 
 def auto_outline(lines: DataFrame, links: DataFrame | None = None, labels: DataFrame | None = None, page_count: DataFrame | None = None, most: int = 4) -> DataFrame:

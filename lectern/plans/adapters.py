@@ -71,6 +71,14 @@ from {lines}""",
 select doc_id, ord, cast(1 + floor(ord / 8) as int) as page, case when doc_id % 3 = 0 and ord = 0 then 'Contents' when doc_id % 3 = 0 and ord < 12 then concat(substr(text, 1, 30), ' ..... ', cast(ord + 5 as varchar(20))) else text end as text,
   cast(72 as double) as x0, cast(300 as double) as x1, cast(40 + 14 * (ord % 8) as double) as y, cast(52 + 14 * (ord % 8) as double) as y1
 from {lines}""",
+    # the same, and other documents' first lines have their numbers in a column of their own, on a few lines none
+    "column_lines": """
+select doc_id, cast(2 * ord as bigint) as ord, cast(1 + floor(ord / 8) as int) as page, case when doc_id % 3 < 2 and ord = 0 then 'Contents' when doc_id % 3 = 0 and ord < 12 then concat(substr(text, 1, 30), ' ..... ', cast(ord + 5 as varchar(20)))
+    when doc_id % 3 = 1 and ord < 12 then substr(text, 1, 30) else text end as text,
+  cast(72 + 9 * (ord % 3) as double) as x0, cast(300 + ord % 5 as double) as x1, cast(40 + 14 * (ord % 8) as double) as y, cast(52 + 14 * (ord % 8) as double) as y1
+from {lines}
+union all select doc_id, cast(2 * ord + 1 as bigint), cast(1 + floor(ord / 8) as int), cast(ord + 5 as varchar(20)), 350, 360, cast(40 + 14 * (ord % 8) + 7 * (ord % 2) as double), cast(52 + 14 * (ord % 8) + 7 * (ord % 2) as double)
+from {lines} where doc_id % 3 = 1 and ord < 12 and ord % 4 <> 2""",
     "links": """
 select doc_id, ord as link_ord, cast(1 + floor(ord / 8) as int) as page, cast(3 + floor(ord / 2) as int) as target, cast(70 as double) as x0, cast(310 as double) as x1, cast(39 + 14 * (ord % 8) as double) as y, cast(53 + 14 * (ord % 8) as double) as y1
 from {lines}""",

@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import analyze, catalog, dedupe, edits, enrich, outline, scan_prep, storage, tags
-from ..session import shared_path
+from ..session import shared_path, written
 from ..sources import library
 from ..streaming import audit
 from .adapters import Views, duck
@@ -568,18 +568,27 @@ def _entries_of(source: str) -> str:
   entry as (select * from e5 where length(title) >= 2 and regexp_matches(title, '\\pL') and lower(title) not in ({words}) and printed > 0 and (not roman or printed <= {outline.ROMAN_CEILING}))"""
 
 
-def _paired_of(source: str) -> str:
-    """Tables that end in ``paired``: bare numbers beside the text left of them, each title once."""
-    bare = r"regexp_matches(trim(text), '^(?:[0-9]{1,4}|(?i:[ivxlcdm]{1,15}))$')"
-    return f"""p1 as (select n.doc_id, n.page, n.ord as n_ord, trim(n.text) as printed, t.ord, t.text as title, row_number() over (partition by n.doc_id, n.page, n.ord order by t.x1 desc, t.ord) as k
-    from (select * from {source} where {bare}) n join (select * from {source} where not {bare}) t on n.doc_id = t.doc_id and n.page = t.page and abs(n.y - t.y) <= 3 and t.x1 <= n.x0),
-  p2 as (select *, row_number() over (partition by doc_id, page, ord order by n_ord) as kk from p1 where k = 1), paired as (select doc_id, page, ord, title, printed from p2 where kk = 1)"""
+_NUMBER = "regexp_matches(trim({0}), '^(?:[0-9]{{1,4}}|(?i:[ivxlcdm]{{1,15}}))$')"
 
 
-_LISTED = f"""{_entries_of('toc_lines')}, {_paired_of('toc_lines')},
-  n1 as (select *, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as t from toc_lines),
+def _paired_of(source: str) -> str:
+    """Tables that end in ``paired``: each number of a page, in reading order, takes the right-most free title left of it whose box
+    holds its middle. The choice is a recursion over a page's numbers."""
+    return f"""p1 as (select n.doc_id, n.page, n.ord as number_ord, trim(n.text) as printed, list(t.ord order by t.x1 desc, t.ord) as titles
+    from (select * from {source} where {_NUMBER.format('text')}) n join (select * from {source} where not {_NUMBER.format('text')}) t on n.doc_id = t.doc_id and n.page = t.page and t.x1 <= n.x0 + 2 and (n.y + n.y1) / 2 between t.y - 1 and t.y1 + 1 group by n.doc_id, n.page, n.ord, n.text),
+  p2 as (select *, row_number() over (partition by doc_id, page order by number_ord) as k from p1),
+  p3 as (select doc_id, page, 0::bigint as k, []::bigint[] as taken, null::bigint as ord, null::bigint as number_ord, null::varchar as printed from p2 where k = 1
+    union all select doc_id, page, k, case when free is null then taken else list_append(taken, free) end, free, number_ord, printed from (select p2.doc_id, p2.page, p2.k, p2.number_ord, p2.printed, p3.taken, list_filter(p2.titles, lambda c: not list_contains(p3.taken, c))[1] as free
+      from p3 join p2 on p2.doc_id = p3.doc_id and p2.page = p3.page and p2.k = p3.k + 1)),
+  paired as (select p3.doc_id, p3.page, p3.ord, l.text as title, p3.number_ord, p3.printed from p3 join {source} l on l.doc_id = p3.doc_id and l.ord = p3.ord)"""
+
+
+def _listed(source: str) -> str:
+    """Tables that end in ``listed`` (contents pages) and ``runs`` (of them)."""
+    return f"""{_entries_of(source)}, {_paired_of(source)},
+  n1 as (select *, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as t from {source}),
   n2 as (select doc_id, page, count(*) as n, count(*) filter (regexp_matches(t, '{_re(outline.EXHIBIT_ROW)}')) as exhibits, substr(string_agg(t, chr(10) order by ord), 1, {outline.HEAD}) as head from n1 where t <> '' group by all),
-  n3 as (select n2.*, coalesce(c.printed, 0) as printed, coalesce(q.pairs, 0) as pairs, regexp_matches(head, '{_re(outline.CONTENTS)}') as titled, z.page_count from n2 join (select doc_id, max(page) as page_count from toc_lines group by doc_id) z on z.doc_id = n2.doc_id
+  n3 as (select n2.*, coalesce(c.printed, 0) as printed, coalesce(q.pairs, 0) as pairs, regexp_matches(head, '{_re(outline.CONTENTS)}') as titled, z.page_count from n2 join (select doc_id, max(page) as page_count from {source} group by doc_id) z on z.doc_id = n2.doc_id
     left join (select doc_id, page, count(*) as printed from entry group by all) c on c.doc_id = n2.doc_id and c.page = n2.page left join (select doc_id, page, count(*) as pairs from paired group by all) q on q.doc_id = n2.doc_id and q.page = n2.page
     where not regexp_matches(head, '{_re(outline.EXHIBIT_LIST)}') and not (exhibits >= {outline.EXHIBIT_ROWS} or (exhibits >= 2 and exhibits / n > {outline.EXHIBIT_SHARE}))),
   n4 as (select *, case when titled and printed < {outline.LEAST_ROWS} then pairs else printed end as rows from n3 where page <= greatest(4, floor(page_count * {outline.FRONT}))),
@@ -598,10 +607,11 @@ def toc_parse_lines(v: Views) -> DataFrame:
     return numbered.withColumn("e", outline.contents_line("line")).where("e is not null").select("doc_id", "ord", "e.title", "e.printed", "e.roman")
 
 
-@query(sql="select i as n, concat(repeat('m', i // 1000), ['', 'c', 'cc', 'ccc', 'cd', 'd', 'dc', 'dcc', 'dccc', 'cm'][i // 100 % 10 + 1], ['', 'x', 'xx', 'xxx', 'xl', 'l', 'lx', 'lxx', 'lxxx', 'xc'][i // 10 % 10 + 1], ['', 'i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix'][i % 10 + 1]) as roman, i as back from range(1, 4000) t(i)")
+@query("audit", """, a as (select event_id, cast(event_id % 3999 + 1 as int) as i from audit)
+  select event_id, i as n, concat(repeat('m', i // 1000), ['', 'c', 'cc', 'ccc', 'cd', 'd', 'dc', 'dcc', 'dccc', 'cm'][i // 100 % 10 + 1], ['', 'x', 'xx', 'xxx', 'xl', 'l', 'lx', 'lxx', 'lxxx', 'xc'][i // 10 % 10 + 1], ['', 'i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix'][i % 10 + 1]) as roman, i as back from a""")
 def roman_values(v: Views) -> DataFrame:
-    n = v.spark.range(1, 4000).select(F.col("id").alias("n"), T.roman_text("id").alias("roman"))
-    return n.withColumn("back", T.roman_value("roman").cast("long"))
+    n = v.audit.select("event_id", (F.col("event_id") % 3999 + 1).cast("int").alias("n")).withColumn("roman", T.roman_text("n"))
+    return n.withColumn("back", T.roman_value("roman").cast("int"))
 
 
 # contents entries of documents: their lines, printed page = page - doc_id % 5 where known
@@ -634,20 +644,24 @@ def toc_vote_offset(v: Views) -> DataFrame:
     return outline.offset_votes(both)
 
 
-@query("pdf_lines", "select doc_id, ord, cast(case x0 when 72 then 1 when 90 then least(2, (select 2)) else 3 end as int) as level from pdf_lines l where (select count(distinct x0) from pdf_lines m where m.doc_id = l.doc_id) = 3 union all select doc_id, ord, cast(case when x0 = 72 then 1 else 2 end as int) from pdf_lines l where (select count(distinct x0) from pdf_lines m where m.doc_id = l.doc_id) < 3")
+@query("pdf_lines", """recursive:, x as (select doc_id, ord, x0 + ord % 7 * 1.5 as x0 from pdf_lines),
+  b as (select doc_id, min(x0) as base from x group by doc_id union all select b.doc_id, (select min(x0) from x where x.doc_id = b.doc_id and x.x0 > b.base + 4) from b where exists (select 1 from x where x.doc_id = b.doc_id and x.x0 > b.base + 4))
+  select x.doc_id, x.ord, cast(least(greatest((select count(*) from b where b.doc_id = x.doc_id and x.x0 >= b.base - 4), 1), 6) as int) as level from x""")
 def toc_levels_from_indents(v: Views) -> DataFrame:
-    doc = v.pdf_lines.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ord", "x0"))).alias("r"))
-    levels = doc.select("doc_id", "r", outline.indent_levels(F.transform("r", lambda x: x["x0"])).alias("levels"))
-    return levels.select("doc_id", F.posexplode("levels").alias("i", "level"), "r").select("doc_id", F.get("r", F.col("i"))["ord"].alias("ord"), "level")
+    return outline.indented(v.pdf_lines.select("doc_id", "ord", (F.col("x0") + F.col("ord") % 7 * 1.5).alias("x0")), ["doc_id"]).select("doc_id", "ord", "level")
 
 
-@query()
+@query("pdf_lines", f""", a as (select doc_id, ord, least(1 + ord % 4 * 2, 4) as level, {SQUEEZE.format('text')} as title, greatest(page * 2 - ord % 3, 1) as page from pdf_lines),
+  b as (select * from a where title <> '' qualify row(level, title, page) is distinct from lag(row(level, title, page)) over (partition by doc_id order by ord)),
+  c as (select *, row_number() over (partition by doc_id order by ord) - 1 as i from b),
+  d as (select doc_id, i, i + least(1, min(level - i) over (partition by doc_id order by i)) as level, title, page from c),
+  e as (select *, page < lag(page) over (partition by doc_id order by i) as back from d)
+  select doc_id, cast(i as int) as i, cast(level as int) as level, title, cast(page as int) as page, count(*) filter (back) over (partition by doc_id) as n_backwards from e""")
 def outline_normalize(v: Views) -> DataFrame:
-    row = F.struct("ord", (1 + F.col("ord") % 4 * 2).cast("int").alias("level"), F.col("text").alias("title"), (F.col("page") * 2 - F.col("ord") % 3).cast("int").alias("page"))
-    doc = v.pdf_lines.groupBy("doc_id").agg(F.sort_array(F.collect_list(row)).alias("r"))
-    entries = F.transform("r", lambda x: F.struct(x["level"].alias("level"), x["title"].alias("title"), x["page"].alias("page")))
-    out = doc.withColumn("e", outline.normalize(entries, None, 4))
-    return out.select("doc_id", F.posexplode("e").alias("i", "x"), F.size(outline.backwards(F.col("e"))).alias("n_backwards")).select("doc_id", "i", "x.level", "x.title", "x.page", "n_backwards")
+    entries = v.pdf_lines.select("doc_id", "ord", (1 + F.col("ord") % 4 * 2).cast("int").alias("level"), F.col("text").alias("title"), (F.col("page") * 2 - F.col("ord") % 3).cast("int").alias("page"))
+    out = outline.normalize_rows(entries, None, 4)
+    back = F.col("page") < F.lag("page").over(Window.partitionBy("doc_id").orderBy("i"))
+    return out.withColumn("back", back).withColumn("n_backwards", F.count_if("back").over(Window.partitionBy("doc_id"))).drop("back")
 
 
 @query()
@@ -706,14 +720,14 @@ def verify_toc_pages(v: Views) -> DataFrame:
     return outline.repair_pages(outline.verify_pages(placed, pages), pages).select("doc_id", "ord", "page", "confidence")
 
 
-@query("toc_lines", f", {_LISTED} select * from listed")
+@query("column_lines", f"recursive:, {_listed('column_lines')} select * from listed")
 def contents_pages(v: Views) -> DataFrame:
-    return outline.contents_pages(v.toc_lines)
+    return outline.contents_pages(v.column_lines)
 
 
-@query("toc_lines", f", {_LISTED} select * from runs")
+@query("column_lines", f"recursive:, {_listed('column_lines')} select * from runs")
 def contents_runs(v: Views) -> DataFrame:
-    return outline.contents_runs(outline.contents_pages(v.toc_lines))
+    return outline.contents_runs(outline.contents_pages(v.column_lines))
 
 
 def _joined(head: str, tail: str) -> str:
@@ -724,19 +738,26 @@ _AT_START = _re(outline.CONTENTS).replace(r"\b(", "^(", 1)
 _BELOW = "{0}.page = {1}.page and {0}.y - {1}.y > 0 and {0}.y - {1}.y <= 1.8 * greatest({1}.y1 - {1}.y, 1)"
 
 
-@query("toc_lines", f""", {_LISTED}, o0 as (select l.doc_id, r.first, l.page, l.ord, trim(l.text) as line, l.y, l.y1, l.x0, e.title, e.printed, e.roman, row_number() over (partition by l.doc_id, r.first order by l.page, l.ord) as k,
-    e.title is null and length(trim(l.text)) between 2 and 120 and not regexp_matches(trim(l.text), '{_AT_START}') as pending from toc_lines l join runs r on r.doc_id = l.doc_id and l.page between r.first and r.last left join entry e on e.doc_id = l.doc_id and e.ord = l.ord),
+@query("column_lines", f"""recursive:, {_listed('column_lines')}, o0 as (select l.doc_id, r.first, l.page, l.ord, trim(l.text) as line, l.y, l.y1, l.x0, e.title, e.printed, e.roman, row_number() over (partition by l.doc_id, r.first order by l.page, l.ord) as k,
+    e.title is null and length(trim(l.text)) between 2 and 120 and not regexp_matches(trim(l.text), '{_AT_START}') as pending from column_lines l join runs r on r.doc_id = l.doc_id and l.page between r.first and r.last left join entry e on e.doc_id = l.doc_id and e.ord = l.ord),
   o1 as (select a.doc_id, a.first, a.page, a.ord, a.title, a.printed, a.roman, a.x0, count(*) over (partition by a.doc_id, a.first) as n, b.line as l1, c.line as l2, d.line as l3, b.x0 as x1, c.x0 as x2, d.x0 as x3,
       coalesce(regexp_matches(a.title, '^\\p{{Ll}}') and b.pending and {_BELOW.format('a', 'b')}, false) as g1, coalesce(regexp_matches(b.line, '^\\p{{Ll}}') and c.pending and {_BELOW.format('b', 'c')}, false) as g2, coalesce(regexp_matches(c.line, '^\\p{{Ll}}') and d.pending and {_BELOW.format('c', 'd')}, false) as g3
     from o0 a left join o0 b on b.doc_id = a.doc_id and b.first = a.first and b.k = a.k - 1 left join o0 c on c.doc_id = a.doc_id and c.first = a.first and c.k = a.k - 2 left join o0 d on d.doc_id = a.doc_id and d.first = a.first and d.k = a.k - 3
     where a.title is not null and not regexp_matches(a.title, '{_AT_START}')),
   w1 as (select *, {_joined('l1', 'title')} as t1 from o1), w2 as (select *, {_joined('l2', 't1')} as t2 from w1), w3 as (select *, {_joined('l3', 't2')} as t3 from w2),
-  o2 as (select doc_id, first, page, ord, title, cast(case when roman then {_ROMAN_SUM.format('dg')} else try_cast(pg as int) end as int) as printed, roman, x0 from (select p.doc_id, r.first, p.page, p.ord, p.title, p.printed as pg, not regexp_matches(p.printed, '^[0-9]+$') as roman, {_ROMAN.format('p.printed')} as dg, l.x0
-    from paired p join runs r on r.doc_id = p.doc_id and p.page between r.first and r.last join toc_lines l on l.doc_id = p.doc_id and l.ord = p.ord where not exists (select 1 from o1 where o1.doc_id = r.doc_id and o1.first = r.first and o1.n >= 4)))
-  select doc_id, first, page, ord, case when g1 and g2 and g3 then t3 when g1 and g2 then t2 when g1 then t1 else title end as title, printed, roman, case when g1 and g2 and g3 then x3 when g1 and g2 then x2 when g1 then x1 else x0 end as x0 from w3 where n >= 4
-  union all select * from o2 where printed > 0 and (not roman or printed <= {outline.ROMAN_CEILING})""")
+  c0 as (select l.doc_id, r.first, l.page, l.ord, trim(l.text) as line, l.y, l.y1, l.x0, p.printed as pg, p.printed is null and not {_NUMBER.format('l.text')} as free, count(p.printed) over (partition by l.doc_id, r.first, l.page) as n, row_number() over (partition by l.doc_id, r.first, l.page order by l.ord) as k
+    from column_lines l join runs r on r.doc_id = l.doc_id and l.page between r.first and r.last left join paired p on p.doc_id = l.doc_id and p.ord = l.ord where not exists (select 1 from o1 where o1.doc_id = r.doc_id and o1.first = r.first and o1.n >= 4)),
+  c1 as (select a.doc_id, a.first, a.page, a.ord, a.line as title, a.pg, not regexp_matches(a.pg, '^[0-9]+$') as roman, {_ROMAN.format('a.pg')} as dg, a.x0, b.line as l1, c.line as l2, d.line as l3, b.x0 as x1, c.x0 as x2, d.x0 as x3,
+      coalesce(b.free and {_BELOW.format('a', 'b')}, false) as g1, coalesce(c.free and {_BELOW.format('b', 'c')}, false) as g2, coalesce(d.free and {_BELOW.format('c', 'd')}, false) as g3
+    from c0 a left join c0 b on b.doc_id = a.doc_id and b.page = a.page and b.k = a.k - 1 left join c0 c on c.doc_id = a.doc_id and c.page = a.page and c.k = a.k - 2 left join c0 d on d.doc_id = a.doc_id and d.page = a.page and d.k = a.k - 3
+    where a.pg is not null and a.n >= 4 and length(a.line) >= 2 and not regexp_matches(a.line, '{_AT_START}')),
+  v1 as (select *, cast(case when roman then {_ROMAN_SUM.format('dg')} else try_cast(pg as int) end as int) as printed, {_joined('l1', 'title')} as t1 from c1), v2 as (select *, {_joined('l2', 't1')} as t2 from v1), v3 as (select *, {_joined('l3', 't2')} as t3 from v2 where printed > 0 and (not roman or printed <= {outline.ROMAN_CEILING})),
+  every as (select doc_id, first, page, ord, title, t1, t2, t3, g1, g2, g3, printed, roman, x0, x1, x2, x3 from w3 where n >= 4 or not exists (select 1 from v3 where v3.doc_id = w3.doc_id and v3.first = w3.first)
+    union all select doc_id, first, page, ord, title, t1, t2, t3, g1, g2, g3, printed, roman, x0, x1, x2, x3 from v3)
+  select doc_id, first, page, ord, case when g1 and g2 and g3 then t3 when g1 and g2 then t2 when g1 then t1 else title end as title, printed, roman, case when g1 and g2 and g3 then x3 when g1 and g2 then x2 when g1 then x1 else x0 end as x0 from every""")
 def printed_contents(v: Views) -> DataFrame:
-    return outline.printed_contents(outline.contents_runs(outline.contents_pages(v.toc_lines)), v.toc_lines)
+    runs = written(outline.contents_runs(outline.contents_pages(v.column_lines)), "runs")
+    return outline.printed_contents(runs, v.column_lines)
 
 
 @query()
@@ -744,17 +765,20 @@ def linked_contents(v: Views) -> DataFrame:
     return outline.linked_contents(v.links, v.toc_lines)
 
 
-@query("toc_lines", """, t as (select doc_id, ord, text, case when regexp_matches(text, '[0-9]{1,4}$') then cast(regexp_extract(text, '([0-9]{1,4})$', 1) as int) end as tail, ord + 7 as link_page from toc_lines),
-  agreed as (select doc_id, delta from (select doc_id, link_page - tail as delta, row_number() over (partition by doc_id order by count(*) desc, min(ord)) as k, count(*) as n from t where tail is not null group by doc_id, link_page - tail having count(*) >= 3) where k = 1)
-  select t.doc_id, ord, case when tail + delta = link_page then regexp_replace(text, '[\\s.·•․‥…‧_\\-–—]*[0-9]{1,4}$', '') else text end as title from t left join agreed on agreed.doc_id = t.doc_id""")
+_GLUED = "select doc_id, ord, case when ord % 4 = 0 then concat(text, cast(ord + 3 as varchar(20))) when ord % 4 = 1 then concat(text, ' 19', cast(50 + ord % 50 as varchar(20))) else text end as title, cast(case when ord % 4 > 1 then ord + 1 + (case when ord % 13 = 2 then 1 else 0 end) end as int) as printed, (ord % 11 = 3) as roman, cast(ord + 7 - ord % 4 as int) as link_page from {toc_lines}"
+
+
+@query("toc_lines", f""", t as ({_GLUED.format(toc_lines='toc_lines')}),
+  agreed as (select doc_id, delta, n from (select doc_id, link_page - printed as delta, count(*) as n, row_number() over (partition by doc_id order by count(*) desc, min(ord)) as k from t where printed is not null and not roman group by doc_id, link_page - printed) where k = 1 and n >= 3),
+  u as (select t.*, delta, regexp_extract(title, '(?s)^(.*?[\\p{{L}}\\p{{Nl}}\\p{{No}}])\\s*(\\d{{1,4}})$', 1) as head, try_cast(regexp_extract(title, '(?s)^(.*?[\\p{{L}}\\p{{Nl}}\\p{{No}}])\\s*(\\d{{1,4}})$', 2) as int) as tail from t left join agreed on agreed.doc_id = t.doc_id)
+  select doc_id, ord, case when printed is null and tail + delta = link_page then trim(head) else title end as title, case when printed is null and tail + delta = link_page then tail else printed end as printed from u""")
 def glued_numbers(v: Views) -> DataFrame:
-    return outline.glued_numbers(v.toc_lines.select("doc_id", "ord", F.col("text").alias("title"), (F.col("ord") + 7).alias("link_page")))
+    return outline.glued_numbers(v.sql(_GLUED, toc_lines=v.toc_lines))
 
 
-@query("toc_lines", f", both_lines as (select doc_id, ord, page, text, x0, x1, y, y1 from toc_lines union all select doc_id, ord + 100000, page, cast(ord + 1 as varchar), 350, 360, y, y1 from toc_lines), {_paired_of('both_lines')} select * from paired")
+@query("column_lines", f"recursive:, {_paired_of('column_lines')} select * from paired")
 def paired_columns(v: Views) -> DataFrame:
-    numbers = v.toc_lines.select("doc_id", (F.col("ord") + 100000).alias("ord"), "page", (F.col("ord") + 1).cast("string").alias("text"), F.lit(350.0).alias("x0"), F.lit(360.0).alias("x1"), "y", "y1")
-    return outline.pair_columns(v.toc_lines.unionByName(numbers))
+    return outline.pair_columns(v.column_lines)
 
 
 @query("pdf_lines", f""", f1 as (select doc_id, page, unnest(regexp_split_to_array(trim(case when y < 57 then concat('page ', cast(page as varchar)) else text end), '\\s+')) as t from pdf_lines where y < 0.09 * page_height or y1 > 0.91 * page_height),

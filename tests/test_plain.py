@@ -2,6 +2,7 @@
 
 import html
 import os
+import random
 import re
 from collections import Counter, defaultdict
 from difflib import SequenceMatcher
@@ -189,37 +190,127 @@ def plain_title(text):
     return title if good else None
 
 
+def plain_number(text):
+    """The arabic printed number of a contents line, None for roman ones and lines that are none."""
+    return int(m[1]) if plain_title(text) and (m := re.search(r"(\d{1,4})$", text.strip())) else None
+
+
 def plain_linked(links, lines):
+    """Walks each page's lines in order; a line without a link, or that is no title, ends the entry before."""
     by_page = defaultdict(list)
     for x in links:
         by_page[x["doc_id"], x["page"]].append(x)
-    hit = []
-    for t in lines:
-        for x in sorted(by_page[t["doc_id"], t["page"]], key=lambda x: x["link_ord"]):
-            wide, high = min(x["x1"], t["x1"]) - max(x["x0"], t["x0"]), min(x["y1"], t["y1"]) - max(x["y"], t["y"])
-            if max(wide, 0) * max(high, 0) / max((t["x1"] - t["x0"]) * (t["y1"] - t["y"]), 1e-9) > 0.3:
-                hit.append({**t, "target": x["target"]})
-                break
     edge = " \t.·•․‥…‧_-–—"
-    for t in hit:
-        t["part"] = plain_title(t["text"]) or t["text"].strip(edge)
-    hit = [t for t in hit if len(t["part"]) >= 2 and re.search(r"[^\W\d_]", t["part"]) and not re.match(outline.CONTENTS[5:].replace(r"\b(", "(", 1), t["part"], re.I)]
-    out = []
-    for t in sorted(hit, key=lambda t: (t["doc_id"], t["page"], t["y"], t["ord"])):
-        last = out[-1] if out else None
-        below = last and (last["doc_id"], last["at"], last["target"]) == (t["doc_id"], t["page"], t["target"]) and 0 < t["y"] - last["y"] <= 1.8 * max(last["y1"] - last["y"], 1)
-        if below and not t["part"][0].isupper() and not t["part"][0].isdigit():
-            last |= {"title": joined(last["title"], t["part"]), "y": t["y"], "y1": t["y1"]}
+    docs = defaultdict(list)
+    before = None
+    for t in sorted(lines, key=lambda t: (t["doc_id"], t["page"], t["ord"])):
+        boxes = sorted(by_page[t["doc_id"], t["page"]], key=lambda x: x["link_ord"])
+        target = next((x["target"] for x in boxes if covered(x, t) > 0.3), None)
+        part = plain_title(t["text"]) or t["text"].strip(edge)
+        if target is None or len(part) < 2 or not re.search(r"[^\W\d_]", part) or re.match(outline.CONTENTS[5:].replace(r"\b(", "(", 1), part, re.I):
+            before = None
+            continue
+        out = docs[t["doc_id"]]
+        below = before and (before["doc_id"], before["page"]) == (t["doc_id"], t["page"]) and 0 < t["y"] - before["y"] <= 1.8 * max(before["y1"] - before["y"], 1)
+        if below and out[-1]["page"] == target and not part[0].isupper() and not part[0].isdigit():
+            out[-1]["title"] = joined(out[-1]["title"], part)
         else:
-            out.append({"doc_id": t["doc_id"], "ord": t["ord"], "title": t["part"], "target": t["target"], "at": t["page"], "y": t["y"], "y1": t["y1"]})
-    return sorted((e["doc_id"], e["ord"], e["title"], e["target"]) for e in out)
+            out.append({"doc_id": t["doc_id"], "ord": t["ord"], "title": part, "printed": plain_number(t["text"]), "page": target})
+        before = t
+    for out in docs.values():
+        votes = Counter(e["page"] - e["printed"] for e in out if e["printed"])
+        if votes and votes.most_common(1)[0][1] >= 3:
+            for e in out:
+                m = None if e["printed"] else re.match(r"(.*?[^\W\d_])\s*(\d{1,4})$", e["title"], re.S)
+                if m and int(m[2]) + votes.most_common(1)[0][0] == e["page"]:
+                    e["title"], e["printed"] = m[1].strip(), int(m[2])
+    return sorted((e["doc_id"], e["ord"], e["title"], e["printed"] or 0, e["page"]) for out in docs.values() for e in out)
+
+
+def covered(x, t):
+    wide, high = min(x["x1"], t["x1"]) - max(x["x0"], t["x0"]), min(x["y1"], t["y1"]) - max(x["y"], t["y"])
+    return max(wide, 0) * max(high, 0) / max((t["x1"] - t["x0"]) * (t["y1"] - t["y"]), 1e-9)
 
 
 def test_linked_contents(spark, views):
-    got = sorted((r["doc_id"], r["ord"], r["title"], r["page"]) for r in rows(QUERIES["linked_contents"](spark, SF)))
+    got = sorted((r["doc_id"], r["ord"], r["title"], r["printed"] or 0, r["page"]) for r in rows(QUERIES["linked_contents"](spark, SF)))
     assert got == plain_linked(rows(views.links), rows(views.toc_lines))
 
 
+LINE = "doc_id long, page int, ord long, text string, x0 double, x1 double, y double, y1 double"
+
+
+def plain_columns(lines):
+    """Numbers in reading order; each takes the free title that ends furthest right of those left of it at its height."""
+    taken = {}
+    for n in (t for t in lines if re.fullmatch(r"\d{1,4}|[ivxlcdm]{1,15}", t[3].strip(), re.I)):
+        fits = [t for t in lines if not re.fullmatch(r"\d{1,4}|[ivxlcdm]{1,15}", t[3].strip(), re.I) and t[2] not in taken and t[5] <= n[4] + 2 and t[6] - 1 <= (n[6] + n[7]) / 2 <= t[7] + 1]
+        if fits:
+            taken[max(fits, key=lambda t: (t[5], -t[2]))[2]] = n[2]
+    return sorted(taken.items())
+
+
+def test_columns_are_paired_in_reading_order(spark):
+    # two titles and two numbers on one baseline, a tall title, a title that ends one unit past the number's left edge
+    told = [("Left", 60, 200, 10, 20), ("Right", 210, 300, 10, 20), ("12", 310, 320, 10, 20), ("13", 330, 340, 10, 20), ("Tall", 60, 200, 40, 90), ("14", 310, 320, 70, 80), ("Near", 60, 311, 100, 110), ("xv", 310, 320, 100, 110)]
+    probe = [(1, 1, k, t, float(a), float(b), float(y), float(y1)) for k, (t, a, b, y, y1) in enumerate(told)]
+    got = outline.pair_columns(spark.createDataFrame(probe, LINE))
+    assert sorted((r.title, r.printed) for r in got.collect()) == [("Left", "13"), ("Near", "xv"), ("Right", "12"), ("Tall", "14")]
+    rng = random.Random(4)
+    pages = []
+    for page in range(1, 30):
+        y = [rng.choice(range(0, 80, 5)) for _ in range(14)]
+        pages.append([(7, page, 100 * page + k, rng.choice(["Title", "Other", "9", "iv", "120"]), float(rng.choice([50, 300])), float(rng.choice([200, 280, 301, 330])), float(v), float(v + rng.choice([8, 12, 40]))) for k, v in enumerate(y)])
+    got = defaultdict(list)
+    for r in outline.pair_columns(spark.createDataFrame([x for p in pages for x in p], LINE)).collect():
+        got[r.page].append((r.ord, r.number_ord))
+    assert {p: sorted(v) for p, v in got.items()} == {p[0][1]: plain_columns(p) for p in pages if plain_columns(p)}
+
+
+def test_titles_keep_their_years(spark):
+    kinds = "doc_id long, ord long, title string, printed int, roman boolean, link_page int"
+    years = [(1, k, f"Title {c} {1900 + k}", None, None, 1905 + k) for k, c in enumerate("abcd")]  # no row that was read, no vote
+    read = [(2, k, f"Read {k}", 10 + k, False, 15 + k) for k in range(3)] + [(2, 9, "Glued16", None, None, 21), (2, 10, "In 1950", None, None, 30), (2, 11, "Of 20161", None, None, 166), (2, 12, "Ends 7) 17", None, None, 22), (2, 13, "Roman 18", 4, True, 23)]
+    few = [(3, 0, "a", 1, False, 6), (3, 1, "b", 2, False, 7), (3, 2, "Glued3", None, None, 8)]
+    got = {(r.doc_id, r.ord): (r.title, r.printed) for r in outline.glued_numbers(spark.createDataFrame(years + read + few, kinds)).collect()}
+    assert [got[1, k][0] for k in range(4)] == [y[2] for y in years]
+    assert [got[2, k] for k in range(9, 14)] == [("Glued", 16), ("In 1950", None), ("Of 20161", None), ("Ends 7) 17", None), ("Roman 18", 4)]
+    assert got[3, 2] == ("Glued3", None)
+
+
+def test_columns_of_contents(spark):
+    """Titles above what a number claimed are its beginning; a page with fewer than four pairs gives none; without columns a run's own rows stay."""
+    text = ["Contents", "First of", "two lines", "Second", "Third-", "part", "Fourth"]
+    y = [10, 30, 44, 80, 110, 124, 160]
+    lines = [(1, 1, 2 * k, t, 70.0 + k, 200.0, float(v), v + 10.0) for k, (t, v) in enumerate(zip(text, y, strict=True))]
+    lines += [(1, 1, 2 * k + 1, n, 300.0, 310.0, float(y[k]), y[k] + 10.0) for k, n in ((2, "7"), (3, "9"), (5, "xi"), (6, "14"))]
+    lines += [(2, 1, k, t, 70.0, 200.0, 20.0 * k, 20.0 * k + 10) for k, t in enumerate(["Contents", "Only ..... 3", "Two ..... 5", "words"])]
+    runs = spark.createDataFrame([(1, 1, 1, True), (2, 1, 1, True)], "doc_id long, first int, last int, titled boolean")
+    got = sorted((r.doc_id, r.ord, r.title, r.printed, r.roman, r.x0) for r in outline.printed_contents(runs, spark.createDataFrame(lines, LINE)).collect())
+    assert got == [(1, 4, "First of two lines", 7, False, 71.0), (1, 6, "Second", 9, False, 73.0), (1, 10, "Thirdpart", 11, True, 74.0), (1, 12, "Fourth", 14, False, 76.0), (2, 1, "Only", 3, False, 70.0), (2, 2, "Two", 5, False, 70.0)]
+
+
+def test_similar_is_exact(spark):
+    from lectern.functions import text as T
+
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("ab") for _ in range(n))
+    pairs = [(word(rng.randrange(0, 24)), word(rng.randrange(0, 24))) for _ in range(400)] + [("a" * 10, "a" * 9 + "b"), ("a" * 20, "a" * 18 + "bb"), ("", ""), ("", "a")]
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", *(T.similar(F.col("a"), F.col("b"), s).alias(f"s{i}") for i, s in enumerate((0.9, 0.5, 0.75)))).collect()
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    for r in got:
+        near = 0.0 if not r.a or not r.b else 1.0 - distance(r.a, r.b) / max(len(r.a), len(r.b))
+        assert (r.s0, r.s1, r.s2) == tuple(r.a == r.b or bool(r.a and r.b and near >= s) for s in (0.9, 0.5, 0.75))
+
+
 def test_linked_pages_are_contents(spark, views):
     """Pages whose rows are links, of a document's first part, count without printed numbers; lists of exhibits do not."""
     text = [(1, p, o, t) for p, lines in ((1, ["Sumario", "a", "b", "c", "d"]), (2, ["Índice de tablas", "one", "two", "three", "four"]), (3, ["Mapa 1", "Mapa 2", "Tabla 3", "Foto 4", "x"]), (9, ["Contents", "a", "b", "c", "d"])) for o, t in enumerate(lines)]
