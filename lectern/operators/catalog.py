@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 #: How many parents a collection path climbs; the bound also ends a cycle.
@@ -112,9 +112,21 @@ def keys_of(items: DataFrame) -> DataFrame:
     return items.select("key")
 
 
-def page_of(df: DataFrame, order: list[Column], limit: int = 25) -> tuple[DataFrame, int]:
-    """The first rows in an order, and how many there are in all."""
-    return df.orderBy(*order).limit(limit), df.count()
+#: How many rows a listing shows: of a search, and of collections and tags.
+SEARCH_LIMIT, LIST_LIMIT = 25, 100
+
+
+def page_of(df: DataFrame, order: list[Column], limit: int = SEARCH_LIMIT) -> tuple[DataFrame, int]:
+    """The first rows in an order (at most ``limit``, read here), and how many there are in all: counted as they pass by, in the
+    same job."""
+    seen = Observation()
+    rows = df.observe(seen, F.count(F.lit(1)).alias("total")).orderBy(*order).limit(limit).collect()
+    return df.sparkSession.createDataFrame(rows, df.schema), seen.get["total"]
+
+
+def notice(shown: int, total: int) -> str:
+    """What a listing says below its rows when it leaves some out."""
+    return f"showing {shown} of {total}" if shown < total else ""
 
 
 def pdfs_of(items: DataFrame, attachments: DataFrame) -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import similarity as S
 from ..functions import text as T
+from ..session import written
 
 FLOOR, BARE_FLOOR = 0.92, 0.98
 ROWS, LEAST_ABSTRACT = 4, 80
+#: How an item can end: taken, nothing found, found without a value, or refused for its title, year or author.
+REASONS = ["ok", "no-result", "no-value", "title", "year", "author"]
 
 WORK_A = "DOI string, title array<string>, issued struct<`date-parts`: array<array<int>>>, author array<struct<family: string>>, abstract string"
 WORK_B = "doi string, title string, publication_year int, authorships array<struct<author: struct<display_name: string>>>, abstract_inverted_index map<string, array<int>>"
@@ -112,5 +115,13 @@ def pick(items: DataFrame, candidates: DataFrame, field: str, floor: float = FLO
     return a.unionByName(b)
 
 
+def pick_counted(items: DataFrame, candidates: DataFrame, field: str, floor: float = FLOOR, exact: bool = True) -> tuple[DataFrame, dict[str, int]]:
+    """What ``pick`` finds, written, and how many items have each reason: counted in the job that writes them."""
+    seen = Observation()
+    counts = [F.count_if(F.col("reason") == r).alias(r) for r in REASONS]
+    found = written(pick(items, candidates, field, floor, exact).observe(seen, *counts), "picked")
+    return found, {r: n for r, n in seen.get.items() if n}
+
+
 def rejections(picked: DataFrame) -> DataFrame:
     return picked.where("reason <> 'ok'").groupBy("reason").agg(F.count("*").alias("n"))

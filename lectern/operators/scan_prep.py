@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,6 +133,35 @@ def image_dpi(pages: DataFrame, sampled: int = 4) -> DataFrame:
     return own.groupBy("doc_id").agg(F.min_by(F.round(F.col("image_px") / F.col("width") * 72).cast("int"), "page").alias("dpi"))
 
 
-def column_ink(pixels: DataFrame, threshold: int = 128) -> DataFrame:
-    """doc_id, i, ink: share of dark pixels of each column, from every second row (doc_id, row, i, grey)."""
-    return pixels.where(F.col("row") % 2 == 0).groupBy("doc_id", "i").agg(F.avg((F.col("grey") < threshold).cast("int")).alias("ink"))
+def column_ink(rasters: DataFrame, step: int = 2, threshold: int | None = None) -> DataFrame:
+    """doc_id, page, profile: the share of dark pixels of each column of a page (doc_id, page, width, height, samples: a byte a
+    pixel, row by row), from every ``step``-th row.
+
+    Pixels below the threshold are dark; without one it is the page's own, halfway between its darkest and lightest. Rows that
+    the bytes do not fill are left out; a page without rows has an empty profile. Null bytes count as none.
+    """
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            profiles = []
+            for width, height, data in zip(*(b.column(c).to_pylist() for c in ("width", "height", "samples")), strict=True):
+                pixels = np.frombuffer(data or b"", np.uint8)
+                rows = min(height or 0, len(pixels) // width) if width and width > 0 else 0
+                if rows <= 0:
+                    profiles.append([])
+                    continue
+                level = (int(pixels.min()) + int(pixels.max())) // 2 if threshold is None else threshold
+                profiles.append((pixels[: rows * width].reshape(rows, width)[::step] < level).mean(axis=0).tolist())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("page"), pa.array(profiles, pa.list_(pa.float64()))], ["doc_id", "page", "profile"])
+
+    kinds = ", ".join(f"{c} {rasters.schema[c].dataType.simpleString()}" for c in ("doc_id", "page"))
+    return rasters.select("doc_id", "page", "width", "height", "samples").mapInArrow(measure, f"{kinds}, profile array<double>")
+
+
+def measured(rasters: DataFrame, window: int = 5, band: float = BAND) -> DataFrame:
+    """doc_id, page, cut, ink of sampled pages from their pixels: the gutter of the smoothed profile, and the page's share of ink."""
+    own = column_ink(rasters)
+    ink = own.select("doc_id", "page", F.when(F.size("profile") > 0, F.aggregate("profile", F.lit(0.0), lambda a, x: a + x) / F.size("profile")).otherwise(0.0).alias("ink"))
+    key = F.struct("doc_id", "page").alias("doc_id")
+    cuts = gutter(smooth(own.select(key, F.posexplode("profile").alias("i", "ink")), window), band).select("doc_id.doc_id", "doc_id.page", "cut")
+    return ink.join(cuts, ["doc_id", "page"], "left").select("doc_id", "page", "cut", "ink")

@@ -15,7 +15,8 @@ from ..functions import text as T
 from ..operators import analyze, catalog, dedupe, edits, enrich, outline, scan_prep, storage, tags
 from ..session import shared_path, written
 from ..sources import library
-from ..streaming import audit
+from ..sources import pages as list_pages
+from ..streaming import audit, markers
 from .adapters import Views, duck
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -503,10 +504,13 @@ def edits_dry_run(v: Views) -> DataFrame:
     return edits.dry_run(v.items, v.edits)
 
 
-@query("items", "select key, title, date, doi from items")
+@query("items edits", ", e as (select key, count(*) as n from edits group by key) select items.key, case when e.key is null and scan_order % 10 = 7 then 'kept' else title end as title, date, doi from items left join e on e.key = items.key")
 def undo_roundtrip(v: Views) -> DataFrame:
-    log = edits.snapshot(v.items, v.edits, "op1")
-    after = edits.apply_sets(v.items, v.edits, ["title", "date", "doi"])
+    # two operations on different items; only the first one is undone
+    other = v.items.where("scan_order % 10 = 7").join(v.edits, "key", "left_anti")
+    second = other.select(F.col("scan_order").alias("seq"), "key", F.lit("title").alias("field"), F.lit("kept").alias("value"))
+    log = edits.snapshot(v.items, v.edits, "op1").unionByName(edits.snapshot(v.items, second, "op2"))
+    after = edits.apply_sets(edits.apply_sets(v.items, v.edits, ["title", "date", "doi"]), second, ["title"])
     return edits.undo(after, log, "op1").select("key", "title", "date", "doi")
 
 
@@ -858,10 +862,22 @@ def scan_decisions(v: Views) -> DataFrame:
     return scan_prep.decide(facts).select("doc_id", "decision")
 
 
-@query("gutters", "select doc_id, page, case when cut is null then 1 else 2 end as halves from gutters")
+@query("gutters", f""", h as (select doc_id, page, unnest(case when cut is null or page % 5 = 0 then [{{'half': 0, 'x0': 0.0::double, 'x1': 1.0::double}}]
+    else [{{'half': case when doc_id % 2 = 0 then 1 else 0 end, 'x0': 0.0::double, 'x1': least(cut + {scan_prep.OVERLAP}, 1.0)::double}}, {{'half': case when doc_id % 2 = 0 then 0 else 1 end, 'x0': greatest(cut - {scan_prep.OVERLAP}, 0.0)::double, 'x1': 1.0::double}}] end) as h from gutters)
+  select doc_id, cast(row_number() over (partition by doc_id order by page, h.half) - 1 as int) as out, page, round(h.x0, 6) as x0, round(h.x1, 6) as x1 from h""")
 def split_plan(v: Views) -> DataFrame:
-    plan = scan_prep.split_plan(v.gutters.withColumn("single", F.lit(False)))
-    return plan.groupBy("doc_id", "page").agg(F.count("*").cast("int").alias("halves"))
+    pages = v.gutters.withColumn("single", F.col("page") % 5 == 0)
+    return scan_prep.split_plan(pages.where("doc_id % 2 = 0"), rtl=True).unionByName(scan_prep.split_plan(pages.where("doc_id % 2 = 1")))
+
+
+@query()
+def scan_from_pixels(v: Views) -> DataFrame:
+    # a text's bytes as the grey pixels of pages of 40 by 32; every page is measured, no text is cut off
+    data = F.encode(F.col("text"), "utf-8")
+    pages = v.table("documents").where("text is not null").select("doc_id", F.explode(F.sequence(F.lit(0), F.floor((F.octet_length("text") - 1) / 1280).cast("int"))).alias("page"), data.alias("data"))
+    rasters = pages.select("doc_id", (F.col("page") + 1).alias("page"), F.lit(40).alias("width"), F.lit(32).alias("height"), F.expr("substring(data, page * 1280 + 1, 1280)").alias("samples"))
+    facts = scan_prep.choose_gutter(scan_prep.measured(rasters, 3)).withColumns({"width": F.lit(840.0), "height": F.lit(640.0), "processed": F.lit(False)})
+    return facts.select("doc_id", "confidence").join(scan_prep.decide(facts), "doc_id")
 
 
 @query("pdf_lines", """, p as (select doc_id, page, sum(length(text)) as chars, case when page % 4 = 0 then 840.0 else 420.0 end as width, 640.0 as height from pdf_lines group by doc_id, page),
@@ -921,14 +937,16 @@ def merge_plan_file(v: Views) -> DataFrame:
     return library.read_merge_plan(v.spark, path)
 
 
-@query("edits", """select key, field, value, null as tag, false as remove_tag, false as trash from edits union all select key, null, null, tag, remove_tag, false from edits where tag is not null
-  union all select key, null, null, null, false, true from edits where trash""")
+@query("edits", """, e as (select *, row_number() over (order by seq) as n from edits) select n as seq, key, field, value, null as tag, false as remove_tag, false as trash from e union all select n, key, null, null, tag, remove_tag, false from e where tag is not null
+  union all select n, key, null, null, null, false, true from e where trash""")
 def edits_file(v: Views) -> DataFrame:
+    # several files, in whose order the edits are numbered
     some = lambda c: F.when(c, F.array("tag"))
-    record = v.edits.select("key", F.create_map("field", "value").alias("set"), some(F.col("tag").isNotNull() & ~F.col("remove_tag")).alias("addTags"), some(F.col("tag").isNotNull() & F.col("remove_tag")).alias("removeTags"), "trash")
+    own = v.edits.repartitionByRange(4, "seq").sortWithinPartitions("seq")
+    record = own.select("key", F.create_map("field", "value").alias("set"), some(F.col("tag").isNotNull() & ~F.col("remove_tag")).alias("addTags"), some(F.col("tag").isNotNull() & F.col("remove_tag")).alias("removeTags"), "trash")
     path = shared_path(v.spark, "edits")
     library.write_jsonl(record, path)
-    return library.read_edits(v.spark, path).select("key", "field", "value", "tag", "remove_tag", "trash")
+    return library.read_edits(v.spark, path).select("seq", "key", "field", "value", "tag", "remove_tag", "trash")
 
 
 @query("item_tags", "select distinct trim(tag) as tag, upper(trim(tag)) as target from item_tags")
@@ -938,17 +956,25 @@ def tag_map_file(v: Views) -> DataFrame:
     return library.read_tag_map(v.spark, path)
 
 
-@query("items", "select key, type, title, date, doi from items")
+@query("items", f"select {_FLAT}, abstract from items")
 def export_json_file(v: Views) -> DataFrame:
     path = shared_path(v.spark, "records")
-    library.write_export_json(v.items.select("key", "type", "title", "date", "doi"), path)
-    return v.spark.read.schema("key string, type string, title string, date string, doi string").json(path)
+    flat = analyze.flatten_wire(_wire(v))
+    library.write_export_json(flat, path)
+    read = v.spark.read.schema(flat.schema).json(path).select(*flat.columns)
+    return read.withColumns({"creators": F.array_join("creators", "; "), "tags": F.array_join("tags", "; ")})
 
 
-@query("items", "select count(*) as n, count(distinct key) as n_keys, max(size) <= 50 as bounded from (select key, 1 as size from items)")
+@query("items", "select key, (row_number() over (order by key) - 1) // 50 as batch from items")
 def key_batches(v: Views) -> DataFrame:
-    each = library.batches(v.items.select("key"), 50).select("batch", F.size("keys").alias("size"), F.explode("keys").alias("key"))
-    return each.agg(F.count("*").alias("n"), F.countDistinct("key").alias("n_keys"), (F.max("size") <= 50).alias("bounded"))
+    return library.batches(v.items.select("key"), 50).select("batch", F.explode("keys").alias("key"))
+
+
+@query("items", "select key, title, place, page, total from (select key, title, row_number() over (order by title, key) - 1 as place, cast((row_number() over (order by title, key) - 1) // 25 as int) as page, count(*) over () as total from items) where page between 2 and 4")
+def items_list_pages(v: Views) -> DataFrame:
+    path = shared_path(v.spark, "pages")
+    list_pages.write_pages(v.items.select("key", "title"), ["title", "key"], path, catalog.SEARCH_LIMIT)
+    return list_pages.read_pages(v.spark, path, 2, 4).select("key", "title", "place", "page", "total")
 
 
 # ---- audit log
@@ -965,3 +991,23 @@ def audit_hourly(v: Views) -> DataFrame:
 @query("audit", "select count(*) as n from audit")
 def audit_once(v: Views) -> DataFrame:
     return audit.once(v.audit.unionAll(v.audit)).agg(F.count("*").alias("n"))
+
+
+@query("audit", """, c as (select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') as ts, label, concat(' ', label, ' ', event_id, chr(10), 'second line') as code, ok, case when event_id % 4 = 0 then event_id % 9 end as would_write from audit),
+  j as (select event_id, ts, concat('{"ts":"', ts, '","label":"', label, '","codeSHA256":"', substr(sha256(code), 1, 16), '","codeBytes":', length(code), ',"codeHead":"', label, ' ', event_id, '","ok":', ok, case when not ok then concat(',"error":"failed ', event_id, '"') else '' end, case when would_write is not null then concat(',"dryRunWrites":', would_write) else '' end, '}') as value from c)
+  select value, begins as "at", cast(begins // 65536 as int) as part from (select value, cast(sum(strlen(value) + 1) over (order by ts, event_id) - strlen(value) - 1 as bigint) as begins from j)""")
+def audit_parts(v: Views) -> DataFrame:
+    code = F.concat(F.lit(" "), "label", F.lit(" "), F.col("event_id").cast("string"), F.lit("\nsecond line"))
+    calls = v.audit.select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("ts"), "label", code.alias("code"), "ok", F.concat(F.lit("failed "), F.col("event_id").cast("string")).alias("error"), F.when(F.col("event_id") % 4 == 0, F.col("event_id") % 9).alias("would_write"))
+    return audit.rotated(audit.records(calls, ["event_id"]), ["ts", "event_id"], most=1 << 16).select("part", "at", "value")
+
+
+@query("audit", """, m as (select concat('A', cast(user_id as varchar)) as key, min(case when event_id % 3 = 0 then 0 else 1 end) as batch, any_value(case when user_id % 2 = 0 then 'attached' else 'nothing to gain' end) as status from audit group by user_id) select key, status, cast(batch as bigint) as batch from m""")
+def marked_once(v: Views) -> DataFrame:
+    # two batches, the second with the first one's keys among its own; the first is run again as after a stop
+    path = shared_path(v.spark, "marks")
+    rows = v.audit.select(F.concat(F.lit("A"), F.col("user_id").cast("string")).alias("key"), "user_id", "event_id")
+    work = lambda todo: todo.select("key", F.when(F.col("user_id") % 2 == 0, "attached").otherwise("nothing to gain").alias("status"))
+    for number in (0, 0, 1):
+        markers.work_batch(rows.where("event_id % 3 = 0") if number == 0 else rows, number, path, "fetch", work)
+    return markers.marks(v.spark, path).select("key", "status", "batch")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators.analyze import export_rows
+from ..session import written
+from .ordered import running
 
 EDIT = "key string, `set` map<string,string>, addTags array<string>, removeTags array<string>, addToCollection string, trash boolean"
 PLAN = "master string, others array<string>"
@@ -17,23 +19,35 @@ class BadLineError(ValueError):
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """line_no (from 1), text of the lines of one file that are neither blank nor start with ``#``. Lines are numbered by
-    where they stand in the file, so the file is read as one split; files of edits are written by hand."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.posexplode(F.split("value", r"\r?\n")).alias("at", "text")).select((F.col("at") + 1).alias("line_no"), "text").where(~T.is_blank("text") & ~F.col("text").rlike(r"^\s*#"))
+    """file, line_no (in its file, from 1), seq (over all files, by path), text of the lines that are neither blank nor start
+    with ``#``.
+
+    Files are read in splits like any text. A line's number is its place in its split and the lines of the splits before it;
+    those counts (a row a split) are added up beside the lines.
+    """
+    read = spark.read.option("lineSep", "\n").text(path)
+    rows = read.select(F.regexp_replace("value", r"\r$", "").alias("text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    block = Window.partitionBy("file", "block")  # a task reads a split's lines in order
+    rows = written(rows.withColumn("in_block", F.row_number().over(block.orderBy("at"))).drop("at"), "lines")
+    sizes = rows.groupBy("file", "block").agg(F.count("*").alias("n"))
+    sizes = sizes.withColumns({"before": F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n"), "above": F.sum("n").over(Window.orderBy("file", "block")) - F.col("n")})
+    placed = rows.join(sizes.select("file", "block", "before", "above"), ["file", "block"])
+    own = placed.select("file", (F.col("before") + F.col("in_block")).cast("int").alias("line_no"), (F.col("above") + F.col("in_block")).cast("long").alias("seq"), "text")
+    return own.where(~T.is_blank("text") & ~F.col("text").rlike(r"^\s*#"))
 
 
 def _parsed(spark: SparkSession, path: str, schema: str, good: str) -> DataFrame:
     rows = numbered_lines(spark, path).withColumn("x", F.from_json("text", schema + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
-    rows = rows.select("line_no", "x.*")
-    bad = rows.where(f"_bad is not null or not coalesce({good}, false)").agg(F.min("line_no")).first()[0]
+    rows = written(rows.select("file", "line_no", "seq", "x.*"), "parsed")  # judged and used: the files are read once
+    bad = rows.where(f"_bad is not null or not coalesce({good}, false)").agg(F.min(F.struct("file", "line_no"))).first()[0]
     if bad is not None:
-        raise BadLineError(f"{path}, line {bad}: not a valid record")
+        raise BadLineError(f"{bad.file}, line {bad.line_no}: not a valid record")
     return rows.drop("_bad")
 
 
 def read_edits(spark: SparkSession, path: str) -> DataFrame:
-    """Edits as rows (seq, key, field, value, tag, remove_tag, collection, trash), one for each single change."""
+    """Edits as rows (seq, key, field, value, tag, remove_tag, collection, trash), one for each single change. ``seq`` is the
+    line's number over all files of a folder, in the order of their paths: of two files the later one's set is the last."""
     rows = _parsed(spark, path, EDIT, "key <> ''")
     null = lambda kind: F.lit(None).cast(kind)
     base = {"field": null("string"), "value": null("string"), "tag": null("string"), "remove_tag": F.lit(False), "collection": null("string"), "trash": F.lit(False)}
@@ -49,7 +63,7 @@ def read_edits(spark: SparkSession, path: str) -> DataFrame:
         F.when(F.col("addToCollection").isNotNull(), F.array(change(collection=F.col("addToCollection")))).otherwise(empty),
         F.when(F.coalesce("trash", F.lit(False)), F.array(change(trash=F.lit(True)))).otherwise(empty),
     ]
-    return rows.select(F.col("line_no").alias("seq"), "key", F.explode(F.concat(*each)).alias("c")).select("seq", "key", "c.*")
+    return rows.select("seq", "key", F.explode(F.concat(*each)).alias("c")).select("seq", "key", "c.*")
 
 
 def read_merge_plan(spark: SparkSession, path: str) -> DataFrame:
@@ -81,9 +95,6 @@ def append_log(df: DataFrame, path: str, by: str) -> None:
 
 
 def batches(keys: DataFrame, size: int = 50) -> DataFrame:
-    """batch, keys of at most ``size`` keys each, in key order within hash groups; no global sort."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("__group").orderBy("key")
-    own = keys.withColumn("__group", F.pmod(F.xxhash64("key"), F.lit(64))).withColumn("__n", F.floor((F.row_number().over(w) - 1) / size))
-    return own.groupBy("__group", "__n").agg(F.sort_array(F.collect_list("key")).alias("keys")).select(F.concat_ws("-", "__group", "__n").alias("batch"), "keys")
+    """batch (from 0), keys: the distinct keys in order, ``size`` a batch, the last one shorter."""
+    own = running(keys.select("key").distinct(), ["key"]).withColumn("batch", F.floor(F.col("before") / size))
+    return own.groupBy("batch").agg(F.sort_array(F.collect_list("key")).alias("keys"))
