@@ -109,6 +109,21 @@ def resolve_pages(entries: DataFrame, labels: DataFrame, folios: DataFrame, page
     return found.select("doc_id", "ord", clamped.cast("int").alias("page"), confidence.alias("confidence"))
 
 
+def page_labels(ranges: DataFrame, page_count: DataFrame) -> DataFrame:
+    """doc_id, label, page of documents whose labels are given by ranges (doc_id, start, style, prefix, first): from page
+    ``start`` (from 0) to the next range's, numbers from ``first`` in a style (D arabic, R and r roman, A and a letters, which
+    are doubled after z; none: the prefix alone). A label belongs to the first page that has it; empty ones to none."""
+    own = ranges.join(page_count, "doc_id").where(F.col("start") < F.col("page_count"))
+    end = F.coalesce(F.lead("start").over(Window.partitionBy("doc_id").orderBy("start")), F.col("page_count"))
+    each = own.withColumn("end", end).where(F.col("end") > F.col("start")).withColumn("at", F.explode(F.sequence(F.col("start"), F.col("end") - 1)))
+    n = (F.coalesce("first", F.lit(1)) + F.col("at") - F.col("start")).cast("int")
+    letter = F.repeat(F.char(F.pmod(n - 1, F.lit(26)) + 97), F.floor((n - 1) / 26).cast("int") + 1)
+    style = F.col("style")
+    number = F.when(style == "D", n.cast("string")).when(style == "r", T.roman_text(n)).when(style == "R", F.upper(T.roman_text(n))).when(style == "a", letter).when(style == "A", F.upper(letter)).otherwise("")
+    label = F.concat(F.coalesce("prefix", F.lit("")), number)
+    return each.select("doc_id", label.alias("label"), (F.col("at") + 1).cast("int").alias("page")).where("label <> ''").groupBy("doc_id", "label").agg(F.min("page").alias("page"))
+
+
 def folios(lines: DataFrame, band: float = 0.09) -> DataFrame:
     """doc_id, series (d, r), n, page: numbers that stand in a page's top or bottom band; the first page of each counts."""
     edge = lines.where((F.col("y") < F.col("page_height") * band) | (F.col("y1") > F.col("page_height") * (1 - band)))

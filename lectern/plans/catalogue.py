@@ -785,6 +785,19 @@ def paired_columns(v: Views) -> DataFrame:
     return outline.pair_columns(v.column_lines)
 
 
+@query("pdf_lines", """, c as (select doc_id, max(page) as n from pdf_lines group by doc_id),
+  x as (select doc_id, unnest(range(0, n)) as i from c),
+  l as (select doc_id, i + 1 as page, case when i < 2 then ['i', 'ii'][i + 1] when i < 4 then cast(i - 1 as varchar) when doc_id % 2 = 0 then concat('A-', cast(i - 3 as varchar)) else repeat(chr(cast(97 + (i + 19) % 26 as int)), cast((i + 19) // 26 + 1 as int)) end as label from x)
+  select doc_id, label, cast(min(page) as int) as page from l group by all""")
+def page_label_map(v: Views) -> DataFrame:
+    count = v.pdf_lines.groupBy("doc_id").agg(F.max("page").alias("page_count"))
+    row = lambda start, style, prefix, first: F.struct(F.lit(start).alias("start"), style.alias("style"), prefix.alias("prefix"), first.alias("first"))
+    even = F.col("doc_id") % 2 == 0
+    third = row(4, F.when(even, "D").otherwise("a"), F.when(even, "A-"), F.when(even, 1).otherwise(24))
+    ranges = count.select("doc_id", F.explode(F.array(row(0, F.lit("r"), F.lit(None).cast("string"), F.lit(1)), row(2, F.lit("D"), F.lit(""), F.lit(1)), third)).alias("r")).select("doc_id", "r.*")
+    return outline.page_labels(ranges, count)
+
+
 @query("pdf_lines", f""", f1 as (select doc_id, page, unnest(regexp_split_to_array(trim(case when y < 57 then concat('page ', cast(page as varchar)) else text end), '\\s+')) as t from pdf_lines where y < 0.09 * page_height or y1 > 0.91 * page_height),
   f2 as (select *, regexp_matches(t, '^[0-9]{{1,4}}$') as arabic, regexp_matches(t, '^(?i:[ivxlcdm]{{1,15}})$') as rom, {_ROMAN.format('t')} as dg from f1 where length(t) between 1 and 5),
   f3 as (select doc_id, page, case when arabic then 'd' else 'r' end as series, cast(case when arabic then try_cast(t as int) when rom and {_ROMAN_SUM.format('dg')} between 1 and {outline.ROMAN_CEILING} then {_ROMAN_SUM.format('dg')} end as int) as n from f2)
@@ -929,6 +942,17 @@ def decode_records(v: Views) -> DataFrame:
     return got.select("id", "doi", "title", "year", F.array_join("authors", "; ").alias("author"))
 
 
+@query("items", f"select scan_order as id, lower(doi) as doi, title, cast({YEAR.format('date')} as int) as year, last_name as author, regexp_replace(trim(regexp_replace(abstract, '\\s+', ' ', 'g')), '^(Abstract|Resumen|ABSTRACT|RESUMEN)[\\s:.\\-‐-―]*', '') as abstract from items where not regexp_matches(abstract, '[<&]')")
+def decode_inverted_records(v: Views) -> DataFrame:
+    """Records whose abstract is an index from each word to its places."""
+    words = F.filter(F.split(F.col("abstract"), r"\s+"), lambda w: w != "")
+    index = F.map_from_arrays(F.array_distinct(words), F.transform(F.array_distinct(words), lambda w: F.filter(F.transform(words, lambda x, i: F.when(x == w, i)), lambda i: i.isNotNull())))
+    author = F.array(F.struct(F.struct(F.col("last_name").alias("display_name")).alias("author")))
+    record = F.to_json(F.struct(F.concat(F.lit("https://doi.org/"), F.upper("doi")).alias("doi"), "title", T.year_of("date").alias("publication_year"), author.alias("authorships"), index.alias("abstract_inverted_index")))
+    got = enrich.decode_b(v.items.where("not abstract rlike '[<&]'").select(F.col("scan_order").alias("id"), record.alias("json")))
+    return got.select("id", "doi", "title", "year", F.array_join("authors", "; ").alias("author"), "abstract")
+
+
 # ---- files that people write, and read back
 @query("items", f", {_PLAN} select master, other from plan")
 def merge_plan_file(v: Views) -> DataFrame:

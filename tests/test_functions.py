@@ -3,6 +3,8 @@
 import unicodedata
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lectern.functions import similarity as S
@@ -74,3 +76,20 @@ def test_sizes_and_versions(spark):
 @pytest.mark.parametrize(("text", "depth"), [("3.1.2. T", 3), ("1 Intro", 1), ("Intro", 0), ("2.4 X", 2), ("123 Apples", 0), ("1.2.3.4.5.6 x", 0), ("12.10.1.4 x", 4), ("3. ", 0)])
 def test_numbering_depth(spark, text, depth):
     assert one(spark, T.numbering_depth, text) == depth
+
+
+pair = st.tuples(st.text(alphabet="abc d", max_size=30), st.text(alphabet="abc d", max_size=30))
+long_pair = st.tuples(st.text(alphabet="abcdefgh ijkl", min_size=150, max_size=260), st.text(alphabet="abcdefghijklmnopqrst uvwxyz", min_size=190, max_size=320))
+
+
+@settings(max_examples=120, deadline=None)
+@given(st.lists(st.one_of(pair, long_pair, long_pair.map(lambda p: (p[0], p[0][:90] + p[1] + p[0][60:]))), min_size=1, max_size=8))
+def test_gestalt_ratio_of_a_batch(pairs):
+    from difflib import SequenceMatcher
+
+    import pandas as pd
+
+    from lectern.functions.similarity import _ratio
+
+    got = _ratio.func(pd.Series([a for a, _ in pairs]), pd.Series([b for _, b in pairs]))
+    assert got.tolist() == [SequenceMatcher(None, a, b).ratio() if a and b else 0.0 for a, b in pairs]
