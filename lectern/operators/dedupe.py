@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import written
+from ..session import discard, written
 
 BLOCK = 6
 THRESHOLD = 0.9
@@ -89,7 +89,8 @@ def fuzzy_clusters(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         gone = written(left.join(seeds, "key_a", "left_semi").select(F.col("key_b").alias("key")).distinct(), "taken")
         taken = taken.unionByName(gone)
         decided = seeds.select(F.col("key_a").alias("key")).unionByName(gone)
-        left = written(left.join(decided.withColumnRenamed("key", "key_a"), "key_a", "left_anti").join(decided.withColumnRenamed("key", "key_b"), "key_b", "left_anti"), "left")
+        before, left = left, written(left.join(decided.withColumnRenamed("key", "key_a"), "key_a", "left_anti").join(decided.withColumnRenamed("key", "key_b"), "key_b", "left_anti"), "left")
+        discard(seeds, *([before] if before is not pairs else []))
     by = pairs.join(taken.withColumnRenamed("key", "key_a"), "key_a", "left_anti").join(taken.withColumnRenamed("key", "key_b"), "key_b", "left_semi")
     seed = by.join(order, by.key_a == order.key).groupBy("key_b").agg(F.min_by("key_a", "scan_order").alias("seed"))
     members = seed.select("seed", F.col("key_b").alias("key"))

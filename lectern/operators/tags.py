@@ -81,6 +81,11 @@ def tag_gains(new: DataFrame, items: DataFrame) -> DataFrame:
     return n.crossJoin(F.broadcast(total)).select("tag", "n", share.alias("share"), (share > WIDE).alias("wide"))
 
 
+def gain_list(gains: DataFrame) -> DataFrame:
+    """Gains with ``rank``: the tags that most items would get first, of equals by name. A row a tag of the plan."""
+    return gains.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "tag")))
+
+
 def add_tag(item_tags: DataFrame, items: DataFrame, keys: DataFrame, tag: str) -> DataFrame:
     """Item tags with the tag on the keys that are items."""
     new = keys.join(items, "key", "left_semi").select(F.col("key").alias("item_key"), F.lit(tag).alias("tag"))

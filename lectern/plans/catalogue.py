@@ -462,6 +462,21 @@ def tag_gain_counts(v: Views) -> DataFrame:
     return tags.tag_gains(tags.missing_tags(_wanted(v), v.item_tags), v.items)
 
 
+@query("items item_tags", """, w as (select key as item_key, unnest([upper(language), concat('by ', publisher), language]) as tag from items),
+  n as (select tag, count(distinct item_key) as n from w where (item_key, tag) not in (select item_key, tag from item_tags) group by tag)
+  select tag, n, round(100.0 * n / (select count(*) from items), 6)::double as share, round(100.0 * n / (select count(*) from items), 6) > 40 as wide, cast(row_number() over (order by n desc, tag) as int) as rank from n""")
+def tag_gain_list(v: Views) -> DataFrame:
+    wanted = v.items.select(F.col("key").alias("item_key"), F.explode(F.array(F.upper("language"), F.concat(F.lit("by "), "publisher"), F.col("language"))).alias("tag"))
+    return tags.gain_list(tags.tag_gains(tags.missing_tags(wanted, v.item_tags), v.items))
+
+
+@query("items", "select key, title, case when total > 100 then concat('showing 100 of ', total) else '' end as notice from (select key, title, count(*) over () as total from items order by title, key limit 100)")
+def items_listed(v: Views) -> DataFrame:
+    # a listing of its default length, and what it says about the rest
+    rows, total = catalog.page_of(v.items.select("key", "title"), [F.col("title"), F.col("key")], catalog.LIST_LIMIT)
+    return rows.withColumn("notice", F.lit(catalog.notice(min(catalog.LIST_LIMIT, total), total)))
+
+
 @query("item_tags", "select distinct item_key, case when tag = 'en' then 'English' else tag end as tag from item_tags")
 def tag_rename(v: Views) -> DataFrame:
     return tags.rename_tag(v.item_tags, "en", "English")

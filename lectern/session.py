@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import logging
 import re
 import tempfile
 import uuid
@@ -34,6 +35,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.gettempdir()}/lectern-written"
+        logging.getLogger(__name__).warning("spark.checkpoint.dir is not set: tables go to %s, which only this machine sees", base)
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     atexit.register(_delete, spark, path)
     return path
@@ -43,7 +45,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table written to a shared path and read back: its lineage ends there, and it survives lost executors."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` made, once nothing that is still to be computed reads them."""
+    for t in tables:
+        _delete(t.sparkSession, t.written_to)
 
 
 def _delete(spark: SparkSession, path: str) -> None:

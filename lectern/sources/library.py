@@ -37,7 +37,8 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _parsed(spark: SparkSession, path: str, schema: str, good: str) -> DataFrame:
-    rows = numbered_lines(spark, path).withColumn("x", F.from_json("text", schema + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    lines = numbered_lines(spark, path)
+    rows = lines.withColumn("x", F.from_json("text", schema + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
     rows = written(rows.select("file", "line_no", "seq", "x.*"), "parsed")  # judged and used: the files are read once
     bad = rows.where(f"_bad is not null or not coalesce({good}, false)").agg(F.min(F.struct("file", "line_no"))).first()[0]
     if bad is not None:
