@@ -369,9 +369,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, use: Column, target: str =
     cut = common.Cuts(docs.sparkSession)
     known = labels.where(F.col(target).isNotNull() & use).groupBy("doc_id").agg(F.max(target).cast("double").alias("label"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    # repeated rows of an id may be many: distinct ones, and the bound, hold here too
-    own = docs.join(F.broadcast(known), "doc_id").withColumn("row", F.xxhash64("text")).dropDuplicates(["doc_id", "row"])
-    labelled = cut(own.orderBy(F.xxhash64("doc_id"), "doc_id", "row").limit(sample), "labelled")
+    # repeated rows of an id may be many: distinct ones, and the bound, hold here too. Keys are ordered, texts are not moved for it
+    own = docs.join(F.broadcast(known), "doc_id").withColumn("row", F.xxhash64("text"))
+    listed = own.select("doc_id", "row").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "row").limit(sample)
+    labelled = cut(own.join(F.broadcast(listed), ["doc_id", "row"]).dropDuplicates(["doc_id", "row"]), "labelled")
     n, toxic = labelled.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     lex = Lexicons.of(learn_lexicons(labelled, n, toxic))
 
