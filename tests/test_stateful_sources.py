@@ -4,6 +4,8 @@ import json
 import math
 import os
 import random
+from functools import reduce
+from operator import add
 
 import pytest
 from pyspark.sql import functions as F
@@ -237,3 +239,38 @@ def test_small_operators(spark, tmp_path):
     library.write_export_csv(flat, str(tmp_path / "csv"))
     back = spark.read.csv(str(tmp_path / "csv"), header=True, escape="\\")
     assert back.columns == analyze.EXPORT_COLUMNS and (back.first().creators, back.first().tags, back.first().citekey) == ("A B; C", "x; y", None)
+
+
+def test_scan_from_pixels(spark, sf):
+    """The registered query against loops over each page's bytes."""
+    from statistics import median
+
+    from lectern.plans.catalogue import QUERIES
+
+    def measured(data):
+        profile = plain_ink(40, 32, data)
+        if not profile:
+            return None, 0.0
+        near = [profile[max(i - 1, 0) : i + 2] for i in range(40)]
+        own = [reduce(add, x) / len(x) for x in near]  # added one by one: sum() rounds differently, and equal columns tie
+        middle = range(math.floor(40 * (0.5 - 0.18)), math.ceil(40 * (0.5 + 0.18)))
+        low, high = min(own[i] for i in middle), max(own[i] for i in middle)
+        best, start = (0, 0), None
+        for i in middle if high - low >= 0.01 else ():
+            start = (i if start is None else start) if own[i] <= low + 0.25 * (high - low) else None
+            if start is not None and i - start + 1 > best[0]:
+                best = (i - start + 1, start)
+        return round((best[1] + best[0] / 2) / 40, 6) if best[0] else None, sum(profile) / 40
+
+    expected = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").where("text is not null").collect():
+        data = r.text.encode()
+        pages = [measured(data[k : k + 1280]) for k in range(0, max(len(data), 1), 1280)]
+        cuts = [c for c, ink in pages if c is not None and ink >= 0.03]
+        middle = median(cuts) if cuts else None
+        share = round(sum(abs(c - middle) <= 0.02 + 1e-12 for c in cuts) / len(cuts), 6) if cuts else 0.0
+        sure = share >= 0.6
+        expected[r.doc_id] = (share, "split" if sure else "no-gutter", round(middle, 6) if sure else None)
+    got = {r.doc_id: (r.confidence, r.decision, r.cut) for r in QUERIES["scan_from_pixels"](spark, sf).collect()}
+    wrong = {k: (got.get(k), v) for k, v in expected.items() if got.get(k) != v}
+    assert not wrong and len(got) == len(expected) and {d for _, d, _ in got.values()} == {"split", "no-gutter"}
