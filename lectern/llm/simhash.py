@@ -11,12 +11,13 @@ RADIUS is measured: of the pairs of differing texts with a Jaccard of 0.8 or mor
 0.94 lie within it; within 3 bits 0.08.
 
 Defined cases: a null or empty text has the fingerprint of all zeros; equal texts have equal fingerprints; a null
-doc_id sorts last; rows with one doc_id are ordered by text.
+doc_id sorts last; rows with one doc_id are ordered by a hash of the text, then by text.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -35,6 +36,7 @@ BLOCKS = 5
 RADIUS = 14
 #: Bytes of text in a part, and how many parts there are at most; parts are sorted and streamed, so they may grow.
 RANGE_BYTES, MOST_PARTS = 8 << 20, 4096
+STEP = 64
 
 
 def fingerprints(texts: pa.Array) -> np.ndarray:
@@ -60,25 +62,53 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 1 - np.bitwise_count(a ^ b).sum(axis=1) / BITS
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """Rows (part, own, key, doc_id, text), to be read by part, own descending, key descending, text: after a part's own
-    rows comes a copy of the row that follows its last in descending doc_id; after the last of all, the first.
-
-    Parts are ranges of doc_id of about RANGE_BYTES of text; the driver sees one number for each part.
+def listed(values: list[int]) -> Column:
+    """Whole numbers as one constant array."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<long>") if values else F.array().cast("array<long>")
+
+
+def part_of(key: Column, turn: Column, quantiles: list[int]) -> Column:
+    """The place of a row's range in descending key. A key that is several quantiles has that many ranges, of equal spans of
+    ``turn`` (any long, spread evenly), descending too. Two steps of 64 values, as there may be thousands of ranges."""
+    times = Counter(quantiles)
+    bounds = sorted(times, reverse=True)
+    if not bounds:
+        return F.lit(0)
+    groups = [bounds[i : i + STEP] for i in range(0, len(bounds), STEP)]
+    most = listed([times[x] for x in bounds])
+    before = listed([0, *np.cumsum([times[x] for x in bounds]).tolist()])
+    coarse = F.size(F.filter(listed([g[-1] for g in groups]), lambda x: x >= key))
+    passed = F.least(F.lit(len(bounds)), coarse * STEP + F.size(F.filter(F.slice(listed(bounds), coarse * STEP + 1, STEP), lambda x: x >= key)))
+    own = F.greatest(passed - 1, F.lit(0)).cast("int")
+    upper = F.shiftright(F.bitwise_not(turn), 32) + F.lit(1 << 31)  # from 0 to 2**32, the greatest turn first
+    within = F.get(before, own) + 1 + F.shiftright(upper * F.get(most, own), 32)
+    return F.when((passed > 0) & (F.get(listed(bounds), own) == key), within).otherwise(F.get(before, passed.cast("int"))).cast("int")
+
+
+def with_next(docs: DataFrame) -> tuple[DataFrame, int]:
+    """Rows (part, own, key, turn, doc_id, text), to be read by part, own, key, turn (all three descending), text: after a
+    part's own rows comes a copy of the row that follows its last in that order; after the last of all, the first. And
+    how many parts there may be.
+
+    Parts are ranges of doc_id of about RANGE_BYTES of text, an id that very many rows have is cut by ``turn``, a hash of
+    the text. The driver sees two numbers for each part.
     """
-    keyed = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(common.NULL_ID)).alias("key"))
+    keyed = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(common.NULL_ID)).alias("key"), F.xxhash64("text").alias("turn"))
     n = common.buckets_for(docs, "text", RANGE_BYTES, least=4, most=MOST_PARTS)
-    bounds = sorted(set(keyed.select("key").approxQuantile("key", [i / n for i in range(1, n)], 0.25 / n)))
-    cuts = F.array(*(F.lit(int(x)).cast("long") for x in bounds)) if bounds else F.array().cast("array<long>")
-    part = F.size(F.filter(cuts, lambda x: F.col("key") <= x))  # descending: the greatest ids are part 0
-    placed = keyed.withColumn("part", part)
-    heads = placed.groupBy("part").agg(F.max("key").alias("head")).orderBy("part").collect()
+    quantiles = [int(x) for x in keyed.select("key").approxQuantile("key", [i / n for i in range(1, n)], 0.25 / n)]
+    placed = keyed.withColumn("part", part_of(F.col("key"), F.col("turn"), quantiles))
+    heads = placed.groupBy("part").agg(F.max(F.struct("key", "turn")).alias("head")).orderBy("part").collect()
     if not heads:
-        return placed.withColumn("own", F.lit(1))
-    into = {head: heads[i - 1][0] for i, (_, head) in enumerate(heads)}  # a head also goes to the part before
-    target = F.create_map(*(F.lit(x) for pair in into.items() for x in pair))
-    rows = F.array(F.struct("part", F.lit(1).alias("own")), F.struct(F.try_element_at(target, F.col("key")).alias("part"), F.lit(0).alias("own")))
-    return placed.withColumn("to", F.explode(F.filter(rows, lambda x: x["part"].isNotNull()))).select("to.part", "to.own", "key", "doc_id", "text")
+        return placed.withColumn("own", F.lit(1)), n
+    parts = [part for part, _ in heads]
+    # a part's head also goes to the part before, the first one's to the last
+    into, keys, turns = [-1] * (parts[-1] + 1), [0] * (parts[-1] + 1), [0] * (parts[-1] + 1)
+    for i, (part, head) in enumerate(heads):
+        into[part], keys[part], turns[part] = parts[i - 1], head[0], head[1]
+    first = (F.get(listed(keys), F.col("part")) == F.col("key")) & (F.get(listed(turns), F.col("part")) == F.col("turn"))
+    copy = F.when(first, F.get(listed(into), F.col("part")).cast("int"))
+    rows = F.array(F.struct("part", F.lit(1).alias("own")), F.struct(copy.alias("part"), F.lit(0).alias("own")))
+    return placed.withColumn("to", F.explode(F.filter(rows, lambda x: x["part"].isNotNull()))).select("to.part", "to.own", "key", "turn", "doc_id", "text"), n
 
 
 def edited(text: str, following: str) -> str:
@@ -115,7 +145,8 @@ def simhash(docs: DataFrame) -> DataFrame:
             }
             yield pa.RecordBatch.from_pydict(columns)
 
-    rows = with_next(docs.select("doc_id", "text")).repartition("part").sortWithinPartitions("part", F.desc("own"), F.desc("key"), "text")
+    rows, parts = with_next(docs.select("doc_id", "text"))
+    rows = rows.repartitionById(parts, "part").sortWithinPartitions("part", F.desc("own"), F.desc("key"), F.desc("turn"), "text")
     return rows.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 

@@ -291,6 +291,35 @@ def test_simhash(spark):
         assert r.n_within == (len(near) - 1 if r.doc_id is not None and r.doc_id % 2 == 0 else None)
 
 
+def test_ranges_of_a_hot_id(spark):
+    """A third of all rows have one doc_id: their parts follow the hash, in order, and none holds them all."""
+    rng = random.Random(5)
+    rows = [(7 if rng.random() < 0.34 else rng.randrange(-(10**6), 10**6), rng.randrange(-(2**63), 2**63)) for _ in range(3000)] + [(7, -(2**63)), (7, 2**63 - 1)]
+    df = spark.createDataFrame(rows, "key long, turn long")
+    for n in (1, 4, 300):
+        quantiles = [sorted(k for k, _ in rows)[len(rows) * i // n] for i in range(1, n)]
+        got = df.withColumn("part", simhash.part_of(F.col("key"), F.col("turn"), quantiles)).orderBy(F.desc("key"), F.desc("turn")).collect()
+        parts = [r.part for r in got]
+        assert parts == sorted(parts) and min(parts) == 0 and max(parts) < n
+        sizes = [parts.count(p) for p in set(parts)]
+        assert max(sizes) <= 3 * len(rows) / n + 20
+
+
+def test_simhash_of_a_hot_id(spark, monkeypatch):
+    """Each row's next is the row after it by id, then hash, then text, wherever ranges are cut."""
+    monkeypatch.setattr(simhash, "RANGE_BYTES", 1 << 10)
+    rng = random.Random(6)
+    rows = [(7 if i % 3 == 0 else None if i % 11 == 0 else i, " ".join(rng.choices("abcdefghij", k=rng.randrange(0, 40)))) for i in range(600)]
+    docs = table(spark, rows)
+    placed, n = simhash.with_next(docs.select("doc_id", "text"))
+    own = [(r.part, r.key, r.turn, r.doc_id, r.text) for r in placed.where("own = 1").collect()]
+    assert len({p for p, key, *_ in own if key == 7}) > n // 8
+    order = sorted(own, key=lambda r: (-r[1], -r[2], r[4]))
+    assert [r[0] for r in order] == sorted(r[0] for r in own)
+    want = sorted(((r[3], hashlib.sha256(simhash.edited(r[4], order[(i + 1) % len(order)][4]).encode()).hexdigest()) for i, r in enumerate(order)), key=str)
+    assert sorted(((r.doc_id, r.edited_sha256) for r in simhash.simhash(docs).collect()), key=str) == want
+
+
 def test_neighbours_name_the_found(spark):
     a, b, c = "0" * 32, "0" * 31 + "7", "f" * 32
     prints = spark.createDataFrame([(2, a), (4, a), (1, b), (3, b), (6, c), (None, a)], "doc_id long, fingerprint string")
