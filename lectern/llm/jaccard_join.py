@@ -24,19 +24,21 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 RATIO = 1.4
 FRAGMENTS = 4
-#: Further rounds in which a group's nodes are compared with one random node of it before all pairs still apart are.
-ROUNDS = 1
+#: A group's nodes are compared with one random node of it in a further round at least, and in more while the pairs still
+#: apart are over CROWDED times the rows they come from and a round has halved them; then all pairs still apart are compared.
+CROWDED = 4
 LEAST_BITS = 256
 #: A finer cut has so many times the fragments.
 FINER = 1.25
@@ -235,9 +237,10 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
         .select("set_id", node("set_id").alias("node"), F.col("x.doc_id").alias("rep"), F.col("x.row_text").alias("row_text"), "least_id", F.col("x.n_shingles").alias("n"), F.col("x.bitmap").alias("bitmap")),
         "nodes",
     )
-    group = Window.partitionBy("segment")
-    rows = segments(docs, words, percent / 100).repartition("segment").withColumns({"lo": F.min("node").over(group), "hi": F.max("node").over(group)})
-    shared = cut(rows.where("lo < hi").select("node", "segment", F.col("lo").alias("hub_node")).distinct(), "shared")
+    rows = cut(segments(docs, words, percent / 100), "segments")
+    # summed before the shuffle; the join back has one row a segment on one side, so a segment that very many hold can be split
+    ends = rows.groupBy("segment").agg(F.min("node").alias("hub_node"), F.max("node").alias("hi")).where("hub_node < hi").select("segment", "hub_node")
+    shared = cut(rows.join(ends, "segment").select("node", "segment", "hub_node").distinct(), "shared")
     hubs = nodes.select(F.col("node").alias("hub_node"), F.col("set_id").alias("hub"))
     members = cut(shared.join(nodes.select("node", "set_id"), "node").join(hubs, "hub_node").select("segment", "set_id", "hub"), "members")
     facts = nodes.select("set_id", "n", "bitmap")
@@ -256,22 +259,32 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
         mixed = placed.groupBy("segment").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("segment")
         return placed.join(mixed, "segment")
 
+    def crowd(apart: DataFrame) -> tuple[int, float]:
+        """Rows of segments, and the pairs within segments that they make."""
+        each = apart.groupBy("segment").agg(F.count("*").cast("double").alias("n"))
+        rows, pairs = each.agg(F.sum("n"), F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()
+        return int(rows or 0), pairs or 0.0
+
     apart = cut(still_apart(found), "apart")
-    for salt in range(ROUNDS):
-        if apart.isEmpty():
+    n_rows, n_pairs = crowd(apart)
+    for salt in count():
+        if not n_rows:
             break
         order = F.xxhash64("set_id", "segment", F.lit(salt))
         chosen = apart.groupBy("segment").agg(F.min_by(F.struct("set_id", "component"), order).alias("hub"))
         pairs = apart.join(chosen, "segment").where("component != hub.component").select(F.least("set_id", "hub.set_id").alias("a"), F.greatest("set_id", "hub.set_id").alias("b")).distinct()
         fresh = cut(close(pairs.join(tried, ["a", "b"], "left_anti")), "pairs")
         if fresh.isEmpty():
-            continue
+            break
         tried = tried.union(fresh)
         links = cut(links.union(verified(fresh, nodes, docs, words, percent)), "links")
         found = components(links)
-        apart = cut(still_apart(found), "apart")
+        apart, before = cut(still_apart(found), "apart"), n_pairs
+        n_rows, n_pairs = crowd(apart)
+        if n_pairs <= CROWDED * n_rows or 2 * n_pairs > before:
+            break
 
-    if not apart.isEmpty():
+    if n_rows:
         rest = cut(apart.join(facts, "set_id"), "rest")
         x, y = rest.alias("x"), rest.alias("y")
         across = x.join(
