@@ -50,28 +50,31 @@ WRAPPED, LINE_GAP = 3, 1.8
 def contents_line(c: Column | str) -> Column:
     """struct(title, printed, roman) of a printed contents line, null when it is none.
 
-    Either leaders (two or more, spaces count) and an arabic or roman number, or a space and an arabic number.
+    Either leaders (two or more, spaces count) and an arabic or roman number, or a space and an arabic number. The number is
+    looked for at the line's end, the leaders are cut off as a set of characters: no pattern runs over the whole line but the
+    one that squeezes it.
     """
-    line = F.trim(F.regexp_replace(F.replace(T.col(c), F.lit("\u00a0"), F.lit(" ")), r"\s+", " "))
-    led = rf"^(.+?[^\s{LEADERS}])[\s{LEADERS}]{{2,}}(\d{{1,4}}|(?i:[ivxlcdm]{{1,15}}))$".replace("-–", r"\-–")
-    plain = r"^(.+?\S)\s+(\d{1,4})$"
-    edge = rf"[\s{LEADERS}]".replace("-–", r"\-–")
+    edge = F.lit(" " + LEADERS)
+    form = rf"[\s{LEADERS}](\d{{1,4}}|(?i:[ivxlcdm]{{1,15}}))\z".replace("-–", r"\-–")
+    squeezed = F.trim(F.regexp_replace(F.replace(T.col(c), F.lit("\u00a0"), F.lit(" ")), r"\s+", " "))
 
-    def cut(x: Column, form: str) -> Column:
-        title = F.regexp_replace(F.regexp_extract(x, form, 1), f"^{edge}+|{edge}+$", "")
-        return F.struct(title.alias("title"), F.regexp_extract(x, form, 2).alias("page"))
+    def cut(x: Column) -> Column:
+        page = F.regexp_extract(F.right(x, F.lit(16)), form, 1)
+        return T.let(page, lambda p: F.when(p != "", F.struct(F.substring(x, F.lit(1), F.length(x) - F.length(p)).alias("head"), p.alias("page"))))
 
     def number(x: Column) -> Column:
         arabic = x["page"].rlike(r"^\d+$")
+        led = F.length(x["head"]) - F.length(F.rtrim(x["head"], edge)) >= 2
         n = F.when(arabic, x["page"].try_cast("int")).otherwise(T.roman_value(x["page"]))
-        return F.struct(x["title"].alias("title"), n.alias("printed"), (~arabic).alias("roman"))
+        entry = F.struct(F.btrim(x["head"], edge).alias("title"), n.alias("printed"), (~arabic).alias("roman"))
+        return F.when(led | (arabic & F.endswith(x["head"], F.lit(" "))), entry)
 
     def judged(x: Column) -> Column:
         title = x["title"]
         good = (F.length(title) >= 2) & title.rlike(r"\p{L}") & ~F.lower(title).isin(STRUCTURAL) & (x["printed"] > 0) & (~x["roman"] | (x["printed"] <= ROMAN_CEILING))
         return F.when(good, x)
 
-    parts = T.let(line, lambda x: F.when(x.rlike(led), cut(x, led)).when(x.rlike(plain), cut(x, plain)))
+    parts = T.let(squeezed, cut)
     return T.let(parts, lambda x: F.when(x.isNotNull(), T.let(number(x), judged)))
 
 

@@ -131,6 +131,13 @@ def test_contents_line(spark, line, expected):
     assert (tuple(got) if got else None) == expected
 
 
+def test_contents_line_looks_at_the_end(spark):
+    """Separators of lines inside a title are characters like others (as in SQL); short titles, long runs and a number that is all there is."""
+    cases = {"Part\u2028two .... 12": ("Part\u2028two", 12, False), "ab. 7": ("ab", 7, False), "a. 7": None, "End. xii": ("End", 12, True), "End xii": None, "x" * 5000 + "." * 5000 + "9": ("x" * 5000, 9, False), "12345": None, " . 12": None, "On 12345": None, "A–B – 3": ("A–B", 3, False)}
+    df = spark.createDataFrame([(c,) for c in cases], "c string").withColumn("x", outline.contents_line("c"))
+    assert {r.c: tuple(r.x) if r.x else None for r in df.collect()} == cases
+
+
 @pytest.mark.parametrize(("indents", "expected"), [([72.0, 90.0, 90.5, 72.0, 108.0], [1, 2, 2, 1, 3]), ([72.0, 73.5, 72.4], [1, 1, 1]), ([10.0 + 20 * k for k in range(8)], [1, 2, 3, 4, 5, 6, 6, 6]), ([], [])])
 def test_indent_levels(spark, indents, expected):
     df = spark.createDataFrame([(indents,)], "a array<double>")
