@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,8 +12,10 @@ from ..session import discard, written
 
 BLOCK = 6
 THRESHOLD = 0.9
-#: Rows from which a block's titles must also share rare groups of GRAM letters.
-CROWDED, GRAM = 1000, 3
+#: Rows of a block that one task compares with the whole block.
+CROWDED = 1000
+#: Lengths of letter groups whose parities are kept, and longs for each.
+GRAMS, WORDS = (3,), 4
 # Item types that are cited in their own right.
 FORMAL = ["book", "bookSection", "journalArticle", "conferencePaper", "thesis", "report", "dataset", "preprint", "manuscript", "encyclopediaArticle"]
 
@@ -39,38 +43,43 @@ def singletons(items: DataFrame) -> DataFrame:
     return own.select("k", "key", "scan_order", F.substring("k", 1, BLOCK).alias("block"))
 
 
+def gram_bits(c: str) -> Column:
+    """For each length in GRAMS an array of WORDS longs: the parity of how many of a text's letter groups fall to each bit."""
+    n = F.length(c)
+
+    def bits(q: int) -> Column:
+        grams = F.when(n >= q, F.transform(F.sequence(F.lit(1), F.greatest(n - q + 1, F.lit(1))), lambda i: F.pmod(F.xxhash64(F.substring(c, i, F.lit(q))), F.lit(64 * WORDS)).cast("int"))).otherwise(F.array().cast("array<int>"))
+        one = lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x))
+        word = lambda g, w: F.aggregate(F.filter(g, lambda x: F.floor(x / 64) == w), F.lit(0).cast("long"), one)
+        return T.let(grams, lambda g: F.array(*(word(g, w) for w in range(WORDS))))
+
+    return F.struct(*(F.get(bits(q), F.lit(w)).alias(f"g{q}_{w}") for q in GRAMS for w in range(WORDS)))
+
+
+def may_be_alike(a: str, b: str, n_a: Column, n_b: Column, threshold: float) -> Column:
+    """False only for texts that are not alike: an edit takes or gives at most 2 q groups of q letters, each of which turns one
+    bit of ``gram_bits`` (in the columns ``a`` and ``b``). A comparison of some longs, where a distance is thousands of steps."""
+    d = F.floor(F.greatest(n_a, n_b) * (1 - threshold) + 1e-9)
+    turned = lambda q: reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{a}.g{q}_{w}").bitwiseXOR(F.col(f"{b}.g{q}_{w}"))) for w in range(WORDS)))
+    return reduce(lambda x, y: x & y, (turned(q) <= 2 * q * d for q in GRAMS))
+
+
 def fuzzy_pairs(items: DataFrame, threshold: float = THRESHOLD, crowded: int = CROWDED) -> DataFrame:
     """key_a, key_b, similarity: singletons of a block whose title keys are alike. Lengths join the block as bands, so a
-    block is compared with neighbours in length only. In a block of more than ``crowded`` rows, titles also share one of
-    their rarest letter groups, which any two that are alike must (``rare_grams``)."""
-    own = singletons(items).withColumn("n", F.length("k"))
-    crowd = own.groupBy("block").agg(F.count("*").alias("rows")).select("block", (F.col("rows") > crowded).alias("crowd"))
-    placed = own.join(crowd, "block")
-    meet = placed.where("not crowd").withColumn("meet", F.lit("")).drop("crowd").unionByName(rare_grams(placed.where("crowd").drop("crowd"), threshold))
+    block is compared with neighbours in length only; bits of letter groups tell most that are not alike before a distance is
+    computed. A block of more than ``crowded`` rows is several tasks: each compares a part of about so many with all."""
     step = 8
-    a = meet.withColumn("band", F.floor(F.col("n") / step)).alias("a")
+    own = written(singletons(items).withColumns({"n": F.length("k"), "bits": gram_bits("k")}), "titles")
+    parts = own.groupBy("block").agg(F.ceil(F.count("*") / max(crowded, 1)).cast("int").alias("parts"))
+    placed = own.join(parts, "block").withColumn("band", F.floor(F.col("n") / step))
+    spread = lambda rows: rows.repartition(int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block", "band", "part")  # noqa: E731  # few bytes, much work: a number of tasks that adaptive execution keeps
+    a = spread(placed.withColumn("part", F.pmod(F.xxhash64("k"), F.col("parts")).cast("int"))).alias("a")
     most = F.ceil(F.col("n") * (1 / threshold - 1) / step) + 1  # bands that a longer partner may be ahead
-    b = meet.withColumn("band", F.explode(F.sequence(F.greatest(F.floor(F.col("n") / step) - F.ceil(F.col("n") * (1 - threshold) / step) - 1, F.lit(0)), F.floor(F.col("n") / step) + most))).alias("b")
-    near = T.similar(F.col("a.k"), F.col("b.k"), threshold)
-    joined = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.meet") == F.col("b.meet")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.scan_order") < F.col("b.scan_order")) & near)
-    return joined.select(F.col("a.key").alias("key_a"), F.col("b.key").alias("key_b"), F.round(T.levenshtein_similarity(F.col("a.k"), F.col("b.k")), 6).alias("similarity")).distinct()
-
-
-def rare_grams(rows: DataFrame, threshold: float) -> DataFrame:
-    """``rows`` (with block, k, n), each once for each of its rarest letter groups (``meet``).
-
-    An edit changes at most GRAM groups. A key of n letters is alike to others within d = n * (1 / threshold - 1) edits, so of
-    its GRAM * d + 1 rarest groups of the block one is among the other's (prefix filtering). Keys with too few groups meet
-    each other under the empty one as well.
-    """
-    listed = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.col("n") - GRAM + 1, F.lit(1))), lambda i: F.substring("k", i, F.lit(GRAM))))
-    d = F.floor(F.col("n") * (1 / threshold - 1) + 1e-9)
-    each = rows.select("*", (GRAM * d + 1).alias("need"), F.size(listed).alias("have"), F.explode(listed).alias("meet"))
-    often = each.groupBy("block", "meet").agg(F.count("*").alias("often"))
-    rank = F.row_number().over(Window.partitionBy("block", "k").orderBy("often", "meet"))
-    rare = each.join(often, ["block", "meet"]).withColumn("rank", rank).where("rank <= need")
-    poor = rare.where("have < need AND rank = 1").withColumn("meet", F.lit(""))
-    return rare.unionByName(poor).select(*rows.columns, "meet")
+    b = placed.withColumn("band", F.explode(F.sequence(F.greatest(F.col("band") - F.ceil(F.col("n") * (1 - threshold) / step) - 1, F.lit(0)), F.col("band") + most)))
+    b = spread(b.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))).alias("b")
+    near = may_be_alike("a.bits", "b.bits", F.col("a.n"), F.col("b.n"), threshold) & T.similar(F.col("a.k"), F.col("b.k"), threshold)
+    joined = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.scan_order") < F.col("b.scan_order")) & near)
+    return joined.select(F.col("a.key").alias("key_a"), F.col("b.key").alias("key_b"), F.round(T.levenshtein_similarity(F.col("a.k"), F.col("b.k")), 6).alias("similarity"))
 
 
 def fuzzy_clusters(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -172,9 +181,10 @@ def duplicate_probe(items: DataFrame, probes: DataFrame, threshold: float = THRE
     title, in any case, holds the phrase of the probe's first four words longer than two characters, the whole titles are
     alike, and so is the name (if the probe has one). Accents are not folded.
 
-    Equal items and equal probes meet once. Rows meet on two words and a length band, not on one frequent word: the second
-    and third word of a phrase of four stand whole and side by side in any title that holds it. Shorter phrases meet on
-    three letters that a hash picks; only items whose length is near such a probe's give their letters.
+    Equal items and equal probes meet once. Rows meet on a phrase and a length band, not on frequent words: the second and third
+    word of a phrase of four stand whole and side by side in any title that holds it, between a word that ends as the first
+    and one that begins as the fourth. Shorter phrases meet on three letters that a hash picks; only items whose length is
+    near such a probe's give their letters. Bits of letter groups come before the distance, as in ``fuzzy_pairs``.
     """
     step = 8
     words = F.slice(F.filter(F.split(T.dedupe_key("title"), " "), lambda w: F.length(w) > 2), 1, 4)
@@ -185,16 +195,19 @@ def duplicate_probe(items: DataFrame, probes: DataFrame, threshold: float = THRE
     grams = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3)))
     picked = F.array_min(F.transform(grams(F.col("phrase")), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))["g"]
     four = F.size("words") == 4
-    p = p.select("p", "p_name", "phrase", F.when(four, F.concat_ws(" ", F.get("words", F.lit(1)), F.get("words", F.lit(2)))).otherwise(picked).alias("meet"), four.alias("pair"), F.explode(F.sequence(low, high)).alias("band"))
+    word = lambda k: F.get("words", F.lit(k))
+    middle = F.concat_ws(" ", F.right(word(0), F.lit(3)), word(1), word(2), F.left(word(3), F.lit(3)))  # words have three letters at least
+    p = written(p.withColumn("p_bits", gram_bits("p")), "probes").select("p", "p_name", "phrase", F.when(four, middle).otherwise(picked).alias("meet"), four.alias("pair"), "p_bits", F.explode(F.sequence(low, high)).alias("band"))
     i = items.groupBy(F.lower("title").alias("raw"), T.dedupe_key("title").alias("t"), named.alias("t_name")).agg(F.min(F.struct("scan_order", "key")).alias("first"))
-    i = i.withColumn("band", F.floor(F.length("t") / step))
-    tokens = F.split("raw", " ")
-    rest = F.greatest(F.size(tokens) - 1, F.lit(0))
-    pairs = F.zip_with(F.slice(tokens, F.lit(1), rest), F.slice(tokens, F.lit(2), rest), lambda a, b: F.concat_ws(" ", a, b))
-    by_pair = i.select("*", F.explode(F.array_distinct(pairs)).alias("meet"), F.lit(True).alias("pair"))
+    i = written(i.withColumns({"band": F.floor(F.length("t") / step), "t_bits": gram_bits("t")}), "titles")
+    at = F.sequence(F.lit(0), F.greatest(F.size("tokens") - 4, F.lit(0)))
+    fours = F.transform(at, lambda k: F.concat_ws(" ", F.right(F.get("tokens", k), F.lit(3)), F.get("tokens", k + 1), F.get("tokens", k + 2), F.left(F.get("tokens", k + 3), F.lit(3))))
+    by_pair = i.withColumn("tokens", F.split("raw", " ")).where(F.size("tokens") >= 4).select(*i.columns, F.explode(F.array_distinct(fours)).alias("meet"), F.lit(True).alias("pair"))
     short = i.join(p.where("not pair").select("band").distinct(), "band", "left_semi").where("length(raw) > 2")
     by_gram = short.select(*i.columns, F.explode(F.array_distinct(grams(F.col("raw")))).alias("meet"), F.lit(False).alias("pair"))
-    near = F.contains(F.col("raw"), F.col("phrase")) & T.similar(F.col("p"), F.col("t"), threshold) & ((F.col("p_name") == "") | (F.col("p_name") == F.col("t_name")))
+    same_name = (F.col("p_name") == "") | (F.col("p_name") == F.col("t_name"))
+    may = may_be_alike("p_bits", "t_bits", F.length("p"), F.length("t"), threshold)
+    near = same_name & may & F.contains(F.col("raw"), F.col("phrase")) & T.similar(F.col("p"), F.col("t"), threshold)
     met = p.join(by_pair.unionByName(by_gram), ["meet", "pair", "band"]).where(near)
     best = met.groupBy("p", "p_name", "phrase").agg(F.min_by(F.struct("first.key", "t"), "first.scan_order").alias("x"))
     found = asked.withColumn("phrase", F.array_join("words", " ")).join(best, ["p", "p_name", "phrase"])

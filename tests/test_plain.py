@@ -449,6 +449,16 @@ def test_fuzzy_pairs_in_crowded_blocks(spark, crowded):
     assert got == expected and len(expected) > 20
 
 
+def test_bits_of_letter_groups_lose_no_pair(spark):
+    """Bits let every pair through that is alike, and tell most others."""
+    titles = [*alike_titles(), "the quick brown fox jumps over a lazy dog while it rains", "pack my box with five dozen liquor jugs and zip it up now"]
+    t = spark.createDataFrame([(i, x, len(x)) for i, x in enumerate(titles)], "i long, k string, n long").withColumn("bits", dedupe.gram_bits("k"))
+    both = t.alias("a").join(t.alias("b"), F.col("a.i") < F.col("b.i"))
+    passed = {(r.x, r.y) for r in both.where(dedupe.may_be_alike("a.bits", "b.bits", F.col("a.n"), F.col("b.n"), 0.9)).select(F.col("a.i").alias("x"), F.col("b.i").alias("y")).collect()}
+    alike = {(i, j) for i, a in enumerate(titles) for j, b in enumerate(titles) if i < j and similar(a, b) >= 0.9}
+    assert alike <= passed and (len(titles) - 2, len(titles) - 1) not in passed
+
+
 def test_fuzzy_clusters(spark):
     titles = alike_titles()
     near = plain_pairs(titles)
