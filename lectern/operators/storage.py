@@ -12,9 +12,11 @@ MAX_RATIO = 0.8
 
 
 def inventory(attachments: DataFrame, parents: DataFrame) -> DataFrame:
-    """Attachments with their parent's title (cut) and year; attachments without a parent stay."""
+    """Attachments with their parent's title (cut) and year; attachments without a parent stay. These take no part in the join, in
+    which their null keys would all be one task's."""
     own = parents.select(F.col("key").alias("parent_key"), F.substring("title", 1, TITLE_CUT).alias("title"), F.regexp_extract("date", r"\d{4}", 0).alias("year"))
-    return attachments.join(own, "parent_key", "left").select("key", "parent_key", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("year", F.lit("")).alias("year"), "content_type", "size")
+    with_key = attachments.where("parent_key is not null").join(own, "parent_key", "left")
+    return with_key.unionByName(attachments.where("parent_key is null"), allowMissingColumns=True).select("key", "parent_key", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("year", F.lit("")).alias("year"), "content_type", "size")
 
 
 def is_disposable_orphan() -> Column:
