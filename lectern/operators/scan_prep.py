@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 BAND, CONTRAST, QUIET = 0.18, 0.01, 0.25
 MIN_INK, AGREE, TWO_UP, CONFIDENT, OVERLAP, BLIND = 0.03, 0.02, 1.25, 0.6, 0.008, 0.5
 LEAST_WIDTH, TEXT_LAYER = 8, 80
@@ -44,10 +46,12 @@ def gutter(profile: DataFrame, band: float = BAND) -> DataFrame:
 
 def choose_gutter(samples: DataFrame) -> DataFrame:
     """doc_id, cut, confidence: the median cut of pages with a cut and enough ink, and the share of them near it."""
-    usable = samples.where(F.col("cut").isNotNull() & (F.col("ink") >= MIN_INK))
-    mid = usable.groupBy("doc_id").agg(F.median("cut").alias("middle"))
-    near = usable.join(mid, "doc_id").groupBy("doc_id").agg(F.first("middle").alias("cut"), F.avg((F.abs(F.col("cut") - F.col("middle")) <= AGREE + 1e-12).cast("int")).alias("confidence"))
-    return samples.select("doc_id").distinct().join(near, "doc_id", "left").select("doc_id", F.round("cut", 6).alias("cut"), F.round(F.coalesce("confidence", F.lit(0.0)), 6).alias("confidence"))
+    usable = F.when(F.col("ink") >= MIN_INK, F.col("cut"))
+    each = samples.groupBy("doc_id", usable.alias("cut")).agg(F.count("*").alias("n"))  # a document's pages are few cuts
+    own = each.groupBy("doc_id").agg(F.percentile("cut", 0.5, F.col("n")).alias("cut"), F.collect_list(F.when(F.col("cut").isNotNull(), F.struct("cut", "n"))).alias("cuts"))
+    pages = lambda near: F.aggregate("cuts", F.lit(0).cast("long"), lambda a, x: a + F.when(near(x["cut"]), x["n"]).otherwise(0))
+    confidence = F.try_divide(pages(lambda c: F.abs(c - F.col("cut")) <= AGREE + 1e-12), pages(lambda c: F.lit(True)))
+    return own.select("doc_id", F.round("cut", 6).alias("cut"), F.round(F.coalesce(confidence, F.lit(0.0)), 6).alias("confidence"))
 
 
 def page_sizes(pages: DataFrame, sampled: int = 12) -> DataFrame:
@@ -160,8 +164,36 @@ def column_ink(rasters: DataFrame, step: int = 2, threshold: int | None = None)
 
 def measured(rasters: DataFrame, window: int = 5, band: float = BAND) -> DataFrame:
     """doc_id, page, cut, ink of sampled pages from their pixels: the gutter of the smoothed profile, and the page's share of ink."""
-    own = column_ink(rasters)
-    ink = own.select("doc_id", "page", F.when(F.size("profile") > 0, F.aggregate("profile", F.lit(0.0), lambda a, x: a + x) / F.size("profile")).otherwise(0.0).alias("ink"))
-    key = F.struct("doc_id", "page").alias("doc_id")
-    cuts = gutter(smooth(own.select(key, F.posexplode("profile").alias("i", "ink")), window), band).select("doc_id.doc_id", "doc_id.page", "cut")
-    return ink.join(cuts, ["doc_id", "page"], "left").select("doc_id", "page", "cut", "ink")
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
+    ink = F.when(F.size("profile") > 0, total(F.col("profile")) / F.size("profile")).otherwise(0.0)
+    return column_ink(rasters).select("doc_id", "page", page_gutter(F.col("profile"), window, band).alias("cut"), ink.alias("ink"))
+
+
+def page_gutter(profile: Column, window: int, band: float = BAND) -> Column:
+    """The cut of a page's profile (an array), as ``gutter`` of ``smooth`` gives it; null when there is none. It is worked out
+    beside the page: pages need not be taken apart into columns that are shuffled and sorted."""
+    half, total = window // 2, lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
+
+    def mean(p: Column, i: Column) -> Column:
+        at = F.greatest(i - half, F.lit(0))
+        return T.let(F.slice(p, at + 1, F.least(i + half, F.size(p) - 1) - at + 1), lambda a: total(a) / F.size(a))
+
+    def cut(p: Column) -> Column:
+        width = F.size(p)
+        first = F.floor(width * (0.5 - band)).cast("int")
+        places = F.slice(F.sequence(F.lit(0), width - 1), first + 1, F.ceil(width * (0.5 + band)).cast("int") - first)
+        middle = F.transform(places, lambda i: F.get(p, i) if window <= 1 else F.when(width < window, F.get(p, i)).otherwise(mean(p, i)))
+        return T.let(F.struct(middle.alias("m"), F.array_min(middle).alias("low"), F.array_max(middle).alias("high")), lambda x: longest(x, first, width))
+
+    def longest(x: Column, first: Column, width: Column) -> Column:
+        # the run so far, and the longest one that ended before it or with it (of equal ones the first)
+        none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("i"), F.lit(0).alias("length"), F.lit(0).alias("start"))
+
+        def step(a: Column, ink: Column) -> Column:
+            n = F.when(ink <= x["low"] + QUIET * (x["high"] - x["low"]), a["n"] + 1).otherwise(0)
+            more = n > a["length"]
+            return F.struct(n.alias("n"), (a["i"] + 1).alias("i"), F.when(more, n).otherwise(a["length"]).alias("length"), F.when(more, a["i"] + 1 - n).otherwise(a["start"]).alias("start"))
+
+        return T.let(F.aggregate(x["m"], none, step), lambda r: F.when((x["high"] - x["low"] >= CONTRAST) & (r["length"] > 0), F.round((first + r["start"] + r["length"] / 2) / width, 6)))
+
+    return F.when(F.size(profile) >= LEAST_WIDTH, T.let(profile, cut))

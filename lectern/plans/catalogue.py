@@ -904,7 +904,7 @@ def scan_from_pixels(v: Views) -> DataFrame:
     data = F.encode(F.col("text"), "utf-8")
     pages = v.table("documents").where("text is not null").select("doc_id", F.explode(F.sequence(F.lit(0), F.floor((F.octet_length("text") - 1) / 1280).cast("int"))).alias("page"), data.alias("data"))
     rasters = pages.select("doc_id", (F.col("page") + 1).alias("page"), F.lit(40).alias("width"), F.lit(32).alias("height"), F.expr("substring(data, page * 1280 + 1, 1280)").alias("samples"))
-    facts = scan_prep.choose_gutter(scan_prep.measured(rasters, 3)).withColumns({"width": F.lit(840.0), "height": F.lit(640.0), "processed": F.lit(False)})
+    facts = scan_prep.choose_gutter(written(scan_prep.measured(rasters, 3), "pages")).withColumns({"width": F.lit(840.0), "height": F.lit(640.0), "processed": F.lit(False)})
     return facts.select("doc_id", "confidence").join(scan_prep.decide(facts), "doc_id")
 
 
