@@ -43,13 +43,12 @@ def accent_map() -> tuple[str, str]:
 
 def strip_accents(c: Column | str) -> Column:
     src, dst = accent_map()
-    return F.translate(F.regexp_replace(col(c), r"\p{Mn}", ""), src, dst)
+    return F.when(col(c).rlike(r"[^\x00-\x7f]"), F.translate(F.regexp_replace(col(c), r"\p{Mn}", ""), src, dst)).otherwise(col(c))
 
 
 def norm_title(c: Column | str) -> Column:
-    """Accents folded, lower case, anything but a-z, 0-9 and space to a space, spaces squeezed."""
-    plain = F.regexp_replace(F.lower(strip_accents(c)), "[^a-z0-9 ]", " ")
-    return F.trim(F.regexp_replace(plain, " +", " "))
+    """Accents folded, lower case, runs of anything but a-z and 0-9 to one space."""
+    return F.trim(F.regexp_replace(F.lower(strip_accents(c)), "[^a-z0-9]+", " "))
 
 
 def dedupe_key(c: Column | str) -> Column:

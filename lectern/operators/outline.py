@@ -136,13 +136,23 @@ def folios(lines: DataFrame, band: float = 0.09) -> DataFrame:
     return token.select("doc_id", "page", F.when(arabic, "d").otherwise("r").alias("series"), n.alias("n")).where("n > 0").groupBy("doc_id", "series", "n").agg(F.min("page").alias("page"))
 
 
+def needle(title: Column) -> Column:
+    """The first NEEDLE characters of a folded title, null if it has under LEAST_NEEDLE. A long title's beginning is folded alone
+    if it gives more than these."""
+    start = T.norm_title(F.substring(title, 1, 2 * NEEDLE))
+    folded = T.let(start, lambda s: F.when((F.length(s) > NEEDLE) | (F.length(title) <= 2 * NEEDLE), s).otherwise(T.norm_title(title)))
+    return T.let(F.substring(folded, 1, NEEDLE), lambda s: F.when(F.length(s) >= LEAST_NEEDLE, s))
+
+
 def verify_pages(entries: DataFrame, page_text: DataFrame) -> DataFrame:
     """doc_id, ord, page, confidence: an entry whose folded title stands on its page is ``verified``; on one within RADIUS,
     nearest first (after before before), moved there (``verified-shifted``); else as it was."""
-    needle = F.substring(T.norm_title("title"), 1, NEEDLE)
-    e = entries.withColumn("needle", needle).select("doc_id", "ord", "page", "confidence", "needle", F.explode(F.array(*(F.struct(F.lit(k).alias("turn"), F.lit(d).alias("d")) for k, d in enumerate((0, 1, -1, 2, -2)) if abs(d) <= RADIUS))).alias("try"))
-    pages = page_text.select("doc_id", (F.col("page")).alias("__page"), T.norm_title("text").alias("__text"))
-    hit = e.where(F.length("needle") >= LEAST_NEEDLE).withColumn("__page", F.col("page") + F.col("try.d")).join(pages, ["doc_id", "__page"]).where(F.contains(F.col("__text"), F.col("needle")))
+    e = entries.select("doc_id", "ord", "page", needle(F.col("title")).alias("needle")).withColumn("try", F.explode(F.array(*(F.struct(F.lit(k).alias("turn"), F.lit(d).alias("d")) for k, d in enumerate((0, 1, -1, 2, -2)) if abs(d) <= RADIUS))))
+    e = e.withColumn("__page", F.col("page") + F.col("try.d"))
+    asked = entries.select("doc_id", F.explode(F.array(*(F.col("page") + d for d in range(-RADIUS, RADIUS + 1)))).alias("__page")).distinct()
+    pages = page_text.select("doc_id", F.col("page").alias("__page"), "text").join(asked, ["doc_id", "__page"], "left_semi").select("doc_id", "__page", T.norm_title("text").alias("__text"))
+    # the condition is never null: else texts and titles would be folded once more, to drop null ones
+    hit = e.join(pages, ["doc_id", "__page"]).where(F.coalesce(F.contains(F.col("__text"), F.col("needle")), F.lit(False)))
     best = hit.groupBy("doc_id", "ord").agg(F.min(F.struct("try.turn", "__page")).alias("x"))
     out = entries.join(best, ["doc_id", "ord"], "left")
     confidence = F.when(F.col("x").isNull(), F.col("confidence")).when(F.col("x.turn") == 0, "verified").otherwise("verified-shifted")
@@ -174,10 +184,16 @@ def glued_numbers(rows: DataFrame, least: int = 3) -> DataFrame:
     votes = rows.where(F.col("printed").isNotNull() & ~F.coalesce(F.col("roman"), F.lit(False))).groupBy("doc_id", delta).agg(F.count("*").alias("n"), F.min("ord").alias("first"))
     agreed = votes.groupBy("doc_id").agg(F.max(F.struct("n", (-F.col("first")).alias("first"), "delta")).alias("x")).where(F.col("x.n") >= least).select("doc_id", "x.delta")
     form = r"(?s)^(.*?[\p{L}\p{Nl}\p{No}])\s*(\d{1,4})$"
-    tail = F.regexp_extract("title", form, 2).try_cast("int")
-    glued = F.coalesce(F.col("printed").isNull() & (tail + F.col("delta") == F.col("link_page")), F.lit(False))
-    out = rows.join(agreed, "doc_id", "left")
-    return out.select("doc_id", "ord", F.when(glued, F.trim(F.regexp_extract("title", form, 1))).otherwise(F.col("title")).alias("title"), F.when(glued, tail).otherwise(F.col("printed")).alias("printed"))
+    able = F.col("printed").isNull() & F.right("title", F.lit(3)).rlike(r"\d\R?\z")
+    own = own.withColumn("__tail", F.when(able & delta.isNotNull(), F.regexp_extract("title", form, 2).try_cast("int")))
+    glued = F.coalesce(F.col("__tail") + delta == F.col("link_page"), F.lit(False))
+    out = own.withColumns({"title": F.when(glued, F.trim(F.regexp_extract("title", form, 1))).otherwise(F.col("title")), "printed": F.when(glued, F.col("__tail")).otherwise(F.col("printed"))})
+    return out.select(*rows.columns)
+
+
+def untitled(lines: DataFrame) -> DataFrame:
+    """Lines with empty texts but for bare numbers, for pairs of which only the places are asked."""
+    return lines.withColumn("text", F.when(T.is_page_number("text"), F.col("text")).when(F.col("text").isNotNull(), ""))
 
 
 def pair_columns(lines: DataFrame, slack: float = 2.0, band: float = 16.0) -> DataFrame:
@@ -396,11 +412,12 @@ def contents_pages(lines: DataFrame, links: DataFrame | None = None, page_count:
     name or as many as two fifths of the lines. Lists of exhibits, by their name or by their rows, are left out. Without
     ``page_count`` a document ends at its last page with lines.
     """
-    own = lines.withColumn("text", T.strip("text")).where("text <> ''")
+    own = lines.where(F.col("text").rlike(r"\S"))
+    own = own.select("doc_id", "page", "ord", F.substring(F.btrim("text", F.lit(WHITE)), 1, HEAD).alias("text"), contents_line("text").isNotNull().alias("entry"), F.col("text").rlike(EXHIBIT_ROW.replace("^", r"^\s*", 1)).alias("exhibit"))
     ends = page_count if page_count is not None else lines.groupBy("doc_id").agg(F.max("page").alias("page_count"))
     whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), "\n")
-    p = own.groupBy("doc_id", "page").agg(F.count("*").alias("n"), F.count_if(contents_line("text").isNotNull()).alias("printed"), F.count_if(F.col("text").rlike(EXHIBIT_ROW)).alias("exhibits"), F.substring(whole, 1, HEAD).alias("head"))
-    p = p.join(ends, "doc_id").where(F.col("page") <= F.greatest(F.lit(4), F.floor(F.col("page_count") * front)))
+    own = own.join(ends, "doc_id").where(F.col("page") <= F.greatest(F.lit(4), F.floor(F.col("page_count") * front)))
+    p = own.groupBy("doc_id", "page").agg(F.count("*").alias("n"), F.count_if("entry").alias("printed"), F.count_if("exhibit").alias("exhibits"), F.substring(whole, 1, HEAD).alias("head"))
     listed = F.col("head").rlike(EXHIBIT_LIST) | (F.col("exhibits") >= EXHIBIT_ROWS) | ((F.col("exhibits") >= 2) & (F.col("exhibits") / F.col("n") > EXHIBIT_SHARE))
     p = p.where(~listed).withColumn("titled", F.col("head").rlike(CONTENTS))
     linked = links.groupBy("doc_id", "page").agg(F.count("*").alias("linked")) if links is not None else None

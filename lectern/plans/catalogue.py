@@ -736,7 +736,8 @@ def verify_toc_pages(v: Views) -> DataFrame:
     e, labels, folio, count = _entries(v)
     placed = outline.resolve_pages(e, labels, folio, count).where("page is not null").join(v.sql(_ENTRIES, pdf_lines=v.pdf_lines).select("doc_id", "ord", "title", "printed", "roman"), ["doc_id", "ord"])
     pages = v.pdf_lines.groupBy("doc_id", "page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), " ").alias("text"))
-    return outline.repair_pages(outline.verify_pages(placed, pages), pages).select("doc_id", "ord", "page", "confidence")
+    verified = written(outline.verify_pages(written(placed, "placed"), pages), "verified")
+    return outline.repair_pages(verified, pages).select("doc_id", "ord", "page", "confidence")
 
 
 @query("column_lines", f"recursive:, {_listed('column_lines')} select * from listed")
