@@ -22,6 +22,8 @@ STRUCTURAL = [
 ]
 # Characters that lead from a title to its page number.
 LEADERS = ".·•․‥…‧_-–—"
+# What a pattern's white space is.
+WHITE = " \t\n\x0b\f\r"
 # Patterns of a caption, a numbered heading, a sentence bound, the heading of a contents page, the heading of
 # a list of exhibits, and a row of such a list.
 CAPTION = r"(?iu)^(figura|figure|fig\.?|tabla|table|cuadro|gr[aá]fico|graph|chart|ilustraci[oó]n|plate|map|mapa|ecuaci[oó]n|equation)\s*\d"
@@ -51,11 +53,12 @@ def contents_line(c: Column | str) -> Column:
     """struct(title, printed, roman) of a printed contents line, null when it is none.
 
     Either leaders (two or more, spaces count) and an arabic or roman number, or a space and an arabic number. The number is
-    looked for at the line's end, the leaders are cut off as a set of characters: no pattern runs over the whole line but the
-    one that squeezes it.
+    looked for at the line's end, the leaders are cut off as a set of characters. Only lines that end in something like a number
+    are squeezed and looked at further.
     """
     edge = F.lit(" " + LEADERS)
     form = rf"[\s{LEADERS}](\d{{1,4}}|(?i:[ivxlcdm]{{1,15}}))\z".replace("-–", r"\-–")
+    ending = rf"[\s\x{{A0}}{LEADERS}](?:\d{{1,4}}|(?i:[ivxlcdm]{{1,15}}))\z".replace("-–", r"\-–")
     squeezed = F.trim(F.regexp_replace(F.replace(T.col(c), F.lit("\u00a0"), F.lit(" ")), r"\s+", " "))
 
     def cut(x: Column) -> Column:
@@ -75,7 +78,7 @@ def contents_line(c: Column | str) -> Column:
         return F.when(good, x)
 
     parts = T.let(squeezed, cut)
-    return T.let(parts, lambda x: F.when(x.isNotNull(), T.let(number(x), judged)))
+    return F.when(F.substring(F.rtrim(T.col(c), F.lit(WHITE + "\u00a0")), -16, 16).rlike(ending), T.let(parts, lambda x: F.when(x.isNotNull(), T.let(number(x), judged))))
 
 
 def indent_levels(indents: Column, tolerance: float = TOLERANCE, most: int = MAX_LEVEL) -> Column:
@@ -422,8 +425,9 @@ def contents_pages(lines: DataFrame, links: DataFrame | None = None, page_count:
     p = p.where(~listed).withColumn("titled", F.col("head").rlike(CONTENTS))
     linked = links.groupBy("doc_id", "page").agg(F.count("*").alias("linked")) if links is not None else None
     p = p.join(linked, ["doc_id", "page"], "left").fillna(0, ["linked"]) if linked is not None else p.withColumn("linked", F.lit(0))
+    p = written(p.select("doc_id", "page", "n", "printed", "titled", "linked"), "pages")
     poor = F.col("titled") & (F.col("printed") < LEAST_ROWS) & (F.col("linked") < LEAST_ROWS)
-    pairs = pair_columns(lines.join(p.where(poor).select("doc_id", "page"), ["doc_id", "page"], "left_semi")).groupBy("doc_id", "page").agg(F.count("*").alias("paired"))
+    pairs = pair_columns(untitled(lines).join(p.where(poor).select("doc_id", "page"), ["doc_id", "page"], "left_semi")).groupBy("doc_id", "page").agg(F.count("*").alias("paired"))
     rows = F.greatest(F.when(poor, F.coalesce("paired", F.lit(0))).otherwise(F.col("printed")), F.col("linked"))
     found = p.join(pairs, ["doc_id", "page"], "left").withColumn("rows", rows)
     return found.where((F.col("rows") >= LEAST_ROWS) & (F.col("titled") | (F.col("rows") / F.col("n") > DENSE))).select("doc_id", "page", "rows", "titled")
@@ -481,7 +485,7 @@ def column_contents(runs: DataFrame, lines: DataFrame, enough: int = 4) -> DataF
     """doc_id, first, page, ord, title, printed, roman, x0 of the runs' pages on which ``enough`` titles pair with a column of
     numbers. Up to three lines directly above a title that no number claimed are its beginning; x0 is then the topmost's."""
     own = lines.join(runs.select("doc_id", "first", "last"), "doc_id").where((F.col("page") >= F.col("first")) & (F.col("page") <= F.col("last")))
-    pairs = pair_columns(own).select("doc_id", "page", "ord", "printed")
+    pairs = pair_columns(untitled(own)).select("doc_id", "page", "ord", "printed")
     told = own.join(pairs, ["doc_id", "page", "ord"], "left").withColumn("line", F.trim("text"))
     told = told.withColumn("free", F.col("printed").isNull() & ~T.is_page_number("text"))
     page = Window.partitionBy("doc_id", "first", "page")

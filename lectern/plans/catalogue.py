@@ -747,7 +747,7 @@ def contents_pages(v: Views) -> DataFrame:
 
 @query("column_lines", f"recursive:, {_listed('column_lines')} select * from runs")
 def contents_runs(v: Views) -> DataFrame:
-    return outline.contents_runs(outline.contents_pages(v.column_lines))
+    return outline.contents_runs(outline.contents_pages(written(v.column_lines, "lines")))
 
 
 def _joined(head: str, tail: str) -> str:
