@@ -531,9 +531,10 @@ def printed_contents(runs: DataFrame, lines: DataFrame, enough: int = 4) -> Data
         whole, x0 = F.when(going, title).otherwise(whole), F.when(going, p["x0"]).otherwise(x0)
         at = {"text": p["line"], "page": p["page"], "y": p["y"]}
     by_line = told.where(F.col("e").isNotNull() & ~heading(F.col("e.title"))).select("doc_id", "first", "page", "ord", whole.alias("title"), "e.printed", "e.roman", x0.alias("x0"))
+    by_line = written(by_line, "by_line")
     count = by_line.groupBy("doc_id", "first").agg(F.count("*").alias("n"))
     poor = r.join(count.where(F.col("n") >= enough), ["doc_id", "first"], "left_anti")
-    columns = column_contents(poor, lines, enough)
+    columns = written(column_contents(poor, lines, enough), "columns")
     kept = by_line.join(columns.select("doc_id", "first").distinct(), ["doc_id", "first"], "left_anti")
     return kept.unionByName(columns)
 

@@ -776,8 +776,9 @@ _BELOW = "{0}.page = {1}.page and {0}.y - {1}.y > 0 and {0}.y - {1}.y <= 1.8 * g
     union all select doc_id, first, page, ord, title, t1, t2, t3, g1, g2, g3, printed, roman, x0, x1, x2, x3 from v3)
   select doc_id, first, page, ord, case when g1 and g2 and g3 then t3 when g1 and g2 then t2 when g1 then t1 else title end as title, printed, roman, case when g1 and g2 and g3 then x3 when g1 and g2 then x2 when g1 then x1 else x0 end as x0 from every""")
 def printed_contents(v: Views) -> DataFrame:
-    runs = written(outline.contents_runs(outline.contents_pages(v.column_lines)), "runs")
-    return outline.printed_contents(runs, v.column_lines)
+    lines = written(v.column_lines, "lines")
+    runs = written(outline.contents_runs(outline.contents_pages(lines)), "runs")
+    return outline.printed_contents(runs, lines)
 
 
 @query()
