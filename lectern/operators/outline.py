@@ -177,15 +177,18 @@ def repair_pages(verified: DataFrame, page_text: DataFrame) -> DataFrame:
 
 
 def glued_numbers(rows: DataFrame, least: int = 3) -> DataFrame:
-    """doc_id, ord, title, printed: titles that had swallowed their page number, freed of it.
+    """``rows`` in which titles that had swallowed their page number are freed of it.
 
     ``rows`` (doc_id, ord, title, printed, roman, link_page) are of two kinds. Those with an arabic printed number vote for
     link_page - printed (the commonest, of equals the first met; ``least`` must agree). Those without one are judged: up to
     four digits that follow a letter go if they, moved by that difference, give the row's own link page.
     """
-    delta = (F.col("link_page") - F.col("printed")).alias("delta")
-    votes = rows.where(F.col("printed").isNotNull() & ~F.coalesce(F.col("roman"), F.lit(False))).groupBy("doc_id", delta).agg(F.count("*").alias("n"), F.min("ord").alias("first"))
-    agreed = votes.groupBy("doc_id").agg(F.max(F.struct("n", (-F.col("first")).alias("first"), "delta")).alias("x")).where(F.col("x.n") >= least).select("doc_id", "x.delta")
+    voter = F.col("printed").isNotNull() & ~F.coalesce(F.col("roman"), F.lit(False))
+    own = rows.withColumn("__delta", F.when(voter, F.col("link_page") - F.col("printed")))
+    same, doc = Window.partitionBy("doc_id", "__delta"), Window.partitionBy("doc_id")
+    vote = F.when(voter, F.struct(F.count_if(voter).over(same).alias("n"), (-F.min(F.when(voter, F.col("ord"))).over(same)).alias("first"), F.col("__delta").alias("delta")))
+    own = own.withColumn("__vote", vote).withColumn("__most", F.max("__vote").over(doc))
+    delta = F.when(F.col("__most.n") >= least, F.col("__most.delta"))
     form = r"(?s)^(.*?[\p{L}\p{Nl}\p{No}])\s*(\d{1,4})$"
     able = F.col("printed").isNull() & F.right("title", F.lit(3)).rlike(r"\d\R?\z")
     own = own.withColumn("__tail", F.when(able & delta.isNotNull(), F.regexp_extract("title", form, 2).try_cast("int")))
@@ -226,15 +229,15 @@ def pair_columns(lines: DataFrame, slack: float = 2.0, band: float = 16.0) -> Da
 
 
 def link_titles(links: DataFrame, lines: DataFrame, least: float = 0.3, band: float = 32.0) -> DataFrame:
-    """doc_id, page, ord, text, target: text lines of which a link's rectangle covers more than a share; the first link wins.
-    Links and lines meet on bands of the page that both reach into."""
+    """doc_id, page, ord, text (if lines have one), target: text lines of which a link's rectangle covers more than a share; the
+    first link wins. Links and lines meet on bands of the page that both reach into."""
     bands = lambda a, b: F.sequence(F.floor(F.col(a) / band), F.greatest(F.floor(F.col(a) / band), F.floor(F.col(b) / band)))
     l = links.withColumn("band", F.explode(bands("y", "y1"))).alias("l")  # noqa: E741
     both = l.join(lines.withColumn("band", F.explode(bands("y", "y1"))).alias("t"), ["doc_id", "page", "band"])
     wide = F.greatest(F.least(F.col("l.x1"), F.col("t.x1")) - F.greatest(F.col("l.x0"), F.col("t.x0")), F.lit(0.0))
     high = F.greatest(F.least(F.col("l.y1"), F.col("t.y1")) - F.greatest(F.col("l.y"), F.col("t.y")), F.lit(0.0))
     area = F.greatest((F.col("t.x1") - F.col("t.x0")) * (F.col("t.y1") - F.col("t.y")), F.lit(1e-9))
-    return both.where(wide * high / area > least).groupBy("doc_id", "page", F.col("t.ord").alias("ord"), F.col("t.text").alias("text")).agg(F.min_by("l.target", "l.link_ord").alias("target"))
+    return both.where(wide * high / area > least).groupBy("doc_id", "page", *(F.col(f"t.{c}").alias(c) for c in ("ord", "text") if c in lines.columns)).agg(F.min_by("l.target", "l.link_ord").alias("target"))
 
 
 def body_size(lines: DataFrame) -> DataFrame:
@@ -461,11 +464,14 @@ def linked_contents(links: DataFrame, lines: DataFrame) -> DataFrame:
     the page's own heading are left out. A line with the same target directly below the line before, not starting with a
     capital or digit, goes on that entry. Last, titles are freed of page numbers that ran into them (``glued_numbers``).
     """
-    hit = link_titles(links, lines).select("doc_id", "page", "ord", "target")
-    near = lines.join(links.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_semi")
-    rows = near.select("doc_id", "page", "ord", "text", "y", "y1").join(hit, ["doc_id", "page", "ord"], "left").withColumn("e", contents_line("text"))
+    hit = link_titles(links, lines.drop("text")).select("doc_id", "page", "ord", "target", F.lit(False).alias("line"))
+    # targets meet their lines in the order of the document that is needed anyway, so that texts are shuffled once
+    both = lines.select("doc_id", "page", "ord", F.lit(None).cast(hit.schema["target"].dataType).alias("target"), F.lit(True).alias("line"), "text", "y", "y1").unionByName(hit, allowMissingColumns=True).repartition("doc_id")
+    rows = both.withColumn("target", F.max("target").over(Window.partitionBy("doc_id", "page", "ord"))).where("line")
+    rows = rows.withColumn("e", F.when(F.col("target").isNotNull(), contents_line("text")))
     edge = rf"^[\s{LEADERS}]+|[\s{LEADERS}]+$".replace("-–", r"\-–")
-    rows = rows.withColumn("part", F.coalesce("e.title", F.regexp_replace("text", edge, "")))
+    bare = F.when(F.substring("text", -1, 1).rlike("[\x85\u2028\u2029]"), F.regexp_replace("text", edge, "")).otherwise(F.btrim("text", F.lit(WHITE + LEADERS)))  # a pattern's end may be before a line's
+    rows = rows.withColumn("part", F.coalesce("e.title", bare))
     good = F.col("target").isNotNull() & (F.length("part") >= 2) & F.col("part").rlike(r"\p{L}") & ~F.col("part").rlike(CONTENTS.replace(r"\b(", r"^(", 1))
     rows = rows.withColumn("good", good)
     w = Window.partitionBy("doc_id").orderBy("page", "ord")
@@ -475,10 +481,9 @@ def linked_contents(links: DataFrame, lines: DataFrame) -> DataFrame:
     row = F.struct("page", "ord", "part", "e.printed", "e.roman", "target")
     parts = entry.groupBy("doc_id", "entry").agg(F.sort_array(F.collect_list(row)).alias("t"))
     first = F.get("t", F.lit(0))
-    title = F.aggregate("t", F.lit(""), lambda a, x: T.join_wrapped(a, x["part"]))
+    title = F.aggregate(F.slice("t", F.lit(2), F.size("t")), F.regexp_replace(first["part"], r"^\s+", ""), lambda a, x: T.join_wrapped(a, x["part"]))
     made = parts.select("doc_id", first["ord"].alias("ord"), title.alias("title"), first["printed"].alias("printed"), F.coalesce(first["roman"], F.lit(False)).alias("roman"), first["target"].cast("int").alias("page"))
-    freed = glued_numbers(made.withColumnRenamed("page", "link_page"))
-    return made.drop("title", "printed").join(freed, ["doc_id", "ord"]).select("doc_id", "ord", "title", "printed", "roman", "page")
+    return glued_numbers(made.withColumnRenamed("page", "link_page")).withColumnRenamed("link_page", "page")
 
 
 def column_contents(runs: DataFrame, lines: DataFrame, enough: int = 4) -> DataFrame:

@@ -794,7 +794,7 @@ _GLUED = "select doc_id, ord, case when ord % 4 = 0 then concat(text, cast(ord +
   u as (select t.*, delta, regexp_extract(title, '(?s)^(.*?[\\p{{L}}\\p{{Nl}}\\p{{No}}])\\s*(\\d{{1,4}})$', 1) as head, try_cast(regexp_extract(title, '(?s)^(.*?[\\p{{L}}\\p{{Nl}}\\p{{No}}])\\s*(\\d{{1,4}})$', 2) as int) as tail from t left join agreed on agreed.doc_id = t.doc_id)
   select doc_id, ord, case when printed is null and tail + delta = link_page then trim(head) else title end as title, case when printed is null and tail + delta = link_page then tail else printed end as printed from u""")
 def glued_numbers(v: Views) -> DataFrame:
-    return outline.glued_numbers(v.sql(_GLUED, toc_lines=v.toc_lines))
+    return outline.glued_numbers(v.sql(_GLUED, toc_lines=v.toc_lines)).select("doc_id", "ord", "title", "printed")
 
 
 @query("column_lines", f"recursive:, {_paired_of('column_lines')} select * from paired")
