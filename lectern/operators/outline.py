@@ -133,7 +133,7 @@ def page_labels(ranges: DataFrame, page_count: DataFrame) -> DataFrame:
 def folios(lines: DataFrame, band: float = 0.09) -> DataFrame:
     """doc_id, series (d, r), n, page: numbers that stand in a page's top or bottom band; the first page of each counts."""
     edge = lines.where((F.col("y") < F.col("page_height") * band) | (F.col("y1") > F.col("page_height") * (1 - band)))
-    token = edge.select("doc_id", "page", F.explode(F.split(F.trim("text"), r"\s+")).alias("t")).where("length(t) between 1 and 5")
+    token = edge.select("doc_id", "page", F.explode(F.split(F.trim("text"), r"\s+")).alias("t")).where(F.col("t").rlike(r"^(?:\d{1,4}|(?i:[ivxlcdm]{1,5}))$"))
     arabic, roman = F.col("t").rlike(r"^\d{1,4}$"), T.roman_value("t")
     n = F.when(arabic, F.try_to_number(F.when(arabic, F.col("t")), F.lit("9999")).cast("int")).when((roman > 0) & (roman <= ROMAN_CEILING), roman)
     return token.select("doc_id", "page", F.when(arabic, "d").otherwise("r").alias("series"), n.alias("n")).where("n > 0").groupBy("doc_id", "series", "n").agg(F.min("page").alias("page"))
@@ -569,14 +569,15 @@ def auto_outline(lines: DataFrame, links: DataFrame | None = None, labels: DataF
     printed = written(printed_contents(rest, lines), "printed")
     labels = labels if labels is not None else spark.createDataFrame([], "doc_id long, label string, page int")
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), " ")
-    pages = lines.groupBy("doc_id", "page").agg(text.alias("text"))
-    placed = resolve_pages(printed.select("doc_id", "ord", "printed", "roman"), labels, folios(lines), ends).where("page is not null")
+    near = lines.join(printed.select("doc_id").distinct(), "doc_id", "left_semi")
+    pages = near.groupBy("doc_id", "page").agg(text.alias("text"))
+    placed = resolve_pages(printed.select("doc_id", "ord", "printed", "roman"), labels, folios(near), ends).where("page is not null")
     placed = written(placed.join(printed.select("doc_id", "ord", "title", "printed", "roman"), ["doc_id", "ord"]), "placed")
     found = repair_pages(written(verify_pages(placed, pages), "verified"), pages)
     leveled = indented(printed.select("doc_id", "first", "ord", "x0"), ["doc_id", "first"]).select("doc_id", "ord", "level")
     out.append(found.join(leveled, ["doc_id", "ord"]).select("doc_id", F.lit("contents-printed-numbers").alias("source"), "ord", "level", "title", "page"))
     done = written(reduce(DataFrame.unionByName, out), "contents")
-    candidates = written(heading_candidates(lines), "headings").join(done.select("doc_id").distinct(), "doc_id", "left_anti")
+    candidates = written(heading_candidates(lines.join(done.select("doc_id").distinct(), "doc_id", "left_anti")), "headings")
     by_size = heading_levels(candidates, most).join(candidates.select("doc_id", "ord", F.col("text").alias("title"), "page"), ["doc_id", "ord"])
     return done.unionByName(by_size.select("doc_id", F.lit("typography").alias("source"), "ord", "level", "title", "page")).withColumn("level", F.least("level", F.lit(most)))
 

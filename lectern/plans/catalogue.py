@@ -835,7 +835,7 @@ def outlines_set_and_cleared(v: Views) -> DataFrame:
 
 @query()
 def outline_auto(v: Views) -> DataFrame:
-    lines = v.pdf_lines.drop("text").join(v.toc_lines.select("doc_id", "ord", "text"), ["doc_id", "ord"])
+    lines = written(v.pdf_lines.drop("text").join(v.toc_lines.select("doc_id", "ord", "text"), ["doc_id", "ord"]), "lines")
     return outline.auto_outline(lines, v.links.where("doc_id % 6 = 0"))
 
 
