@@ -8,9 +8,12 @@ of b (and one more place) begin no block but may extend one.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -115,3 +118,143 @@ def ratio_bound(a: Column, b: Column) -> Column:
 def title_ratio(a: Column, b: Column) -> Column:
     """Ratio of two normalised titles; 0 when either is empty. Not symmetric."""
     return _ratio(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))
+
+
+#: Letters of title keys, and how many of one are counted.
+LETTERS, COUNTED = "abcdefghijklmnopqrstuvwxyz0123456789 ", 16
+#: Rows of a small group that are compared together, and pairs of one set of matrices.
+TOGETHER, PAIRS = 64, 1 << 14
+
+
+def _letters(codes: np.ndarray) -> np.ndarray:
+    """Longs in which each letter of LETTERS has as many bits set as a row holds it, COUNTED at most."""
+    at = np.arange(COUNTED)
+    bits = np.concatenate([(codes == ord(x)).sum(axis=1)[:, None] > at for x in LETTERS], axis=1)
+    bits = np.pad(bits, ((0, 0), (0, -bits.shape[1] % 64)))
+    return np.packbits(bits, axis=1).view(np.uint64)
+
+
+def bounded_distance(a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Levenshtein distances of rows of codes (which are over 1, behind a row's length anything): those over the largest
+    ``most`` are that plus 1. All pairs' matrices are filled at once row by row, in a band of the largest ``most``."""
+    out = np.zeros(len(a), np.int64)
+    if not len(a):
+        return out
+    d, last = int(most.max()), n_a.max()
+    order = np.argsort(n_a, kind="stable")
+    a, b, n_a, n_b = a[order].T.copy(), b[order], n_a[order], n_b[order]
+    kind = np.uint8 if d < 250 else np.uint16 if d < 65000 else np.int64
+    text = np.ones((last + 2 * d + 1, len(n_b)), b.dtype)  # row d + j is b's letter j
+    width = min(b.shape[1], last + d + 1)
+    text[d : d + width] = np.where(np.arange(width) < n_b[:, None], b[:, :width], 1).T
+    now = np.full((2 * d + 1, len(n_b)), d + 1, kind)  # row d + k is the distance of a's first i letters and b's first i + k
+    now[d:] = np.arange(d + 1, dtype=kind)[:, None]
+    found = np.full(len(n_b), d + 1, np.int64)
+    ends = np.searchsorted(n_a, np.arange(last + 2))
+    for i in range(last + 1):
+        if i:
+            before = now
+            now = before + (text[i - 1 : i + 2 * d] != a[i - 1])
+            np.minimum(now[:-1], before[1:] + kind(1), out=now[:-1])
+            for k in range(1, 2 * d + 1):
+                np.minimum(now[k], now[k - 1] + kind(1), out=now[k])
+            np.minimum(now, kind(d + 1), out=now)
+        mine = np.arange(ends[i], ends[i + 1])
+        k = n_b[mine] - i + d
+        inside = (k >= 0) & (k <= 2 * d)
+        found[mine[inside]] = now[k[inside], mine[inside]]
+    out[order] = found
+    return out
+
+
+def _near(codes: np.ndarray, n: np.ndarray, x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    """Levenshtein similarity of rows x and y where it is ``least`` or more, else -1."""
+    out = np.full(len(x), -1.0)
+    longer = np.maximum(n[x], n[y])
+    for part in np.array_split(np.argsort(longer, kind="stable"), -(-len(x) // PAIRS) or 1):
+        if not len(part):
+            continue
+        size, most = longer[part], np.floor(longer[part] * (1.0 - least) + 1e-9).astype(np.int64)
+        step = max(1, (PAIRS << 10) // int(size.max() + 2 * most.max() + 1))
+        for s in range(0, len(part), step):
+            p, z, m = part[s : s + step], size[s : s + step], most[s : s + step]
+            width = int(z.max())
+            distance = bounded_distance(codes[x[p], :width], n[x[p]], codes[y[p], :width], n[y[p]], m)
+            similarity = 1.0 - distance / np.maximum(z, 1)
+            out[p] = np.where((distance <= m) & (similarity >= least), similarity, -1.0)
+    return out
+
+
+def _met(codes: np.ndarray, n: np.ndarray, group: np.ndarray, first: np.ndarray, second: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a row of ``first`` and one of ``second`` (both by length) that counts of letters do not tell apart: a letter put in or
+    left out turns one bit of ``_letters`` at most, one in place of another two, and a difference in length takes as many
+    edits of the first kind."""
+    bits = _letters(codes)
+    own, step = n[second], max(1, (1 << 17) // max(1, len(second)))
+    for s in range(0, len(first), step):
+        x = first[s : s + step]
+        low, high = np.searchsorted(own, np.floor(n[x[0]] * least - 1e-9), "left"), np.searchsorted(own, np.ceil(n[x[-1]] / least + 1e-9) if least > 0 else np.inf, "right")
+        y = second[low:high]
+        longer, apart = np.maximum(n[x][:, None], n[y]), np.abs(n[x][:, None] - n[y])
+        most = np.floor(longer * (1.0 - least) + 1e-9).astype(np.int64)
+        turned = np.zeros(most.shape, np.int64)
+        for w in range(bits.shape[1]):
+            turned += np.bitwise_count(bits[x, w][:, None] ^ bits[y, w])
+        i, j = np.nonzero((apart <= most) & (turned <= 2 * most - apart) & (group[x][:, None] == group[y]))
+        yield x[i], y[j]
+
+
+def near_pairs(rows: DataFrame, least: float) -> DataFrame:
+    """key_a, key_b, similarity of rows (block, i, j, part, key, scan_order, k) whose ``k`` (of LETTERS) are alike, ``scan_order`` of the first
+    being the lower: each of ``i`` meets each of ``j`` of its block. Rows lie block by block and ``i`` by ``j``."""
+
+    def compared(t: pa.Table, group: np.ndarray, across: bool) -> Iterator[pa.RecordBatch]:
+        text = [x.encode() for x in t["k"].to_pylist()]
+        n = np.fromiter(map(len, text), np.int64, len(text))
+        codes = np.frombuffer(b"".join(x.ljust(n.max(), b"\1") for x in text), np.uint8).reshape(len(text), -1)
+        order, key, part = t["scan_order"].to_numpy(), t["key"], t["part"].to_numpy()
+        by_length = np.argsort(n, kind="stable")
+        first, second = (by_length[part[by_length] == t[c][0].as_py()] for c in ("i", "j")) if across else (by_length, by_length)
+        for x, y in _met(codes, n, group, first, second, least):
+            todo = order[x] != order[y] if across else order[x] < order[y]
+            x, y = x[todo], y[todo]
+            similarity = _near(codes, n, x, y, least)
+            x, y, similarity = x[similarity >= 0], y[similarity >= 0], similarity[similarity >= 0]
+            a, b = np.where(order[x] < order[y], x, y), np.where(order[x] < order[y], y, x)
+            if len(x):
+                yield from pa.table({"key_a": key.take(pa.array(a)), "key_b": key.take(pa.array(b)), "similarity": similarity}).to_batches()
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        """Whole cells, end to end; a cell is what has a block, i and j."""
+        kept, cell = [], None
+        for batch in batches:
+            t = pa.table(batch)
+            names = list(zip(*(t[c].to_pylist() for c in ("block", "i", "j")), strict=True))
+            start = 0
+            for at, name in enumerate(names):
+                if name != cell:
+                    if at > start:
+                        kept.append(t.slice(start, at - start))
+                    if kept:
+                        yield pa.concat_tables(kept)
+                    kept, cell, start = [], name, at
+            kept.append(t.slice(start))
+        if kept:
+            yield pa.concat_tables(kept)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small, held = [], 0
+        for t in groups(batches):
+            if t["i"][0].as_py() != t["j"][0].as_py() or t.num_rows > TOGETHER:
+                yield from compared(t, np.zeros(t.num_rows, np.int64), t["i"][0].as_py() != t["j"][0].as_py())
+                continue
+            small.append(t)
+            held += t.num_rows
+            if held >= TOGETHER:
+                yield from compared(pa.concat_tables(small), np.repeat(np.arange(len(small)), [x.num_rows for x in small]), False)
+                small, held = [], 0
+        if small:
+            yield from compared(pa.concat_tables(small), np.repeat(np.arange(len(small)), [x.num_rows for x in small]), False)
+
+    kind = dict(rows.dtypes)["key"]
+    return rows.select("block", "i", "j", "part", "key", "scan_order", "k").mapInArrow(of, f"key_a {kind}, key_b {kind}, similarity double")

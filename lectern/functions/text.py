@@ -187,13 +187,17 @@ def levenshtein_similarity(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).when((a == "") | (b == ""), 0.0).otherwise(1.0 - F.levenshtein(a, b) / longer)
 
 
-def similar(a: Column, b: Column, least: float) -> Column:
-    """levenshtein_similarity >= least; the distance is bounded by what the longer text allows (-1 beyond it), so only a band
-    of the matrix is filled."""
+def similarity_within(a: Column, b: Column, least: float) -> Column:
+    """levenshtein_similarity where that is ``least`` or more, else 0 or another number below it. The distance is bounded by what
+    the longer text allows, so only a band of the matrix is filled, once; -1, what lies beyond, wraps round to the longer length."""
     longer = F.greatest(F.length(a), F.length(b))
     distance = F.call_function("levenshtein", a, b, F.floor(longer * (1.0 - least) + 1e-9).cast("int"))
-    near = (distance >= 0) & (1.0 - distance / longer >= least)
-    return (a == b) | ((a != "") & (b != "") & near)
+    return F.when(a == b, 1.0).when((a == "") | (b == ""), 0.0).otherwise(1.0 - F.pmod(distance, longer + 1) / longer)
+
+
+def similar(a: Column, b: Column, least: float) -> Column:
+    """levenshtein_similarity >= least, by a bounded distance."""
+    return similarity_within(a, b, least) >= least
 
 
 ROMAN = [("m", 1000), ("d", 500), ("c", 100), ("l", 50), ("x", 10), ("v", 5), ("i", 1)]

@@ -8,14 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.similarity import COUNTED, LETTERS, near_pairs
 from ..session import discard, written
 
 BLOCK = 6
 THRESHOLD = 0.9
-#: Rows of a block that one task compares with the whole block.
-CROWDED = 1000
-#: Lengths of letter groups whose parities are kept, and longs for each.
-GRAMS, WORDS = (3,), 4
+#: Rows of a block's part.
+CROWDED = 2000
 # Item types that are cited in their own right.
 FORMAL = ["book", "bookSection", "journalArticle", "conferencePaper", "thesis", "report", "dataset", "preprint", "manuscript", "encyclopediaArticle"]
 
@@ -44,42 +43,33 @@ def singletons(items: DataFrame) -> DataFrame:
 
 
 def gram_bits(c: str) -> Column:
-    """For each length in GRAMS an array of WORDS longs: the parity of how many of a text's letter groups fall to each bit."""
-    n = F.length(c)
-
-    def bits(q: int) -> Column:
-        grams = F.when(n >= q, F.transform(F.sequence(F.lit(1), F.greatest(n - q + 1, F.lit(1))), lambda i: F.pmod(F.xxhash64(F.substring(c, i, F.lit(q))), F.lit(64 * WORDS)).cast("int"))).otherwise(F.array().cast("array<int>"))
-        one = lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x))
-        word = lambda g, w: F.aggregate(F.filter(g, lambda x: F.floor(x / 64) == w), F.lit(0).cast("long"), one)
-        return T.let(grams, lambda g: F.array(*(word(g, w) for w in range(WORDS))))
-
-    return F.struct(*(F.get(bits(q), F.lit(w)).alias(f"g{q}_{w}") for q in GRAMS for w in range(WORDS)))
+    """Longs g0, g1, ... in which each letter of LETTERS has as many bits set as the key ``c`` holds it, COUNTED at most."""
+    held = lambda x: F.least(F.length(c) - F.length(F.replace(F.col(c), F.lit(x), F.lit(""))), F.lit(COUNTED))
+    bits = lambda x, at: F.call_function("shiftleft", F.call_function("shiftleft", F.lit(1).cast("long"), held(x)) - 1, F.lit(at * COUNTED))
+    words = [LETTERS[k : k + 64 // COUNTED] for k in range(0, len(LETTERS), 64 // COUNTED)]
+    return F.struct(*(reduce(lambda x, y: x.bitwiseOR(y), (bits(x, at) for at, x in enumerate(word))).alias(f"g{w}") for w, word in enumerate(words)))
 
 
 def may_be_alike(a: str, b: str, n_a: Column, n_b: Column, threshold: float) -> Column:
-    """False only for texts that are not alike: an edit takes or gives at most 2 q groups of q letters, each of which turns one
-    bit of ``gram_bits`` (in the columns ``a`` and ``b``). A comparison of some longs, where a distance is thousands of steps."""
-    d = F.floor(F.greatest(n_a, n_b) * (1 - threshold) + 1e-9)
-    turned = lambda q: reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{a}.g{q}_{w}").bitwiseXOR(F.col(f"{b}.g{q}_{w}"))) for w in range(WORDS)))
-    return reduce(lambda x, y: x & y, (turned(q) <= 2 * q * d for q in GRAMS))
+    """False only for keys that are not alike: a letter that is put in or left out turns one bit of ``gram_bits`` (fields or columns
+    of ``a`` and ``b``) at most, one in place of another two, and a difference in length takes as many edits of the first kind.
+    A comparison of some longs, where a distance is a thousand steps."""
+    d, apart = F.floor(F.greatest(n_a, n_b) * (1 - threshold) + 1e-9), F.abs(n_a - n_b)
+    turned = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{a}.g{w}").bitwiseXOR(F.col(f"{b}.g{w}"))) for w in range(-(-len(LETTERS) * COUNTED // 64))))
+    return (apart <= d) & (turned <= 2 * d - apart)
 
 
 def fuzzy_pairs(items: DataFrame, threshold: float = THRESHOLD, crowded: int = CROWDED) -> DataFrame:
-    """key_a, key_b, similarity: singletons of a block whose title keys are alike. Lengths join the block as bands, so a
-    block is compared with neighbours in length only; bits of letter groups tell most that are not alike before a distance is
-    computed. A block of more than ``crowded`` rows is several tasks: each compares a part of about so many with all."""
-    step = 8
-    own = written(singletons(items).withColumns({"n": F.length("k"), "bits": gram_bits("k")}), "titles")
-    parts = own.groupBy("block").agg(F.ceil(F.count("*") / max(crowded, 1)).cast("int").alias("parts"))
-    placed = own.join(parts, "block").withColumn("band", F.floor(F.col("n") / step))
-    spread = lambda rows: rows.repartition(int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block", "band", "part")  # noqa: E731  # few bytes, much work: a number of tasks that adaptive execution keeps
-    a = spread(placed.withColumn("part", F.pmod(F.xxhash64("k"), F.col("parts")).cast("int"))).alias("a")
-    most = F.ceil(F.col("n") * (1 / threshold - 1) / step) + 1  # bands that a longer partner may be ahead
-    b = placed.withColumn("band", F.explode(F.sequence(F.greatest(F.col("band") - F.ceil(F.col("n") * (1 - threshold) / step) - 1, F.lit(0)), F.col("band") + most)))
-    b = spread(b.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))).alias("b")
-    near = may_be_alike("a.bits", "b.bits", F.col("a.n"), F.col("b.n"), threshold) & T.similar(F.col("a.k"), F.col("b.k"), threshold)
-    joined = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.scan_order") < F.col("b.scan_order")) & near)
-    return joined.select(F.col("a.key").alias("key_a"), F.col("b.key").alias("key_b"), F.round(T.levenshtein_similarity(F.col("a.k"), F.col("b.k")), 6).alias("similarity"))
+    """key_a, key_b, similarity: singletons of a block whose title keys are alike. Counts of letters tell most that are not alike before
+    a distance is computed, both in matrices over Arrow batches. A block of more than ``crowded`` rows is cut into parts of about
+    so many, and each two parts are a group of their own."""
+    own = written(singletons(items).where("scan_order is not null"), "titles")
+    parts = own.groupBy("block").agg(F.count("*").alias("rows")).where("rows > 1").select("block", F.ceil(F.col("rows") / max(crowded, 1)).cast("int").alias("parts"))
+    placed = own.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("k"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cells = placed.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
+    tasks = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: a number of tasks that adaptive execution keeps
+    near = near_pairs(cells.repartition(tasks, "block", "i", "j").sortWithinPartitions("block", "i", "j"), threshold)
+    return near.select("key_a", "key_b", F.round("similarity", 6).alias("similarity"))
 
 
 def fuzzy_clusters(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

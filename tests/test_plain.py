@@ -8,9 +8,11 @@ from collections import Counter, defaultdict
 from difflib import SequenceMatcher
 from statistics import median
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lectern.functions import similarity
 from lectern.operators import dedupe, enrich, outline
 from lectern.plans.adapters import Views
 from lectern.plans.catalogue import QUERIES
@@ -459,6 +461,41 @@ def test_bits_of_letter_groups_lose_no_pair(spark):
     assert alike <= passed and (len(titles) - 2, len(titles) - 1) not in passed
 
 
+def test_counts_of_letters_tell_tails_apart(spark):
+    """Titles with one long beginning and other ends do not come to a distance; those within it do."""
+    head = "the than thhasted attionen thesat ed in oran "
+    titles = [head + "eandon en blend it ernt scum", head + "ingerou ingerou ingerou in", head + "zuzuzu kklm 0123 wxyz", head + "eandon en blend it ernt scums"]
+    t = spark.createDataFrame([(i, x, len(x)) for i, x in enumerate(titles)], "i long, k string, n long").withColumn("bits", dedupe.gram_bits("k"))
+    both = t.alias("a").join(t.alias("b"), F.col("a.i") < F.col("b.i"))
+    passed = {(r.x, r.y) for r in both.where(dedupe.may_be_alike("a.bits", "b.bits", F.col("a.n"), F.col("b.n"), 0.9)).select(F.col("a.i").alias("x"), F.col("b.i").alias("y")).collect()}
+    assert passed == {(0, 3)}
+
+
+@pytest.mark.parametrize("crowded", [3, 50, 2000])
+def test_near_pairs_of_a_block_in_parts(spark, crowded):
+    """However a crowded block is cut, each pair is found once, the earlier title first, with its similarity."""
+    rng = random.Random(7)
+    titles = [f"common beginning {''.join(rng.choice('ab c') for _ in range(rng.randrange(1, 40)))}" for _ in range(120)]
+    titles += [t[:-1] + rng.choice("abcd") for t in titles[:60]] + ["other block " + "x" * k for k in range(1, 30)]
+    rng.shuffle(titles)
+    items = spark.createDataFrame([(f"K{i}", t, i) for i, t in enumerate(titles)], "key string, title string, scan_order long")
+    got = [(r.key_a, r.key_b, r.similarity) for r in dedupe.fuzzy_pairs(items, crowded=crowded).collect()]
+    key = [" ".join(t.split()) for t in titles]
+    assert sorted(got) == sorted((f"K{i}", f"K{j}", round(similar(key[i], key[j]), 6)) for i, j in plain_pairs(titles)) and len(got) > 60
+
+
+def test_bounded_distances():
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab ") for _ in range(rng.randrange(1, 30))) for _ in range(60)]
+    n = np.array([len(t) for t in texts])
+    codes = np.frombuffer(b"".join(t.encode().ljust(n.max(), b"\1") for t in texts), np.uint8).reshape(len(texts), -1)
+    x, y = (v.ravel() for v in np.indices((len(texts), len(texts))))
+    for most in (0, 2, 9, 300):
+        got = similarity.bounded_distance(codes[x], n[x], codes[y], n[y], np.full(len(x), most))
+        full = np.array([round((1 - similar(texts[i], texts[j])) * max(n[i], n[j])) for i, j in zip(x, y, strict=True)])
+        assert (got == np.minimum(full, most + 1)).all()
+
+
 def test_fuzzy_clusters(spark):
     titles = alike_titles()
     near = plain_pairs(titles)
