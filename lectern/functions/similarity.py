@@ -205,7 +205,7 @@ def _met(codes: np.ndarray, n: np.ndarray, group: np.ndarray, first: np.ndarray,
 
 
 def near_pairs(rows: DataFrame, least: float) -> DataFrame:
-    """key_a, key_b, similarity of rows (block, i, j, part, key, scan_order, k) whose ``k`` (of LETTERS) are alike, ``scan_order`` of the first
+    """block, order_a, key_a, key_b, similarity of rows (block, i, j, part, key, scan_order, k) whose ``k`` (of LETTERS) are alike, ``scan_order`` of the first
     being the lower: each of ``i`` meets each of ``j`` of its block. Rows lie block by block and ``i`` by ``j``."""
 
     def compared(t: pa.Table, group: np.ndarray, across: bool) -> Iterator[pa.RecordBatch]:
@@ -222,7 +222,7 @@ def near_pairs(rows: DataFrame, least: float) -> DataFrame:
             x, y, similarity = x[similarity >= 0], y[similarity >= 0], similarity[similarity >= 0]
             a, b = np.where(order[x] < order[y], x, y), np.where(order[x] < order[y], y, x)
             if len(x):
-                yield from pa.table({"key_a": key.take(pa.array(a)), "key_b": key.take(pa.array(b)), "similarity": similarity}).to_batches()
+                yield from pa.table({"block": t["block"].take(pa.array(a)), "order_a": t["scan_order"].take(pa.array(a)), "key_a": key.take(pa.array(a)), "key_b": key.take(pa.array(b)), "similarity": similarity}).to_batches()
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         """Whole cells, end to end; a cell is what has a block, i and j."""
@@ -256,5 +256,5 @@ def near_pairs(rows: DataFrame, least: float) -> DataFrame:
         if small:
             yield from compared(pa.concat_tables(small), np.repeat(np.arange(len(small)), [x.num_rows for x in small]), False)
 
-    kind = dict(rows.dtypes)["key"]
-    return rows.select("block", "i", "j", "part", "key", "scan_order", "k").mapInArrow(of, f"key_a {kind}, key_b {kind}, similarity double")
+    kind = dict(rows.dtypes)
+    return rows.select("block", "i", "j", "part", "key", "scan_order", "k").mapInArrow(of, f"block string, order_a {kind['scan_order']}, key_a {kind['key']}, key_b {kind['key']}, similarity double")

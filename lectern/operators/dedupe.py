@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ BLOCK = 6
 THRESHOLD = 0.9
 #: Rows of a block's part.
 CROWDED = 2000
+#: Pairs that one task can read in order.
+FEW = 4_000_000
 # Item types that are cited in their own right.
 FORMAL = ["book", "bookSection", "journalArticle", "conferencePaper", "thesis", "report", "dataset", "preprint", "manuscript", "encyclopediaArticle"]
 
@@ -59,8 +63,8 @@ def may_be_alike(a: str, b: str, n_a: Column, n_b: Column, threshold: float) ->
     return (apart <= d) & (turned <= 2 * d - apart)
 
 
-def fuzzy_pairs(items: DataFrame, threshold: float = THRESHOLD, crowded: int = CROWDED) -> DataFrame:
-    """key_a, key_b, similarity: singletons of a block whose title keys are alike. Counts of letters tell most that are not alike before
+def block_pairs(items: DataFrame, threshold: float, crowded: int) -> DataFrame:
+    """block, order_a, key_a, key_b, similarity: singletons of a block whose title keys are alike. Counts of letters tell most that are not alike before
     a distance is computed, both in matrices over Arrow batches. A block of more than ``crowded`` rows is cut into parts of about
     so many, and each two parts are a group of their own."""
     own = written(singletons(items).where("scan_order is not null"), "titles")
@@ -68,21 +72,48 @@ def fuzzy_pairs(items: DataFrame, threshold: float = THRESHOLD, crowded: int = C
     placed = own.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("k"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     cells = placed.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
     tasks = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: a number of tasks that adaptive execution keeps
-    near = near_pairs(cells.repartition(tasks, "block", "i", "j").sortWithinPartitions("block", "i", "j"), threshold)
-    return near.select("key_a", "key_b", F.round("similarity", 6).alias("similarity"))
+    return near_pairs(cells.repartition(tasks, "block", "i", "j").sortWithinPartitions("block", "i", "j"), threshold)
+
+
+def fuzzy_pairs(items: DataFrame, threshold: float = THRESHOLD, crowded: int = CROWDED) -> DataFrame:
+    """key_a, key_b, similarity (six places) of singletons of a block whose title keys are alike."""
+    return block_pairs(items, threshold, crowded).select("key_a", "key_b", F.round("similarity", 6).alias("similarity"))
+
+
+def greedy(pairs: DataFrame) -> DataFrame:
+    """seed, key of the greedy clusters of pairs (block, order_a, key_a, key_b), which are read once in their order; of a block
+    only the keys that are taken are kept."""
+    kind = dict(pairs.dtypes)["key_a"]
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, taken, seed = None, set(), None
+        for batch in batches:
+            out = []
+            for own, a, b in zip(*(batch.column(c).to_pylist() for c in ("block", "key_a", "key_b")), strict=True):
+                if own != block:
+                    block, taken, seed = own, set(), None
+                if a not in taken and b not in taken:
+                    out += [(a, b)] if a == seed else [(a, a), (a, b)]
+                    taken.add(b)
+                    seed = a
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], batch.schema.field("key_a").type) for k in (0, 1)], ["seed", "key"])
+
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pairs.select("block", "order_a", "key_a", "key_b").repartition(tasks, "block").sortWithinPartitions("block", "order_a", "key_a").mapInArrow(of, f"seed {kind}, key {kind}")
 
 
-def fuzzy_clusters(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def fuzzy_clusters(items: DataFrame, threshold: float = THRESHOLD, few: int = FEW) -> DataFrame:
     """seed, key of greedy clusters: in scan order, an item that no earlier seed takes is a seed; an item is the earliest
     seed's that is alike.
 
-    Worked out on the pairs, in rounds: items without an earlier undecided partner are seeds, their partners are taken, and
-    both leave. A round is a few joins, and there are as many as the longest chain of such decisions; nothing is gathered.
+    Worked out on the pairs. While more than ``few`` are undecided, in rounds: items without an earlier undecided partner are
+    seeds, their partners are taken, and both leave. A round is a few joins; nothing is gathered. The others are read
+    once, block by block.
     """
     order = items.select("key", "scan_order")
-    pairs = written(fuzzy_pairs(items, threshold).select("key_a", "key_b"), "pairs")
+    pairs = written(block_pairs(items, threshold, CROWDED).drop("similarity"), "pairs")
     left, taken = pairs, pairs.select(F.col("key_b").alias("key")).limit(0)
-    while not left.isEmpty():
+    while left.count() > few:
         later = left.select(F.col("key_b").alias("key_a")).distinct()
         seeds = written(left.select("key_a").distinct().join(later, "key_a", "left_anti"), "seeds")
         gone = written(left.join(seeds, "key_a", "left_semi").select(F.col("key_b").alias("key")).distinct(), "taken")
@@ -90,6 +121,9 @@ def fuzzy_clusters(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         decided = seeds.select(F.col("key_a").alias("key")).unionByName(gone)
         before, left = left, written(left.join(decided.withColumnRenamed("key", "key_a"), "key_a", "left_anti").join(decided.withColumnRenamed("key", "key_b"), "key_b", "left_anti"), "left")
         discard(seeds, *([before] if before is not pairs else []))
+    if left is pairs:
+        return greedy(pairs)
+    taken = taken.unionByName(greedy(left).where("seed <> key").select("key"))
     by = pairs.join(taken.withColumnRenamed("key", "key_a"), "key_a", "left_anti").join(taken.withColumnRenamed("key", "key_b"), "key_b", "left_semi")
     seed = by.join(order, by.key_a == order.key).groupBy("key_b").agg(F.min_by("key_a", "scan_order").alias("seed"))
     members = seed.select("seed", F.col("key_b").alias("key"))

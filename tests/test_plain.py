@@ -511,6 +511,14 @@ def test_fuzzy_clusters(spark):
     assert got == {(f"K{s}", f"K{k}") for k, s in owner.items()} | {(f"K{s}", f"K{s}") for s in owner.values()} and len(got) > 20
 
 
+@pytest.mark.parametrize("few", [0, 40])
+def test_fuzzy_clusters_in_rounds_and_in_order(spark, few):
+    """Rounds to the end or pairs read in order once few are left: the same clusters."""
+    items = spark.createDataFrame([(f"K{i}", t, i) for i, t in enumerate(alike_titles())], "key string, title string, scan_order long")
+    once = sorted((r.seed, r.key) for r in dedupe.fuzzy_clusters(items).collect())
+    assert sorted((r.seed, r.key) for r in dedupe.fuzzy_clusters(items, few=few).collect()) == once and len(once) > 20
+
+
 def test_merge_verdicts(spark):
     rows_ = [("a", "Banda", "", 1), ("a", "Banda, Juan M.", "", 2), ("b", "Scott", "3rd", 3), ("b", "Scott", "4th ed", 4), ("b", "", "", 5), ("c", "An", "1", 6), ("c", "Ann", "", 7), ("c", "Nan", "1", 8), ("d", "X", "2nd", 9), ("d", "X", "2ND", 10)]
     items = spark.createDataFrame([(t, f"K{o}", o, n, e, "book", "2000") for t, n, e, o in rows_], "title string, key string, scan_order long, last_name string, edition string, type string, date string")
