@@ -8,7 +8,7 @@ of b (and one more place) begin no block but may extend one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -122,8 +122,8 @@ def title_ratio(a: Column, b: Column) -> Column:
 
 #: Letters of title keys, and how many of one are counted.
 LETTERS, COUNTED = "abcdefghijklmnopqrstuvwxyz0123456789 ", 16
-#: Rows of a small group that are compared together, and pairs of one set of matrices.
-TOGETHER, PAIRS = 64, 1 << 14
+#: Rows of small groups that are compared together, and pairs of one set of matrices.
+TOGETHER, PAIRS = 256, 1 << 14
 
 
 def _letters(codes: np.ndarray) -> np.ndarray:
@@ -185,8 +185,8 @@ def _near(codes: np.ndarray, n: np.ndarray, x: np.ndarray, y: np.ndarray, least:
     return out
 
 
-def _met(codes: np.ndarray, n: np.ndarray, group: np.ndarray, first: np.ndarray, second: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of a row of ``first`` and one of ``second`` (both by length) that counts of letters do not tell apart: a letter put in or
+def _met(codes: np.ndarray, n: np.ndarray, fits: Callable[[np.ndarray, np.ndarray], np.ndarray], first: np.ndarray, second: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a row of ``first`` and one of ``second`` (both by length) that fit (a matrix says which) and that counts of letters do not tell apart: a letter put in or
     left out turns one bit of ``_letters`` at most, one in place of another two, and a difference in length takes as many
     edits of the first kind."""
     bits = _letters(codes)
@@ -200,61 +200,106 @@ def _met(codes: np.ndarray, n: np.ndarray, group: np.ndarray, first: np.ndarray,
         turned = np.zeros(most.shape, np.int64)
         for w in range(bits.shape[1]):
             turned += np.bitwise_count(bits[x, w][:, None] ^ bits[y, w])
-        i, j = np.nonzero((apart <= most) & (turned <= 2 * most - apart) & (group[x][:, None] == group[y]))
+        i, j = np.nonzero((apart <= most) & (turned <= 2 * most - apart) & fits(x, y))
         yield x[i], y[j]
 
 
+def _coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of ASCII texts in rows of one width, and their lengths."""
+    n = np.fromiter(map(len, texts), np.int64, len(texts))
+    return np.frombuffer(b"".join(x.encode().ljust(n.max(), b"\1") for x in texts), np.uint8).reshape(len(texts), -1), n
+
+
+def _cells(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
+    """Whole cells, end to end; a cell is what is equal in ``names``."""
+    kept, cell = [], None
+    for batch in batches:
+        t = pa.table(batch)
+        start = 0
+        for at, name in enumerate(zip(*(t[c].to_pylist() for c in names), strict=True)):
+            if name != cell:
+                if at > start:
+                    kept.append(t.slice(start, at - start))
+                if kept:
+                    yield pa.concat_tables(kept)
+                kept, cell, start = [], name, at
+        kept.append(t.slice(start))
+    if kept:
+        yield pa.concat_tables(kept)
+
+
+def _together(cells: Iterator[pa.Table], alone: Callable[[pa.Table], bool] = lambda t: False) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Cells, small ones several at once (but those that are ``alone``), with the number of each row's cell."""
+    small, held = [], 0
+    for t in cells:
+        if t.num_rows > TOGETHER or alone(t):
+            yield t, np.zeros(t.num_rows, np.int64)
+            continue
+        if held + t.num_rows > TOGETHER:
+            yield pa.concat_tables(small), np.repeat(np.arange(len(small)), [x.num_rows for x in small])
+            small, held = [], 0
+        small.append(t)
+        held += t.num_rows
+    if small:
+        yield pa.concat_tables(small), np.repeat(np.arange(len(small)), [x.num_rows for x in small])
+
+
 def near_pairs(rows: DataFrame, least: float) -> DataFrame:
     """block, order_a, key_a, key_b, similarity of rows (block, i, j, part, key, scan_order, k) whose ``k`` (of LETTERS) are alike, ``scan_order`` of the first
     being the lower: each of ``i`` meets each of ``j`` of its block. Rows lie block by block and ``i`` by ``j``."""
 
-    def compared(t: pa.Table, group: np.ndarray, across: bool) -> Iterator[pa.RecordBatch]:
-        text = [x.encode() for x in t["k"].to_pylist()]
-        n = np.fromiter(map(len, text), np.int64, len(text))
-        codes = np.frombuffer(b"".join(x.ljust(n.max(), b"\1") for x in text), np.uint8).reshape(len(text), -1)
-        order, key, part = t["scan_order"].to_numpy(), t["key"], t["part"].to_numpy()
-        by_length = np.argsort(n, kind="stable")
-        first, second = (by_length[part[by_length] == t[c][0].as_py()] for c in ("i", "j")) if across else (by_length, by_length)
-        for x, y in _met(codes, n, group, first, second, least):
-            todo = order[x] != order[y] if across else order[x] < order[y]
-            x, y = x[todo], y[todo]
-            similarity = _near(codes, n, x, y, least)
-            x, y, similarity = x[similarity >= 0], y[similarity >= 0], similarity[similarity >= 0]
-            a, b = np.where(order[x] < order[y], x, y), np.where(order[x] < order[y], y, x)
-            if len(x):
-                yield from pa.table({"block": t["block"].take(pa.array(a)), "order_a": t["scan_order"].take(pa.array(a)), "key_a": key.take(pa.array(a)), "key_b": key.take(pa.array(b)), "similarity": similarity}).to_batches()
-
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-        """Whole cells, end to end; a cell is what has a block, i and j."""
-        kept, cell = [], None
-        for batch in batches:
-            t = pa.table(batch)
-            names = list(zip(*(t[c].to_pylist() for c in ("block", "i", "j")), strict=True))
-            start = 0
-            for at, name in enumerate(names):
-                if name != cell:
-                    if at > start:
-                        kept.append(t.slice(start, at - start))
-                    if kept:
-                        yield pa.concat_tables(kept)
-                    kept, cell, start = [], name, at
-            kept.append(t.slice(start))
-        if kept:
-            yield pa.concat_tables(kept)
+    def apart(t: pa.Table) -> bool:
+        return t["i"][0].as_py() != t["j"][0].as_py()
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        small, held = [], 0
-        for t in groups(batches):
-            if t["i"][0].as_py() != t["j"][0].as_py() or t.num_rows > TOGETHER:
-                yield from compared(t, np.zeros(t.num_rows, np.int64), t["i"][0].as_py() != t["j"][0].as_py())
-                continue
-            small.append(t)
-            held += t.num_rows
-            if held >= TOGETHER:
-                yield from compared(pa.concat_tables(small), np.repeat(np.arange(len(small)), [x.num_rows for x in small]), False)
-                small, held = [], 0
-        if small:
-            yield from compared(pa.concat_tables(small), np.repeat(np.arange(len(small)), [x.num_rows for x in small]), False)
+        for t, group in _together(_cells(batches, ["block", "i", "j"]), apart):
+            codes, n = _coded(t["k"].to_pylist())
+            across, order, part = apart(t), t["scan_order"].to_numpy(), t["part"].to_numpy()
+            by_length = np.argsort(n, kind="stable")
+            first, second = (by_length[part[by_length] == t[c][0].as_py()] for c in ("i", "j")) if across else (by_length, by_length)
+            for x, y in _met(codes, n, lambda x, y, group=group: group[x][:, None] == group[y], first, second, least):
+                todo = order[x] != order[y] if across else order[x] < order[y]
+                x, y = x[todo], y[todo]
+                similarity = _near(codes, n, x, y, least)
+                x, y, similarity = x[similarity >= 0], y[similarity >= 0], similarity[similarity >= 0]
+                a, b = pa.array(np.where(order[x] < order[y], x, y)), pa.array(np.where(order[x] < order[y], y, x))
+                if len(x):
+                    yield from pa.table({"block": t["block"].take(a), "order_a": t["scan_order"].take(a), "key_a": t["key"].take(a), "key_b": t["key"].take(b), "similarity": similarity}).to_batches()
 
     kind = dict(rows.dtypes)
     return rows.select("block", "i", "j", "part", "key", "scan_order", "k").mapInArrow(of, f"block string, order_a {kind['scan_order']}, key_a {kind['key']}, key_b {kind['key']}, similarity double")
+
+
+def first_near(rows: DataFrame, cell: list[str], least: float) -> DataFrame:
+    """p, p_name, unordered, scan_order, key, t, similarity: for each probe of a cell its first item that is alike. Rows (the columns of
+    ``cell``, by which they lie, and asks, text, name, held, scan_order, key) are probes, which ask, and items: the text ``held`` of an
+    item contains the probe's, and the names are equal or the probe has none. Items without an order come last."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, group in _together(_cells(batches, cell)):
+            asks = t["asks"].to_numpy()
+            if asks.all() or not asks.any():
+                continue
+            text, name, held, key, orders = (t[c].to_pylist() for c in ("text", "name", "held", "key", "scan_order"))
+            codes, n = _coded(text)
+            by_length = np.argsort(n, kind="stable")
+            number: dict[str, int] = {"": 0}
+            names = np.array([number.setdefault(x, len(number)) for x in name])
+            rank = np.empty(len(text), np.int64)
+            rank[sorted(range(len(text)), key=lambda k: (orders[k] is None, 0 if orders[k] is None else orders[k], key[k] or ""))] = np.arange(len(text))
+            fits = lambda x, y, group=group, names=names: (group[x][:, None] == group[y]) & ((names[x][:, None] == 0) | (names[x][:, None] == names[y]))
+            best: dict[int, tuple[int, float]] = {}
+            for x, y in _met(codes, n, fits, by_length[asks[by_length]], by_length[~asks[by_length]], least):
+                similarity = _near(codes, n, x, y, least)
+                near = np.flatnonzero(similarity >= 0)
+                near = near[np.lexsort((rank[y[near]], x[near]))]
+                for p, i, value in zip(x[near].tolist(), y[near].tolist(), similarity[near].tolist(), strict=True):
+                    if p not in best and held[p] in held[i]:
+                        best[p] = (i, value)  # a probe's items are all met at once
+            if best:
+                out = [(text[p], name[p], orders[i] is None, orders[i], key[i], text[i], value) for p, (i, value) in best.items()]
+                kinds = [t["text"].type, t["name"].type, pa.bool_(), t["scan_order"].type, t["key"].type, t["text"].type, pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["p", "p_name", "unordered", "scan_order", "key", "t", "similarity"])
+
+    kind = dict(rows.dtypes)
+    return rows.select(*cell, "asks", "text", "name", "held", "scan_order", "key").mapInArrow(of, f"p string, p_name string, unordered boolean, scan_order {kind['scan_order']}, key {kind['key']}, t string, similarity double")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.similarity import COUNTED, LETTERS, near_pairs
+from ..functions.similarity import COUNTED, LETTERS, first_near, near_pairs
 from ..session import discard, written
 
 BLOCK = 6
@@ -200,39 +200,48 @@ def remap_children(children: DataFrame, plan: DataFrame, column: str = "item_key
     return children.join(to, column, "left").withColumn(column, F.coalesce("master", column)).drop("master").select(*children.columns).distinct()
 
 
-def duplicate_probe(items: DataFrame, probes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def duplicate_probe(items: DataFrame, probes: DataFrame, threshold: float = THRESHOLD, crowded: int = CROWDED) -> DataFrame:
     """probe_id, key, similarity: for a new record (probe_id, title, last_name) the first item that it may repeat. The item's
     title, in any case, holds the phrase of the probe's first four words longer than two characters, the whole titles are
     alike, and so is the name (if the probe has one). Accents are not folded.
 
     Equal items and equal probes meet once. Rows meet on a phrase and a length band, not on frequent words: the second and third
     word of a phrase of four stand whole and side by side in any title that holds it, between a word that ends as the first
-    and one that begins as the fourth. Shorter phrases meet on three letters that a hash picks; only items whose length is
-    near such a probe's give their letters. Bits of letter groups come before the distance, as in ``fuzzy_pairs``.
+    and one that begins as the fourth. Shorter phrases meet on three letters that a hash picks. Items that no probe meets go
+    before titles are shuffled; what more than ``crowded`` items or probes meet on is cut into parts, and each part of one side
+    meets each of the other, in matrices as in ``fuzzy_pairs``.
     """
-    step = 8
-    words = F.slice(F.filter(F.split(T.dedupe_key("title"), " "), lambda w: F.length(w) > 2), 1, 4)
+    step, meeting = 8, ["meet", "pair", "band"]
+    session = items.sparkSession
     named = T.dedupe_key(F.coalesce("last_name", F.lit("")))
-    asked = probes.select("probe_id", T.dedupe_key("title").alias("p"), named.alias("p_name"), words.alias("words")).where(F.size("words") > 0)
-    p = asked.select("p", "p_name", "words", F.array_join("words", " ").alias("phrase")).distinct()
-    low, high = F.floor(F.ceil(F.length("p") * threshold) / step), F.floor(F.floor(F.length("p") / threshold) / step)
+    asked = written(probes.select("probe_id", T.dedupe_key("title").alias("p"), named.alias("p_name")), "asked")
+    words = F.slice(F.filter(F.split("p", " "), lambda w: F.length(w) > 2), 1, 4)
+    p = asked.select("p", "p_name").distinct().withColumn("words", words).where(F.size("words") > 0).withColumn("phrase", F.array_join("words", " "))
+    low, high = F.floor(F.ceil(F.length("p") * threshold - 1e-9) / step), F.floor(F.floor(F.length("p") / threshold + 1e-9) / step)
     grams = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3)))
     picked = F.array_min(F.transform(grams(F.col("phrase")), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))["g"]
     four = F.size("words") == 4
     word = lambda k: F.get("words", F.lit(k))
     middle = F.concat_ws(" ", F.right(word(0), F.lit(3)), word(1), word(2), F.left(word(3), F.lit(3)))  # words have three letters at least
-    p = written(p.withColumn("p_bits", gram_bits("p")), "probes").select("p", "p_name", "phrase", F.when(four, middle).otherwise(picked).alias("meet"), four.alias("pair"), "p_bits", F.explode(F.sequence(low, high)).alias("band"))
-    i = items.groupBy(F.lower("title").alias("raw"), T.dedupe_key("title").alias("t"), named.alias("t_name")).agg(F.min(F.struct("scan_order", "key")).alias("first"))
-    i = written(i.withColumns({"band": F.floor(F.length("t") / step), "t_bits": gram_bits("t")}), "titles")
+    p = written(p.select("p", "p_name", "phrase", F.when(four, middle).otherwise(picked).alias("meet"), four.alias("pair"), F.explode(F.sequence(low, high)).alias("band")), "probes")
+    i = items.groupBy(F.lower("title").alias("raw"), T.dedupe_key("title").alias("t"), named.alias("t_name")).agg(F.min(F.struct(F.isnull("scan_order").alias("unordered"), "scan_order", "key")).alias("first"))
+    i = written(i.select("raw", "t", "t_name", "first.scan_order", "first.key", F.floor(F.length("t") / step).alias("band")), "titles")
     at = F.sequence(F.lit(0), F.greatest(F.size("tokens") - 4, F.lit(0)))
     fours = F.transform(at, lambda k: F.concat_ws(" ", F.right(F.get("tokens", k), F.lit(3)), F.get("tokens", k + 1), F.get("tokens", k + 2), F.left(F.get("tokens", k + 3), F.lit(3))))
     by_pair = i.withColumn("tokens", F.split("raw", " ")).where(F.size("tokens") >= 4).select(*i.columns, F.explode(F.array_distinct(fours)).alias("meet"), F.lit(True).alias("pair"))
-    short = i.join(p.where("not pair").select("band").distinct(), "band", "left_semi").where("length(raw) > 2")
-    by_gram = short.select(*i.columns, F.explode(F.array_distinct(grams(F.col("raw")))).alias("meet"), F.lit(False).alias("pair"))
-    same_name = (F.col("p_name") == "") | (F.col("p_name") == F.col("t_name"))
-    may = may_be_alike("p_bits", "t_bits", F.length("p"), F.length("t"), threshold)
-    near = same_name & may & F.contains(F.col("raw"), F.col("phrase")) & T.similar(F.col("p"), F.col("t"), threshold)
-    met = p.join(by_pair.unionByName(by_gram), ["meet", "pair", "band"]).where(near)
-    best = met.groupBy("p", "p_name", "phrase").agg(F.min_by(F.struct("first.key", "t"), "first.scan_order").alias("x"))
-    found = asked.withColumn("phrase", F.array_join("words", " ")).join(best, ["p", "p_name", "phrase"])
-    return found.select("probe_id", "x.key", F.round(T.levenshtein_similarity(F.col("p"), F.col("x.t")), 6).alias("similarity"))
+    wanted = F.broadcast(p.where("not pair").select("meet").distinct())  # letters a to z, 0 to 9 and space, three of them: 50,653 at most
+    by_gram = i.where("length(raw) > 2").select(*i.columns, F.explode(F.array_distinct(grams(F.col("raw")))).alias("meet")).join(wanted, "meet", "left_semi").select(*i.columns, "meet", F.lit(False).alias("pair"))
+    met = by_pair.unionByName(by_gram)
+    many = lambda rows, name: rows.groupBy(*meeting).agg(F.ceil(F.count("*") / max(crowded, 1)).cast("int").alias(name))
+    parts = written(many(p, "p_parts").join(many(met, "i_parts"), meeting), "parts")
+    mine = lambda c: F.array(F.pmod(F.xxhash64("text", "name"), F.col(c)).cast("int"))
+    each = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    kind = dict(i.dtypes)
+    asking = p.select(*meeting, F.lit(True).alias("asks"), F.col("p").alias("text"), F.col("p_name").alias("name"), F.col("phrase").alias("held"), F.lit(None).cast(kind["scan_order"]).alias("scan_order"), F.lit(None).cast(kind["key"]).alias("key"))
+    asking = asking.join(parts, meeting).withColumn("i", F.explode(mine("p_parts"))).withColumn("j", F.explode(each("i_parts")))
+    there = met.select(*meeting, F.lit(False).alias("asks"), F.col("t").alias("text"), F.col("t_name").alias("name"), F.col("raw").alias("held"), "scan_order", "key")
+    there = there.join(parts, meeting).withColumn("i", F.explode(each("p_parts"))).withColumn("j", F.explode(mine("i_parts")))
+    cell = [*meeting, "i", "j"]
+    rows = asking.unionByName(there).repartition(int(session.conf.get("spark.sql.shuffle.partitions")), *cell).sortWithinPartitions(*cell)
+    best = first_near(rows, cell, threshold).groupBy("p", "p_name").agg(F.min(F.struct("unordered", "scan_order", "key", "t", "similarity")).alias("x"))
+    return asked.join(best, ["p", "p_name"]).select("probe_id", "x.key", F.round("x.similarity", 6).alias("similarity"))

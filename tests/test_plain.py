@@ -540,6 +540,36 @@ def test_duplicate_probe_of_short_titles(spark):
     assert got == expected
 
 
+@pytest.mark.parametrize("crowded", [2, 2000])
+def test_duplicate_probe_of_crowded_phrases(spark, crowded):
+    """Many alike titles of one phrase, however they are cut: the first item of the probe's name, or of any if it has none."""
+    rng = random.Random(11)
+    titles = [f"{rng.choice(['Licensed under the Apache', 'Café of the great', 'To be'])} version of {''.join(rng.choice('ab ') for _ in range(rng.randrange(1, 8)))} thing" for _ in range(70)]
+    names = [rng.choice(["", "Ann", "Bo", None]) for _ in titles]
+    items = spark.createDataFrame([(f"K{i:02}", t, n, i if i % 9 else None) for i, (t, n) in enumerate(zip(titles, names, strict=True))], "key string, title string, last_name string, scan_order long")
+    probes = spark.createDataFrame([(i, t, n) for i, (t, n) in enumerate(zip(titles, names, strict=True))], "probe_id long, title string, last_name string")
+    got = {r.probe_id: (r.key, r.similarity) for r in dedupe.duplicate_probe(items, probes, crowded=crowded).collect()}
+    key = [re.sub("[^a-z0-9]+", " ", t.lower()).strip() for t in titles]
+    name = [(n or "").lower() for n in names]
+    expected = {}
+    for i, t in enumerate(key):
+        phrase = " ".join([w for w in t.split(" ") if len(w) > 2][:4])
+        hits = [j for j in range(len(key)) if phrase in titles[j].lower() and name[i] in ("", name[j]) and similar(t, key[j]) >= 0.9]
+        if hits:
+            first = min(hits, key=lambda j: (j % 9 == 0, j))
+            expected[i] = (f"K{first:02}", round(similar(t, key[first]), 6))
+    assert got == expected and len(expected) > 20
+
+
+def test_probes_and_items_that_do_not_meet_stay_out_of_the_comparison(spark, monkeypatch):
+    """Items whose phrase no probe has are not dealt out."""
+    items = spark.createDataFrame([(f"K{i}", f"unrelated words number {i} of a long list here", "", i) for i in range(50)] + [("P", "the quick brown fox jumps over it", "", 99)], "key string, title string, last_name string, scan_order long")
+    probes = items.where("key = 'P'").select(F.lit(1).alias("probe_id"), "title", "last_name")
+    dealt, real = [], dedupe.first_near
+    monkeypatch.setattr(dedupe, "first_near", lambda rows, *a: (dealt.append(rows.count()), real(rows, *a))[1])
+    assert [r.key for r in dedupe.duplicate_probe(items, probes).collect()] == ["P"] and dealt == [2]
+
+
 def test_auto_outline(spark, views):
     """Each document's outline comes from the best evidence, and says what the single steps say."""
     lines = views.pdf_lines.drop("text").join(views.toc_lines.select("doc_id", "ord", "text"), ["doc_id", "ord"])
