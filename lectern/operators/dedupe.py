@@ -223,25 +223,25 @@ def duplicate_probe(items: DataFrame, probes: DataFrame, threshold: float = THRE
     four = F.size("words") == 4
     word = lambda k: F.get("words", F.lit(k))
     middle = F.concat_ws(" ", F.right(word(0), F.lit(3)), word(1), word(2), F.left(word(3), F.lit(3)))  # words have three letters at least
-    p = written(p.select("p", "p_name", "phrase", F.when(four, middle).otherwise(picked).alias("meet"), four.alias("pair"), F.explode(F.sequence(low, high)).alias("band")), "probes")
+    meet = lambda c: F.xxhash64(c).alias("meet")  # noqa: E731  # what has one hash by chance meets in vain
+    p = written(p.select("p", "p_name", "phrase", meet(F.when(four, middle).otherwise(picked)), four.alias("pair"), F.explode(F.sequence(low, high)).alias("band")), "probes")
     i = items.groupBy(F.lower("title").alias("raw"), T.dedupe_key("title").alias("t"), named.alias("t_name")).agg(F.min(F.struct(F.isnull("scan_order").alias("unordered"), "scan_order", "key")).alias("first"))
-    i = written(i.select("raw", "t", "t_name", "first.scan_order", "first.key", F.floor(F.length("t") / step).alias("band")), "titles")
+    i = written(i.select(F.monotonically_increasing_id().alias("id"), "raw", "t", "t_name", "first.scan_order", "first.key", F.floor(F.length("t") / step).alias("band")), "titles")
     at = F.sequence(F.lit(0), F.greatest(F.size("tokens") - 4, F.lit(0)))
     fours = F.transform(at, lambda k: F.concat_ws(" ", F.right(F.get("tokens", k), F.lit(3)), F.get("tokens", k + 1), F.get("tokens", k + 2), F.left(F.get("tokens", k + 3), F.lit(3))))
-    by_pair = i.withColumn("tokens", F.split("raw", " ")).where(F.size("tokens") >= 4).select(*i.columns, F.explode(F.array_distinct(fours)).alias("meet"), F.lit(True).alias("pair"))
+    by_pair = i.withColumn("tokens", F.split("raw", " ")).where(F.size("tokens") >= 4).select("id", "band", F.explode(F.array_distinct(fours)).alias("m")).select("id", "band", meet("m"), F.lit(True).alias("pair"))
     wanted = F.broadcast(p.where("not pair").select("meet").distinct())  # letters a to z, 0 to 9 and space, three of them: 50,653 at most
-    by_gram = i.where("length(raw) > 2").select(*i.columns, F.explode(F.array_distinct(grams(F.col("raw")))).alias("meet")).join(wanted, "meet", "left_semi").select(*i.columns, "meet", F.lit(False).alias("pair"))
+    by_gram = i.where("length(raw) > 2").select("id", "band", F.explode(F.array_distinct(grams(F.col("raw")))).alias("m")).select("id", "band", meet("m"), F.lit(False).alias("pair")).join(wanted, "meet", "left_semi")
     met = by_pair.unionByName(by_gram)
     many = lambda rows, name: rows.groupBy(*meeting).agg(F.ceil(F.count("*") / max(crowded, 1)).cast("int").alias(name))
     parts = written(many(p, "p_parts").join(many(met, "i_parts"), meeting), "parts")
-    mine = lambda c: F.array(F.pmod(F.xxhash64("text", "name"), F.col(c)).cast("int"))
+    mine = lambda h, c: F.array(F.pmod(h, F.col(c)).cast("int"))
     each = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
-    kind = dict(i.dtypes)
-    asking = p.select(*meeting, F.lit(True).alias("asks"), F.col("p").alias("text"), F.col("p_name").alias("name"), F.col("phrase").alias("held"), F.lit(None).cast(kind["scan_order"]).alias("scan_order"), F.lit(None).cast(kind["key"]).alias("key"))
-    asking = asking.join(parts, meeting).withColumn("i", F.explode(mine("p_parts"))).withColumn("j", F.explode(each("i_parts")))
-    there = met.select(*meeting, F.lit(False).alias("asks"), F.col("t").alias("text"), F.col("t_name").alias("name"), F.col("raw").alias("held"), "scan_order", "key")
-    there = there.join(parts, meeting).withColumn("i", F.explode(each("p_parts"))).withColumn("j", F.explode(mine("i_parts")))
-    cell = [*meeting, "i", "j"]
+    kind, cell = dict(i.dtypes), [*meeting, "i", "j"]
+    asking = p.join(parts, meeting).withColumn("i", F.explode(mine(F.xxhash64("p", "p_name"), "p_parts"))).withColumn("j", F.explode(each("i_parts")))
+    asking = asking.select(*cell, F.lit(True).alias("asks"), F.col("p").alias("text"), F.col("p_name").alias("name"), F.col("phrase").alias("held"), F.lit(None).cast(kind["scan_order"]).alias("scan_order"), F.lit(None).cast(kind["key"]).alias("key"))
+    there = met.join(parts, meeting).withColumn("i", F.explode(each("p_parts"))).withColumn("j", F.explode(mine(F.xxhash64("id"), "i_parts"))).select("id", *cell)  # numbers only, titles come after
+    there = there.join(i.drop("band"), "id").select(*cell, F.lit(False).alias("asks"), F.col("t").alias("text"), F.col("t_name").alias("name"), F.col("raw").alias("held"), "scan_order", "key")
     rows = asking.unionByName(there).repartition(int(session.conf.get("spark.sql.shuffle.partitions")), *cell).sortWithinPartitions(*cell)
     best = first_near(rows, cell, threshold).groupBy("p", "p_name").agg(F.min(F.struct("unordered", "scan_order", "key", "t", "similarity")).alias("x"))
     return asked.join(best, ["p", "p_name"]).select("probe_id", "x.key", F.round("x.similarity", 6).alias("similarity"))
